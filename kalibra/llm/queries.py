@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding
+from . import lines, neighbours, quality, sharding, urls
 from .tables import table
 
 
@@ -16,6 +16,23 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.drop_repeated(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return cleaned.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: Fixed by the query's definition.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 40).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -26,5 +43,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LOWER = f"translate(%s, '{urls.UPPER}', '{urls.LOWER}')"
+SQL: dict[str, str] = {}
+
+SQL["op5_line_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT r, doc_id, string_split(text, chr(10)) AS ls FROM d),
+x AS (SELECT r, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM n),
+k AS (SELECT r, i, line, {LOWER % f"trim(line, {SPACE})"} AS key FROM x),
+bad AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+j AS (SELECT k.r, k.i, k.line, bad.key IS NOT NULL AS gone FROM k LEFT JOIN bad USING (key)),
+g AS (SELECT r, count(*) AS n_lines, count_if(gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM j GROUP BY r)
+SELECT d.doc_id, g.n_lines::BIGINT AS n_lines, g.n_dropped::BIGINT AS n_dropped, sha256(g.kept) AS kept_sha256 FROM g JOIN d USING (r)"""
+
+SQL["op6_url_filters"] = f"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, {LOWER % f"regexp_extract(coalesce(url, ''), '{urls.HOST}', 1)"} AS host,
+  regexp_extract(coalesce(url, ''), '{urls.PATH}', 1) AS path FROM pages),
+rules AS (SELECT * FROM (VALUES {", ".join(f"('{t}', '{t[: t.index('/')]}', '{t[t.index('/') :]}', '{v}')" for v, t in URL_RULES)}) AS v(rule, rh, rp, verdict)),
+m AS (SELECT r, rule, verdict, row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC, length(rh) DESC) AS n
+  FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM m WHERE n = 1) USING (r)"""
+
+SQL["op8_nearest_neighbours"] = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM t WHERE n <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
