@@ -7,19 +7,14 @@ import re
 #: A word: a run of characters other than space and the ASCII controls 09-0D.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: Where str.split() splits as well, though these belong to words here.
+_MORE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
 def ascii_lower(text: str) -> str:
     """``text`` with A-Z lower-cased and every other character as it is."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+    return text.lower() if text.isascii() else text.encode().lower().decode()
 
 
 def words(text: str) -> list[str]:
-    if text.isascii() and not _SEPARATORS.search(text):
-        return text.split()
-    return WORD.findall(text)
-
-
-#: str.split() also splits at these ASCII characters, which belong to words here.
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+    return WORD.findall(text) if _MORE.search(text) else text.split()
