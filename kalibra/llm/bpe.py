@@ -5,15 +5,15 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-SLICE = 4_000_000  # characters whose new words are replayed together
-CACHED = 800_000  # words whose ids a worker keeps
+SLICE = 2_000_000  # characters whose new words are replayed together
+CACHED = 200_000  # words of a generation; a worker keeps the ids of two
 
 
 class Ranks:
@@ -28,6 +28,7 @@ class Ranks:
         self.pair: dict[int, int] = {}
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, a: int, b: int) -> int:
         """The rank of the token that ``a`` and ``b`` make, or -1."""
@@ -123,10 +124,11 @@ class Ranks:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
-        new = [w for w in set().union(*split) if w not in self.cache]
-        if len(self.cache) + len(new) > CACHED:
-            self.cache.clear()
-            new = list(set().union(*split))
+        if len(self.cache) > CACHED:
+            self.older, self.cache = self.cache, {}
+        absent = [w for w in set().union(*split) if w not in self.cache]
+        new = [w for w in absent if w not in self.older]
+        self.cache.update((w, self.older[w]) for w in absent if w in self.older)
         if new:
             self.cache.update(zip(new, self.replay([w.encode() for w in new]), strict=True))
         get = self.cache.__getitem__
@@ -138,7 +140,7 @@ def ranks_of(path: str, pattern: str) -> Ranks:
     return Ranks(path, pattern)
 
 
-def slices(texts: list[str], size: int = SLICE) -> Iterator[list[str]]:
+def slices(texts: Iterable[str], size: int = SLICE) -> Iterator[list[str]]:
     part: list[str] = []
     length = 0
     for t in texts:
@@ -165,7 +167,7 @@ def encode(documents: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc
         coder = ranks_of(ranks, pattern)
         for part in parts:
             at = 0
-            for texts in slices([t or "" for t in part.column(1).to_pylist()]):
+            for texts in slices(t.as_py() or "" for t in part.column(1)):
                 ids = coder.encode(texts)
                 own = part.column(0).slice(at, len(texts))
                 at += len(texts)
@@ -181,7 +183,7 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = ranks_of(ranks, "").token
         for part in parts:
-            texts = [None if ids is None else b"".join(map(token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())) for ids in part.column(2).to_pylist()]
+            texts = [None if ids is None else b"".join(map(token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())) for ids in (i.as_py() for i in part.column(2))]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
