@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, language_model, lines, neighbours, packing, quality, sharding, urls
+from . import bpe, language, language_model, lines, near, neighbours, packing, quality, sharding, urls
 from .tables import table
 
 
@@ -24,9 +24,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +80,38 @@ SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER = f"translate(%s, '{urls.UPPER}', '{urls.LOWER}')"
 SQL: dict[str, str] = {}
 
+WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+SQL["op2_near_dedup"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.replace("coalesce(text, '')", LOWER % "coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM d),
+u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, min(r.reached) AS component_id, s.doc_id = min(r.reached) AS kept
+FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, s.sh"""
+
+SQL["op3_quality_rules"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+x AS (SELECT r, i, w[i:i + 7] AS win FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+hit AS (SELECT DISTINCT r, i + k AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM x) t, (SELECT unnest(range(8)) AS k) k WHERE n > 1),
+rep AS (SELECT r, count(*) AS n FROM hit GROUP BY r),
+l AS (SELECT r, sum(n - 1) AS n FROM (SELECT r, line, count(*) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r, line) t GROUP BY r),
+m AS (SELECT d.r, doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN l USING (r) LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*)::DOUBLE AS n, count_if(base_failed)::DOUBLE AS f FROM b WHERE source IS NOT NULL GROUP BY source),
+q AS (SELECT (sum(f) + 0.5) / (sum(n) + 1) AS mean, var_pop(f / n) AS v, avg(1 / n) AS inv FROM h),
+pr AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(v - mean * (1 - mean) * inv, 1e-6) - 1, 1), 1000) AS k FROM q),
+ok AS (SELECT source, (f + mean * k) / (n + k) <= 0.5 AS host_ok FROM h, pr)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(host_ok, true) AS kept
+FROM b LEFT JOIN ok USING (source)"""
+
 SQL["op5_line_dedup"] = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT r, doc_id, string_split(text, chr(10)) AS ls FROM d),
