@@ -71,10 +71,10 @@ def greedy_pairs(scored: DataFrame, group: str, threshold: float) -> DataFrame:
                 left.add(a)
                 right.add(b)
                 taken.append(n)
-        return part.iloc[taken][[group, "left_id", "right_id", "score"]]
+        return part.iloc[taken][[group, "left_id", "right_id", "score"]].reset_index(drop=True)
 
     kinds = dict(scored.dtypes)
-    return scored.groupBy(group).applyInPandas(assign, f"{group} {kinds[group]}, left_id {kinds['left_id']}, right_id {kinds['right_id']}, score double")
+    return scored.groupBy(group).applyInPandas(assign, f"{group} {kinds[group]}, left_id {kinds['left_id']}, right_id {kinds['right_id']}, score double").where("left_id is not null")
 
 
 def embedded(texts: DataFrame, text: str, dim: int = 64) -> DataFrame:
