@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,32 +16,62 @@ from tokenizers import Tokenizer
 
 LENGTH = 2048
 OPEN = 1024  # partly filled windows that a task keeps at most
-CACHED = 400_000  # chunks whose ids a worker keeps
+CACHED = 700_000  # chunks of a generation; a worker keeps the ids of two
 
+#: Latin letters whose lower case is one letter, then marks that never split.
+_LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u01ef\u01f1-\u024f]+)([.,;:!?]*)")
 _CONTROL = re.compile(r"[\x1c-\x1f]")  # white space to str.split() only
 
 Piece = tuple[int, int, bytes]  # document's number, ids of it before, ids
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that byte-level tokenizers write for each byte: itself if it prints, else the next from 256 on."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
 class ChunkEncoder:
-    """A tokenizer that drops white space and never joins what it separates: chunks are encoded once each."""
+    """A tokenizer that drops white space and never joins what it separates: chunks are encoded once each.
+
+    Most chunks are a Latin word and a few marks. Their letters are one piece, which goes to the tokenizer's
+    merge model as it is; other chunks take its whole way.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.characters = byte_characters()
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks: dict[str, list[int]] = {"": []}
+
+    def chunk(self, text: str) -> bytes:
+        found = _LATIN.fullmatch(text)
+        if found is None:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        core, after = found.groups()
+        if after not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks = {"": []}
+            self.marks[after] = self.tokenizer.encode(after, add_special_tokens=False).ids
+        piece = core.lower()
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.characters)
+        return array("I", [t.id for t in self.merge(piece)] + self.marks[after]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         for at in range(0, len(texts), 256):
             split = [t.split() if not _CONTROL.search(t) else [c for c in _split_spaces(t) if c] for t in texts[at : at + 256]]
-            new = [c for c in set().union(*split) if c not in self.cache]
-            if len(self.cache) + len(new) > CACHED:
-                self.cache.clear()
-                new = list(set().union(*split))
-            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.cache.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(new, encoded, strict=True))
-            get = self.cache.__getitem__
+            if len(self.cache) > CACHED:
+                self.older, self.cache = self.cache, {}
+            cache, older = self.cache, self.older
+            for c in set().union(*split).difference(cache):
+                cache[c] = older[c] if c in older else self.chunk(c)
+            get = cache.__getitem__
             out += [b"".join(map(get, chunks)) for chunks in split]
         return out
 

@@ -8,7 +8,7 @@ import re
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 #: Where str.split() splits as well, though these belong to words here.
-_MORE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_MORE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def ascii_lower(text: str) -> str:

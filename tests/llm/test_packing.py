@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -18,6 +19,15 @@ def test_chunks_encode_as_whole_texts():
         assert np.frombuffer(ids, dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_chunks_encode_as_whole_texts_of_the_corpus():
+    whole = Tokenizer.from_file(PATH)
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    texts += [c + w + e for c in "ÀÿßıŉǅªµİŁ\u0130\u023a\u0251" for w in ("", "word", "Ωmega") for e in ("", ".,", "'s", "!?", "3")]
+    encode = packing.ChunkEncoder(PATH).encode
+    for text, ids in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_level_minimises_sum_of_squares():
     rng = random.Random(1)
     windows = packing.Windows(50)
