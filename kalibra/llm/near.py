@@ -49,7 +49,7 @@ class Shingler:
         known = self.known
         if len(known) > 300_000:
             known.clear()
-        for w in {*tokens} - known.keys():
+        for w in {*tokens}.difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w.encode())
         h = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
         n = min(WIDTH, len(h))
