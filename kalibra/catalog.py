@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import relational, series  # noqa: F401
+from .plans import formats, relational, series  # noqa: F401
 from .plans.registry import QUERIES, SQL, Query
 
 
