@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import materialise
@@ -12,7 +12,7 @@ def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with ``position``: each row's place, from 0, in the total order by ``order``.
 
     The rows are range-partitioned and sorted where they land; a partition's first place is the number of rows
-    before it. Only one count per partition is gathered, at most as many as there are shuffle partitions, so no
+    before it: one count a partition, at most as many as there are shuffle partitions, is summed up and broadcast. No
     key, however frequent, meets in one task as long as ``order`` ends in a column that tells rows apart.
     """
     spark = df.sparkSession
@@ -21,14 +21,12 @@ def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
         df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()),
         name,
     )
-    part, within = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = dict(placed.groupBy(part.alias("part")).count().collect())
-    before, starts = 0, []
-    for p in sorted(counts):
-        starts += [F.lit(p), F.lit(before)]
-        before += counts[p]
-    offset = F.create_map(*starts)[part] if starts else F.lit(0)
-    return placed.withColumn("position", offset.cast("long") + within).drop("place")
+    part = F.shiftright("place", 33)
+    counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(counts.select("part", before.alias("before")))
+    within = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("part", part).join(offsets, "part").withColumn("position", F.col("before") + within).drop("part", "before", "place")
 
 
 def assign(documents: DataFrame, shards: int, *, id_col: str = "doc_id", text: str = "text", stratum: str = "source", seed: int = 17) -> DataFrame:
@@ -48,16 +46,17 @@ def assign(documents: DataFrame, shards: int, *, id_col: str = "doc_id", text: s
         (F.octet_length(body).cast("long") + 16).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text)).alias("mix"),
+        F.monotonically_increasing_id().alias("row"),  # tells repeated rows apart
     )
-    within = materialise(ranked(rows, ["stratum", "mix", "doc_id"], "by-stratum"), "by-stratum-ranked")
+    within = materialise(ranked(rows, ["stratum", "mix", "row"], "by-stratum"), "by-stratum-ranked")
     strata = materialise(
         within.groupBy("stratum").agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("n")).withColumnRenamed("stratum", "of"),
         "strata",
     )
     spread = within.join(strata, F.col("stratum").eqNullSafe(F.col("of")), "left").select(
-        "doc_id", "stratum", "size", "text_crc32", "mix", ((F.col("position") - F.col("first") + 0.5) / F.col("n")).alias("fraction")
+        "doc_id", "stratum", "size", "text_crc32", "mix", "row", ((F.col("position") - F.col("first") + 0.5) / F.col("n")).alias("fraction")
     )
-    placed = ranked(spread, ["fraction", "mix", "doc_id"], "by-fraction")
+    placed = ranked(spread, ["fraction", "mix", "row"], "by-fraction")
     total = within.count()
     # The first place of shard k is floor(k * total / shards); a place belongs to the last shard that starts at or before it.
     shard = F.expr(f"((position + 1) * {shards} - 1) div {max(total, 1)}")
