@@ -28,7 +28,7 @@ LEAF = 1000  # documents of a node that are compared exhaustively
 FEW = 8  # a node of so many gives all its pairs at once
 MARGIN = 0.09  # below the threshold; over three standard deviations of the estimate
 SURE = 0.05  # above the threshold, first links come from pairs estimated so high
-UNIT = 2000  # documents whose sets one confirming group holds, about
+UNIT = 500  # documents whose sets one confirming group holds, about
 
 _rng = np.random.default_rng(41)
 PATHS = np.stack([_rng.choice(TOKENS, DEPTH, replace=False) for _ in range(TREES)])
@@ -130,63 +130,38 @@ def forest(nodes: np.ndarray, signatures: np.ndarray, least: float) -> Iterator[
         best[closer], parent[closer] = est[closer], i
 
 
-def compared(members: DataFrame, least: float, sure: float, labelled: bool, once: bool) -> DataFrame:
-    """Pairs (a, b, key) of nodes that small tree nodes hold and whose estimate passes.
+def compared(members: DataFrame, least: float, sure: float) -> DataFrame:
+    """Pairs (a, b, key) of nodes that small tree nodes hold: of few members all whose estimate is ``least`` or more, of
+    more a spanning forest of sure ones. Both are linear in the members."""
 
-    Without labels: of few members all pairs from ``least`` on, of more a spanning forest of sure ones, which
-    is linear in the members. With labels (the components so far): the pairs of different labels of the latter.
-    ``once``: a pair comes from the first tree alone in which it meets.
-    """
-
-    def pairs(key: np.ndarray, tree: np.ndarray, node: np.ndarray, sig: np.ndarray, label: np.ndarray | None) -> tuple[list, list, list]:
-        a, b, k = [], [], []
+    def pairs(key: np.ndarray, node: np.ndarray, sig: np.ndarray) -> tuple[list, list, list]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[starts[1:], len(key)]
-        two = starts[ends - starts == 2] if not labelled else starts[:0]
-        near = two[agreement(sig[two], sig[two + 1]) >= least]
-        a += node[near].tolist()
-        b += node[near + 1].tolist()
-        k += key[near].tolist()
+        two = starts[ends - starts == 2]
+        two = two[agreement(sig[two], sig[two + 1]) >= least]
+        a, b, k = node[two].tolist(), node[two + 1].tolist(), key[two].tolist()
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            if e - s < 3 or labelled and (label[s:e] == label[s]).all():
-                continue
-            if not labelled and e - s > FEW:
-                for x, y in forest(node[s:e], sig[s:e], sure):
-                    a.append(int(x))
-                    b.append(int(y))
-                    k.append(int(key[s]))
+            if e - s < 3:
                 continue
-            for i in range(s, e - 1):
-                passed = agreement(sig[i], sig[i + 1 : e]) >= least
-                if labelled:
-                    passed &= label[i + 1 : e] != label[i]
-                j = np.flatnonzero(passed) + i + 1
-                if once and len(j):
-                    met = (sig[i][PATHS[: tree[i]]] == sig[j][:, PATHS[: tree[i]]]).all(axis=2).any(axis=1)
-                    j = j[~met]
-                a += [int(node[i])] * len(j)
-                b += node[j].tolist()
-                k += [int(key[s])] * len(j)
+            if e - s > FEW:
+                found = list(forest(node[s:e], sig[s:e], sure))
+            else:
+                found = [(node[i], node[j]) for i in range(s, e - 1) for j in np.flatnonzero(agreement(sig[i], sig[i + 1 : e]) >= least) + i + 1]
+            a += [int(x) for x, _ in found]
+            b += [int(y) for _, y in found]
+            k += [int(key[s])] * len(found)
         return a, b, k
 
-    names = ["key", "tree", "node", "signature", *(["label"] if labelled else [])]
-
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
-        def arrays(part: pa.RecordBatch) -> list[np.ndarray]:
-            sig = np.frombuffer(b"".join(part.column(3).to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
-            plain = [part.column(c).to_numpy() for c in (0, 1, 2)]
-            return [*plain, sig, *([part.column(4).to_numpy()] if labelled else [])]
-
         def spend(columns: list[np.ndarray]) -> pa.RecordBatch:
-            found = pairs(*columns, *([] if labelled else [None]))
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b", "key"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs(*columns)], names=["a", "b", "key"])
 
         for part in parts:
             if not part.num_rows:
                 continue
-            own = arrays(part)
+            own = [part.column(0).to_numpy(), part.column(1).to_numpy(), signature_matrix(part.column(2))]
             held = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
             last = int(np.searchsorted(held[0], held[0][-1]))  # keys are sorted: the last node may go on
             if last:
@@ -195,7 +170,83 @@ def compared(members: DataFrame, least: float, sure: float, labelled: bool, once
         if held is not None and len(held[0]):
             yield spend(held)
 
-    return members.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long")
+    return members.select("key", "node", "signature").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long")
+
+
+def signature_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
+
+
+def overlaps(sets: list[np.ndarray], pairs: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For (i, others): i, others and the sizes of the sets' intersections, all others at once."""
+    flat = np.concatenate([*sets, np.zeros(1, dtype=np.uint64)])
+    numbers = np.unique(flat, return_inverse=True)[1]
+    ends = np.cumsum([len(s) for s in sets])
+    starts = ends - [len(s) for s in sets]
+    marked = np.zeros(numbers.max() + 1, dtype=np.int64)
+    for i, others in pairs:
+        own = numbers[starts[i] : ends[i]]
+        marked[own] = 1
+        yield i, others, np.array([marked[numbers[starts[j] : ends[j]]].sum() for j in others])
+        marked[own] = 0
+
+
+def linked_within(members: DataFrame, texts: DataFrame, least: float, percent: int, once: bool) -> DataFrame:
+    """Links (a, b) between different labels of ``members(key, tree, node, signature, label)``, exact.
+
+    All pairs of a node whose labels differ and whose estimate passes are compared on their full sets where the node
+    is; what leaves is a link only if it joins labels that no link of the node has joined before, so the output is
+    linear in the members. ``once``: a pair is compared in the first tree alone in which it meets.
+    """
+    needs = materialise(members.select("key", "node").distinct(), "needs")
+    groups = max(1, needs.count() // UNIT)
+    group = F.pmod("key", F.lit(groups)).cast("int")
+    wanted = needs.select(group.alias("group"), "node").distinct().join(texts, "node")
+
+    def check(own: pa.Table, some: pa.Table) -> pa.Table:
+        shingler, first, more = Shingler(), {}, {}
+        for node, t in zip(own["node"].to_pylist(), own["text"].to_pylist(), strict=True):
+            (more.setdefault(node, []) if node in first else first.setdefault(node, [])).append(shingler.set_of(t))
+        order = np.argsort(some["key"].to_numpy(), kind="stable")
+        key, tree, node, label = (some[c].to_numpy()[order] for c in ("key", "tree", "node", "label"))
+        sig = signature_matrix(some["signature"])[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
+        ends = [*starts[1:], len(key)] if len(key) else []
+        a, b = [], []
+        for s, e in zip(starts, ends, strict=True):
+            todo = []
+            for i in range(s, e - 1):
+                j = np.flatnonzero((agreement(sig[i], sig[i + 1 : e]) >= least) & (label[i + 1 : e] != label[i])) + i + 1
+                if once and len(j):
+                    earlier = PATHS[: tree[i]]
+                    j = j[~(sig[i][earlier] == sig[j][:, earlier]).all(axis=2).any(axis=1)]
+                if len(j):
+                    todo.append((i - s, j - s))
+            if not todo:
+                continue
+            sets = [first[n][0] for n in node[s:e].tolist()]
+            size = np.array([len(x) for x in sets])
+            root = {int(x): int(x) for x in label[s:e]}
+
+            def find(x: int, root: dict[int, int] = root) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for i, others, both in overlaps(sets, todo):
+                linked = 100 * both >= percent * (size[i] + size[others] - both)
+                for n, j in enumerate(others.tolist()):
+                    x, y = find(int(label[s + i])), find(int(label[s + j]))
+                    u, v = int(node[s + i]), int(node[s + j])
+                    if x != y and (linked[n] or (u in more or v in more) and any(similar(p, q, percent) for p in first[u] + more.get(u, []) for q in first[v] + more.get(v, []))):
+                        root[max(x, y)] = min(x, y)
+                        a.append(u)
+                        b.append(v)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    left = members.select(group.alias("of"), "key", "tree", "node", "signature", "label")
+    return materialise(wanted.groupBy("group").cogroup(left.groupBy("of")).applyInArrow(check, "a long, b long"), "links")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -274,11 +325,12 @@ def near_duplicates(documents: DataFrame, *, percent: int = 80, id_col: str = "d
 
     least, sure = percent / 100 - MARGIN, min(percent / 100 + SURE, 0.97)
     nodes = materialise(small.join(signatures, "node").select("key", "tree", "node", "size", "signature"), "leaves")
-    found = confirmed(compared(nodes, least, sure, labelled=False, once=False), texts, percent)
+    found = confirmed(compared(nodes, least, sure), texts, percent)
     links = found if links is None else links.unionByName(found)
     first = components(links)
     again = nodes.where(F.col("size") > FEW).join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    links = links.unionByName(confirmed(compared(again, least, sure, labelled=True, once=once), texts, percent))
+    mixed = materialise(again.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "mixed")
+    links = links.unionByName(linked_within(materialise(again.join(mixed, "key", "left_semi"), "mixed-leaves"), texts, least, percent, once))
     final = components(links)
 
     named = materialise(sets.join(final, "node", "left").select("digest", F.coalesce("label", "node").alias("component")), "set-components")
