@@ -30,3 +30,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write a small file to the shared folder, whatever store that is; returns its path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{name}")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path.toString()

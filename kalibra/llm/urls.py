@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import functools
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -15,6 +13,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import write_shared
+
 #: Up to here Java's and RE2's regular expressions agree: the first "://", the host, the path.
 HOST, PATH = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,18 +22,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Rule = tuple[str, str]  # verdict, host followed by the path's prefix
 
 
-def write_store(rules: Sequence[Rule], path: str) -> None:
+def store_bytes(rules: Sequence[Rule]) -> bytes:
     """The file: row count, path lengths; then keys, string offsets, verdicts and strings, ordered by key."""
     unique = dict(reversed([(text, verdict) for verdict, text in rules]))  # the first of equal rules counts
     rows = sorted((xxhash.xxh64_intdigest(text.encode()), text.encode(), verdict == "block") for text, verdict in unique.items())
     lengths = sorted({len(text) - text.index("/") for text in unique})
-    ends = np.cumsum([0, *(len(r[1]) for r in rows)], dtype=np.uint64)
-    with open(path, "wb") as f:
-        f.write(np.array([len(rows), len(lengths), *lengths], dtype=np.uint64).tobytes())
-        f.write(np.array([r[0] for r in rows], dtype=np.uint64).tobytes())
-        f.write(ends.tobytes())
-        f.write(np.array([r[2] for r in rows], dtype=np.uint8).tobytes())
-        f.write(b"".join(r[1] for r in rows))
+    parts = [
+        np.array([len(rows), len(lengths), *lengths], dtype=np.uint64),
+        np.array([r[0] for r in rows], dtype=np.uint64),
+        np.cumsum([0, *(len(r[1]) for r in rows)], dtype=np.uint64),
+        np.array([r[2] for r in rows], dtype=np.uint8),
+    ]
+    return b"".join([*(x.tobytes() for x in parts), *(r[1] for r in rows)])
 
 
 class Store:
@@ -98,14 +98,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_i
     ``rules`` are (verdict, host + path prefix) pairs; of those that fit the host or a parent domain of it
     and start the path, the longest decides, then the one of the longer host. Without one the URL is allowed.
     Null URL, or none with "://": empty host and path, no rule. Repeated rows each get a row. The rule file
-    goes to every executor once and is mapped there; it is as large as the rules and does not grow with the
+    lies in the shared folder, goes to every executor once and is mapped there; it is as large as the rules and does not grow with the
     pages. Other columns are ignored.
     """
     spark: SparkSession = pages.sparkSession
     name = f"url-rules-{uuid.uuid4().hex}.bin"
-    file = os.path.join(tempfile.mkdtemp(), name)
-    write_store(rules, file)
-    spark.sparkContext.addFile(file)
+    spark.sparkContext.addFile(write_shared(spark, name, store_bytes(rules)))
 
     def probe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

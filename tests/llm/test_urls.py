@@ -6,11 +6,11 @@ RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 
 def test_store_confirms_strings(tmp_path):
-    urls.write_store(RULES, str(tmp_path / "s"))
+    (tmp_path / "s").write_bytes(urls.store_bytes(RULES))
     store = urls.Store(str(tmp_path / "s"))
     key = store.keys[1]
     assert store.find(np.array([key], dtype=np.uint64), [b"not it"]).tolist() == [-1]
-    urls.write_store([], str(tmp_path / "e"))
+    (tmp_path / "e").write_bytes(urls.store_bytes([]))
     assert urls.judged(urls.Store(str(tmp_path / "e")), ["a.net"], ["/"]) == [(None, "allow")]
 
 
