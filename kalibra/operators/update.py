@@ -17,7 +17,7 @@ def picked(values: Column, places: Column) -> Column:
 def array_update(source: Column, size: Column) -> tuple[Column, Column]:
     """(numbers, texts): a numeric source resampled over ``size`` places, else its nearest texts by place."""
     numbers = all_numbers(source)
-    return numeric.resampled(numbers, size), F.when(numbers.isNull(), picked(source, numeric.nearest_indices(F.size(source), size)))
+    return F.when(numbers.isNotNull(), numeric.resampled(numbers, size)), F.when(numbers.isNull(), picked(source, numeric.nearest_indices(F.size(source), size)))
 
 
 def curve_update(source: Column, source_x: Column, x: Column, size: Column) -> tuple[Column, Column]:
@@ -66,12 +66,12 @@ def map_update(s: str, d: str) -> Column:
     return F.when((nx > 0) & (mx > 0) & (my > 0), found)
 
 
-def updated(sources: list[tuple[str, DataFrame]], destination: DataFrame) -> DataFrame:
+def updated(sources: list[tuple[str, DataFrame]], destination: DataFrame, *, exact: bool = False) -> DataFrame:
     """Every destination label: (label, kind, pos, source, status, numbers, texts, cells, x, y, fragment).
 
     ``sources`` are instances in priority order; a label is taken from the first that has it. status is updated, copied
     (nothing changes within tolerance), skipped (its kind or cells can't be read) or attention (in no source).
-    ``fragment`` is the updated instance as text.
+    ``fragment`` is the updated instance as text. ``exact`` compares texts as they are, and takes every map for changed.
     """
     names = ["kind", "unit", "vals", "rows", "x_axis", "y_axis"]
     stack = None
@@ -100,6 +100,8 @@ def updated(sources: list[tuple[str, DataFrame]], destination: DataFrame) -> Dat
         & lists_equal(F.col("d.x_axis"), F.coalesce(as_text(F.col("m.x")), F.col("d.x_axis"))) & lists_equal(F.col("d.y_axis"), F.coalesce(as_text(F.col("m.y")), F.col("d.y_axis")))
     )
     same = F.when(kind == "MAP", same_map).when(kind == "SCALAR", texts_equal(F.get(flat_old, F.lit(0)), F.get(F.col("texts"), F.lit(0)))).otherwise(lists_equal(flat_old, flat_new))
+    if exact:
+        same = F.when(kind == "MAP", F.lit(False)).otherwise(F.coalesce(flat_old == flat_new, F.lit(False)))
     unreadable = kind.isNull() | ((kind == "MAP") & F.col("m").isNull()) | ((kind != "MAP") & ((size == 0) | F.coalesce(F.size("s.vals"), F.lit(0)).eqNullSafe(0)))
     status = F.when(F.col("source").isNull(), "attention").when(unreadable, "skipped").when(same, "copied").otherwise("updated")
 

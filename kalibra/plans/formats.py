@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import compare, numeric, text
 from ..operators import decode, extract, update
-from ..sources import a2l, cdfx, hexfile
+from ..sources import a2l, caljson, cdfx, hexfile
 from . import samples
 from .registry import query
 
@@ -150,6 +150,25 @@ def label_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.chunks(spark.createDataFrame(rows, "block_id long, line_no int, line string"), r"\b([A-Z]_C)\b", 1, 1).drop("block_id")
 
 
+@query("""SELECT label, anchor_line::INTEGER AS anchor_line, text FROM (VALUES ('A_C', 2, 'bbbb' || chr(10) || 'x A_C' || chr(10) || 'cccc'), ('B_C', 7, 'B_C')) v(label, anchor_line, text)""")
+def budget_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tokens: one line each way; a boundary on both sides leaves the line alone."""
+    rows = [(1, n, line) for n, line in enumerate(["aaaa", "bbbb", "x A_C", "cccc", "dddd", "eeee", "== head", "B_C", "== end"])]
+    return extract.chunks(spark.createDataFrame(rows, "block_id long, line_no int, line string"), r"\b([A-Z]_C)\b", 12, 40, 3, "^==").drop("block_id", "chunk_index")
+
+
+@query("""SELECT * FROM (VALUES ('A_C', 'updated', '33.3'), ('B_C', 'updated', 'on'), ('Map_M', 'updated', '1.0,1.5,2.0,2.5,3.0,3.5'), ('Arr_CA', 'copied', NULL), ('Crv_T', 'attention', NULL), ('Enum_M', 'attention', NULL),
+('D_C', 'attention', NULL), ('E_C', 'attention', NULL), ('F_X', 'attention', NULL)) v(label, status, new_values)""")
+def update_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON source, compared as exact text."""
+    body = '{"A_C": {"value": "33.3"}, "B_C": {"value": "on"}, "Arr_CA": {"value": ["x", 7, 7]}, "Map_M": {"value": [[1, 2], [3, 4]], "axes": [[0, 10], [0, 10]]}}'
+    target = samples.DESTINATION.replace("<V>7</V><V>7</V><V>7</V>", "<VT>x</VT><VT>7</VT><VT>7</VT>")
+    found = update.updated([("json", caljson.instances(one(spark, body)))], cdfx.instances(one(spark, target)), exact=True)
+    as_text = lambda a: F.transform(a, lambda v: v.cast("string"))
+    flat = F.coalesce(as_text(F.col("numbers")), F.col("texts"), as_text(F.flatten("cells")))
+    return found.select("label", "status", F.when(F.col("status") == "updated", F.array_join(flat, ",")).alias("new_values"))
+
+
 @query("""SELECT label, index::INTEGER AS index, x::DOUBLE AS x, value::DOUBLE AS value FROM (VALUES ('c', 0, 1, 5), ('c', 1, 2, 6), ('all', 0, 1, 9), ('all', 1, 2, 9), ('all', 2, 3, 9), ('bare', 0, NULL, 4)) v(label, index, x, value)""")
 def unpivot_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([("c", [5.0, 6.0], [1.0, 2.0]), ("all", [9.0], [1.0, 2.0, 3.0]), ("bare", [4.0], None)], "label string, vals array<double>, axis array<double>")
