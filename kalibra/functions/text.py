@@ -117,3 +117,40 @@ def fitted(values: Column, n: Column) -> Column:
 def salvaged_array(text: Column, kind: str) -> Column:
     """The first [...] of a reply, fences and talk around it ignored, parsed as ``kind``; null if it is none."""
     return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\[.*\]", 0), F.lit("")), kind)
+
+
+def implied_limits(prefix: Column, unit_text: Column) -> Column:
+    """struct<lower, upper, kind> that a label's prefix or unit implies where the text gives none."""
+    p, u = F.lower(F.coalesce(prefix, F.lit(""))), F.lower(F.trim(F.coalesce(unit_text, F.lit(""))))
+    made = lambda low, high, kind: F.struct(F.lit(low).cast("double").alias("lower"), F.lit(high).cast("double").alias("upper"), F.lit(kind).alias("kind"))
+    return (
+        F.when(u.isin("%", "percent") | p.isin("pct", "rat"), made(0, 100, "implicit_percent_ratio"))
+        .when((p == "fac") & u.isin("", "-", "dimensionless"), made(0, 1, "implicit_factor"))
+        .when(p == "ti", made(0, None, "implicit_non_negative"))
+        .when(p == "b", made(0, 1, "implicit_boolean"))
+        .otherwise(made(None, None, "unbounded"))
+    )
+
+
+# Misreadings of scanned documents and what they stand for; glyphs without a meaning.
+REPAIRS = [("E1M_", "ElM_"), (r"E\]M_", "ElM_"), (r"\bEMO(\d)", "EM0$1"), (r"([A-Za-z0-9])_c\b", "$1_C"), ("−", "-"), (r"\(cid:\d+\)", "")]
+
+
+def repaired_text(text: Column, repairs: list[tuple[str, str]] = REPAIRS) -> Column:
+    out = text
+    for pattern, new in repairs:
+        out = F.regexp_replace(out, pattern, new)
+    return out
+
+
+def calibration_row(label: Column, text: Column) -> Column:
+    """One label's row of a document: its parts and class, the context before the start value, value, unit, limits, axes
+    and the table it refers to."""
+    parts = label_parts(label)
+    context = collapsed(F.regexp_replace(text, rf"(?s){START_MARKER}.*$", ""))
+    value = start_value(text)
+    found = F.coalesce(limits(context), implied_limits(parts["prefix"], value["unit"]))
+    return F.struct(
+        parts["object_class"].alias("object_class"), context.alias("context"), value["values"].alias("values"), value["unit"].alias("unit"), value["for_all"].alias("for_all"),
+        found["lower"].alias("lower"), found["upper"].alias("upper"), found["kind"].alias("limit_kind"), axes(text).alias("axes"), part(text, r"(?i)\bTable\s+(\d+)\b", 1).alias("table_ref"),
+    )

@@ -121,3 +121,18 @@ def salvaged_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similarity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([("", ""), ("abcd", "bcde"), ("Same  text", "same text"), ("x", "")], "a string, b string")
     return rows.select("a", "b", match.text_similarity("a", "b").alias("score"))
+
+
+@query("""SELECT label, object_class, context, vals, unit, lower::DOUBLE AS lower, upper::DOUBLE AS upper, limit_kind, n_axes::INTEGER AS n_axes, table_ref FROM (VALUES
+('Mod_tiWait_C', 'VALUE', 'waits between 1 and 9', '5.0', 's', 1, 9, 'explicit_between', 0, NULL), ('Mod_facGain_C', 'VALUE', 'gain', '0.5', 'dimensionless', 0, 1, 'implicit_factor', 0, NULL),
+('Mod_bOn_C', 'VALUE', 'switch', '1.0', NULL, 0, 1, 'implicit_boolean', 0, NULL), ('Mod_tiMap_T', 'CURVE', 'X: n [rpm] [2] 1 2', NULL, NULL, 0, NULL, 'implicit_non_negative', 1, '12'),
+('Mod_uBat_C', 'VALUE', 'battery', '12.0', 'V', NULL, NULL, 'unbounded', 0, NULL)) v(label, object_class, context, vals, unit, lower, upper, limit_kind, n_axes, table_ref)""")
+def calibration_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("Mod_tiWait_C", "waits between 1 and 9 Start value: 5 [s]"), ("Mod_facGain_C", "gain Default value 0.5 [-]"), ("Mod_bOn_C", "switch initial value: 1"), ("Mod_tiMap_T", "X: n [rpm] [2] 1 2 Start value: see Table 12"), ("Mod_uBat_C", "battery  start value 12 [V]")]
+    parsed = spark.createDataFrame(rows, "label string, t string").select("label", text.calibration_row(F.col("label"), F.col("t")).alias("r"))
+    return parsed.select("label", "r.object_class", "r.context", F.array_join(F.transform("r.values", lambda v: v.cast("string")), ",").alias("vals"), "r.unit", "r.lower", "r.upper", "r.limit_kind", F.size("r.axes").alias("n_axes"), "r.table_ref")
+
+
+@query("""SELECT * FROM (VALUES ('E1M_x EMO1 a_c −5(cid:3)', 'ElM_x EM01 a_C -5')) v(t, repaired)""")
+def scan_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([("E1M_x EMO1 a_c −5(cid:3)",)], "t string").select("t", text.repaired_text(F.col("t")).alias("repaired"))
