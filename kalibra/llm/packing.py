@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ CACHED = 700_000  # chunks of a generation; a worker keeps the ids of two
 
 #: Latin letters whose lower case is one letter, then marks that never split.
 _LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u01ef\u01f1-\u024f]+)([.,;:!?]*)")
-_CONTROL = re.compile(r"[\x1c-\x1f]")  # white space to str.split() only
+CONTROLS = "\x1c\x1d\x1e\x1f"  # white space to str.split() only
 
 Piece = tuple[int, int, bytes]  # document's number, ids of it before, ids
 
@@ -32,6 +32,18 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
+class Chunks(dict):
+    """The ids of chunks; one that is asked for the first time comes from the generation before, or is encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes], older: dict[str, bytes]) -> None:
+        self.encode, self.older = encode, older
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older[chunk] if dict.__contains__(self.older, chunk) else self.encode(chunk)
+        self[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
     """A tokenizer that drops white space and never joins what it separates: chunks are encoded once each.
 
@@ -43,8 +55,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         self.characters = byte_characters()
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.cache = Chunks(self.chunk, {})
         self.marks: dict[str, list[int]] = {"": []}
 
     def chunk(self, text: str) -> bytes:
@@ -63,17 +74,11 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            split = [t.split() if not _CONTROL.search(t) else [c for c in _split_spaces(t) if c] for t in texts[at : at + 256]]
-            if len(self.cache) > CACHED:
-                self.older, self.cache = self.cache, {}
-            cache, older = self.cache, self.older
-            for c in set().union(*split).difference(cache):
-                cache[c] = older[c] if c in older else self.chunk(c)
-            get = cache.__getitem__
-            out += [b"".join(map(get, chunks)) for chunks in split]
-        return out
+        if len(self.cache) > CACHED:
+            self.cache.older = {}
+            self.cache = Chunks(self.chunk, self.cache)
+        get = self.cache.__getitem__
+        return [b"".join(map(get, t.split() if not any(c in t for c in CONTROLS) else filter(None, _split_spaces(t)))) for t in texts]
 
 
 def _split_spaces(text: str) -> list[str]:
