@@ -35,9 +35,19 @@ def class_of(word: str) -> int:
     return xxhash.xxh32_intdigest(word.encode()) % END
 
 
+def planes(ids: np.ndarray) -> bytes:
+    """Numbers under 2**24 as their lower 16 bits, then their upper 8, which are mostly zero and so pack well."""
+    return ids.astype("<u2").tobytes() + (ids >> 16).astype(np.uint8).tobytes()
+
+
+def joined(packed: bytes) -> np.ndarray:
+    n = len(packed) // 3
+    return np.frombuffer(packed, dtype="<u2", count=n).astype(np.int64) + (np.frombuffer(packed, dtype=np.uint8, offset=2 * n).astype(np.int64) << 16)
+
+
 def tokens_table(documents: DataFrame, learns: Column, id_col: str, text: str) -> DataFrame:
     """One row per document (block, doc_id, held_out, ids, classes) and one per block with its vocabulary
-    in runs (block, first, words, counts, kinds). ``ids`` number words within the block (uint32), ``classes``
+    in runs (block, first, words, counts, kinds). ``ids`` number words within the block (see ``planes``), ``classes``
     are bytes; ``first`` is the number of a run's first word, ``counts`` are the block's training occurrences."""
     kind = documents.schema[id_col].dataType.simpleString()
     names = ["block", "doc_id", "held_out", "ids", "classes", "first", "words", "counts", "kinds"]
@@ -59,7 +69,7 @@ def tokens_table(documents: DataFrame, learns: Column, id_col: str, text: str) -
             types = [pa.int64(), id_type, pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32())]
             for at in range(0, len(docs), 512):
                 some = docs[at : at + 512]
-                columns = [[block] * len(some), [d for d, _, _ in some], [h for _, h, _ in some], [i.tobytes() for _, _, i in some], [kinds[i].tobytes() for _, _, i in some], *[[None] * len(some)] * 4]
+                columns = [[block] * len(some), [d for d, _, _ in some], [h for _, h, _ in some], [planes(i) for _, _, i in some], [kinds[i].tobytes() for _, _, i in some], *[[None] * len(some)] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
             for at in range(0, len(vocabulary), 1 << 15):
                 run_ = slice(at, at + (1 << 15))
@@ -227,7 +237,7 @@ def score(documents: DataFrame, learns: Column, *, id_col: str = "doc_id", text:
         kind[c == 0] = UNKNOWN
         base = np.log10((c + SMOOTH) / whole)
         share = np.where(c > 0, np.log10(np.maximum(c, 1) / np.maximum(of_class[kind], SMOOTH)), 0.0)
-        ids = [np.frombuffer(i, dtype=np.uint32) for i in own["ids"].to_pylist()]
+        ids = [joined(i) for i in own["ids"].to_pylist()]
         likelihood = model.log10([np.append(kind[i], np.uint8(END)) for i in ids])
         return pa.table(
             [

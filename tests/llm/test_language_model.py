@@ -21,6 +21,11 @@ def small_model():
     return lm.Hmm.initial(shares / shares.sum())
 
 
+def test_planes_round_trip():
+    ids = np.array([0, 1, 65535, 65536, 2**24 - 1], dtype=np.uint32)
+    assert lm.joined(lm.planes(ids)).tolist() == ids.tolist() and not len(lm.joined(lm.planes(ids[:0])))
+
+
 def test_forward_equals_sum_over_paths():
     m = small_model()
     for seen in ([3], [3, 7, 7], [1, 2, 3, 254]):
