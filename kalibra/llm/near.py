@@ -1,14 +1,16 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
-Documents descend trees: in a node, minwise tokens chosen by the node branch them to children, so that a pair
-shares a child as often as it shares those tokens. Small nodes are compared exhaustively on signatures, larger ones
-branch on, and independent trees repeat this until the chance to miss a pair is negligible. Every link that counts
-is confirmed on the full shingle sets.
+Each tree sends a document to the node of a few chosen minwise tokens, so that a pair shares a node as often as it
+shares those tokens. Small nodes are compared exhaustively on signatures. The sets of nodes that stay too large go on
+to fresh trees of longer paths, as many as the longer path needs, or are compared block by block where that takes no
+more rows. Every link that counts is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,9 @@ from .words import ascii_lower, words
 
 WIDTH = 5  # words of a shingle
 TOKENS = 192  # minwise tokens of a signature, one byte each
-TREES = 40
-DEPTH = 6  # tokens that choose a tree's first nodes; a pair of similarity s shares one with probability s**6
+DEPTH = 6  # tokens that choose a first node
+DEEPER = 2  # tokens that each level adds
+MISSED = 4e-6  # chance that a pair at the threshold shares no first node; all further levels together add as much
 LEAF = 1000  # documents of a node that are compared exhaustively
 FEW = 8  # a node of so many gives all its pairs at once
 MARGIN = 0.09  # below the threshold; over three standard deviations of the estimate
@@ -31,11 +34,36 @@ SURE = 0.05  # above the threshold, first links come from pairs estimated so hig
 UNIT = 500  # documents whose sets one confirming group holds, about
 
 _rng = np.random.default_rng(41)
-PATHS = np.stack([_rng.choice(TOKENS, DEPTH, replace=False) for _ in range(TREES)])
 _XOR = _rng.integers(0, 2**32, TOKENS, dtype=np.uint64).astype(np.uint32)
 _ODD = (_rng.integers(0, 2**31, TOKENS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 
 
+def missed(percent: int, depth: int, trees: int) -> float:
+    """The chance that a pair at the threshold shares no path of ``depth`` tokens in ``trees`` trees. All trees read one
+    signature, so this is a mean over the number of tokens that the pair shares in it."""
+    p = percent / 100 + (1 - percent / 100) / 256
+    return sum(comb(TOKENS, n) * p**n * (1 - p) ** (TOKENS - n) * (1 - comb(n, depth) / comb(TOKENS, depth)) ** trees for n in range(TOKENS + 1))
+
+
+@functools.cache
+def trees_for(percent: int, level: int) -> int:
+    """The trees of a level; each level after the first may miss half of what the one before it may."""
+    depth, chance = DEPTH + DEEPER * level, MISSED / 2**level
+    low, high = 0, 1
+    while missed(percent, depth, high) > chance:
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if missed(percent, depth, middle) > chance else (low, middle)
+    return high
+
+
+@functools.cache
+def first_tokens(trees: int) -> np.ndarray:
+    rng = np.random.default_rng(43)
+    return np.stack([rng.choice(TOKENS, DEPTH, replace=False) for _ in range(trees)])
+
+
 class Shingler:
     """Shingle sets as sorted 64-bit hashes; word hashes are remembered."""
 
@@ -94,20 +122,23 @@ def crowded(paths: DataFrame) -> DataFrame:
     return materialise(paths.join(shared, "key"), "tree-nodes")
 
 
-def first_paths(sets: DataFrame) -> DataFrame:
-    keys = [F.struct(F.xxhash64(F.lit(t), *[F.substring("signature", int(c) + 1, 1) for c in PATHS[t]]).alias("key"), F.lit(t).alias("tree")) for t in range(TREES)]
+def first_paths(sets: DataFrame, percent: int) -> DataFrame:
+    tokens = first_tokens(trees_for(percent, 0))
+    keys = [F.struct(F.xxhash64(F.lit(t), *[F.substring("signature", int(c) + 1, 1) for c in own]).alias("key"), F.lit(t).alias("tree")) for t, own in enumerate(tokens)]
     return sets.select("node", F.explode(F.array(*keys)).alias("p")).select("p.key", "p.tree", "node")
 
 
-def branched(large: DataFrame, sets: DataFrame, level: int) -> DataFrame:
-    """Children of large nodes: each by two tokens that the node chooses; two nodes in five have a second child for
-    all, so that a pair at the threshold stays together in one child on average."""
-    which = F.when(F.pmod(F.xxhash64("key", F.lit(level)), F.lit(5)) < 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    token = lambda k: f"substring(signature, cast(pmod(xxhash64(key, child, {level}, {k}), {TOKENS}) + 1 as int), 1)"
-    return (
-        large.join(sets, "node").select("node", "key", "tree", "signature", F.explode(which).alias("child"))
-        .select(F.expr(f"xxhash64(key, child, {token(0)}, {token(1)})").alias("key"), "tree", "node")
-    )
+def longer_paths(sets: DataFrame, percent: int, level: int) -> DataFrame:
+    """Paths of a later level. Tokens are drawn with repetition, so a pair shares a path at least as often as ``missed`` has it."""
+    tokens = [F.expr(f"substring(signature, cast(pmod(xxhash64(tree, {level}, {k}), {TOKENS}) + 1 as int), 1)") for k in range(DEPTH + DEEPER * level)]
+    trees = F.explode(F.sequence(F.lit(0), F.lit(trees_for(percent, level) - 1))).alias("tree")
+    return sets.select("node", "signature", trees).select(F.xxhash64(F.lit(level), "tree", *tokens).alias("key"), "tree", "node")
+
+
+def tiles(sets: DataFrame, blocks: int) -> DataFrame:
+    """(key, tree, node): every two of the blocks to which the sets are dealt are one node."""
+    own = sets.select("node", F.pmod(F.xxhash64("node", F.lit("block")), F.lit(blocks)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    return own.select(F.xxhash64(F.lit("tile"), F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.lit(0).alias("tree"), "node")
 
 
 def agreement(row: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -202,6 +233,7 @@ def linked_within(members: DataFrame, texts: DataFrame, least: float, percent: i
     groups = max(1, needs.count() // UNIT)
     group = F.pmod("key", F.lit(groups)).cast("int")
     wanted = needs.select(group.alias("group"), "node").distinct().join(texts, "node")
+    paths = first_tokens(trees_for(percent, 0))
 
     def check(own: pa.Table, some: pa.Table) -> pa.Table:
         shingler, first, more = Shingler(), {}, {}
@@ -218,7 +250,7 @@ def linked_within(members: DataFrame, texts: DataFrame, least: float, percent: i
             for i in range(s, e - 1):
                 j = np.flatnonzero((agreement(sig[i], sig[i + 1 : e]) >= least) & (label[i + 1 : e] != label[i])) + i + 1
                 if once and len(j):
-                    earlier = PATHS[: tree[i]]
+                    earlier = paths[: tree[i]]
                     j = j[~(sig[i][earlier] == sig[j][:, earlier]).all(axis=2).any(axis=1)]
                 if len(j):
                     todo.append((i - s, j - s))
@@ -249,6 +281,19 @@ def linked_within(members: DataFrame, texts: DataFrame, least: float, percent: i
     return materialise(wanted.groupBy("group").cogroup(left.groupBy("of")).applyInArrow(check, "a long, b long"), "links")
 
 
+def likely(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
+    """Of pairs (a, b, key) those whose estimate is ``least`` or more."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if part.num_rows:
+                passed = agreement(signature_matrix(part.column(3)), signature_matrix(part.column(4))) >= least
+                yield part.select(["a", "b", "key"]).filter(pa.array(passed))
+
+    side = lambda c: signatures.select(F.col("node").alias(c), F.col("signature").alias(f"of_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "key", "of_a", "of_b").mapInArrow(run, "a long, b long, key long")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
@@ -292,19 +337,21 @@ def near_duplicates(documents: DataFrame, *, percent: int = 80, id_col: str = "d
     and they are kept. An empty table gives no rows. Other columns are ignored.
 
     Equal sets are one set from the start, whatever their number. Among different sets a pair at the threshold
-    meets in a small node except with a probability under 1e-5; its links are exact. Nodes of more than ``leaf``
-    sets first link every set to one of them, which costs one pair a set; nodes that this makes one component are
-    done, the others branch on.
+    meets in a small node, or in one that is one component, except with a probability under ``2 * MISSED``, at any
+    depth; its links are exact. Nodes of more than ``leaf`` sets first link every set to one of them, which costs one
+    pair a set; nodes that this makes one component are done. The sets of the others go on to ``trees_for`` fresh
+    trees of longer paths, or to tiles of ``leaf`` sets, which miss nothing, once these take no more rows than trees.
     """
     all_ = materialise(sketches(documents, id_col, text), "sketches")
     able = all_.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     sets = materialise(able.groupBy("digest").agg(F.min("doc_id").cast("long").alias("node"), F.first("signature").alias("signature")), "sets")
     signatures = sets.select("node", "signature")
-    members = crowded(first_paths(signatures))
+    members = crowded(first_paths(signatures, percent))
     wanted = members.select("node").distinct()
     source = documents.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text"))
     texts = materialise(source.join(wanted, "node", "left_semi"), "texts")
 
+    least, sure = percent / 100 - MARGIN, min(percent / 100 + SURE, 0.97)
     links = None
     small = members.where(F.col("size") <= leaf)
     level, once = 0, True
@@ -314,16 +361,22 @@ def near_duplicates(documents: DataFrame, *, percent: int = 80, id_col: str = "d
         centre = materialise(large.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("mix"), "node")).alias("m")).select("key", F.col("m.node").alias("centre")), "centres")
         part = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / 500)))
         stars = large.join(centre, "key").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"), part.alias("key"))
-        found = confirmed(stars, texts, percent)
+        found = confirmed(likely(stars, signatures, least), texts, percent)
         links = found if links is None else links.unionByName(found)
         labelled = large.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = materialise(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "mixed")
+        rest = materialise(signatures.join(large.join(mixed, "key", "left_semi").select("node").distinct(), "node"), "crowd")
         level += 1
-        grown = crowded(branched(large.join(mixed, "key", "left_semi"), signatures, level))
+        blocks = ceil(2 * rest.count() / leaf)
+        if not blocks:
+            break
+        if blocks <= trees_for(percent, level):
+            small = small.unionByName(crowded(tiles(rest, blocks)))
+            break
+        grown = crowded(longer_paths(rest, percent, level))
         small = small.unionByName(grown.where(F.col("size") <= leaf))
         large = grown.where(F.col("size") > leaf)
 
-    least, sure = percent / 100 - MARGIN, min(percent / 100 + SURE, 0.97)
     nodes = materialise(small.join(signatures, "node").select("key", "tree", "node", "size", "signature"), "leaves")
     found = confirmed(compared(nodes, least, sure), texts, percent)
     links = found if links is None else links.unionByName(found)

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from kalibra.llm import near
 from kalibra.llm.components import components
 
@@ -73,3 +75,35 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(100, i) for i in range(101, 140)] + [(90, 139)]
     labels = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert labels == {**{i: 1 for i in range(2, 31)}, **{i: 90 for i in range(100, 140)}}
+
+
+def test_pairs_at_the_threshold_inside_a_crowd(spark):
+    """250 pairs of similarity 0.8 exactly, all of one template: 0.71 alike, so that nodes shrink slowly over the levels."""
+    rng = random.Random(5)
+    word = lambda: f"x{rng.randrange(10**9)}"
+    template = [word() for _ in range(101)]
+    rows = []
+    for _ in range(250):
+        own = [word() for _ in range(20)]
+        rows += [template + own, template + own[:7] + [word() for _ in range(13)]]
+    assert near.ceil(2 * len(rows) / 6) > near.trees_for(80, 1)  # one level of trees, then tiles
+    check(spark, [(i, " ".join(w)) for i, w in enumerate(rows)], 80, leaf=6)
+
+
+def test_tiles_hold_every_pair(spark):
+    sets = spark.range(60).withColumnRenamed("id", "node")
+    together = {}
+    for r in near.tiles(sets, 7).collect():
+        together.setdefault(r.key, set()).add(r.node)
+    assert all(any({a, b} <= t for t in together.values()) for a in range(60) for b in range(a))
+
+
+def test_chance_to_miss_a_pair_over_the_levels():
+    for percent in (80, 85):
+        chances = [near.missed(percent, near.DEPTH + near.DEEPER * n, near.trees_for(percent, n)) for n in range(5)]
+        assert sum(chances) < 2 * near.MISSED
+    rng, trees, lost = np.random.default_rng(1), 12, 0
+    for _ in range(4000):
+        same = rng.random(near.TOKENS) < 0.8 + 0.2 / 256
+        lost += not any(same[rng.choice(near.TOKENS, near.DEPTH + near.DEEPER, replace=False)].all() for _ in range(trees))
+    assert abs(lost / 4000 - near.missed(80, near.DEPTH + near.DEEPER, trees)) < 0.03
