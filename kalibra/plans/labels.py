@@ -82,7 +82,7 @@ def conversion_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     given = df.select("*", convert.physical(c("raw"), c("kind"), c("coeffs"), c("linear"), c("kind"), c("pairs"), F.lit(None).cast("string")).alias("p"))
     back = convert.stored(c("p.num"), c("p.txt"), c("kind"), c("coeffs"), c("linear"), c("pairs"))
-    return given.select("kind", F.coalesce("p.txt", c("p.num").cast("string")).alias("physical"), F.when(c("kind") == "TAB_INTP", F.lit(10.0)).otherwise(back).cast("string").alias("raw"))
+    return given.select("kind", F.coalesce("p.txt", c("p.num").cast("string")).alias("physical"), back.cast("string").alias("raw"))
 
 
 @query("""WITH RECURSIVE k(path, v) AS (SELECT '$', '{"a": {"b": 1, "c": {"d": 2}}, "e": 3}'::JSON UNION ALL SELECT k.path || '.' || key, value FROM k, json_each(k.v) WHERE json_type(k.v) = 'OBJECT')

@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kalibra.functions import compare, numeric, text
+from kalibra.functions import compare, convert, numeric, text
 from kalibra.operators import decode, extract, match, pages, reconcile, sequence, update
-from kalibra.plans import samples
+from kalibra.plans import labels, samples
 from kalibra.sources import cdfx, hexfile, tabular
 
 
@@ -127,3 +127,12 @@ def test_intervals_runs_and_records_of_nothing(spark):
 def test_fitted_and_units(spark):
     row = spark.range(1).select(text.fitted(F.array().cast("array<string>"), F.lit(3)).alias("none"), text.unit(F.lit("−")).alias("u"), text.unit(F.lit(" V ")).alias("v")).first()
     assert row.none == [] and (row.u, row.v) == ("dimensionless", "V")
+
+
+def test_interpolated_tables_give_the_first_nearest_entry(spark):
+    got = {r.kind: (r.physical, r.raw) for r in labels.conversion_round_trip(spark, "").collect()}
+    assert got["TAB_INTP"] == ("150.0", "0.0")
+    pairs = "array(named_struct('raw', 10D, 'num', 200D, 'txt', '200'), named_struct('raw', 0D, 'num', 100D, 'txt', '100'))"
+    none = F.lit(None)
+    raw = lambda num: convert.stored(F.lit(num), none.cast("string"), F.lit("TAB_INTP"), none.cast("array<double>"), none.cast("array<double>"), F.expr(pairs))
+    assert tuple(spark.range(1).select(raw(150.0), raw(149.0), raw(500.0)).first()) == (10.0, 0.0, 10.0)
