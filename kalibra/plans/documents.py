@@ -39,6 +39,29 @@ def filter_after_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool(spark, sf_dir).where("label = 3").select("query_id", "vec_id", "place")
 
 
+SCORED_ALL = SCORED.replace("q.vec_id < 10", "q.vec_id % 50 = 0")
+
+
+def pool_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 nearest vectors of every vector whose id is divisible by 50, whatever their label."""
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
+    return match.nearest_in_tiles(vectors, F.col("vec_id") % 50 == 0, 50).withColumnsRenamed({"distance": "d", "rank": "place"})
+
+
+@query(SCORED_ALL + """, b AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY d, vec_id) AS k FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM b WHERE k = 1)
+SELECT query_id, label, vec_id, round(d, 6) AS distance, rank FROM r WHERE rank <= 3""")
+def unique_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = pool_all(spark, sf_dir).groupBy("query_id", "label").agg(F.min(F.struct("d", "vec_id")).alias("b")).select("query_id", "label", "b.*")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))
+    return best.withColumn("rank", rank).where("rank <= 3").select("query_id", "label", "vec_id", F.round("d", 6).alias("distance"), "rank")
+
+
+@query(SCORED_ALL + " SELECT query_id, vec_id, place FROM p WHERE label = 3")
+def filter_after_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool_all(spark, sf_dir).where("label = 3").select("query_id", "vec_id", "place")
+
+
 @query("""WITH n AS (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings WHERE vec_id % 2 = 0) t GROUP BY label, i),
 q AS (SELECT label, list(m ORDER BY i) AS v FROM n GROUP BY label), s AS (SELECT q.label, e.vec_id, 1 - list_cosine_similarity(q.v, list_transform(e.embedding, lambda x: x::DOUBLE)) AS d
 FROM q JOIN embeddings e ON q.label = e.label WHERE e.vec_id % 2 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS rank FROM s)

@@ -171,6 +171,26 @@ def min_distance_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("label", "b.vec_id", F.round("b.d", 6).alias("distance"))
 
 
+@query(f"""WITH e AS (SELECT vec_id, label, {VEC} AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, 1 - list_cosine_similarity(q.v, e.v) AS d
+FROM e q JOIN e USING (label) WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, label, round(d, 6) AS distance, rank FROM r WHERE rank <= 5""")
+def knn_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``knn_topk`` asked by every row whose id is divisible by 50."""
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
+    found = match.nearest_in_tiles(vectors, F.col("vec_id") % 50 == 0, 5, within=True, itself=True)
+    return found.select("query_id", "vec_id", "label", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(f"""WITH e AS (SELECT vec_id, label, {VEC} AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.label, e.vec_id, 1 - list_cosine_similarity(q.v, e.v) AS d
+FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, label, vec_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY d, vec_id) AS n FROM s) t WHERE n = 1""")
+def min_distance_per_label_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``min_distance_per_label`` asked by every row whose id is divisible by 50."""
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
+    found = match.nearest_in_tiles(vectors, F.col("vec_id") % 50 == 0, 1, per_label=True)
+    return found.select("query_id", "label", "vec_id", F.round("distance", 6).alias("distance"))
+
+
 @query("""SELECT vec_id, unnest(range(64))::INTEGER AS pos, unnest(embedding)::DOUBLE AS value FROM embeddings""")
 def unpivot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.col("value").cast("double"))

@@ -136,3 +136,18 @@ def test_interpolated_tables_give_the_first_nearest_entry(spark):
     none = F.lit(None)
     raw = lambda num: convert.stored(F.lit(num), none.cast("string"), F.lit("TAB_INTP"), none.cast("array<double>"), none.cast("array<double>"), F.expr(pairs))
     assert tuple(spark.range(1).select(raw(150.0), raw(149.0), raw(500.0)).first()) == (10.0, 0.0, 10.0)
+
+
+def test_searches_ask_every_fiftieth_row_over_many_tiles(spark):
+    rng = random.Random(3)
+    rows = [(i, i % 3, [rng.gauss(0, 1) for _ in range(4)]) for i in range(240)] + [(240, 0, [0.0] * 4), (241, 0, None)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, v array<double>")
+    d = lambda a, b: 1 - sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    for more in ({}, {"within": True, "itself": True}, {"per_label": True}):
+        want = set()
+        for q, of, a in rows[:240:50]:
+            near = sorted((d(a, v), i, x) for i, x, v in rows[:240] if ("itself" in more or i != q) and ("within" not in more or x == of))
+            parts = [[p for p in near if p[2] == x] for x in range(3)] if "per_label" in more else [near]
+            want |= {(q, i, n + 1) for part in parts for n, (_, i, _) in enumerate(part[:7])}
+        got = match.nearest_in_tiles(df, F.col("vec_id") % 50 == 0, 7, block=50, query_block=2, **more)
+        assert {(r.query_id, r.vec_id, r["rank"]) for r in got.collect()} == want
