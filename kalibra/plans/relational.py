@@ -198,6 +198,13 @@ def grouped_by_first_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("first < 500").select("o_custkey", "o_orderkey", "member")
 
 
+@query("""SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS member FROM orders""")
+def grouped_by_first_appearance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``grouped_by_first_appearance`` with the rows of all customers."""
+    member = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", member.alias("member"))
+
+
 @query("""SELECT 'event' AS source, event_type AS action, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'order', o_orderstatus, count(*) FROM orders GROUP BY o_orderstatus""")
 def event_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").select(F.lit("event").alias("source"), F.col("event_type").alias("action"))
