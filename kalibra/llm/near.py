@@ -29,7 +29,7 @@ DEEPER = 2  # tokens that each level adds
 MISSED = 4e-6  # chance that a pair at the threshold shares no first node; all further levels together add as much
 LEAF = 1000  # documents of a node that are compared exhaustively
 FEW = 8  # a node of so many gives all its pairs at once
-MARGIN = 0.09  # below the threshold; over three standard deviations of the estimate
+MARGIN = 0.14  # below the threshold; the estimate of a pair at 0.8 is lower with a probability of 2e-6
 SURE = 0.05  # above the threshold, first links come from pairs estimated so high
 UNIT = 500  # documents whose sets one confirming group holds, about
 
@@ -338,7 +338,7 @@ def near_duplicates(documents: DataFrame, *, percent: int = 80, id_col: str = "d
 
     Equal sets are one set from the start, whatever their number. Among different sets a pair at the threshold
     meets in a small node, or in one that is one component, except with a probability under ``2 * MISSED``, at any
-    depth; its links are exact. Nodes of more than ``leaf`` sets first link every set to one of them, which costs one
+    depth, and has too low an estimate, which no tree makes good, with one of 2e-6 at 0.8; its links are exact. Nodes of more than ``leaf`` sets first link every set to one of them, which costs one
     pair a set; nodes that this makes one component are done. The sets of the others go on to ``trees_for`` fresh
     trees of longer paths, or to tiles of ``leaf`` sets, which miss nothing, once these take no more rows than trees.
     """

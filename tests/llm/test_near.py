@@ -107,3 +107,10 @@ def test_chance_to_miss_a_pair_over_the_levels():
         same = rng.random(near.TOKENS) < 0.8 + 0.2 / 256
         lost += not any(same[rng.choice(near.TOKENS, near.DEPTH + near.DEEPER, replace=False)].all() for _ in range(trees))
     assert abs(lost / 4000 - near.missed(80, near.DEPTH + near.DEEPER, trees)) < 0.03
+
+
+def test_estimates_drop_few_pairs_at_the_threshold():
+    for percent in (80, 85):
+        p = percent / 100 + (1 - percent / 100) / 256
+        low = [n for n in range(near.TOKENS + 1) if near.agreement(np.arange(near.TOKENS) < n, np.ones((1, near.TOKENS), dtype=bool))[0] < percent / 100 - near.MARGIN]
+        assert sum(near.comb(near.TOKENS, n) * p**n * (1 - p) ** (near.TOKENS - n) for n in low) < 3e-6
