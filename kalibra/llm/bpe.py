@@ -1,34 +1,47 @@
-"""Byte-level BPE by merge replay over an inverted index from token pairs to word positions."""
+"""Byte-level BPE by corpus-level merge replay over an inverted index from token pairs to word positions.
+
+The corpus' distinct words are spread by hash; each is replayed once and its ids go back to the documents.
+"""
 
 from __future__ import annotations
 
 import base64
 import functools
 import heapq
-from collections.abc import Iterable, Iterator, Sequence
+import itertools
+import re
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .tables import materialise
+
+BLOCK_CHARS = 12_000_000  # text whose words share one numbering
+PART_BYTES = 2_000_000  # of text for each part of the distinct words
+TASKS = 2048  # tasks whose words are replayed together, so that one word's rows stay few at any size
 
-SLICE = 2_000_000  # characters whose new words are replayed together
-CACHED = 200_000  # words of a generation; a worker keeps the ids of two
+#: White space other than the blank and the line feed.
+_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Ranks:
     """A rank file: the bytes of each token, whose rank is its id."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
         self.token = {r: t for t, r in self.rank.items()}
         self.byte = np.array([self.rank.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
         self.first = np.array([[self.rank.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], dtype=np.int64)
         self.pair: dict[int, int] = {}
-        self.split = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
 
     def merged(self, a: int, b: int) -> int:
         """The rank of the token that ``a`` and ``b`` make, or -1."""
@@ -122,68 +135,182 @@ class Ranks:
             out[n] = ids[4 * a : 4 * b]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        if len(self.cache) > CACHED:
-            self.older, self.cache = self.cache, {}
-        absent = [w for w in set().union(*split) if w not in self.cache]
-        new = [w for w in absent if w not in self.older]
-        self.cache.update((w, self.older[w]) for w in absent if w in self.older)
-        if new:
-            self.cache.update(zip(new, self.replay([w.encode() for w in new]), strict=True))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
-
 
 @functools.lru_cache(maxsize=2)
-def ranks_of(path: str, pattern: str) -> Ranks:
-    return Ranks(path, pattern)
+def ranks_of(path: str) -> Ranks:
+    return Ranks(path)
 
 
-def slices(texts: Iterable[str], size: int = SLICE) -> Iterator[list[str]]:
-    part: list[str] = []
-    length = 0
-    for t in texts:
-        part.append(t)
-        length += len(t)
-        if length >= size:
-            yield part
-            part, length = [], 0
-    if part:
-        yield part
+def numbering() -> defaultdict:
+    """A dict that numbers what it is asked for, in the order of the first questions."""
+    found: defaultdict = defaultdict()
+    found.default_factory = found.__len__
+    return found
 
 
-def encode(documents: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): the ids of every whole text, packed as little-endian unsigned 32-bit integers.
+def chunks(text: str) -> list[str] | None:
+    """``text`` cut before every blank, if each stands between two characters that are no white space; else None."""
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER_SPACE.search(text):
+        return None
+    first, *rest = text.split(" ")
+    return [first, *[" " + r for r in rest]]
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers as a plane of their lower and one of their upper 16 bits, which are mostly zero and so compress well."""
+    return numbers.astype("<u2").tobytes() + (numbers >> 16).astype("<u2").tobytes()
+
+
+def unpacked(planes: bytes) -> np.ndarray:
+    low, high = np.frombuffer(planes, dtype="<u2").reshape(2, -1).astype(np.int64)
+    return low | high << 16
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` at ``starts``, one after the other."""
+    ends = np.cumsum(lengths)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)]
+
+
+class Runs:
+    """Numbered runs of one flat array."""
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        self.flat, self.starts, self.lengths = flat, starts, lengths
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        return gathered(self.flat, self.starts[numbers], self.lengths[numbers])
+
+    def joined(self, numbers: np.ndarray, sizes: np.ndarray) -> Runs:
+        """New runs, each of ``sizes`` old ones whose ``numbers`` follow one another."""
+        ends = np.concatenate([[0], np.cumsum(self.lengths[numbers])])
+        cuts = ends[np.concatenate([[0], np.cumsum(sizes)])]
+        return Runs(self.of(numbers), cuts[:-1], np.diff(cuts))
+
 
-    ``ranks`` is the path of a rank file that every executor has, ``pattern`` the expression whose matches
-    are words; words do not influence each other, so each task replays the merges over the distinct words of
-    the slices it reads and nothing is shuffled. Null or empty text: no ids. Repeated rows and null ids are
-    ordinary rows, an empty table gives none. Other columns are ignored.
+def split_words(documents: DataFrame, pattern: str, parts: int, blanks_cut: bool, id_col: str, text: str) -> DataFrame:
+    """Blocks of documents with their own numbering of words, in three kinds of rows, all with ``block``.
+
+    A document: doc_id, numbers (of its words, or of its chunks if ``chunked``). A block's chunks: sizes, numbers of
+    their words. A part of a block's vocabulary: part, group (of tasks), words, numbers.
     """
     kind = documents.schema[id_col].dataType.simpleString()
+    names = ["block", "doc_id", "chunked", "numbers", "sizes", "part", "group", "words"]
+    split = regex.compile(pattern).findall
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ranks_of(ranks, pattern)
-        for part in parts:
-            at = 0
-            for texts in slices(t.as_py() or "" for t in part.column(1)):
-                ids = coder.encode(texts)
-                own = part.column(0).slice(at, len(texts))
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([own, pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        block, chars = task << 32, 0
+        word, chunk = numbering(), numbering()
+        docs: list[tuple] = []
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+
+        def row(n: int, **columns: object) -> pa.RecordBatch:
+            own = {"block": pa.array([block] * n, pa.int64())} | columns
+            return pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names=names)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(docs), 512):
+                ids, chunked, numbers = zip(*docs[at : at + 512], strict=True)
+                yield row(len(ids), doc_id=pa.array(ids, types[1]), chunked=pa.array(chunked), numbers=pa.array(map(packed, numbers), pa.binary()))
+            if chunk:
+                inner = [split(c) for c in chunk]
+                sizes = np.fromiter(map(len, inner), dtype=np.uint32, count=len(inner))
+                numbers = np.fromiter(map(word.__getitem__, itertools.chain.from_iterable(inner)), dtype=np.uint32, count=int(sizes.sum()))
+                yield row(1, numbers=pa.array([packed(numbers)]), sizes=pa.array([packed(sizes)]))
+            of = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in word), dtype=np.uint64, count=len(word)) % np.uint64(parts)
+            order = np.argsort(of, kind="stable")
+            vocabulary = pa.array(word, pa.string()).take(pa.array(order))
+            found, starts = np.unique(of[order], return_index=True)
+            ends = np.append(starts[1:], len(order))
+            for at in range(0, len(found), 1024):
+                s, e = starts[at : at + 1024], ends[at : at + 1024]
+                words = pa.ListArray.from_arrays(pa.array(np.append(s, e[-1]) - s[0], pa.int32()), vocabulary.slice(s[0], e[-1] - s[0]))
+                numbers = pa.array([packed(order[i:j]) for i, j in zip(s, e, strict=True)])
+                yield row(len(s), numbers=numbers, part=pa.array(found[at : at + 1024].astype(np.int64)), group=pa.array([task // TASKS] * len(s), pa.int32()), words=words)
+
+        for batch in batches:
+            types[1] = batch.column(0).type
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                for doc_id, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    pieces = chunks(t) if blanks_cut and t else None
+                    number, own = (word, split(t or "")) if pieces is None else (chunk, pieces)
+                    docs.append((doc_id, pieces is not None, np.fromiter(map(number.__getitem__, own), dtype=np.uint32, count=len(own))))
+                    chars += len(t or "")
+                    if chars >= BLOCK_CHARS:
+                        yield from close()
+                        block, chars, docs = block + 1, 0, []
+                        word, chunk = numbering(), numbering()
+        if docs:
+            yield from close()
+
+    ddl = f"block long, doc_id {kind}, chunked boolean, numbers binary, sizes binary, part long, group int, words array<string>"
+    return documents.select(id_col, text).mapInArrow(run, ddl)
+
+
+def replayed(vocabulary: DataFrame, ranks: str) -> DataFrame:
+    """(block, numbers, sizes, ids): the ids of the words in each row of (block, part, group, words, numbers). Equal words
+    of all blocks meet in one part, where each is replayed once."""
+
+    def run(part: pa.Table) -> pa.Table:
+        rows = part["words"].combine_chunks()
+        rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
+        words = rows.flatten().dictionary_encode()
+        ids = ranks_of(ranks).replay(words.dictionary.cast(pa.binary()).to_pylist())
+        lengths = np.array([len(i) // 4 for i in ids], dtype=np.int64)
+        runs = Runs(np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(lengths) - lengths, lengths)
+        which = words.indices.to_numpy(zero_copy_only=False)
+        cuts = np.concatenate([[0], np.cumsum(rows.value_lengths().to_numpy())])
+        own = [which[a:b] for a, b in itertools.pairwise(cuts)]
+        sizes, found = [packed(lengths[w]) for w in own], [packed(runs.of(w)) for w in own]
+        return pa.table([part["block"], part["numbers"], pa.array(sizes, pa.binary()), pa.array(found, pa.binary())], names=["block", "numbers", "sizes", "ids"])
+
+    return vocabulary.groupBy("group", "part").applyInArrow(run, "block long, numbers binary, sizes binary, ids binary")
+
+
+def encode(documents: DataFrame, ranks: str, pattern: str, *, blanks_cut: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids): the ids of every whole text, packed as little-endian unsigned 32-bit integers.
+
+    ``ranks`` is the path of a rank file that every executor has, ``pattern`` the expression whose matches are
+    words. ``blanks_cut`` says that a blank between two characters that are no white space always starts a new
+    word and that no word depends on what stands beyond such a place; texts are then cut there first, which
+    saves most of the splitting. Documents travel as numbers of their block's words, a block being about 12 M
+    characters or one longer text. Null or empty text: no ids. Repeated rows and null ids are ordinary rows,
+    an empty table gives none. Other columns are ignored.
+    """
+    size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    table = materialise(split_words(documents, pattern, max(1, size // PART_BYTES), blanks_cut, id_col, text), "bpe-words")
+    found = replayed(table.where("part is not null").select("block", "part", "group", "words", "numbers"), ranks)
+    kind = table.schema["doc_id"].dataType.simpleString()
+
+    def assemble(own: pa.Table, words: pa.Table) -> pa.Table:
+        place = np.concatenate([np.zeros(0, dtype=np.int64), *map(unpacked, words["numbers"].to_pylist())])
+        sizes = np.concatenate([np.zeros(0, dtype=np.int64), *map(unpacked, words["sizes"].to_pylist())])
+        starts, lengths = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
+        starts[place], lengths[place] = np.cumsum(sizes) - sizes, sizes
+        by_word = by_chunk = Runs(np.concatenate([np.zeros(0, dtype=np.int64), *map(unpacked, words["ids"].to_pylist())]).astype("<u4"), starts, lengths)
+        of_chunks = own["sizes"].is_valid()
+        for table_ in own.filter(of_chunks).select(["numbers", "sizes"]).to_pylist():
+            by_chunk = by_word.joined(unpacked(table_["numbers"]), unpacked(table_["sizes"]))
+        docs = own.filter(pc.invert(of_chunks))
+        ids = [(by_chunk if c else by_word).of(unpacked(n)).tobytes() for c, n in zip(docs["chunked"].to_pylist(), docs["numbers"].to_pylist(), strict=True)]
+        return pa.table([docs["doc_id"], pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    return documents.select(id_col, text).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
+    own = table.where("part is null").select("block", "doc_id", "chunked", "numbers", "sizes")
+    return own.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, f"doc_id {kind}, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
-    """``encoded`` (doc_id, n_tokens, ids) with ``decoded``: the bytes that the ids stand for; null ids: null."""
+    """``encoded`` (doc_id, n_tokens, ids) with ``decoded``: the bytes that the ids stand for; null ids: null, no ids: none.
+    Repeated rows and null ids of documents are ordinary rows, an empty table gives none. Other columns are dropped."""
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = ranks_of(ranks, "").token
+        of = ranks_of(ranks).token
+        token = [of.get(i, b"") for i in range(max(of, default=-1) + 1)]
         for part in parts:
-            texts = [None if ids is None else b"".join(map(token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())) for ids in (i.as_py() for i in part.column(2))]
+            texts = [None if ids is None else b"".join(map(token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())) for ids in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
