@@ -15,16 +15,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialise
-
-BLOCK_CHARS = 12_000_000  # text whose words share one numbering
+BLOCK_CHARS = 32_000_000  # text whose words share one numbering
 PART_BYTES = 2_000_000  # of text for each part of the distinct words
 TASKS = 2048  # tasks whose words are replayed together, so that one word's rows stay few at any size
 
@@ -32,6 +30,9 @@ TASKS = 2048  # tasks whose words are replayed together, so that one word's rows
 _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+COLUMNS = ["block", "state", "doc_ids", "chunked", "doc_sizes", "doc_words", "doc_chunks", "chunk_sizes", "chunk_words", "part", "group", "lengths", "words", "numbers"]
+
+
 class Ranks:
     """A rank file: the bytes of each token, whose rank is its id."""
 
@@ -157,13 +158,27 @@ def chunks(text: str) -> list[str] | None:
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Numbers as a plane of their lower and one of their upper 16 bits, which are mostly zero and so compress well."""
-    return numbers.astype("<u2").tobytes() + (numbers >> 16).astype("<u2").tobytes()
+    """Numbers under 2**32 as planes of their lowest to highest bytes, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpacked(planes: bytes) -> np.ndarray:
-    low, high = np.frombuffer(planes, dtype="<u2").reshape(2, -1).astype(np.int64)
-    return low | high << 16
+    raw = np.frombuffer(zstandard.decompress(planes), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(raw.T).view("<u4").ravel().astype(np.int64)
+
+
+def packed_firsts(numbers: np.ndarray, base: int) -> bytes:
+    """Numbers of which those from ``base`` on appear in order: 0 where one is new, else the number plus 1."""
+    before = np.maximum.accumulate(np.concatenate([[base - 1], numbers]))[:-1]
+    return packed(np.where(numbers > before, 0, numbers + 1))
+
+
+def unpacked_firsts(planes: bytes, base: int) -> np.ndarray:
+    numbers = unpacked(planes) - 1
+    new = numbers < 0
+    numbers[new] = base + np.arange(new.sum())
+    return numbers
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -189,13 +204,14 @@ class Runs:
 
 
 def split_words(documents: DataFrame, pattern: str, parts: int, blanks_cut: bool, id_col: str, text: str) -> DataFrame:
-    """Blocks of documents with their own numbering of words, in three kinds of rows, all with ``block``.
+    """Blocks of documents with their own numbering of words, in two kinds of rows.
 
-    A document: doc_id, numbers (of its words, or of its chunks if ``chunked``). A block's chunks: sizes, numbers of
-    their words. A part of a block's vocabulary: part, group (of tasks), words, numbers.
+    One row a block: its documents' ids, whether each was cut into chunks, how many words or chunks each has, their
+    numbers, and the words of its chunks. One row a part of a block's vocabulary: part, group (of tasks), lengths of its
+    words, the words, their numbers. ``state`` is a digest of the numbering, by which a block that a lost executor made
+    anew in another order would be noticed.
     """
-    kind = documents.schema[id_col].dataType.simpleString()
-    names = ["block", "doc_id", "chunked", "numbers", "sizes", "part", "group", "words"]
+    id_type = documents.schema[id_col].dataType.simpleString()
     split = regex.compile(pattern).findall
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,40 +219,49 @@ def split_words(documents: DataFrame, pattern: str, parts: int, blanks_cut: bool
         block, chars = task << 32, 0
         word, chunk = numbering(), numbering()
         docs: list[tuple] = []
-        types = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+        binary, kind = pa.binary(), pa.int64()
 
-        def row(n: int, **columns: object) -> pa.RecordBatch:
-            own = {"block": pa.array([block] * n, pa.int64())} | columns
-            return pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names=names)
+        def rows(n: int, state: int, columns: dict) -> pa.RecordBatch:
+            own = {"block": pa.array([block] * n, pa.int64()), "state": pa.array([state] * n, pa.int64())} | columns
+            types = [pa.int64(), pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), *[binary] * 5, pa.int64(), pa.int32(), *[binary] * 3]
+            return pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(n, t) for c, t in zip(COLUMNS, types, strict=True)], names=COLUMNS)
 
         def close() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(docs), 512):
-                ids, chunked, numbers = zip(*docs[at : at + 512], strict=True)
-                yield row(len(ids), doc_id=pa.array(ids, types[1]), chunked=pa.array(chunked), numbers=pa.array(map(packed, numbers), pa.binary()))
-            if chunk:
-                inner = [split(c) for c in chunk]
-                sizes = np.fromiter(map(len, inner), dtype=np.uint32, count=len(inner))
-                numbers = np.fromiter(map(word.__getitem__, itertools.chain.from_iterable(inner)), dtype=np.uint32, count=int(sizes.sum()))
-                yield row(1, numbers=pa.array([packed(numbers)]), sizes=pa.array([packed(sizes)]))
-            of = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in word), dtype=np.uint64, count=len(word)) % np.uint64(parts)
-            order = np.argsort(of, kind="stable")
-            vocabulary = pa.array(word, pa.string()).take(pa.array(order))
-            found, starts = np.unique(of[order], return_index=True)
-            ends = np.append(starts[1:], len(order))
-            for at in range(0, len(found), 1024):
-                s, e = starts[at : at + 1024], ends[at : at + 1024]
-                words = pa.ListArray.from_arrays(pa.array(np.append(s, e[-1]) - s[0], pa.int32()), vocabulary.slice(s[0], e[-1] - s[0]))
-                numbers = pa.array([packed(order[i:j]) for i, j in zip(s, e, strict=True)])
-                yield row(len(s), numbers=numbers, part=pa.array(found[at : at + 1024].astype(np.int64)), group=pa.array([task // TASKS] * len(s), pa.int32()), words=words)
+            direct = len(word)
+            inner = [split(c) for c in chunk]
+            sizes = np.fromiter(map(len, inner), dtype=np.int64, count=len(inner))
+            inside = np.fromiter(map(word.__getitem__, itertools.chain.from_iterable(inner)), dtype=np.int64, count=int(sizes.sum()))
+            words = [w.encode() for w in word]
+            of = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+            state = xxhash.xxh3_64_intdigest(of.tobytes()) >> 1
+            order = np.argsort(of % np.uint64(parts), kind="stable")
+            part, starts = np.unique(of[order] % np.uint64(parts), return_index=True)
+            ends = np.append(starts[1:], len(order)) if len(part) else starts
+
+            ids, chunked, numbers = zip(*docs, strict=True)
+            flat = {c: np.concatenate([np.zeros(0, dtype=np.int64), *[n for n, k in zip(numbers, chunked, strict=True) if k == c]]) for c in (False, True)}
+            yield rows(1, state, {
+                "doc_ids": pa.array([ids], pa.list_(kind)), "chunked": pa.array([chunked]), "doc_sizes": pa.array([packed(np.array([len(n) for n in numbers]))]),
+                "doc_words": pa.array([packed_firsts(flat[False], 0)]), "doc_chunks": pa.array([packed_firsts(flat[True], 0)]),
+                "chunk_sizes": pa.array([packed(np.append(direct, sizes))]), "chunk_words": pa.array([packed_firsts(inside, direct)]),
+            })
+            for at in range(0, len(part), 256):
+                runs = [order[i:j] for i, j in zip(starts[at : at + 256], ends[at : at + 256], strict=True)]
+                yield rows(len(runs), state, {
+                    "part": pa.array(part[at : at + 256].astype(np.int64)), "group": pa.array([task // TASKS] * len(runs), pa.int32()),
+                    "lengths": pa.array([packed(np.array([len(words[i]) for i in r])) for r in runs], binary),
+                    "words": pa.array([zstandard.compress(b"".join([words[i] for i in r]), 1) for r in runs], binary),
+                    "numbers": pa.array([packed(np.diff(r, prepend=0)) for r in runs], binary),
+                })
 
         for batch in batches:
-            types[1] = batch.column(0).type
+            kind = batch.column(0).type
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 for doc_id, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                     pieces = chunks(t) if blanks_cut and t else None
                     number, own = (word, split(t or "")) if pieces is None else (chunk, pieces)
-                    docs.append((doc_id, pieces is not None, np.fromiter(map(number.__getitem__, own), dtype=np.uint32, count=len(own))))
+                    docs.append((doc_id, pieces is not None, np.fromiter(map(number.__getitem__, own), dtype=np.int64, count=len(own))))
                     chars += len(t or "")
                     if chars >= BLOCK_CHARS:
                         yield from close()
@@ -245,28 +270,57 @@ def split_words(documents: DataFrame, pattern: str, parts: int, blanks_cut: bool
         if docs:
             yield from close()
 
-    ddl = f"block long, doc_id {kind}, chunked boolean, numbers binary, sizes binary, part long, group int, words array<string>"
+    ddl = f"block long, state long, doc_ids array<{id_type}>, chunked array<boolean>, doc_sizes binary, doc_words binary, doc_chunks binary, chunk_sizes binary, chunk_words binary, part long, group int, lengths binary, words binary, numbers binary"
     return documents.select(id_col, text).mapInArrow(run, ddl)
 
 
-def replayed(vocabulary: DataFrame, ranks: str) -> DataFrame:
-    """(block, numbers, sizes, ids): the ids of the words in each row of (block, part, group, words, numbers). Equal words
-    of all blocks meet in one part, where each is replayed once."""
+def replayed(table: DataFrame, ranks: str) -> DataFrame:
+    """(block, state, numbers, sizes, ids): the ids of the words in each vocabulary row of ``table``. Equal words of all
+    blocks meet in one part, where each is replayed once."""
+
+    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(batch.column("part").is_valid()).select(["block", "state", "part", "group", "lengths", "words", "numbers"])
 
     def run(part: pa.Table) -> pa.Table:
-        rows = part["words"].combine_chunks()
-        rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
-        words = rows.flatten().dictionary_encode()
-        ids = ranks_of(ranks).replay(words.dictionary.cast(pa.binary()).to_pylist())
-        lengths = np.array([len(i) // 4 for i in ids], dtype=np.int64)
-        runs = Runs(np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(lengths) - lengths, lengths)
-        which = words.indices.to_numpy(zero_copy_only=False)
-        cuts = np.concatenate([[0], np.cumsum(rows.value_lengths().to_numpy())])
+        lengths = [unpacked(n) for n in part["lengths"].to_pylist()]
+        flat = b"".join(map(zstandard.decompress, part["words"].to_pylist()))
+        ends = np.cumsum(np.concatenate([[0], *lengths])).astype(np.int64)
+        all_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat)]).dictionary_encode()
+        ids = ranks_of(ranks).replay(all_.dictionary.to_pylist())
+        sizes = np.array([len(i) // 4 for i in ids], dtype=np.int64)
+        runs = Runs(np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(sizes) - sizes, sizes)
+        which = all_.indices.to_numpy()
+        cuts = np.cumsum([0, *map(len, lengths)])
         own = [which[a:b] for a, b in itertools.pairwise(cuts)]
-        sizes, found = [packed(lengths[w]) for w in own], [packed(runs.of(w)) for w in own]
-        return pa.table([part["block"], part["numbers"], pa.array(sizes, pa.binary()), pa.array(found, pa.binary())], names=["block", "numbers", "sizes", "ids"])
-
-    return vocabulary.groupBy("group", "part").applyInArrow(run, "block long, numbers binary, sizes binary, ids binary")
+        columns = [pa.array([packed(sizes[w]) for w in own], pa.binary()), pa.array([packed(runs.of(w)) for w in own], pa.binary())]
+        return pa.table([part["block"], part["state"], part["numbers"], *columns], names=["block", "state", "numbers", "sizes", "ids"])
+
+    rows = table.mapInArrow(vocabulary, "block long, state long, part long, group int, lengths binary, words binary, numbers binary")
+    return rows.groupBy("group", "part").applyInArrow(run, "block long, state long, numbers binary, sizes binary, ids binary")
+
+
+def assembled(own: pa.Table, found: pa.Table) -> pa.Table:
+    """(doc_id, n_tokens, ids) of a block from its rows of ``split_words`` and of ``replayed``."""
+    block = own.filter(own["part"].is_null())
+    states = {*block["state"].to_pylist(), *found["state"].to_pylist()}
+    if len(states) != 1:
+        raise RuntimeError("a block was read again in another order; write the input down first")
+    none = np.zeros(0, dtype=np.int64)
+    place = np.concatenate([none, *[np.cumsum(unpacked(n)) for n in found["numbers"].to_pylist()]])
+    sizes = np.concatenate([none, *map(unpacked, found["sizes"].to_pylist())])
+    starts, lengths = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
+    starts[place], lengths[place] = np.cumsum(sizes) - sizes, sizes
+    by_word = Runs(np.concatenate([none, *map(unpacked, found["ids"].to_pylist())]).astype("<u4"), starts, lengths)
+    (row,) = block.select(["doc_ids", "chunked", "doc_sizes", "doc_words", "doc_chunks", "chunk_sizes", "chunk_words"]).to_pylist()
+    direct, *chunk_sizes = unpacked(row["chunk_sizes"])
+    by_chunk = by_word.joined(unpacked_firsts(row["chunk_words"], int(direct)), np.array(chunk_sizes, dtype=np.int64))
+    numbers = {False: unpacked_firsts(row["doc_words"], 0), True: unpacked_firsts(row["doc_chunks"], 0)}
+    at, ids = {False: 0, True: 0}, []
+    for chunked, size in zip(row["chunked"], unpacked(row["doc_sizes"]).tolist(), strict=True):
+        ids.append((by_chunk if chunked else by_word).of(numbers[chunked][at[chunked] : at[chunked] + size]).tobytes())
+        at[chunked] += size
+    return pa.table([pa.array(row["doc_ids"], own.schema.field("doc_ids").type.value_type), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
 
 def encode(documents: DataFrame, ranks: str, pattern: str, *, blanks_cut: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,30 +329,14 @@ def encode(documents: DataFrame, ranks: str, pattern: str, *, blanks_cut: bool =
     ``ranks`` is the path of a rank file that every executor has, ``pattern`` the expression whose matches are
     words. ``blanks_cut`` says that a blank between two characters that are no white space always starts a new
     word and that no word depends on what stands beyond such a place; texts are then cut there first, which
-    saves most of the splitting. Documents travel as numbers of their block's words, a block being about 12 M
-    characters or one longer text. Null or empty text: no ids. Repeated rows and null ids are ordinary rows,
-    an empty table gives none. Other columns are ignored.
+    saves most of the splitting. Documents travel once, as numbers of their block's words, a block being about
+    ``BLOCK_CHARS`` characters or one longer text; both uses of the blocks read one shuffle. Null or empty text:
+    no ids. Repeated rows and null ids are ordinary rows, an empty table gives none. Other columns are ignored.
     """
     size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    table = materialise(split_words(documents, pattern, max(1, size // PART_BYTES), blanks_cut, id_col, text), "bpe-words")
-    found = replayed(table.where("part is not null").select("block", "part", "group", "words", "numbers"), ranks)
-    kind = table.schema["doc_id"].dataType.simpleString()
-
-    def assemble(own: pa.Table, words: pa.Table) -> pa.Table:
-        place = np.concatenate([np.zeros(0, dtype=np.int64), *map(unpacked, words["numbers"].to_pylist())])
-        sizes = np.concatenate([np.zeros(0, dtype=np.int64), *map(unpacked, words["sizes"].to_pylist())])
-        starts, lengths = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
-        starts[place], lengths[place] = np.cumsum(sizes) - sizes, sizes
-        by_word = by_chunk = Runs(np.concatenate([np.zeros(0, dtype=np.int64), *map(unpacked, words["ids"].to_pylist())]).astype("<u4"), starts, lengths)
-        of_chunks = own["sizes"].is_valid()
-        for table_ in own.filter(of_chunks).select(["numbers", "sizes"]).to_pylist():
-            by_chunk = by_word.joined(unpacked(table_["numbers"]), unpacked(table_["sizes"]))
-        docs = own.filter(pc.invert(of_chunks))
-        ids = [(by_chunk if c else by_word).of(unpacked(n)).tobytes() for c, n in zip(docs["chunked"].to_pylist(), docs["numbers"].to_pylist(), strict=True)]
-        return pa.table([docs["doc_id"], pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
-
-    own = table.where("part is null").select("block", "doc_id", "chunked", "numbers", "sizes")
-    return own.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, f"doc_id {kind}, n_tokens long, ids binary")
+    blocks = split_words(documents, pattern, max(1, size // PART_BYTES), blanks_cut, id_col, text).repartition("block")
+    kind = documents.schema[id_col].dataType.simpleString()
+    return blocks.groupBy("block").cogroup(replayed(blocks, ranks).groupBy("block")).applyInArrow(assembled, f"doc_id {kind}, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:

@@ -45,9 +45,9 @@ def test_replay_equals_library():
 
 def test_operator_equals_library(spark, monkeypatch):
     """Many blocks and parts, texts with and without odd white space, both ways of cutting."""
-    monkeypatch.setattr(bpe, "PART_BYTES", 500)
+    monkeypatch.setattr(bpe, "PART_BYTES", 5000)
     library = own(bpe.Ranks(PATH).rank)
-    rows = [(n, t, "x", "y", "z") for n, t in enumerate([*various(), None, "long words and so on, " * 20_000])]
+    rows = [(n, t, "x", "y", "z") for n, t in enumerate([*various(), None, "long words and so on, " * 5_000])]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     for cut in (True, False):
         got = {r.doc_id: unpacked(r.ids) for r in bpe.encode(df, PATH, PATTERN, blanks_cut=cut).collect()}
