@@ -10,6 +10,7 @@ import functools
 import heapq
 import itertools
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 32_000_000  # text whose words share one numbering
+BLOCK_CHARS = 12_000_000  # text whose words share one numbering
 PART_BYTES = 2_000_000  # of text for each part of the distinct words
 TASKS = 2048  # tasks whose words are replayed together, so that one word's rows stay few at any size
 
@@ -228,10 +229,14 @@ def split_words(documents: DataFrame, pattern: str, parts: int, blanks_cut: bool
 
         def close() -> Iterator[pa.RecordBatch]:
             direct = len(word)
-            inner = [split(c) for c in chunk]
-            sizes = np.fromiter(map(len, inner), dtype=np.int64, count=len(inner))
-            inside = np.fromiter(map(word.__getitem__, itertools.chain.from_iterable(inner)), dtype=np.int64, count=int(sizes.sum()))
+            sizes, inside = array("I"), array("I")
+            for c in chunk:
+                own = split(c)
+                sizes.append(len(own))
+                inside.extend(map(word.__getitem__, own))
+            chunk.clear()
             words = [w.encode() for w in word]
+            word.clear()
             of = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
             state = xxhash.xxh3_64_intdigest(of.tobytes()) >> 1
             order = np.argsort(of % np.uint64(parts), kind="stable")
@@ -239,11 +244,11 @@ def split_words(documents: DataFrame, pattern: str, parts: int, blanks_cut: bool
             ends = np.append(starts[1:], len(order)) if len(part) else starts
 
             ids, chunked, numbers = zip(*docs, strict=True)
-            flat = {c: np.concatenate([np.zeros(0, dtype=np.int64), *[n for n, k in zip(numbers, chunked, strict=True) if k == c]]) for c in (False, True)}
+            flat = {c: np.concatenate([np.zeros(0, dtype=np.uint32), *[n for n, k in zip(numbers, chunked, strict=True) if k == c]]).astype(np.int64) for c in (False, True)}
             yield rows(1, state, {
                 "doc_ids": pa.array([ids], pa.list_(kind)), "chunked": pa.array([chunked]), "doc_sizes": pa.array([packed(np.array([len(n) for n in numbers]))]),
                 "doc_words": pa.array([packed_firsts(flat[False], 0)]), "doc_chunks": pa.array([packed_firsts(flat[True], 0)]),
-                "chunk_sizes": pa.array([packed(np.append(direct, sizes))]), "chunk_words": pa.array([packed_firsts(inside, direct)]),
+                "chunk_sizes": pa.array([packed(np.array([direct, *sizes]))]), "chunk_words": pa.array([packed_firsts(np.array(inside, dtype=np.int64), direct)]),
             })
             for at in range(0, len(part), 256):
                 runs = [order[i:j] for i, j in zip(starts[at : at + 256], ends[at : at + 256], strict=True)]
@@ -261,12 +266,11 @@ def split_words(documents: DataFrame, pattern: str, parts: int, blanks_cut: bool
                 for doc_id, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                     pieces = chunks(t) if blanks_cut and t else None
                     number, own = (word, split(t or "")) if pieces is None else (chunk, pieces)
-                    docs.append((doc_id, pieces is not None, np.fromiter(map(number.__getitem__, own), dtype=np.int64, count=len(own))))
+                    docs.append((doc_id, pieces is not None, np.fromiter(map(number.__getitem__, own), dtype=np.uint32, count=len(own))))
                     chars += len(t or "")
                     if chars >= BLOCK_CHARS:
                         yield from close()
                         block, chars, docs = block + 1, 0, []
-                        word, chunk = numbering(), numbering()
         if docs:
             yield from close()
 
