@@ -45,6 +45,14 @@ class Ranks:
         self.first = np.array([[self.rank.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], dtype=np.int64)
         self.pair: dict[int, int] = {}
 
+    @functools.cached_property
+    def tokens(self) -> list[bytes]:
+        return [self.token.get(i, b"") for i in range(max(self.token, default=-1) + 1)]
+
+    def decode(self, ids: bytes | None) -> bytes | None:
+        """The bytes that ids (little-endian unsigned 32-bit) stand for."""
+        return None if ids is None else b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
     def merged(self, a: int, b: int) -> int:
         """The rank of the token that ``a`` and ``b`` make, or -1."""
         key = a << 20 | b
@@ -304,8 +312,8 @@ def replayed(table: DataFrame, ranks: str) -> DataFrame:
     return rows.groupBy("group", "part").applyInArrow(run, "block long, state long, numbers binary, sizes binary, ids binary")
 
 
-def assembled(own: pa.Table, found: pa.Table) -> pa.Table:
-    """(doc_id, n_tokens, ids) of a block from its rows of ``split_words`` and of ``replayed``."""
+def assembled(own: pa.Table, found: pa.Table) -> tuple[pa.Array, list[bytes]]:
+    """The documents' ids and their tokens' ids, of a block's rows of ``split_words`` and of ``replayed``."""
     block = own.filter(own["part"].is_null())
     states = {*block["state"].to_pylist(), *found["state"].to_pylist()}
     if len(states) != 1:
@@ -324,11 +332,12 @@ def assembled(own: pa.Table, found: pa.Table) -> pa.Table:
     for chunked, size in zip(row["chunked"], unpacked(row["doc_sizes"]).tolist(), strict=True):
         ids.append((by_chunk if chunked else by_word).of(numbers[chunked][at[chunked] : at[chunked] + size]).tobytes())
         at[chunked] += size
-    return pa.table([pa.array(row["doc_ids"], own.schema.field("doc_ids").type.value_type), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+    return pa.array(row["doc_ids"], own.schema.field("doc_ids").type.value_type), ids
 
 
-def encode(documents: DataFrame, ranks: str, pattern: str, *, blanks_cut: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): the ids of every whole text, packed as little-endian unsigned 32-bit integers.
+def encode(documents: DataFrame, ranks: str, pattern: str, *, blanks_cut: bool = False, decoded: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids): the ids of every whole text, packed as little-endian unsigned 32-bit integers; with
+    ``decoded`` a column of that name too, what ``decode`` makes of the ids, in the same pass.
 
     ``ranks`` is the path of a rank file that every executor has, ``pattern`` the expression whose matches are
     words. ``blanks_cut`` says that a blank between two characters that are no white space always starts a new
@@ -340,7 +349,16 @@ def encode(documents: DataFrame, ranks: str, pattern: str, *, blanks_cut: bool =
     size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = split_words(documents, pattern, max(1, size // PART_BYTES), blanks_cut, id_col, text).repartition("block")
     kind = documents.schema[id_col].dataType.simpleString()
-    return blocks.groupBy("block").cogroup(replayed(blocks, ranks).groupBy("block")).applyInArrow(assembled, f"doc_id {kind}, n_tokens long, ids binary")
+
+    def finish(own: pa.Table, found: pa.Table) -> pa.Table:
+        doc_ids, ids = assembled(own, found)
+        columns = {"doc_id": doc_ids, "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+        if decoded:
+            columns["decoded"] = pa.array(map(ranks_of(ranks).decode, ids), pa.binary())
+        return pa.table(columns)
+
+    ddl = f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded
+    return blocks.groupBy("block").cogroup(replayed(blocks, ranks).groupBy("block")).applyInArrow(finish, ddl)
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
@@ -349,10 +367,8 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = ranks_of(ranks).token
-        token = [of.get(i, b"") for i in range(max(of, default=-1) + 1)]
         for part in parts:
-            texts = [None if ids is None else b"".join(map(token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())) for ids in part.column(2).to_pylist()]
+            texts = map(ranks_of(ranks).decode, part.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")

@@ -19,9 +19,8 @@ def remainder(column: str, divisor: int):
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, blanks_cut=True)
-    decoded = bpe.decode(encoded, ranks)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, blanks_cut=True, decoded=True)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,4 +83,6 @@ def test_round_trip(spark):
     got = bpe.decode(bpe.encode(df, PATH, PATTERN, blanks_cut=True), PATH).collect()
     assert sorted((bytes(r.decoded).decode() for r in got)) == sorted((r[1] or "") for r in rows)
     assert all(r.n_tokens * 4 == len(r.ids) for r in got)
+    both = bpe.encode(df, PATH, PATTERN, decoded=True).collect()
+    assert sorted(map(repr, both)) == sorted(map(repr, got))
     assert bpe.encode(df.limit(0), PATH, PATTERN).count() == 0
