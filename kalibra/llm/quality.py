@@ -70,12 +70,15 @@ def base_failed(m: str = "m", min_words: int = 20, max_repeat_percent: int = 30)
     return (F.col(f"{m}.n_words") < min_words) | (100 * F.col(f"{m}.n_repeat_words") > max_repeat_percent * F.col(f"{m}.n_words"))
 
 
-def host_verdicts(judged: DataFrame, host: str, max_rate: float) -> DataFrame:
+def host_verdicts(judged: DataFrame, host: str, least_rate: float, max_rate: float, deviations: float) -> DataFrame:
     """Hosts with their shrunk failure rate: (host, host_docs, host_rate, host_ok).
 
     The prior Beta(a, b) is fitted to all hosts' rates by moments; only its two numbers pass through the
     driver. A host's rate is (failures + a) / (documents + a + b), so that a host of few documents stays near
-    the corpus' rate. Documents without a host get no verdict.
+    the corpus' rate. A host is bad if that rate stands out from the prior: above its mean by more than
+    ``deviations`` of its standard deviations (1.645: its 95th percentile, about). That limit is at least
+    ``least_rate``, so that hosts of clean documents never go, and at most ``max_rate``. Documents without a
+    host get no verdict.
     """
     hosts = materialise(
         judged.where(F.col(host).isNotNull()).groupBy(host).agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed")),
@@ -90,8 +93,9 @@ def host_verdicts(judged: DataFrame, host: str, max_rate: float) -> DataFrame:
         F.avg(1 / F.col("host_docs")).alias("inverse"),
     ).first()
     a, b = beta_prior(p["failed"] or 0, p["docs"] or 0, p["var"] or 0.0, p["inverse"] or 1.0)
+    limit = min(max_rate, max(least_rate, a / (a + b) + deviations * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5))
     shrunk = (F.col("host_failed") + F.lit(a)) / (F.col("host_docs") + F.lit(a + b))
-    return hosts.select(F.col(host), "host_docs", shrunk.alias("host_rate"), (shrunk <= max_rate).alias("host_ok"))
+    return hosts.select(F.col(host), "host_docs", shrunk.alias("host_rate"), (shrunk <= limit).alias("host_ok"))
 
 
 def beta_prior(failed: int, docs: int, variance: float, inverse: float) -> tuple[float, float]:
@@ -103,28 +107,34 @@ def beta_prior(failed: int, docs: int, variance: float, inverse: float) -> tuple
     return mean * strength, (1 - mean) * strength
 
 
-def judge(documents: DataFrame, *, id_col: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = 0.5) -> DataFrame:
+def judge(
+    documents: DataFrame, *, id_col: str = "doc_id", text: str = "text", host: str = "source", least_rate: float = 0.2, max_rate: float = 0.5, deviations: float = 1.645
+) -> DataFrame:
     """One row per row of ``documents`` with its metrics, base verdict, host rate and final verdict.
 
     Null or empty text: all metrics 0, base rule failed. Null host: only the base rule decides. Repeated rows
-    are judged separately, each counts for its host. Other columns of ``documents`` are ignored. An empty
-    table gives an empty result.
+    are judged separately, each counts for its host. A rate equal to the limit passes. Texts are measured whole,
+    however long. Other columns of ``documents`` are ignored. An empty table gives an empty result.
     """
     judged = materialise(
         documents.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), metrics(F.col(text)).alias("m"))
         .select("doc_id", "host", "m.*", base_failed().alias("base_failed")),
         "quality",
     )
-    verdicts = host_verdicts(judged, "host", max_rate)
+    verdicts = host_verdicts(judged, "host", least_rate, max_rate, deviations)
     return judged.join(verdicts, "host", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True)))
 
 
-def keep_good(documents: DataFrame, *, text: str = "text", host: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """The rows of ``documents`` that pass both verdicts, all their columns as they are."""
-    names = documents.columns
-    judged = documents.select(F.struct(*names).alias("row"), F.col(host).alias("host"), metrics(F.col(text)).alias("m")).select(
-        "row", "host", base_failed().alias("base_failed")
+def keep_good(documents: DataFrame, *, text: str = "text", host: str = "source", least_rate: float = 0.2, max_rate: float = 0.5, deviations: float = 1.645) -> DataFrame:
+    """The rows of ``documents`` that pass both verdicts of ``judge``, all their columns as they are.
+
+    Rows of null or empty text go, rows of null host stay if they pass the base rule, repeated rows stay or go
+    together, an empty table stays empty. Rows and verdicts are written once; host rates read two columns of them.
+    """
+    judged = materialise(
+        documents.select(F.struct(*documents.columns).alias("row"), F.col(host).alias("host"), metrics(F.col(text)).alias("m"))
+        .select("row", "host", base_failed().alias("base_failed")),
+        "quality-rows",
     )
-    light = materialise(judged.select("host", "base_failed"), "quality")
-    bad = host_verdicts(light, "host", max_rate).where(~F.col("host_ok")).select("host")
+    bad = host_verdicts(judged, "host", least_rate, max_rate, deviations).where(~F.col("host_ok")).select("host")
     return judged.where(~F.col("base_failed")).join(bad, "host", "left_anti").select("row.*")

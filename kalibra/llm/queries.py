@@ -107,7 +107,7 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 h AS (SELECT source, count(*)::DOUBLE AS n, count_if(base_failed)::DOUBLE AS f FROM b WHERE source IS NOT NULL GROUP BY source),
 q AS (SELECT (sum(f) + 0.5) / (sum(n) + 1) AS mean, var_pop(f / n) AS v, avg(1 / n) AS inv FROM h),
 pr AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(v - mean * (1 - mean) * inv, 1e-6) - 1, 1), 1000) AS k FROM q),
-ok AS (SELECT source, (f + mean * k) / (n + k) <= 0.5 AS host_ok FROM h, pr)
+ok AS (SELECT source, (f + mean * k) / (n + k) <= least(0.5, greatest(0.2, mean + 1.645 * sqrt(mean * (1 - mean) / (k + 1)))) AS host_ok FROM h, pr)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(host_ok, true) AS kept
 FROM b LEFT JOIN ok USING (source)"""
 

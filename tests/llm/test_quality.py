@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
-from kalibra.llm import quality
+import duckdb
+
+from kalibra.llm import quality, queries
 from kalibra.llm.words import WORD
 
 SCHEMA = "doc_id long, text string, source string, base_failed string, host string"
@@ -52,3 +54,31 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert quality.judge(df).count() == 0
     assert quality.keep_good(df).count() == 0
+
+
+def test_query_joins_verdicts_back(spark, tmp_path):
+    """A host of 40 % failures among hosts of 5 %: no majority, but far above the prior; one of few documents is spared."""
+    good, bad = " ".join(f"w{i}" for i in range(30)), "too short"
+    rows = [(1000 * h + i, bad if i % 20 == 0 else good, f"h{h}") for h in range(12) for i in range(100)]
+    rows += [(50_000 + i, bad if i % 5 < 2 else good, "worse") for i in range(200)] + [(60_000, bad, "tiny"), (60_001, good, "tiny"), (60_002, good, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op3_quality_rules(spark, str(tmp_path)).collect()}
+    assert {i for i, r in got.items() if r.kept != (not r.base_failed)} == {50_000 + i for i in range(200) if i % 5 >= 2}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(queries.SQL["op3_quality_rules"])
+    names = [d[0] for d in found.description]
+    assert all(got[r[0]].asDict() == dict(zip(names, r, strict=True)) for r in found.fetchall())
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "word " * 400_000 + "\n" + "# " * 9, "s", "x", "y"), (2, " ".join(map(str, range(300_000))), "s", "x", "y")], SCHEMA)
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert (got[1].n_words, got[1].word_chars, got[1].n_symbols, got[1].base_failed) == (400_009, 1_600_009, 9, True)
+    assert (got[2].n_words, got[2].n_repeat_words, got[2].base_failed) == (300_000, 0, False)
+
+
+def test_ties_at_the_limits(spark):
+    twenty, nineteen = " ".join(map(str, range(20))), " ".join(map(str, range(19)))
+    df = spark.createDataFrame([(1, twenty, None, "x", "y"), (2, nineteen, None, "x", "y")], SCHEMA)
+    assert {r.doc_id: r.base_failed for r in quality.judge(df).collect()} == {1: False, 2: True}
