@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,10 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-4, 1e-5
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def readable(text: Column) -> Column:
+    """``text``, or null if no character of it is a letter (general category L)."""
+    return F.when(text.rlike(r"\p{L}"), text)
 
 
 def grams(text: str) -> np.ndarray:
@@ -42,10 +44,6 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return present, np.log1p(counts[present])
 
 
-def readable(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
-
-
 @dataclass
 class Model:
     langs: list[str]
@@ -64,7 +62,8 @@ class Model:
         return x @ self.weights[at] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not readable(text):
+        """The language and its probability; of equally likely ones the first by name. Null: a text without letters."""
+        if not self.langs or text is None:
             return UNKNOWN, 0.0
         p = softmax(self.logits(text) / self.temperature)
         best = int(p.argmax())
@@ -126,16 +125,15 @@ def fit(texts: list[str], labels: list[str], idf: np.ndarray, langs: list[str])
 
 
 def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
-    """How many texts of ``texts(text)`` are readable, and in how many each feature occurs. All texts count;
+    """How many rows ``texts(text)`` has, and in how many each feature occurs. All texts count;
     tasks add up their own and DIM + 1 sums reach the driver at most."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(DIM + 1, dtype=np.int64)
         for part in parts:
             for text in part["text"]:
-                if readable(text):
-                    total[:DIM] += np.bincount(grams(text), minlength=DIM) > 0
-                    total[DIM] += 1
+                total[:DIM] += np.bincount(grams(text), minlength=DIM) > 0
+                total[DIM] += 1
         at = np.flatnonzero(total)
         yield pd.DataFrame({"feature": at, "n": total[at]})
 
@@ -153,7 +151,7 @@ def train(documents: DataFrame, may_learn: Column, *, id_col: str = "doc_id", te
     ``sample`` of them per language, chosen by a hash of id and text; that bound keeps the one task that fits
     them small at any size. A language of fewer rows gives all it has.
     """
-    mine = documents.where(may_learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    mine = documents.where(may_learn & F.col(lang).isNotNull() & readable(F.col(text)).isNotNull())
     rows = mine.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(id_col, text).alias("mix"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -202,11 +200,15 @@ def identify(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text
     ordinary rows; an empty table gives none. Other columns are ignored.
     """
     predict = predictor(documents, model)
-    return documents.select(F.col(id_col).alias("doc_id"), predict(F.col(text)).alias("p")).select("doc_id", "p.lang_pred", "p.score")
+    return documents.select(F.col(id_col).alias("doc_id"), predict(readable(F.col(text))).alias("p")).select("doc_id", "p.lang_pred", "p.score")
 
 
 def keep_known(documents: DataFrame, model: Model, *, text: str = "text", least: float = 0.4) -> DataFrame:
-    """The rows of ``documents`` whose language is known with at least ``least`` probability, all their columns."""
+    """The rows of ``documents`` whose language is known with at least ``least`` probability, all their columns.
+
+    Rows of null or empty text or without a letter go; repeated rows stay or go together, null ids are ordinary
+    rows, an empty table stays empty.
+    """
     predict = predictor(documents, model)
-    judged = documents.select(F.struct(*documents.columns).alias("row"), predict(F.col(text)).alias("p"))
+    judged = documents.select(F.struct(*documents.columns).alias("row"), predict(readable(F.col(text))).alias("p"))
     return judged.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least)).select("row.*")
