@@ -23,12 +23,12 @@ Rule = tuple[str, str]  # verdict, host followed by the path's prefix
 
 
 def store_bytes(rules: Sequence[Rule]) -> bytes:
-    """The file: row count, path lengths; then keys, string offsets, verdicts and strings, ordered by key."""
+    """The file: row count, (host length, path length) pairs; then keys, string offsets, verdicts and strings, ordered by key."""
     unique = dict(reversed([(text, verdict) for verdict, text in rules]))  # the first of equal rules counts
     rows = sorted((xxhash.xxh64_intdigest(text.encode()), text.encode(), verdict == "block") for text, verdict in unique.items())
-    lengths = sorted({len(text) - text.index("/") for text in unique})
+    lengths = sorted({(text.index("/"), len(text) - text.index("/")) for text in unique})
     parts = [
-        np.array([len(rows), len(lengths), *lengths], dtype=np.uint64),
+        np.array([len(rows), len(lengths), *(n for pair in lengths for n in pair)], dtype=np.uint64),
         np.array([r[0] for r in rows], dtype=np.uint64),
         np.cumsum([0, *(len(r[1]) for r in rows)], dtype=np.uint64),
         np.array([r[2] for r in rows], dtype=np.uint8),
@@ -42,8 +42,11 @@ class Store:
     def __init__(self, path: str) -> None:
         raw = np.memmap(path, dtype=np.uint8, mode="r")
         n, k = (int(x) for x in raw[:16].view(np.uint64))
-        self.lengths = [int(x) for x in raw[16 : 16 + 8 * k].view(np.uint64)]
-        at = 16 + 8 * k
+        #: The path lengths that rules of a host length have.
+        self.paths: dict[int, list[int]] = {}
+        for host, path_ in raw[16 : 16 + 16 * k].view(np.uint64).reshape(-1, 2).tolist():
+            self.paths.setdefault(host, []).append(path_)
+        at = 16 + 16 * k
         self.keys = raw[at : at + 8 * n].view(np.uint64)
         self.ends = raw[at + 8 * n : at + 16 * n + 8].view(np.uint64)
         self.blocks = raw[at + 16 * n + 8 : at + 17 * n + 8]
@@ -71,10 +74,19 @@ def opened(name: str) -> Store:
     return Store(SparkFiles.get(name))
 
 
-def candidates(host: str, path: str, lengths: Sequence[int]) -> list[bytes]:
-    """Every rule string that would fit, longest first, of two as long the one with the longer host."""
-    starts = [0, *(i + 1 for i, c in enumerate(host) if c == ".")]
-    found = [(len(host) - s + n, len(host) - s, host[s:] + path[:n]) for s in starts for n in lengths if n <= len(path)]
+def candidates(host: str, path: str, paths: dict[int, list[int]]) -> list[bytes]:
+    """Every string of ``host`` or a parent domain and a prefix of ``path`` that has the lengths of a rule, longest
+    first, of two as long the one with the longer host. There are no more than the rules have lengths, each no longer
+    than the longest rule, whatever the URL."""
+    longest = max(paths, default=0)
+    found = []
+    at = len(host)
+    while at > 0 and len(host) - at <= longest:
+        at = host.rfind(".", 0, at)
+        suffix = len(host) - at - 1
+        found += [(suffix + n, suffix, host[at + 1 :] + path[:n]) for n in paths.get(suffix, ()) if n <= len(path)]
+        if at < 0:
+            break
     return [text.encode() for _, _, text in sorted(found, reverse=True)]
 
 
@@ -82,7 +94,7 @@ def judged(store: Store, hosts: Sequence[str], paths: Sequence[str]) -> list[tup
     texts: list[bytes] = []
     owner: list[int] = []
     for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-        own = candidates(host, path, store.lengths) if host else []
+        own = candidates(host, path, store.paths) if host else []
         texts += own
         owner += [i] * len(own)
     rows = store.find(np.fromiter(map(xxhash.xxh64_intdigest, texts), dtype=np.uint64, count=len(texts)), texts)
@@ -96,8 +108,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_i
     """(page_id, host, path, rule, verdict) for every row of ``pages``.
 
     ``rules`` are (verdict, host + path prefix) pairs; of those that fit the host or a parent domain of it
-    and start the path, the longest decides, then the one of the longer host. Without one the URL is allowed.
-    Null URL, or none with "://": empty host and path, no rule. Repeated rows each get a row. The rule file
+    and start the path, the longest decides, then the one of the longer host, of equal rules the first. Without one the
+    URL is allowed.
+    Null URL, or none with "://": empty host and path, no rule. Repeated rows and null ids are ordinary rows, an empty
+    table gives none; a URL of any length is probed for as many strings as the rules have lengths. The rule file
     lies in the shared folder, goes to every executor once and is mapped there; it is as large as the rules and does not grow with the
     pages. Other columns are ignored.
     """
