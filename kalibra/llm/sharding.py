@@ -30,12 +30,12 @@ def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 
 def assign(documents: DataFrame, shards: int, *, id_col: str = "doc_id", text: str = "text", stratum: str = "source", seed: int = 17) -> DataFrame:
-    """(doc_id, stratum, size, text_crc32, shard, slot) for every row of ``documents``.
+    """(doc_id, stratum, size, text_crc32, shard, slot, mix) for every row of ``documents``.
 
     Rows of a stratum are shuffled by a seeded hash and ranked; a row's fractional rank is
     (rank + 1/2) / rows of its stratum. In the order of fractional ranks the corpus is cut into ``shards``
     runs whose row counts differ by at most one, so each shard holds every stratum in the corpus' proportion.
-    ``size`` is the text's UTF-8 bytes plus 16. Null text: no bytes, CRC of the empty string. Rows of null
+    ``size`` is the text's UTF-8 bytes plus 16, ``mix`` the hash of id and text that shuffles. Null text: no bytes, CRC of the empty string. Rows of null
     stratum form one. Repeated rows and null ids are ordinary rows; an empty table gives no rows. Other
     columns are ignored.
     """
@@ -62,11 +62,21 @@ def assign(documents: DataFrame, shards: int, *, id_col: str = "doc_id", text: s
     shard = F.expr(f"((position + 1) * {shards} - 1) div {max(total, 1)}")
     first = F.expr(f"(shard * {total}) div {shards}")
     return placed.withColumn("shard", shard).select(
-        "doc_id", "stratum", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("position") - first).alias("slot")
+        "doc_id", "stratum", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("position") - first).alias("slot"), "mix"
     )
 
 
-def write_shards(documents: DataFrame, assignment: DataFrame, path: str, *, id_col: str = "doc_id") -> None:
-    """Write the documents as one folder per shard, each in the order of its slots. Ids must be unique."""
-    placed = documents.join(assignment.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col)
-    placed.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(documents: DataFrame, shards: int, path: str, *, id_col: str = "doc_id", text: str = "text", stratum: str = "source", seed: int = 17) -> None:
+    """Write the rows of ``documents``, all their columns, as one folder a shard of ``assign``, ordered by slot.
+
+    Rows of equal id and text, null ids and null texts too, are matched to their places one by one. An empty
+    table writes no folder. A column named like ``_shard`` or ``_slot`` would clash and is refused by Spark.
+    """
+    same = Window.partitionBy("mix").orderBy("mix")
+    placed = assign(documents, shards, id_col=id_col, text=text, stratum=stratum, seed=seed)
+    places = placed.select("mix", F.row_number().over(Window.partitionBy("mix").orderBy("shard", "slot")).alias("copy"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    rows = documents.select(F.struct(*documents.columns).alias("doc"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text)).alias("mix")).withColumn("copy", F.row_number().over(same))
+    (
+        rows.join(places, ["mix", "copy"]).select("doc.*", "_shard", "_slot")
+        .repartition("_shard", F.floor(F.col("_slot") / 100_000)).sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
+    )
