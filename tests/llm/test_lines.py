@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import defaultdict
 
@@ -36,12 +37,26 @@ def data():
 def test_equals_brute_force(spark):
     rows = data()
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(5)
-    for keep_first in (False, True):
-        got = lines.drop_repeated(df, min_docs=3, keep_first=keep_first, bits=12).collect()
+    for keep_first, bits, small in itertools.product((False, True), (None, 12, 4), (0, lines.SMALL)):  # 2**4 bits: a filter that holds everything
+        got = lines.drop_repeated(df, min_docs=3, keep_first=keep_first, bits=bits, small=small).collect()
         assert sorted(((r.doc.doc_id, r.text, r.n_lines) for r in got), key=repr) == brute(rows, 3, keep_first)
         assert all(r.n_dropped == r.n_lines - (r.text.count("\n") + 1) or not r.text for r in got)
 
 
+def test_many_tasks_merge(spark):
+    rows = [(i, f"common\nown {i}", "x", 1) for i in range(70)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(70)
+    assert df.rdd.getNumPartitions() > lines.FAN_IN
+    assert {r.text for r in lines.drop_repeated(df, min_docs=70).collect()} == {f"own {i}" for i in range(70)}
+
+
+def test_documents_without_a_suspect_are_not_shuffled(spark):
+    """Of the texts only those with a suspected line meet an exchange, and with few confirmed keys none."""
+    df = spark.createDataFrame([(*r, "x", 1) for r in data()], SCHEMA)
+    plan = lambda small: lines.drop_repeated(df, min_docs=3, small=small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(lines.SMALL) and "Union" in plan(0) and "Join" in plan(0)
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a\nb", "x", 1)] * 3 + [(2, "c", "x", 1)], SCHEMA)
     assert sorted(r.text for r in lines.drop_repeated(df, min_docs=3).collect()) == ["", "", "", "c"]
