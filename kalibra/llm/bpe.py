@@ -11,7 +11,6 @@ import heapq
 import itertools
 import re
 from array import array
-from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .numbers import numbering, packed, packed_firsts, parts_of, unpacked, unpacked_firsts
+
 BLOCK_CHARS = 12_000_000  # text whose words share one numbering
 PART_BYTES = 2_000_000  # of text for each part of the distinct words
 TASKS = 2048  # tasks whose words are replayed together, so that one word's rows stay few at any size
@@ -151,13 +152,6 @@ def ranks_of(path: str) -> Ranks:
     return Ranks(path)
 
 
-def numbering() -> defaultdict:
-    """A dict that numbers what it is asked for, in the order of the first questions."""
-    found: defaultdict = defaultdict()
-    found.default_factory = found.__len__
-    return found
-
-
 def chunks(text: str) -> list[str] | None:
     """``text`` cut before every blank, if each stands between two characters that are no white space; else None."""
     if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER_SPACE.search(text):
@@ -166,30 +160,6 @@ def chunks(text: str) -> list[str] | None:
     return [first, *[" " + r for r in rest]]
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Numbers under 2**32 as planes of their lowest to highest bytes, compressed."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpacked(planes: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(planes), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(raw.T).view("<u4").ravel().astype(np.int64)
-
-
-def packed_firsts(numbers: np.ndarray, base: int) -> bytes:
-    """Numbers of which those from ``base`` on appear in order: 0 where one is new, else the number plus 1."""
-    before = np.maximum.accumulate(np.concatenate([[base - 1], numbers]))[:-1]
-    return packed(np.where(numbers > before, 0, numbers + 1))
-
-
-def unpacked_firsts(planes: bytes, base: int) -> np.ndarray:
-    numbers = unpacked(planes) - 1
-    new = numbers < 0
-    numbers[new] = base + np.arange(new.sum())
-    return numbers
-
-
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs of ``flat`` at ``starts``, one after the other."""
     ends = np.cumsum(lengths)
@@ -247,10 +217,7 @@ def split_words(documents: DataFrame, pattern: str, parts: int, blanks_cut: bool
             word.clear()
             of = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
             state = xxhash.xxh3_64_intdigest(of.tobytes()) >> 1
-            order = np.argsort(of % np.uint64(parts), kind="stable")
-            part, starts = np.unique(of[order] % np.uint64(parts), return_index=True)
-            ends = np.append(starts[1:], len(order)) if len(part) else starts
-
+            runs_of = parts_of(of, parts)
             ids, chunked, numbers = zip(*docs, strict=True)
             flat = {c: np.concatenate([np.zeros(0, dtype=np.uint32), *[n for n, k in zip(numbers, chunked, strict=True) if k == c]]).astype(np.int64) for c in (False, True)}
             yield rows(1, state, {
@@ -258,10 +225,10 @@ def split_words(documents: DataFrame, pattern: str, parts: int, blanks_cut: bool
                 "doc_words": pa.array([packed_firsts(flat[False], 0)]), "doc_chunks": pa.array([packed_firsts(flat[True], 0)]),
                 "chunk_sizes": pa.array([packed(np.array([direct, *sizes]))]), "chunk_words": pa.array([packed_firsts(np.array(inside, dtype=np.int64), direct)]),
             })
-            for at in range(0, len(part), 256):
-                runs = [order[i:j] for i, j in zip(starts[at : at + 256], ends[at : at + 256], strict=True)]
+            for at in range(0, len(runs_of), 256):
+                part, runs = zip(*runs_of[at : at + 256], strict=True)
                 yield rows(len(runs), state, {
-                    "part": pa.array(part[at : at + 256].astype(np.int64)), "group": pa.array([task // TASKS] * len(runs), pa.int32()),
+                    "part": pa.array(part, pa.int64()), "group": pa.array([task // TASKS] * len(runs), pa.int32()),
                     "lengths": pa.array([packed(np.array([len(words[i]) for i in r])) for r in runs], binary),
                     "words": pa.array([zstandard.compress(b"".join([words[i] for i in r]), 1) for r in runs], binary),
                     "numbers": pa.array([packed(np.diff(r, prepend=0)) for r in runs], binary),

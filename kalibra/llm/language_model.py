@@ -7,16 +7,17 @@ stay a distributed table of every training word.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbers import numbering, packed, packed_firsts, parts_of, unpacked, unpacked_firsts
 from .tables import materialise
 from .words import ascii_lower, words
 
@@ -24,62 +25,68 @@ STATES = 8
 CLASSES = 256
 END, UNKNOWN = CLASSES - 2, CLASSES - 1
 ITERATIONS = 4
-SEGMENT = 128  # tokens of a training segment
-TOGETHER = 2048  # segments in one array operation
+SEGMENT = 256  # own tokens of a training segment
+CONTEXT = 16  # tokens that it sees before and after them
+CELLS = 1 << 21  # of an array of texts that are scored together
+TOGETHER = 1024  # segments in one array operation
 BLOCK_CHARS = 12_000_000  # text whose words share one numbering
+PART_BYTES = 2_000_000  # of text for each part of the distinct words
 SMOOTH = 0.1
 PRIOR = 10.0  # weight of the corpus' class shares in each state's emissions
 
 
-def class_of(word: str) -> int:
-    return xxhash.xxh32_intdigest(word.encode()) % END
+def class_of(word: bytes) -> int:
+    return xxhash.xxh32_intdigest(word) % END
 
 
-def planes(ids: np.ndarray) -> bytes:
-    """Numbers under 2**24 as their lower 16 bits, then their upper 8, which are mostly zero and so pack well."""
-    return ids.astype("<u2").tobytes() + (ids >> 16).astype(np.uint8).tobytes()
+COLUMNS = ["block", "doc_ids", "held_out", "sizes", "ids", "classes", "part", "words", "lengths", "numbers", "counts"]
 
 
-def joined(packed: bytes) -> np.ndarray:
-    n = len(packed) // 3
-    return np.frombuffer(packed, dtype="<u2", count=n).astype(np.int64) + (np.frombuffer(packed, dtype=np.uint8, offset=2 * n).astype(np.int64) << 16)
+def tokens_table(documents: DataFrame, learns: Column, parts: int, id_col: str, text: str) -> DataFrame:
+    """Blocks of documents with their own numbering of words, in two kinds of rows.
 
+    One row a block: its documents' ids, whether they are held out, how many words each has, their numbers, and the
+    classes of the words of the training documents. One row a part of a block's vocabulary: part, words with their
+    lengths, their numbers, their occurrences in the block's training documents.
+    """
+    id_type = documents.schema[id_col].dataType.simpleString()
 
-def tokens_table(documents: DataFrame, learns: Column, id_col: str, text: str) -> DataFrame:
-    """One row per document (block, doc_id, held_out, ids, classes) and one per block with its vocabulary
-    in runs (block, first, words, counts, kinds). ``ids`` number words within the block (see ``planes``), ``classes``
-    are bytes; ``first`` is the number of a run's first word, ``counts`` are the block's training occurrences."""
-    kind = documents.schema[id_col].dataType.simpleString()
-    names = ["block", "doc_id", "held_out", "ids", "classes", "first", "words", "counts", "kinds"]
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, chars = TaskContext.get().partitionId() << 32, 0
-        number: dict[str, int] = defaultdict()
-        number.default_factory = number.__len__
+        number = numbering()
         docs: list[tuple] = []
-        id_type = pa.int64()
+        kind = pa.int64()
+
+        def rows(n: int, columns: dict) -> pa.RecordBatch:
+            types = [pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), *[pa.binary()] * 3, pa.int64(), *[pa.binary()] * 4]
+            own = {"block": pa.array([block] * n, pa.int64())} | columns
+            return pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(n, t) for c, t in zip(COLUMNS, types, strict=True)], names=COLUMNS)
 
         def close() -> Iterator[pa.RecordBatch]:
-            vocabulary = list(number)
-            kinds = np.fromiter(map(class_of, vocabulary), dtype=np.uint8, count=len(vocabulary))
-            counts = np.zeros(len(vocabulary), dtype=np.int64)
-            for _, held, ids in docs:
-                if not held:
-                    counts += np.bincount(ids, minlength=len(vocabulary))
-            types = [pa.int64(), id_type, pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            for at in range(0, len(docs), 512):
-                some = docs[at : at + 512]
-                columns = [[block] * len(some), [d for d, _, _ in some], [h for _, h, _ in some], [planes(i) for _, _, i in some], [kinds[i].tobytes() for _, _, i in some], *[[None] * len(some)] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-            for at in range(0, len(vocabulary), 1 << 15):
-                run_ = slice(at, at + (1 << 15))
-                columns = [[block], [None], [None], [None], [None], [at], [vocabulary[run_]], [counts[run_].tolist()], [kinds[run_].tolist()]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-        for part in parts:
-            id_type = part.column(0).type
-            for at in range(0, part.num_rows, 1024):
-                some = part.slice(at, 1024)
+            words_ = [w.encode() for w in number]
+            number.clear()
+            kinds = np.fromiter(map(class_of, words_), dtype=np.uint8, count=len(words_))
+            doc_ids, held, ids = zip(*docs, strict=True)
+            none = np.zeros(0, dtype=np.uint32)
+            learnt = np.concatenate([none, *[i for i, h in zip(ids, held, strict=True) if not h]])
+            counts = np.bincount(learnt, minlength=len(words_))
+            yield rows(1, {
+                "doc_ids": pa.array([doc_ids], pa.list_(kind)), "held_out": pa.array([held]), "sizes": pa.array([packed(np.array([len(i) for i in ids]))]),
+                "ids": pa.array([packed_firsts(np.concatenate([none, *ids]).astype(np.int64), 0)]), "classes": pa.array([zstandard.compress(kinds[learnt].tobytes(), 1)]),
+            })
+            runs = parts_of(np.fromiter(map(xxhash.xxh3_64_intdigest, words_), dtype=np.uint64, count=len(words_)), parts)
+            for at in range(0, len(runs), 256):
+                part, own = zip(*runs[at : at + 256], strict=True)
+                yield rows(len(own), {
+                    "part": pa.array(part, pa.int64()), "words": pa.array([zstandard.compress(b"".join([words_[i] for i in r]), 1) for r in own], pa.binary()),
+                    "lengths": pa.array([packed(np.array([len(words_[i]) for i in r])) for r in own], pa.binary()),
+                    "numbers": pa.array([packed(np.diff(r, prepend=0)) for r in own], pa.binary()), "counts": pa.array([packed(counts[r]) for r in own], pa.binary()),
+                })
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
                 for doc_id, learn, t in zip(*(some.column(c).to_pylist() for c in range(3)), strict=True):
                     found = words(ascii_lower(t)) if t else []
                     docs.append((doc_id, not learn, np.fromiter(map(number.__getitem__, found), dtype=np.uint32, count=len(found))))
@@ -87,14 +94,38 @@ def tokens_table(documents: DataFrame, learns: Column, id_col: str, text: str) -
                     if chars >= BLOCK_CHARS:
                         yield from close()
                         block, chars, docs = block + 1, 0, []
-                        number.clear()
         if docs:
             yield from close()
 
-    ddl = f"block long, doc_id {kind}, held_out boolean, ids binary, classes binary, first int, words array<string>, counts array<bigint>, kinds array<int>"
+    ddl = f"block long, doc_ids array<{id_type}>, held_out array<boolean>, sizes binary, ids binary, classes binary, part long, words binary, lengths binary, numbers binary, counts binary"
     return documents.select(F.col(id_col), learns.alias("learns"), F.col(text)).mapInArrow(run, ddl)
 
 
+def counted_words(vocabulary: DataFrame) -> DataFrame:
+    """For each row (block, part, words, lengths, numbers, counts) one (block, numbers, totals, kinds) with the words'
+    occurrences in all blocks and their classes; and for each part one (of_class, distinct, once) over its distinct words.
+    Words travel as one row a block and part; equal words of all blocks meet in one part."""
+
+    def run(part: pa.Table) -> pa.Table:
+        lengths = [unpacked(n) for n in part["lengths"].to_pylist()]
+        ends = np.cumsum(np.concatenate([[0], *lengths])).astype(np.int64)
+        flat = b"".join(map(zstandard.decompress, part["words"].to_pylist()))
+        all_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat)]).dictionary_encode()
+        which = all_.indices.to_numpy()
+        total = np.bincount(which, weights=np.concatenate(list(map(unpacked, part["counts"].to_pylist()))), minlength=len(all_.dictionary)).astype(np.int64)
+        kinds = np.fromiter(map(class_of, all_.dictionary.to_pylist()), dtype=np.uint8, count=len(total))
+        own = np.split(which, np.cumsum(list(map(len, lengths)))[:-1])
+        n = part.num_rows
+        return pa.table({
+            "block": pa.concat_arrays([part["block"].combine_chunks(), pa.nulls(1, pa.int64())]), "numbers": pa.array([*part["numbers"].to_pylist(), None], pa.binary()),
+            "totals": pa.array([*[packed(total[w]) for w in own], None], pa.binary()), "kinds": pa.array([*[kinds[w].tobytes() for w in own], None], pa.binary()),
+            "of_class": pa.array([None] * n + [np.bincount(kinds, weights=total, minlength=CLASSES).astype(np.int64).tolist()], pa.list_(pa.int64())),
+            "distinct": pa.array([None] * n + [int((total > 0).sum())], pa.int64()), "once": pa.array([None] * n + [int((total == 1).sum())], pa.int64()),
+        })
+
+    return vocabulary.groupBy("part").applyInArrow(run, "block long, numbers binary, totals binary, kinds binary, of_class array<long>, distinct long, once long")
+
+
 class Hmm:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
         self.start, self.move, self.emit = start, move, emit
@@ -110,26 +141,43 @@ class Hmm:
         np.fill_diagonal(move, 0.9)
         return cls(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=1, keepdims=True))
 
-    def counts(self, seen: np.ndarray) -> np.ndarray:
-        """Expected starts, moves and emissions over rows of classes padded with CLASSES, end to end in one array."""
+    def resting(self) -> np.ndarray:
+        """The shares of the states far from a start."""
+        shares = self.start
+        for _ in range(64):
+            shares = shares @ self.move
+        return shares
+
+    def counts(self, seen: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Expected starts, moves and emissions over rows of ``segments``, end to end in one array.
+
+        A row's own tokens begin at column CONTEXT; what stands around them only tells in which states the row
+        begins and ends. A move counts where it arrives. Rows flagged ``first`` begin a text.
+        """
         rows, steps = seen.shape
+        own = range(CONTEXT, min(CONTEXT + SEGMENT, steps))
         alpha = np.empty((steps, rows, STATES))
         scale = np.empty((steps, rows, 1))
         for t in range(steps):
-            a = (np.broadcast_to(self.start, (rows, STATES)) if t == 0 else alpha[t - 1] @ self.move) * self.by_class[seen[:, t]]
+            a = np.broadcast_to(self.resting(), (rows, STATES)) if t == 0 else alpha[t - 1] @ self.move
+            if t == CONTEXT:
+                a = np.where(first[:, None], self.start, a)
+            a = a * self.by_class[seen[:, t]]
             scale[t] = a.sum(axis=1, keepdims=True)
             alpha[t] = a / scale[t]
         beta = np.ones((rows, STATES))
         moves = np.zeros((STATES, STATES))
         gamma = alpha  # replaced step by step from the end
-        for t in range(steps - 2, -1, -1):
+        for t in range(steps - 2, CONTEXT - 2, -1):
             onward = self.by_class[seen[:, t + 1]] * beta / scale[t + 1]
-            moves += alpha[t].T @ (onward * (seen[:, t + 1] != CLASSES)[:, None])
+            if t + 1 in own:
+                arrives = seen[:, t + 1] != CLASSES
+                moves += alpha[t].T @ (onward * (arrives & ~first if t + 1 == CONTEXT else arrives)[:, None])
             beta = onward @ self.move.T
             gamma[t] = alpha[t] * beta
-        flat = seen.T.ravel()
-        emitted = [np.bincount(flat, weights=gamma[:, :, k].ravel(), minlength=CLASSES + 1)[:CLASSES] for k in range(STATES)]
-        return np.concatenate([gamma[0].sum(axis=0), (moves * self.move).ravel(), np.concatenate(emitted)])
+        flat = seen[:, own.start : own.stop].T.ravel()
+        emitted = [np.bincount(flat, weights=gamma[own.start : own.stop, :, k].ravel(), minlength=CLASSES + 1)[:CLASSES] for k in range(STATES)]
+        return np.concatenate([gamma[CONTEXT][first].sum(axis=0), (moves * self.move).ravel(), np.concatenate(emitted)])
 
     @classmethod
     def from_counts(cls, counts: np.ndarray, shares: np.ndarray) -> Hmm:
@@ -145,8 +193,13 @@ class Hmm:
         """The exact log10 likelihood of each whole sequence of classes, by the scaled forward recursion."""
         out = np.zeros(len(sequences))
         order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
-        for at in range(0, len(order), 256):
+        at = 0
+        while at < len(order):
+            # No more rows together than a bounded array holds; the longest is the last.
             own = order[at : at + 256]
+            while len(own) > 1 and len(own) * len(sequences[own[-1]]) > CELLS:
+                own = own[: len(own) // 2]
+            at += len(own)
             seen = padded([sequences[i] for i in own])
             alpha = np.broadcast_to(self.start, (len(own), STATES))
             total = np.zeros(len(own))
@@ -160,40 +213,51 @@ class Hmm:
 
 
 def padded(sequences: list[np.ndarray]) -> np.ndarray:
-    out = np.full((len(sequences), max(map(len, sequences))), CLASSES, dtype=np.int64)
+    out = np.full((len(sequences), max(map(len, sequences))), CLASSES, dtype=np.uint16)
     for row, s in zip(out, sequences, strict=True):
         row[: len(s)] = s
     return out
 
 
-def segments(classes: bytes) -> list[np.ndarray]:
-    whole = np.append(np.frombuffer(classes, dtype=np.uint8), np.uint8(END))
-    return [whole[k : k + SEGMENT] for k in range(0, len(whole), SEGMENT)]
+def segments(classes: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
+    """A text's classes, and END, in rows of SEGMENT own tokens with CONTEXT before and after, and whether a row is the
+    text's first; that has padding before."""
+    whole = np.concatenate([np.full(CONTEXT, CLASSES, dtype=np.uint16), classes, [END]])
+    for k in range(0, len(classes) + 1, SEGMENT):
+        yield whole[k : k + SEGMENT + 2 * CONTEXT], k == 0
 
 
 def baum_welch(training: DataFrame, shares: np.ndarray, iterations: int = ITERATIONS) -> Hmm:
-    """Each task sums the expected counts of its documents' segments; the sums meet in one aggregation of fixed size."""
+    """Each task sums the expected counts of its blocks' training documents (held_out, sizes, classes); the sums meet in
+    one aggregation of fixed size. Every token, move and start of every text counts once, texts being read in segments
+    that see CONTEXT tokens beyond their ends."""
     model = Hmm.initial(shares)
     for _ in range(iterations):
 
         def expect(parts: Iterator[pa.RecordBatch], model: Hmm = model) -> Iterator[pa.RecordBatch]:
             total = np.zeros(STATES + STATES**2 + STATES * CLASSES)
-            waiting: list[np.ndarray] = []
+            waiting: list[tuple[np.ndarray, bool]] = []
 
             def spend(all_: bool) -> None:
                 while len(waiting) >= TOGETHER or all_ and waiting:
-                    total[:] += model.counts(padded(waiting[:TOGETHER]))
+                    rows, first = zip(*waiting[:TOGETHER], strict=True)
+                    total[:] += model.counts(padded(rows), np.array(first))
                     del waiting[:TOGETHER]
 
             for part in parts:
-                for classes in part.column(0).to_pylist():
-                    waiting += segments(classes)
-                    spend(False)
-            waiting.sort(key=len)
+                for held, sizes, packed_ in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
+                    classes = np.frombuffer(zstandard.decompress(packed_), dtype=np.uint8)
+                    ends = np.cumsum(unpacked(sizes)[~np.array(held, dtype=bool)])
+                    own = sorted(np.split(classes, ends[:-1]), key=len) if len(ends) else []
+                    for text in own:
+                        for row in segments(text):
+                            waiting.append(row)
+                            spend(False)
+            waiting.sort(key=lambda row: len(row[0]))
             spend(True)
             yield pa.RecordBatch.from_pydict({"at": np.arange(len(total), dtype=np.int32), "n": total})
 
-        sums = training.select("classes").mapInArrow(expect, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
+        sums = training.select("held_out", "sizes", "classes").mapInArrow(expect, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
         counts = np.zeros(STATES + STATES**2 + STATES * CLASSES)
         for r in sums:
             counts[r["at"]] = r["n"]
@@ -206,44 +270,45 @@ def score(documents: DataFrame, learns: Column, *, id_col: str = "doc_id", text:
 
     The model learns from all rows where ``learns`` holds. Tokens are the A-Z lower-cased text's words and one
     end. ``base_score`` is the smoothed unigram log10 probability, ``score`` the hidden Markov model's. Words
-    not seen in training are one unknown word. Null or empty text is the end alone. Repeated rows and null ids
+    not seen in training are one unknown word; words of a class differ by their shares of it alone. Null or empty text is the end alone. Repeated rows and null ids
     are ordinary rows. Without training rows both scores are finite; an empty table gives no rows. Other
     columns are ignored.
     """
-    table = materialise(tokens_table(documents, learns, id_col, text), "tokens")
-    docs = table.where("words is null")
-    vocabulary = table.where("words is not null").select(
-        "block", "first", F.posexplode(F.arrays_zip("words", "counts", "kinds")).alias("place", "w")
-    ).select("block", (F.col("first") + F.col("place")).alias("place"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"), F.col("w.kinds").alias("kind"))
-    known = materialise(vocabulary.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"), F.first("kind").alias("kind")), "word-counts")
-    of_class, distinct, once = np.zeros(CLASSES), 0, 0
-    for r in known.groupBy("kind").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("words"), F.count_if(F.col("c") == 1).alias("once")).collect():
+    size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    table = materialise(tokens_table(documents, learns, max(1, size // PART_BYTES), id_col, text), "tokens")
+    docs = table.where("part is null").select("block", "doc_ids", "held_out", "sizes", "ids", "classes")
+    counted = materialise(counted_words(table.where("part is not null").select("block", "part", "words", "lengths", "numbers", "counts")), "word-counts")
+    of_class = np.zeros(CLASSES)
+    parts = counted.where("block is null")
+    for r in parts.select(F.posexplode("of_class").alias("kind", "c")).groupBy("kind").agg(F.sum("c").alias("c")).collect():
         of_class[r["kind"]] = r["c"]
-        distinct += r["words"]
-        once += r["once"]
-    training = docs.where(~F.col("held_out"))
-    ends = training.count()
+    sums = parts.agg(F.sum("distinct").alias("distinct"), F.sum("once").alias("once")).first()
+    distinct, once = sums["distinct"] or 0, sums["once"] or 0
+    ends = docs.agg(F.sum(F.size(F.filter("held_out", lambda h: ~h)))).first()[0] or 0
     tokens, distinct = int(of_class.sum()) + ends, distinct + (ends > 0)
     of_class[END], of_class[UNKNOWN] = ends + SMOOTH, once + SMOOTH  # as often as words that occur once
-    model = baum_welch(training, of_class / of_class.sum(), iterations)
+    model = baum_welch(docs, of_class / of_class.sum(), iterations)
     whole = tokens + SMOOTH * (distinct + 1)
     end_base = float(np.log10((ends + SMOOTH) / whole))
 
     def judge(own: pa.Table, words_: pa.Table) -> pa.Table:
-        place = words_["place"].to_numpy()
+        none = np.zeros(0, dtype=np.int64)
+        place = np.concatenate([none, *[np.cumsum(unpacked(n)) for n in words_["numbers"].to_pylist()]])
         c, kind = np.zeros(len(place)), np.full(len(place), UNKNOWN, dtype=np.uint8)
-        c[place] = words_["c"].fill_null(0).to_numpy()
-        kind[place] = words_["kind"].to_numpy()
+        c[place] = np.concatenate([none, *map(unpacked, words_["totals"].to_pylist())])
+        kind[place] = np.frombuffer(b"".join(words_["kinds"].to_pylist()), dtype=np.uint8)
         kind[c == 0] = UNKNOWN
         base = np.log10((c + SMOOTH) / whole)
         share = np.where(c > 0, np.log10(np.maximum(c, 1) / np.maximum(of_class[kind], SMOOTH)), 0.0)
-        ids = [joined(i) for i in own["ids"].to_pylist()]
+        (row,) = own.select(["doc_ids", "held_out", "sizes", "ids"]).to_pylist()
+        sizes = unpacked(row["sizes"])
+        ids = np.split(unpacked_firsts(row["ids"], 0), np.cumsum(sizes)[:-1])
         likelihood = model.log10([np.append(kind[i], np.uint8(END)) for i in ids])
         return pa.table(
             [
-                own["doc_id"],
-                own["held_out"],
-                pa.array([len(i) + 1 for i in ids], pa.int64()),
+                pa.array(row["doc_ids"], own.schema.field("doc_ids").type.value_type),
+                pa.array(row["held_out"], pa.bool_()),
+                pa.array(sizes + 1, pa.int64()),
                 pa.array([int((c[i] > 0).sum()) + (ends > 0) for i in ids], pa.int64()),
                 pa.array([tokens] * len(ids), pa.int64()),
                 pa.array([float(base[i].sum()) + end_base for i in ids], pa.float64()),
@@ -252,9 +317,8 @@ def score(documents: DataFrame, learns: Column, *, id_col: str = "doc_id", text:
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    counted = vocabulary.select("block", "place", "word", "kind").join(known.select("word", "c"), "word", "left").select(F.col("block").alias("of"), "place", "kind", "c")
-    kind = table.schema["doc_id"].dataType.simpleString()
+    kind = documents.schema[id_col].dataType.simpleString()
     return (
-        docs.select("block", "doc_id", "held_out", "ids").groupBy("block").cogroup(counted.groupBy("of"))
+        docs.drop("classes").groupBy("block").cogroup(counted.where("block is not null").select("block", "numbers", "totals", "kinds").groupBy("block"))
         .applyInArrow(judge, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )
