@@ -1,9 +1,9 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
-Each tree sends a document to the node of a few chosen minwise tokens, so that a pair shares a node as often as it
-shares those tokens. Small nodes are compared exhaustively on signatures. The sets of nodes that stay too large go on
-to fresh trees of longer paths, as many as the longer path needs, or are compared block by block where that takes no
-more rows. Every link that counts is confirmed on the full shingle sets.
+In each tree a document walks down from the root: every node chooses the minwise token that tells its children apart,
+so that a pair shares a path as often as it shares the tokens chosen on it. Small nodes are compared exhaustively on
+signatures. The sets of nodes that stay too large walk further, in fresh trees, as many as the longer path needs, or are
+compared block by block where that takes no more rows. Every link that counts is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ LEAF = 1000  # documents of a node that are compared exhaustively
 FEW = 8  # a node of so many gives all its pairs at once
 MARGIN = 0.14  # below the threshold; the estimate of a pair at 0.8 is lower with a probability of 2e-6
 SURE = 0.05  # above the threshold, first links come from pairs estimated so high
-UNIT = 500  # documents whose sets one confirming group holds, about
+UNIT = 1_000_000  # shingles of the sets that one confirming group holds, about
 
 _rng = np.random.default_rng(41)
 _XOR = _rng.integers(0, 2**32, TOKENS, dtype=np.uint64).astype(np.uint32)
@@ -58,10 +58,24 @@ def trees_for(percent: int, level: int) -> int:
     return high
 
 
-@functools.cache
-def first_tokens(trees: int) -> np.ndarray:
-    rng = np.random.default_rng(43)
-    return np.stack([rng.choice(TOKENS, DEPTH, replace=False) for _ in range(trees)])
+def walks(signatures: np.ndarray, trees: int, depth: int, level: int) -> np.ndarray:
+    """The node (uint64) at which each signature ends in each tree, after ``depth`` steps from the root.
+
+    A node's own number chooses the token that the step looks at. Tokens may be chosen twice on a path, so a pair
+    shares one at least as often as ``missed`` has it.
+    """
+    at = np.broadcast_to(mixed(np.arange(trees, dtype=np.uint64) + np.uint64(level << 32)), (len(signatures), trees))
+    rows = np.arange(len(signatures))[:, None]
+    for _ in range(depth):
+        token = signatures[rows, (at >> np.uint64(32)) % np.uint64(TOKENS)]
+        at = mixed(at ^ token)
+    return at
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB) + np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(31))
 
 
 class Shingler:
@@ -122,17 +136,20 @@ def crowded(paths: DataFrame) -> DataFrame:
     return materialise(paths.join(shared, "key"), "tree-nodes")
 
 
-def first_paths(sets: DataFrame, percent: int) -> DataFrame:
-    tokens = first_tokens(trees_for(percent, 0))
-    keys = [F.struct(F.xxhash64(F.lit(t), *[F.substring("signature", int(c) + 1, 1) for c in own]).alias("key"), F.lit(t).alias("tree")) for t, own in enumerate(tokens)]
-    return sets.select("node", F.explode(F.array(*keys)).alias("p")).select("p.key", "p.tree", "node")
+def paths(sets: DataFrame, percent: int, level: int) -> DataFrame:
+    """(key, tree, node): the node at which each set of ``sets(node, signature)`` ends in each tree of a level."""
+    trees, depth = trees_for(percent, level), DEPTH + DEEPER * level
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, 200_000 // trees)
+        for part in parts:
+            for at in range(0, part.num_rows, step):
+                some = part.slice(at, step)
+                key = walks(signature_matrix(some.column(1)), trees, depth, level).view(np.int64)
+                columns = [pa.array(key.ravel()), pa.array(np.tile(np.arange(trees, dtype=np.int32), len(key))), pa.array(np.repeat(some.column(0).to_numpy(), trees))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "tree", "node"])
 
-def longer_paths(sets: DataFrame, percent: int, level: int) -> DataFrame:
-    """Paths of a later level. Tokens are drawn with repetition, so a pair shares a path at least as often as ``missed`` has it."""
-    tokens = [F.expr(f"substring(signature, cast(pmod(xxhash64(tree, {level}, {k}), {TOKENS}) + 1 as int), 1)") for k in range(DEPTH + DEEPER * level)]
-    trees = F.explode(F.sequence(F.lit(0), F.lit(trees_for(percent, level) - 1))).alias("tree")
-    return sets.select("node", "signature", trees).select(F.xxhash64(F.lit(level), "tree", *tokens).alias("key"), "tree", "node")
+    return sets.select("node", "signature").mapInArrow(run, "key long, tree int, node long")
 
 
 def tiles(sets: DataFrame, blocks: int) -> DataFrame:
@@ -222,18 +239,31 @@ def overlaps(sets: list[np.ndarray], pairs: list[tuple[int, np.ndarray]]) -> Ite
         marked[own] = 0
 
 
+def in_tiles(members: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``members``, those of the nodes ``heavy(key, weight)`` dealt to tiles: each two of a node's blocks of about half
+    a UNIT of shingles are a node of their own, so that no task holds more than two, or two larger sets."""
+    own = members.join(heavy, "key", "left")
+    blocks = F.greatest(F.lit(1), F.ceil(2 * F.coalesce("weight", F.lit(0)) / UNIT)).cast("int")
+    block = F.pmod(F.xxhash64("node", F.lit("tile")), blocks).cast("int")
+    dealt = own.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    key = F.when(F.col("weight").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+    return dealt.select(key.alias("key"), *[c for c in members.columns if c != "key"])
+
+
 def linked_within(members: DataFrame, texts: DataFrame, least: float, percent: int, once: bool) -> DataFrame:
-    """Links (a, b) between different labels of ``members(key, tree, node, signature, label)``, exact.
+    """Links (a, b) between different labels of ``members(key, tree, node, n, signature, label)``, exact.
 
     All pairs of a node whose labels differ and whose estimate passes are compared on their full sets where the node
     is; what leaves is a link only if it joins labels that no link of the node has joined before, so the output is
     linear in the members. ``once``: a pair is compared in the first tree alone in which it meets.
     """
-    needs = materialise(members.select("key", "node").distinct(), "needs")
-    groups = max(1, needs.count() // UNIT)
+    heavy = materialise(members.groupBy("key").agg(F.sum("n").alias("weight")).where(F.col("weight") > UNIT), "heavy-nodes")
+    members = materialise(in_tiles(members, heavy), "compared-nodes")
+    needs = materialise(members.select("key", "node", "n").distinct(), "needs")
+    groups = max(1, (needs.agg(F.sum("n")).first()[0] or 0) // UNIT)
     group = F.pmod("key", F.lit(groups)).cast("int")
     wanted = needs.select(group.alias("group"), "node").distinct().join(texts, "node")
-    paths = first_tokens(trees_for(percent, 0))
+    trees = trees_for(percent, 0)
 
     def check(own: pa.Table, some: pa.Table) -> pa.Table:
         shingler, first, more = Shingler(), {}, {}
@@ -247,11 +277,11 @@ def linked_within(members: DataFrame, texts: DataFrame, least: float, percent: i
         a, b = [], []
         for s, e in zip(starts, ends, strict=True):
             todo = []
+            ends_at = walks(sig[s:e], trees, DEPTH, 0) if once else None
             for i in range(s, e - 1):
                 j = np.flatnonzero((agreement(sig[i], sig[i + 1 : e]) >= least) & (label[i + 1 : e] != label[i])) + i + 1
                 if once and len(j):
-                    earlier = paths[: tree[i]]
-                    j = j[~(sig[i][earlier] == sig[j][:, earlier]).all(axis=2).any(axis=1)]
+                    j = j[~(ends_at[i - s, : tree[i]] == ends_at[j - s, : tree[i]]).any(axis=1)]
                 if len(j):
                     todo.append((i - s, j - s))
             if not todo:
@@ -294,18 +324,20 @@ def likely(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "key", "of_a", "of_b").mapInArrow(run, "a long, b long, key long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
     Pairs that met in one tree node are confirmed together, so that a text goes where its partners go instead of
-    with every pair; a group holds about ``UNIT`` texts.
+    with every pair; a group holds sets of about ``UNIT`` shingles. The pairs of a node that has more are dealt out.
     """
     ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "key").where("a < b")
     todo = materialise(ordered.groupBy("a", "b").agg(F.min("key").alias("key")), "pairs")
-    needs = materialise(todo.select("key", F.explode(F.array("a", "b")).alias("node")).distinct(), "needs")
-    groups = max(1, needs.count() // UNIT)
+    needs = materialise(todo.select("key", F.explode(F.array("a", "b")).alias("node")).distinct().join(sizes, "node"), "needs")
+    heavy = needs.groupBy("key").agg(F.sum("n").alias("weight")).where(F.col("weight") > UNIT).select("key", F.lit(True).alias("heavy"))
+    todo = materialise(todo.join(heavy, "key", "left").select("a", "b", F.when(F.col("heavy"), F.xxhash64("a", "b")).otherwise(F.col("key")).alias("key")), "pairs")
+    groups = max(1, (needs.agg(F.sum("n")).first()[0] or 0) // UNIT)
     group = F.pmod("key", F.lit(groups)).cast("int")
-    wanted = needs.select(group.alias("group"), "node").distinct().join(texts, "node")
+    wanted = materialise(todo.select(group.alias("group"), F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted").join(texts, "node")
 
     def check(own: pa.Table, some: pa.Table) -> pa.Table:
         shingler, sets = Shingler(), {}
@@ -336,17 +368,21 @@ def near_duplicates(documents: DataFrame, *, percent: int = 80, id_col: str = "d
     document, linked as any of its texts is. Rows of null id are linked with nothing, their component is null
     and they are kept. An empty table gives no rows. Other columns are ignored.
 
-    Equal sets are one set from the start, whatever their number. Among different sets a pair at the threshold
-    meets in a small node, or in one that is one component, except with a probability under ``2 * MISSED``, at any
-    depth, and has too low an estimate, which no tree makes good, with one of 2e-6 at 0.8; its links are exact. Nodes of more than ``leaf`` sets first link every set to one of them, which costs one
-    pair a set; nodes that this makes one component are done. The sets of the others go on to ``trees_for`` fresh
-    trees of longer paths, or to tiles of ``leaf`` sets, which miss nothing, once these take no more rows than trees.
+    Equal sets are one set from the start, whatever their number. A pair at the threshold is lost with a chance of
+    2 * MISSED (8e-6) at most because it meets in no node that is compared or is one component, over all levels, and
+    with one of 2e-6 (at 0.8) because its estimate is too low, which no tree makes good; pairs above it are lost more
+    rarely. Links are exact. Nodes of more than ``leaf`` sets first link every set to one of them, which costs one pair
+    a set; nodes that this makes one component are done. The sets of the others go on to ``trees_for`` fresh trees of
+    longer paths, or to tiles of ``leaf`` sets, which miss nothing, once these take no more rows than trees. As trees
+    grow in number by 1 / similarity ** DEEPER a level, that is so after log(2 * sets / leaf) / log(1 / similarity **
+    DEEPER) levels at most. No task holds more than nodes of ``leaf`` signatures or sets of a few UNIT shingles, besides
+    single larger sets.
     """
     all_ = materialise(sketches(documents, id_col, text), "sketches")
     able = all_.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    sets = materialise(able.groupBy("digest").agg(F.min("doc_id").cast("long").alias("node"), F.first("signature").alias("signature")), "sets")
-    signatures = sets.select("node", "signature")
-    members = crowded(first_paths(signatures, percent))
+    sets = materialise(able.groupBy("digest").agg(F.min("doc_id").cast("long").alias("node"), F.first("signature").alias("signature"), F.first("n").alias("n")), "sets")
+    signatures, sizes = sets.select("node", "signature"), sets.select("node", "n")
+    members = crowded(paths(signatures, percent, 0))
     wanted = members.select("node").distinct()
     source = documents.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text"))
     texts = materialise(source.join(wanted, "node", "left_semi"), "texts")
@@ -361,7 +397,7 @@ def near_duplicates(documents: DataFrame, *, percent: int = 80, id_col: str = "d
         centre = materialise(large.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("mix"), "node")).alias("m")).select("key", F.col("m.node").alias("centre")), "centres")
         part = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / 500)))
         stars = large.join(centre, "key").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"), part.alias("key"))
-        found = confirmed(likely(stars, signatures, least), texts, percent)
+        found = confirmed(likely(stars, signatures, least), sizes, texts, percent)
         links = found if links is None else links.unionByName(found)
         labelled = large.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = materialise(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "mixed")
@@ -373,12 +409,12 @@ def near_duplicates(documents: DataFrame, *, percent: int = 80, id_col: str = "d
         if blocks <= trees_for(percent, level):
             small = small.unionByName(crowded(tiles(rest, blocks)))
             break
-        grown = crowded(longer_paths(rest, percent, level))
+        grown = crowded(paths(rest, percent, level))
         small = small.unionByName(grown.where(F.col("size") <= leaf))
         large = grown.where(F.col("size") > leaf)
 
-    nodes = materialise(small.join(signatures, "node").select("key", "tree", "node", "size", "signature"), "leaves")
-    found = confirmed(compared(nodes, least, sure), texts, percent)
+    nodes = materialise(small.join(sets, "node").select("key", "tree", "node", "n", "size", "signature"), "leaves")
+    found = confirmed(compared(nodes, least, sure), sizes, texts, percent)
     links = found if links is None else links.unionByName(found)
     first = components(links)
     again = nodes.where(F.col("size") > FEW).join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -393,6 +429,9 @@ def near_duplicates(documents: DataFrame, *, percent: int = 80, id_col: str = "d
 
 
 def keep_one(documents: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``documents`` without those whose component has a smaller id, all their columns as they are."""
+    """The rows of ``documents`` without those whose component has a smaller id, all their columns as they are.
+
+    Rows of null id and rows without words stay, rows that share an id stay or go together, an empty table stays empty.
+    """
     gone = materialise(near_duplicates(documents, percent=percent, id_col=id_col, text=text).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct(), "near-copies")
     return documents.join(gone, id_col, "left_anti").select(*documents.columns)

@@ -102,11 +102,45 @@ def test_chance_to_miss_a_pair_over_the_levels():
     for percent in (80, 85):
         chances = [near.missed(percent, near.DEPTH + near.DEEPER * n, near.trees_for(percent, n)) for n in range(5)]
         assert sum(chances) < 2 * near.MISSED
-    rng, trees, lost = np.random.default_rng(1), 12, 0
-    for _ in range(4000):
-        same = rng.random(near.TOKENS) < 0.8 + 0.2 / 256
-        lost += not any(same[rng.choice(near.TOKENS, near.DEPTH + near.DEEPER, replace=False)].all() for _ in range(trees))
-    assert abs(lost / 4000 - near.missed(80, near.DEPTH + near.DEEPER, trees)) < 0.03
+    rng, trees, depth = np.random.default_rng(1), 12, near.DEPTH + near.DEEPER
+    a = rng.integers(0, 256, (4000, near.TOKENS)).astype(np.uint8)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 256, a.shape)).astype(np.uint8)
+    lost = ~(near.walks(a, trees, depth, 1) == near.walks(b, trees, depth, 1)).any(axis=1)
+    assert abs(lost.mean() - near.missed(80, depth, trees)) < 0.03
+
+
+def test_nodes_choose_the_tokens_of_a_path():
+    """Within one tree, sets that part at the root look at different tokens afterwards."""
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 256, (300, near.TOKENS)).astype(np.uint8)
+    first = near.walks(a, 1, 1, 0)[:, 0]
+    chosen = {int((f >> np.uint64(32)) % np.uint64(near.TOKENS)) for f in first}
+    assert len(set(first.tolist())) > 100 and len(chosen) > 50
+    assert len(np.unique(near.walks(a[:1], 60, near.DEPTH, 0))) == 60
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs of similarity 0.82 to 0.88, each a group of its own, against brute force."""
+    rng = random.Random(11)
+    rows = []
+    for n in range(500):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(104)]  # 100 shingles
+        near_ = base[: 104 - rng.randrange(6, 11)]
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(near_ + [f"y{rng.randrange(10**6)}" for _ in range(104 - len(near_))]))]
+    want = brute(rows, 85)
+    linked = {i for i, (_, c) in want.items() if c != i}
+    assert 100 < len(linked) < 400
+    got = near.near_duplicates(spark.createDataFrame([(*r, "x", "y", "z") for r in rows], SCHEMA), percent=85).collect()
+    found = {r.doc_id for r in got if r.component_id != r.doc_id}
+    print("recall", len(found & linked) / len(linked))
+    assert len(found & linked) >= 0.99 * len(linked) and not found - linked
+
+
+def test_long_texts_are_dealt_out(spark, monkeypatch):
+    """Nodes of more shingles than a group may hold: their pairs and tiles apart, with the same result."""
+    monkeypatch.setattr(near, "UNIT", 300)
+    check(spark, corpus(random.Random(7), bases=4, copies=20), 85)
+    check(spark, corpus(random.Random(8), bases=2, copies=25), 80, leaf=6)
 
 
 def test_estimates_drop_few_pairs_at_the_threshold():
