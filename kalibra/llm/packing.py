@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -20,6 +21,8 @@ CACHED = 700_000  # chunks of a generation; a worker keeps the ids of two
 
 #: Latin letters whose lower case is one letter, then marks that never split.
 _LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u01ef\u01f1-\u024f]+)([.,;:!?]*)")
+#: Fixed by the tokenizer: what its pre-tokenizer keeps.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CONTROLS = "\x1c\x1d\x1e\x1f"  # white space to str.split() only
 
 Piece = tuple[int, int, bytes]  # document's number, ids of it before, ids
@@ -44,6 +47,16 @@ class Chunks(dict):
         return ids
 
 
+class WholeEncoder:
+    """Any tokenizer, asked for each text."""
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 class ChunkEncoder:
     """A tokenizer that drops white space and never joins what it separates: chunks are encoded once each.
 
@@ -90,9 +103,24 @@ def _split_spaces(text: str) -> list[str]:
     return [c.translate(shown) for c in text.translate(hidden).split()]
 
 
+def cuts_at_space(path: str) -> bool:
+    """Whether a tokenizer file describes what ``ChunkEncoder`` needs: text in NFC with white space as blanks, lower-cased;
+    split into words, marks and single digits, white space removed; then byte-level merges."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    parts = lambda name, inner: [p["type"] for p in (told.get(name) or {}).get(inner, [])]
+    splits = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        parts("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"]
+        and parts("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
+        and (splits[0]["pattern"], splits[0]["behavior"], splits[0]["invert"]) == ({"Regex": WORDS}, "Removed", True)
+        and told["model"]["type"] == "BPE"
+    )
+
+
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def encoder(path: str) -> ChunkEncoder | WholeEncoder:
+    return ChunkEncoder(path) if cuts_at_space(path) else WholeEncoder(path)
 
 
 class Windows:
@@ -100,60 +128,82 @@ class Windows:
 
     ``levels[h]`` counts the open windows filled to h. A piece of s ids goes to the level h (0: a new window)
     for which the sum of squared counts grows least by moving one window from h to h + s; of several the
-    fullest. A full window leaves. No more than ``most`` windows stay open: beyond that, and at the end, the
-    open ones are joined and cut anew into full windows.
+    fullest. A window with room for no more than ``slack`` ids leaves the levels: the next document's first ids fill
+    it. No more than ``most`` windows stay open: beyond that the fullest is filled in this way. At the end the open
+    ones are joined and cut anew into full windows.
     """
 
-    def __init__(self, length: int, most: int = OPEN) -> None:
+    def __init__(self, length: int, most: int = OPEN, slack: int | None = None) -> None:
         self.length, self.most = length, most
+        self.closes = length - (length // 16 if slack is None else slack)
         self.levels = np.zeros(length + 1, dtype=np.int64)
         self.at: dict[int, list[list[Piece]]] = {}
         self.open = 0
         self.full: list[list[Piece]] = []
+        self.short: list[Piece] = []  # the window that the next document fills
+        self.room = 0
 
     def level_for(self, size: int) -> int:
         used = np.flatnonzero(self.levels[1 : self.length - size + 1]) + 1
-        new = 2 * self.levels[size] + 1
+        new = 2 * self.levels[size] + 1 if size < self.closes else 0
         if not len(used):
             return 0
         after = used + size
-        growth = 1 - 2 * self.levels[used] + np.where(after < self.length, 2 * self.levels[np.minimum(after, self.length)] + 1, 0)
+        growth = 1 - 2 * self.levels[used] + np.where(after < self.closes, 2 * self.levels[np.minimum(after, self.length)] + 1, 0)
         best = len(used) - 1 - int(np.argmin(growth[::-1]))
         return int(used[best]) if growth[best] <= new else 0
 
     def add(self, doc: int, ids: bytes) -> None:
-        width = 4 * self.length
-        for k in range(0, len(ids) - width + 1, width):
-            self.full.append([(doc, k // 4, ids[k : k + width])])
-        rest = ids[len(ids) // width * width :]
-        if rest:
-            self.put([(doc, len(ids) // width * self.length, rest)])
-        if self.open > self.most:
-            rest_pieces = self.recut()
-            if rest_pieces:
-                self.put(rest_pieces)
-
-    def put(self, pieces: list[Piece]) -> None:
-        size = sum(len(p[2]) for p in pieces) // 4
+        start, width = 0, 4 * self.length
+        if self.room:
+            taken = ids[: 4 * self.room]
+            self.short.append((doc, 0, taken))
+            start, ids = len(taken) // 4, ids[len(taken) :]
+            self.room -= start
+            if not self.room:
+                self.full.append(self.short)
+                self.short = []
+        whole = len(ids) // width * width
+        for k in range(0, whole, width):
+            self.full.append([(doc, start + k // 4, ids[k : k + width])])
+        if len(ids) > whole:
+            self.put((doc, start + whole // 4, ids[whole:]))
+        if self.open > self.most and not self.room:
+            self.shorten(int(np.flatnonzero(self.levels)[-1]), [])
+
+    def put(self, piece: Piece) -> None:
+        size = len(piece[2]) // 4
         h = self.level_for(size)
-        window = self.at[h].pop() if h else []
-        if h:
-            self.levels[h] -= 1
-            self.open -= 1
-        window += pieces
-        if h + size == self.length:
-            self.full.append(window)
+        if h + size >= self.closes:
+            self.shorten(h, [piece])
+            return
+        window = [*self.taken(h), piece]
+        self.levels[h + size] += 1
+        self.at.setdefault(h + size, []).append(window)
+        self.open += 1
+
+    def taken(self, h: int) -> list[Piece]:
+        if not h:
+            return []
+        self.levels[h] -= 1
+        self.open -= 1
+        return self.at[h].pop()
+
+    def shorten(self, h: int, more: list[Piece]) -> None:
+        """A window of level h and ``more`` is full, or waits for the next document."""
+        window = self.taken(h) + more
+        room = self.length - h - sum(len(p[2]) // 4 for p in more)
+        if room:
+            self.short, self.room = window, room
         else:
-            self.levels[h + size] += 1
-            self.at.setdefault(h + size, []).append(window)
-            self.open += 1
+            self.full.append(window)
 
     def recut(self) -> list[Piece]:
         """Joins the open windows, fullest first, into full ones; returns what is left over, less than one window."""
         window: list[Piece] = []
         room = self.length
-        for h in sorted(self.at, reverse=True):
-            for doc, start, ids in (p for w in self.at[h] for p in w):
+        for pieces in [self.short, *(w for h in sorted(self.at, reverse=True) for w in self.at[h])]:
+            for doc, start, ids in pieces:
                 while ids:
                     taken = ids[: 4 * room]
                     window.append((doc, start, taken))
@@ -161,7 +211,7 @@ class Windows:
                     if not room:
                         self.full.append(window)
                         window, room = [], self.length
-        self.levels[:], self.at, self.open = 0, {}, 0
+        self.levels[:], self.at, self.open, self.short, self.room = 0, {}, 0, [], 0
         return window
 
     def close(self) -> None:
@@ -189,7 +239,9 @@ def pack(documents: DataFrame, tokenizer: str, *, length: int = LENGTH, end_id:
     ``length`` ids are windows of their own; what remains is placed by ``Windows``, each task packing the rows
     it reads in their order, without a shuffle. A sequence's number holds the task's number, so a task that
     runs again gives the same. Sequences are full, but for each task's last rest. Repeated rows and null
-    ids are documents of their own; an empty table gives no rows. Other columns are ignored.
+    ids are documents of their own; of levels that serve equally the fullest is taken; an empty table gives no rows.
+    Other columns are ignored. ``tokenizer`` is a tokenizer file; whole texts go to it unless it lower-cases, drops
+    white space and merges bytes, when equal chunks between white space are encoded once.
     """
     kind = documents.schema[id_col].dataType
     ddl = f"doc_id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"

@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -31,6 +31,7 @@ def test_chunks_encode_as_whole_texts_of_the_corpus():
 def test_level_minimises_sum_of_squares():
     rng = random.Random(1)
     windows = packing.Windows(50)
+    closes = 50 - 50 // 16
     for n in range(400):
         size = rng.randrange(1, 50)
         before = int((windows.levels**2).sum())
@@ -39,12 +40,75 @@ def test_level_minimises_sum_of_squares():
             if h + size <= 50:
                 levels = windows.levels.copy()
                 levels[h] -= h > 0
-                levels[h + size] += h + size < 50
+                levels[h + size] += h + size < closes
                 growth[h] = int((levels**2).sum()) - before
         assert growth[windows.level_for(size)] == min(growth.values())
+        best = min(growth.values())
+        assert windows.level_for(size) == max(h for h, g in growth.items() if g == best)
         windows.add(n, bytes(4 * size))
 
 
+def test_placements_equal_a_plain_packer():
+    """Every placement, fill and cut by lists of window sizes, up to the end of the task."""
+    rng = random.Random(2)
+    windows, closes = packing.Windows(64), 64 - 64 // 16
+    want, open_, short = [], [], None
+    for n in range(600):
+        size = left = rng.randrange(1, 150)
+        windows.add(n, bytes(4 * size))
+        if short:
+            taken = min(left, 64 - sum(k for *_, k in short))
+            short.append((n, 0, taken))
+            left -= taken
+            if sum(k for *_, k in short) == 64:
+                want.append(short)
+                short = None
+        while left >= 64:
+            want.append([(n, size - left, 64)])
+            left -= 64
+        if not left:
+            continue
+        sizes = Counter(sum(k for *_, k in w) for w in open_)
+        cost = {}
+        for h in {0, *sizes}:
+            if h + left <= 64:
+                after = Counter(sizes)
+                after[h] -= h > 0
+                after[h + left] += h + left < closes
+                cost[h] = sum(v * v for v in after.values())
+        h = max(h for h in cost if cost[h] == min(cost.values()))
+        window = [] if not h else next(w for w in reversed(open_) if sum(k for *_, k in w) == h)
+        open_ = [w for w in open_ if w is not window]
+        window.append((n, size - left, left))
+        if h + left == 64:
+            want.append(window)
+        elif h + left >= closes:
+            short = window
+        else:
+            open_.append(window)
+    assert [[(d, s, len(i) // 4) for d, s, i in w] for w in windows.full] == want
+
+
+def test_most_windows_come_from_placing():
+    """Tasks of 312 documents: what the end of a task cuts anew is under a tenth."""
+    rng = random.Random(3)
+    windows, ids = packing.Windows(2048), 0
+    for n in range(312):
+        size = min(20_000, int(rng.lognormvariate(6.3, 0.9)) + 1)
+        ids += size
+        windows.add(n, bytes(4 * size))
+    placed = len(windows.full)
+    windows.close()
+    assert sum(len(p[2]) for w in windows.full for p in w) == 4 * ids and placed > 0.9 * ids / 2048
+
+
+def test_other_tokenizers_take_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    assert isinstance(packing.encoder(PATH), packing.ChunkEncoder) and isinstance(packing.encoder(path), packing.WholeEncoder)
+    assert [np.frombuffer(i, dtype="<u4").tolist() for i in packing.encoder(path).encode(TEXTS)] == [whole.encode(t, add_special_tokens=False).ids for t in TEXTS]
+
+
 def test_pieces_rebuild_documents(spark):
     rows = [(i, t, "x", "y") for i, t in enumerate(TEXTS * 3)] + [(0, TEXTS[0], "x", "y"), (99, None, "x", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, start string, offset string").repartition(3)
