@@ -90,11 +90,11 @@ def test_stages_with_nulls_repeats_and_long_texts(spark, tmp_path):
     rows = corpus()
     long_ = "\n".join(f"of the {i} and {i * i} with that" for i in range(60_000))
     rows += [(300, long_, "en", "s1", len(long_)), (301, "", "en", None, 0), (None, None, None, None, None), (None, rows[7][1] + " once", "en", None, 5)]
-    rows += [(302, rows[9][1] + " twice over " * 9, "en", "s1", 7)] * 2 + [(None, rows[9][1] + " three of them " * 9, "en", "s1", 7)] * 2
+    rows += [(302, rows[9][1] + " twice over " * 9, "en", "s1", 7)] * 2 + [(None, rows[9][1] + " three of them " * 6, "en", "s1", 7)] * 2
     seen = through(spark, rows, tmp_path)
     ids = {name: Counter(r.doc_id for r in found) for name, found in seen.items()}
     for name in ("quality_rules", "language_id", "line_dedup", "near_dedup"):
-        assert 301 not in ids[name] and ids[name][302] == 2 and ids[name][300] == 1 and ids[name][None] == 3
+        assert 301 not in ids[name] and ids[name][302] == (0 if name == "near_dedup" else 2) and ids[name][300] == 1 and ids[name][None] == 3  # 302 is a near copy of 9
     assert next(r for r in seen["near_dedup"] if r.doc_id == 300).text == long_
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = sum(len(whole.encode(r.text, add_special_tokens=False).ids) + 1 for r in seen["near_dedup"])
