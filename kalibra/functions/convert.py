@@ -36,13 +36,15 @@ def physical(raw: Column, kind: Column, coeffs: Column, linear: Column, tab_kind
 
 
 def stored(num: Column, txt: Column, kind: Column, coeffs: Column, linear: Column, pairs: Column) -> Column:
-    """The raw value of a physical one: the inverse of ``physical``; tables give the entry of equal text or nearest number, of equally near ones the first."""
+    """The raw value of a physical one: the inverse of ``physical``; a table of names gives the first entry of equal text or
+    number, one that interpolates the nearest, of equally near ones the first; what no entry answers stays as it is."""
     c, l = (lambda i: F.get(coeffs, F.lit(i))), (lambda i: F.get(linear, F.lit(i)))
-    by_text = F.get(F.filter(pairs, lambda p: p["txt"] == txt), F.lit(0))["raw"]
+    entry = F.get(F.filter(pairs, lambda p: F.when(txt.isNotNull(), p["txt"] == txt).otherwise(p["num"] == num)), F.lit(0))["raw"]
     near = F.array_min(F.transform(F.filter(pairs, lambda p: p["num"].isNotNull()), lambda p, i: F.struct(F.abs(p["num"] - num).alias("gap"), i.alias("place"), p["raw"].alias("raw"))))["raw"]
     return (
         F.when((kind == "LINEAR") & (F.size(linear) == 2), F.when(l(0) != 0, (num - l(1)) / l(0)).otherwise(num))
         .when((kind == "RAT_FUNC") & rational(coeffs) & (c(4) != 0), (num * c(1) + c(2)) / c(4))
-        .when(kind.isin("TAB_VERB", "TAB_NOINTP", "TAB_INTP"), F.coalesce(by_text, near))
+        .when(kind.isin(*NO_INTERPOLATION), F.coalesce(entry, num))
+        .when(kind == "TAB_INTP", F.coalesce(near, num))
         .otherwise(num)
     )

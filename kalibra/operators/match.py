@@ -91,10 +91,10 @@ def nearest_in_tiles(vectors: DataFrame, is_query: Column, k: int, *, within: bo
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def mean_vector(vectors: DataFrame, key: str, v: str) -> DataFrame:
-    """Per key the element-wise mean; vectors whose length is not the key's most frequent first vector's count in the divisor only."""
-    sized = vectors.select(key, F.col(v).alias("v"), F.size(v).alias("n"))
-    usual = sized.groupBy(key).agg(F.mode("n").alias("usual"), F.count(F.lit(1)).alias("rows"))
+def mean_vector(vectors: DataFrame, key: str, v: str, order: str) -> DataFrame:
+    """Per key the element-wise mean; vectors as long as the key's first by ``order`` are added up, the others count in the divisor only."""
+    sized = vectors.select(key, F.col(v).alias("v"), F.size(v).alias("n"), F.col(order).alias("_o"))
+    usual = sized.groupBy(key).agg(F.min_by("n", "_o").alias("usual"), F.count(F.lit(1)).alias("rows"))
     parts = sized.select(key, "n", F.posexplode("v").alias("i", "x")).groupBy(key, "n", "i").agg(F.sum(F.col("x").cast("double")).alias("s"))
     joined = parts.join(usual, key).where(F.col("n") == F.col("usual"))
     return joined.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", (F.col("s") / F.col("rows")).alias("m")))).alias("p")).select(key, F.transform("p", lambda e: e["m"]).alias("mean"))

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from .sequence import ordered, runs
 
-# Fixed value: a page header, a function's name and version.
-HEADER = r"\b([A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]*?)\s*(\d+(?:\.\d+){1,3}\s*;\s*\d+)"
+# A page header: a function's name and its version (digits and points, a semicolon, a number) in one of three frames.
+NAME, VERSION = r"([A-Za-z]\w*)", r"([\d.]+\s*;\s*\d+)"
+HEADERS = [rf"FC\s*:\s*{NAME}\s*/\s*{VERSION}", rf"\[\s*{NAME}\s+{VERSION}\s*\]", rf"^\s*{NAME}\s+{VERSION}\b"]
 TABLE = r"(?i)^\s*Table\s+(\d+)\b"
 
 
 def page_headers(lines: DataFrame) -> DataFrame:
-    """(doc_id, page, name, version): the first header among a page's lines, name in lower case, version without spaces."""
-    found = lines.where(F.col("line").rlike(HEADER)).groupBy("doc_id", "page").agg(F.min_by("line", "line_no").alias("line"))
-    return found.select("doc_id", "page", F.lower(F.regexp_extract("line", HEADER, 1)).alias("name"), F.regexp_replace(F.regexp_extract("line", HEADER, 2), r"\s+", "").alias("version"))
+    """(doc_id, page, name, version): the first header among a page's lines, in a line the first frame of ``HEADERS``; name
+    in lower case, version without spaces."""
+    read = F.coalesce(*[F.when(F.col("line").rlike(h), F.struct(F.lower(F.regexp_extract("line", h, 1)).alias("name"), F.regexp_replace(F.regexp_extract("line", h, 2), r"\s+", "").alias("version"))) for h in HEADERS])
+    found = lines.withColumn("read", read).where("read is not null").groupBy("doc_id", "page").agg(F.min_by("read", "line_no").alias("read"))
+    return found.select("doc_id", "page", "read.name", "read.version")
 
 
 def function_blocks(lines: DataFrame) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.compare import texts_equal
 
 
+#: What an event's action means.
+REASONS = {"updated": "value replaced", "copied": "no value change", "attention": "in no source", "skipped": "source or destination has no values", "padded": "source map rows are ragged"}
+
+
 def stacked(sources: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """The sources' rows as one table, with ``source`` and ``priority`` (1 for the first)."""
     tagged = [df.withColumns({"source": F.lit(name), "priority": F.lit(n)}) for n, (name, df) in enumerate(sources, 1)]
@@ -59,9 +63,10 @@ def source_summary(results: DataFrame) -> DataFrame:
 
 
 def events(results: DataFrame, key: str) -> DataFrame:
-    """One audit event per key."""
-    reason = F.create_map(F.lit("updated"), F.lit("value replaced"), F.lit("copied"), F.lit("no value change"), F.lit("attention"), F.lit("in no source"))
-    return results.select("source", F.col(key).alias("label"), F.col("status").alias("action"), F.lit("reconcile").alias("stage"), reason[F.col("status")].alias("reason"))
+    """One audit event per key, and one more, padded, for each key whose ``ragged`` (if there is such a column) holds."""
+    reason = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
+    action = F.array(F.col("status")) if "ragged" not in results.columns else F.when(F.coalesce("ragged", F.lit(False)), F.array(F.lit("padded"), F.col("status"))).otherwise(F.array("status"))
+    return results.select("source", F.col(key).alias("label"), F.explode(action).alias("action")).select("source", "label", "action", F.lit("reconcile").alias("stage"), F.try_element_at(reason, F.col("action")).alias("reason"))
 
 
 def tiered(left: DataFrame, text: str, exact: DataFrame, prefix: DataFrame, default: Column) -> DataFrame:

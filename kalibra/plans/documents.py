@@ -11,23 +11,20 @@ from . import samples
 from .registry import load, query
 
 SCORED = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, 1 - list_cosine_similarity(q.v, e.v) AS d FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id < 10),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, 1 - list_cosine_similarity(q.v, e.v) AS d FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0),
 p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS place FROM s) t WHERE place <= 50)"""
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 nearest vectors of ten query vectors, whatever their label."""
+    """The 50 nearest vectors of every vector whose id is divisible by 50, whatever their label."""
     vectors = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
-    asked = F.broadcast(vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
-    scored = vectors.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", match.cosine_distance(F.col("q"), F.col("v")).alias("d"))
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))).where("place <= 50")
+    return match.nearest_in_tiles(vectors, F.col("vec_id") % 50 == 0, 50).withColumnsRenamed({"distance": "d", "rank": "place"})
 
 
 @query(SCORED + """, b AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY d, vec_id) AS k FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM b WHERE k = 1)
 SELECT query_id, label, vec_id, round(d, 6) AS distance, rank FROM r WHERE rank <= 3""")
 def unique_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the pool the best of each label, of those the three best."""
     best = pool(spark, sf_dir).groupBy("query_id", "label").agg(F.min(F.struct("d", "vec_id")).alias("b")).select("query_id", "label", "b.*")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))
     return best.withColumn("rank", rank).where("rank <= 3").select("query_id", "label", "vec_id", F.round("d", 6).alias("distance"), "rank")
@@ -35,33 +32,9 @@ def unique_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SCORED + " SELECT query_id, vec_id, place FROM p WHERE label = 3")
 def filter_after_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The limit comes first: a query with no such label among its 50 has no row."""
     return pool(spark, sf_dir).where("label = 3").select("query_id", "vec_id", "place")
 
 
-SCORED_ALL = SCORED.replace("q.vec_id < 10", "q.vec_id % 50 = 0")
-
-
-def pool_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 nearest vectors of every vector whose id is divisible by 50, whatever their label."""
-    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
-    return match.nearest_in_tiles(vectors, F.col("vec_id") % 50 == 0, 50).withColumnsRenamed({"distance": "d", "rank": "place"})
-
-
-@query(SCORED_ALL + """, b AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY d, vec_id) AS k FROM p),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM b WHERE k = 1)
-SELECT query_id, label, vec_id, round(d, 6) AS distance, rank FROM r WHERE rank <= 3""")
-def unique_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = pool_all(spark, sf_dir).groupBy("query_id", "label").agg(F.min(F.struct("d", "vec_id")).alias("b")).select("query_id", "label", "b.*")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))
-    return best.withColumn("rank", rank).where("rank <= 3").select("query_id", "label", "vec_id", F.round("d", 6).alias("distance"), "rank")
-
-
-@query(SCORED_ALL + " SELECT query_id, vec_id, place FROM p WHERE label = 3")
-def filter_after_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pool_all(spark, sf_dir).where("label = 3").select("query_id", "vec_id", "place")
-
-
 @query("""WITH n AS (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings WHERE vec_id % 2 = 0) t GROUP BY label, i),
 q AS (SELECT label, list(m ORDER BY i) AS v FROM n GROUP BY label), s AS (SELECT q.label, e.vec_id, 1 - list_cosine_similarity(q.v, list_transform(e.embedding, lambda x: x::DOUBLE)) AS d
 FROM q JOIN embeddings e ON q.label = e.label WHERE e.vec_id % 2 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS rank FROM s)
@@ -69,7 +42,7 @@ SELECT label, vec_id, round(d, 6) AS distance, rank FROM r WHERE rank <= 5""")
 def two_stage_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of a label's new vectors asks for its nearest old ones."""
     vectors = load(spark, sf_dir, "embeddings")
-    asked = match.mean_vector(vectors.where("vec_id % 2 = 0"), "label", "embedding").select(F.col("label").alias("query_id"), "label", F.col("mean").alias("q"))
+    asked = match.mean_vector(vectors.where("vec_id % 2 = 0"), "label", "embedding", "vec_id").select(F.col("label").alias("query_id"), "label", F.col("mean").alias("q"))
     old = vectors.where("vec_id % 2 = 1").select("vec_id", "label", F.col("embedding").alias("v"))
     return match.nearest_in_group(asked, old, "label", 5).select("label", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 

@@ -12,12 +12,12 @@ from .registry import load, query
 
 
 @query("""SELECT * FROM (VALUES ('Eem_tiWait_C', '', 'a description that is long', true, true, 'Scalar'), ('FId_Map_M', '{1,2}', '', true, true, '2D Map'), ('Other_X_C', '5', '', true, false, 'Scalar'),
-('has space_C', '5', '', false, false, 'Scalar'), ('Eem_x', '1;2', '', false, false, 'Array'), ('Eem_cur_T', '1 -> 2', '', true, true, 'Curve/Table'), ('Eem_Short_C', '', 'short', true, false, 'Scalar')) v(label, value, description, shape, relevant, structure)""")
+('has space_C', '5', '', false, false, 'Scalar'), ('Eem_x', '1;2', '', false, false, 'Array'), ('Eem_cur_T', '1 -> 2', '', true, true, 'Curve/Table'), ('Eem_Short_C', '', 'short', true, false, 'Scalar'), ('P123_Eem_C', '5', '', true, false, 'Scalar'), ('Eem_list', '[1, 2]', '', false, false, 'Array'), ('Eem_pts', 'at 3: 4', '', false, false, 'Curve/Table')) v(label, value, description, shape, relevant, structure)""")
 def label_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("Eem_tiWait_C", "", "a description that is long"), ("FId_Map_M", "{1,2}", ""), ("Other_X_C", "5", ""), ("has space_C", "5", ""), ("Eem_x", "1;2", ""), ("Eem_cur_T", "1 -> 2", ""), ("Eem_Short_C", "", "short")]
+    rows = [("Eem_tiWait_C", "", "a description that is long"), ("FId_Map_M", "{1,2}", ""), ("Other_X_C", "5", ""), ("has space_C", "5", ""), ("Eem_x", "1;2", ""), ("Eem_cur_T", "1 -> 2", ""), ("Eem_Short_C", "", "short"), ("P123_Eem_C", "5", ""), ("Eem_list", "[1, 2]", ""), ("Eem_pts", "at 3: 4", "")]
     c = F.col
     return spark.createDataFrame(rows, "label string, value string, description string").select(
-        "label", "value", "description", labels.looks_like_label(c("label")).alias("shape"), labels.relevant(c("label"), F.lit("Fn"), c("description"), c("value"), ("Eem_", "FId_")).alias("relevant"), labels.structure(c("value"), c("label")).alias("structure")
+        "label", "value", "description", labels.looks_like_label(c("label")).alias("shape"), labels.relevant(c("label"), F.lit("Fn"), c("description"), c("value"), ("Eem_", "FId_", "P123_")).alias("relevant"), labels.structure(c("value"), c("label")).alias("structure")
     )
 
 
@@ -74,10 +74,10 @@ def section_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "line_no", sequence.filled(head, ["doc_id"], ["line_no"]).alias("heading"), F.coalesce(following, last).alias("section_end"))
 
 
-@query("""SELECT kind, physical, raw FROM (VALUES ('LINEAR', '20.0', '60.0'), ('RAT_FUNC', '13.0', '10.0'), ('TAB_VERB', 'on', '1.0'), ('TAB_INTP', '150.0', '10.0'), ('IDENTICAL', '7.0', '7.0')) v(kind, physical, raw)""")
+@query("""SELECT kind, physical, raw FROM (VALUES ('LINEAR', '20.0', '60.0'), ('RAT_FUNC', '13.0', '10.0'), ('TAB_VERB', 'on', '1.0'), ('TAB_INTP', '150.0', '0.0'), ('IDENTICAL', '7.0', '7.0'), ('TAB_NOINTP', '7.0', '7.0')) v(kind, physical, raw)""")
 def conversion_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("LINEAR", 60.0, None, [0.5, -10.0], None), ("RAT_FUNC", 10.0, [0.0, 2.0, 4.0, 0.0, 3.0, 0.0], None, None), ("TAB_VERB", 1.0, None, None, [(0.0, None, "off"), (1.0, None, "on")]),
-            ("TAB_INTP", 5.0, None, None, [(0.0, 100.0, "100"), (10.0, 200.0, "200")]), ("IDENTICAL", 7.0, None, None, None)]
+            ("TAB_INTP", 5.0, None, None, [(0.0, 100.0, "100"), (10.0, 200.0, "200")]), ("IDENTICAL", 7.0, None, None, None), ("TAB_NOINTP", 7.0, None, None, [(0.0, 5.0, "5"), (1.0, 9.5, "9.5")])]
     df = spark.createDataFrame(rows, "kind string, raw double, coeffs array<double>, linear array<double>, pairs array<struct<raw: double, num: double, txt: string>>")
     c = F.col
     given = df.select("*", convert.physical(c("raw"), c("kind"), c("coeffs"), c("linear"), c("kind"), c("pairs"), F.lit(None).cast("string")).alias("p"))
@@ -85,15 +85,11 @@ def conversion_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given.select("kind", F.coalesce("p.txt", c("p.num").cast("string")).alias("physical"), back.cast("string").alias("raw"))
 
 
-@query("""WITH RECURSIVE k(path, v) AS (SELECT '$', '{"a": {"b": 1, "c": {"d": 2}}, "e": 3}'::JSON UNION ALL SELECT k.path || '.' || key, value FROM k, json_each(k.v) WHERE json_type(k.v) = 'OBJECT')
-SELECT count(*) - 1 AS keys FROM k""")
+@query("""WITH RECURSIVE k(event_id, v) AS (SELECT event_id, props::JSON FROM events WHERE props IS NOT NULL UNION ALL SELECT k.event_id, value FROM k, json_each(k.v) WHERE json_type(k.v) = 'OBJECT')
+SELECT event_id, count(*) - 1 AS keys FROM k GROUP BY event_id""")
 def json_key_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All keys of a JSON document at every depth."""
-    body = spark.createDataFrame([('{"a": {"b": 1, "c": {"d": 2}}, "e": 3}',)], "body string")
-    body.createOrReplaceTempView("kalibra_json_body")
-    return spark.sql("""WITH RECURSIVE k(v) AS (SELECT body FROM kalibra_json_body
-        UNION ALL SELECT e.value FROM k, LATERAL (SELECT explode(map_values(from_json(k.v, 'map<string, string>'))) AS value) e WHERE k.v LIKE '{%')
-        SELECT count(*) - 1 AS keys FROM k""")
+    """All keys of each event's JSON at every depth."""
+    return text.key_counts(load(spark, sf_dir, "events"), "event_id", "props").withColumnRenamed("n", "keys")
 
 
 @query("""SELECT label, "values", direction FROM (VALUES ('up', '1,2,2', 'increasing'), ('down', '3,1', 'decreasing'), ('wave', '1,3,2', 'none'), ('text', 'a,b', NULL)) v(label, "values", direction)""")
@@ -126,9 +122,10 @@ def similarity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT label, object_class, context, vals, unit, lower::DOUBLE AS lower, upper::DOUBLE AS upper, limit_kind, n_axes::INTEGER AS n_axes, table_ref FROM (VALUES
 ('Mod_tiWait_C', 'VALUE', 'waits between 1 and 9', '5.0', 's', 1, 9, 'explicit_between', 0, NULL), ('Mod_facGain_C', 'VALUE', 'gain', '0.5', 'dimensionless', 0, 1, 'implicit_factor', 0, NULL),
 ('Mod_bOn_C', 'VALUE', 'switch', '1.0', NULL, 0, 1, 'implicit_boolean', 0, NULL), ('Mod_tiMap_T', 'CURVE', 'X: n [rpm] [2] 1 2', NULL, NULL, 0, NULL, 'implicit_non_negative', 1, '12'),
-('Mod_uBat_C', 'VALUE', 'battery', '12.0', 'V', NULL, NULL, 'unbounded', 0, NULL)) v(label, object_class, context, vals, unit, lower, upper, limit_kind, n_axes, table_ref)""")
+('Mod_uBat_C', 'VALUE', 'battery', '12.0', 'V', NULL, NULL, 'unbounded', 0, NULL), ('Mod_iTab_T', 'CURVE', 'as Table 3 says', NULL, NULL, NULL, NULL, 'unbounded', 0, '12'),
+('Mod_uList_T', 'CURVE', 'Y: 1 2 3 [rpm] 5 [V]', '5.0', 'V', NULL, NULL, 'unbounded', 0, NULL)) v(label, object_class, context, vals, unit, lower, upper, limit_kind, n_axes, table_ref)""")
 def calibration_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("Mod_tiWait_C", "waits between 1 and 9 Start value: 5 [s]"), ("Mod_facGain_C", "gain Default value 0.5 [-]"), ("Mod_bOn_C", "switch initial value: 1"), ("Mod_tiMap_T", "X: n [rpm] [2] 1 2 Start value: see Table 12"), ("Mod_uBat_C", "battery  start value 12 [V]")]
+    rows = [("Mod_tiWait_C", "waits between 1 and 9 Start value: 5 [s]"), ("Mod_facGain_C", "gain Default value 0.5 [-]"), ("Mod_bOn_C", "switch initial value: 1"), ("Mod_tiMap_T", "X: n [rpm] [2] 1 2 Start value: see Table 12"), ("Mod_uBat_C", "battery  start value 12 [V]"), ("Mod_iTab_T", "as Table 3 says Start value: see Table 12"), ("Mod_uList_T", "Y: 1 2 3 [rpm] 5 [V]")]
     parsed = spark.createDataFrame(rows, "label string, t string").select("label", text.calibration_row(F.col("label"), F.col("t")).alias("r"))
     return parsed.select("label", "r.object_class", "r.context", F.array_join(F.transform("r.values", lambda v: v.cast("string")), ",").alias("vals"), "r.unit", "r.lower", "r.upper", "r.limit_kind", F.size("r.axes").alias("n_axes"), "r.table_ref")
 

@@ -144,38 +144,18 @@ def pack_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT label, list(round(m, 6) ORDER BY i) AS mean FROM (SELECT label, i, avg(x::DOUBLE) AS m FROM
 (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) t GROUP BY label, i) t GROUP BY label""")
 def mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = match.mean_vector(load(spark, sf_dir, "embeddings"), "label", "embedding")
+    means = match.mean_vector(load(spark, sf_dir, "embeddings"), "label", "embedding", "vec_id")
     return means.select("label", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
 
 
 VEC = "list_transform(embedding, lambda x: x::DOUBLE)"
 
 
-@query(f"""WITH e AS (SELECT vec_id, label, {VEC} AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, 1 - list_cosine_similarity(q.v, e.v) AS d
-FROM e q JOIN e USING (label) WHERE q.vec_id < 10), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM s)
-SELECT query_id, vec_id, label, round(d, 6) AS distance, rank FROM r WHERE rank <= 5""")
-def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
-    queries = vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label", F.col("v").alias("q"))
-    return match.nearest_in_group(queries, vectors, "label", 5).select("query_id", "vec_id", "label", F.round("distance", 6).alias("distance"), "rank")
-
-
-@query(f"""WITH e AS (SELECT vec_id, label, {VEC} AS v FROM embeddings), s AS (SELECT e.label, e.vec_id, 1 - list_cosine_similarity(q.v, e.v) AS d
-FROM e, (SELECT v FROM e WHERE vec_id = 0) q WHERE e.vec_id <> 0)
-SELECT label, vec_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS n FROM s) t WHERE n = 1""")
-def min_distance_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = load(spark, sf_dir, "embeddings")
-    query_vector = F.broadcast(vectors.where("vec_id = 0").select(F.col("embedding").alias("q")))
-    scored = vectors.where("vec_id <> 0").join(query_vector, F.lit(True)).select("label", "vec_id", match.cosine_distance(F.col("q"), F.col("embedding")).alias("d"))
-    best = scored.groupBy("label").agg(F.min(F.struct("d", "vec_id")).alias("b"))
-    return best.select("label", "b.vec_id", F.round("b.d", 6).alias("distance"))
-
-
 @query(f"""WITH e AS (SELECT vec_id, label, {VEC} AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, 1 - list_cosine_similarity(q.v, e.v) AS d
 FROM e q JOIN e USING (label) WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, label, round(d, 6) AS distance, rank FROM r WHERE rank <= 5""")
-def knn_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``knn_topk`` asked by every row whose id is divisible by 50."""
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of its label for every row whose id is divisible by 50."""
     vectors = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
     found = match.nearest_in_tiles(vectors, F.col("vec_id") % 50 == 0, 5, within=True, itself=True)
     return found.select("query_id", "vec_id", "label", F.round("distance", 6).alias("distance"), "rank")
@@ -184,8 +164,8 @@ def knn_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH e AS (SELECT vec_id, label, {VEC} AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.label, e.vec_id, 1 - list_cosine_similarity(q.v, e.v) AS d
 FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, label, vec_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY d, vec_id) AS n FROM s) t WHERE n = 1""")
-def min_distance_per_label_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``min_distance_per_label`` asked by every row whose id is divisible by 50."""
+def min_distance_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of each label for every row whose id is divisible by 50."""
     vectors = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
     found = match.nearest_in_tiles(vectors, F.col("vec_id") % 50 == 0, 1, per_label=True)
     return found.select("query_id", "label", "vec_id", F.round("distance", 6).alias("distance"))

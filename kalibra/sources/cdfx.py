@@ -25,14 +25,28 @@ def kind_of(label: Column) -> Column:
     return out
 
 
+def well_formed(fragment: Column) -> Column:
+    """Whether an instance reads as XML."""
+    parsed = F.from_xml(fragment, "struct<_broken: string>", {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE", "rowTag": "SW-INSTANCE"})
+    return fragment.isNotNull() & parsed["_broken"].isNull()
+
+
 def fragments(texts: DataFrame) -> DataFrame:
-    """(file, pos, fragment, label): the instances of ``texts(file, text)`` as they stand, and names without spaces around."""
+    """(file, pos, fragment, plain, label): the instances of ``texts(file, text)`` as they stand, and names without spaces
+    around. An instance that is not well-formed gives no row; ``broken`` lists them."""
     rows = texts.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(INSTANCE), F.lit(0))).alias("pos", "fragment"))
-    plain = F.regexp_replace("fragment", r"<(/?)\w+:", "<$1")
+    bare = F.regexp_replace("fragment", r"<(/?)\w+:", "<$1")
+    plain = F.when(well_formed(bare), bare)
     named = rows.select("file", "pos", "fragment", plain.alias("plain"), F.trim(F.xpath_string(plain, F.lit("/SW-INSTANCE/SHORT-NAME"))).alias("label"))
     return named.where("label <> ''")
 
 
+def broken(texts: DataFrame) -> DataFrame:
+    """(file, pos, fragment) of the instances that are not well-formed."""
+    rows = texts.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(INSTANCE), F.lit(0))).alias("pos", "fragment"))
+    return rows.where(~well_formed(F.regexp_replace("fragment", r"<(/?)\w+:", "<$1")))
+
+
 def _inner(block: Column, path: str) -> Column:
     return F.xpath(block, F.lit(f"{path}/*[self::V or self::VT]/text()"))
 
@@ -42,11 +56,11 @@ def instances(texts: DataFrame) -> DataFrame:
     equal labels of a file; labels of no known kind have a null kind."""
     p = F.col("plain")
     body = "/SW-INSTANCE/SW-VALUE-CONT/SW-VALUES-PHYS"
-    groups = F.regexp_extract_all(p, F.lit(r"(?s)<VG>.*?</VG>"), F.lit(0))
+    groups = F.regexp_extract_all(p, F.lit(r"(?s)<VG(?:\s[^>]*)?>.*?</VG>"), F.lit(0))
     row = lambda g: F.struct(
         F.trim(F.coalesce(F.get(F.xpath(g, F.lit("/VG/LABEL/text()")), F.lit(0)), F.lit(""))).alias("label"), F.xpath(g, F.lit("/VG/*[self::V or self::VT]/text()")).alias("vals"), (F.size(F.xpath(g, F.lit("/VG/VT/text()"))) > 0).alias("is_text")
     )
-    axes = F.regexp_extract_all(p, F.lit(r"(?s)<SW-AXIS-CONT>.*?</SW-AXIS-CONT>"), F.lit(0))
+    axes = F.regexp_extract_all(p, F.lit(r"(?s)<SW-AXIS-CONT(?:\s[^>]*)?>.*?</SW-AXIS-CONT>"), F.lit(0))
     axis = lambda i: F.coalesce(_inner(F.get(axes, F.lit(i)), "/SW-AXIS-CONT/SW-VALUES-PHYS"), F.array().cast("array<string>"))
     rows = fragments(texts).select(
         "file", "pos", "label", "fragment", kind_of(F.col("label")).alias("kind"), F.xpath_string(p, F.lit("/SW-INSTANCE/SW-VALUE-CONT/UNIT-DISPLAY-NAME")).alias("unit"),

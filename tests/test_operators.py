@@ -107,8 +107,8 @@ def test_greedy_pairs_use_bonus_for_order_alone(spark):
 
 
 def test_mean_vector_counts_odd_lengths_in_the_divisor(spark):
-    df = spark.createDataFrame([("a", [1.0, 3.0]), ("a", [3.0, 5.0]), ("a", [9.0])], "k string, v array<double>")
-    assert match.mean_vector(df, "k", "v").first()["mean"] == pytest.approx([4 / 3, 8 / 3])
+    df = spark.createDataFrame([("a", 1, [1.0, 3.0]), ("a", 2, [3.0, 5.0]), ("a", 3, [9.0])], "k string, n int, v array<double>")
+    assert match.mean_vector(df, "k", "v", "n").first()["mean"] == pytest.approx([4 / 3, 8 / 3])
 
 
 def test_embedder_is_deterministic_and_unit_length(spark):
@@ -151,3 +151,46 @@ def test_searches_ask_every_fiftieth_row_over_many_tiles(spark):
             want |= {(q, i, n + 1) for part in parts for n, (_, i, _) in enumerate(part[:7])}
         got = match.nearest_in_tiles(df, F.col("vec_id") % 50 == 0, 7, block=50, query_block=2, **more)
         assert {(r.query_id, r.vec_id, r["rank"]) for r in got.collect()} == want
+
+
+def test_named_tables_want_equal_entries(spark):
+    pairs = "array(named_struct('raw', 0D, 'num', 5D, 'txt', '5'), named_struct('raw', 1D, 'num', 9.5D, 'txt', '9.5'), named_struct('raw', 2D, 'num', 5D, 'txt', 'five'))"
+    none = F.lit(None)
+    raw = lambda num, txt, kind: convert.stored(F.lit(num).cast("double"), F.lit(txt).cast("string"), F.lit(kind), none.cast("array<double>"), none.cast("array<double>"), F.expr(pairs))
+    got = spark.range(1).select(raw(7.0, None, "TAB_NOINTP"), raw(9.5, None, "TAB_VERB"), raw(5.0, None, "TAB_VERB"), raw(None, "five", "TAB_VERB"), raw(None, "six", "TAB_VERB")).first()
+    assert tuple(got) == (7.0, 1.0, 0.0, 2.0, None)
+
+
+def test_attributes_and_malformed_instances(spark):
+    rows = '<VG ID="1"><LABEL>r1</LABEL><V>1</V><V>2</V></VG><VG><LABEL>r2</LABEL><V>3</V><V>4</V></VG>'
+    whole = samples.instance("A_M", rows, samples.axis(0, 1).replace("<SW-AXIS-CONT>", '<SW-AXIS-CONT CLASS="x">') + samples.axis(5, 6))
+    bad = samples.instance("B_C", samples.cells(1)).replace("<SHORT-NAME>", "<SHORT-NAME><X>")
+    texts = one(spark, samples.container(whole + bad + samples.instance("C_C", samples.cells(7))))
+    got = {r.label: r for r in cdfx.instances(texts).collect()}
+    assert set(got) == {"A_M", "C_C"} and [r.vals for r in got["A_M"].rows] == [["1", "2"], ["3", "4"]]
+    assert (got["A_M"].x_axis, got["A_M"].y_axis) == (["0", "1"], ["5", "6"])
+    assert [r.pos for r in cdfx.broken(texts).collect()] == [1]
+
+
+def test_header_forms(spark):
+    rows = ["FC: Abc / 1.2; 3", "x [ Def_g 1400.0.0;2 ] y", "  Ghi 7 ; 1 rest", "no header 1.2", "[Two 1;1] FC: One / 2;2"]
+    lines = spark.createDataFrame([(1, n, 0, t) for n, t in enumerate(rows)], "doc_id int, page int, line_no int, line string")
+    got = {r.page: (r.name, r.version) for r in pages.page_headers(lines).collect()}
+    assert got == {0: ("abc", "1.2;3"), 1: ("def_g", "1400.0.0;2"), 2: ("ghi", "7;1"), 4: ("one", "2;2")}
+
+
+def test_mean_vector_takes_the_first_length(spark):
+    df = spark.createDataFrame([("a", 1, [9.0]), ("a", 2, [1.0, 3.0]), ("a", 3, [3.0, 5.0])], "k string, n int, v array<double>")
+    assert match.mean_vector(df, "k", "v", "n").first()["mean"] == [3.0]
+
+
+def test_events_of_skipped_and_padded(spark):
+    rows = spark.createDataFrame([("s", "a", "skipped", False), ("s", "b", "updated", True)], "source string, label string, status string, ragged boolean")
+    got = sorted((r.label, r.action, r.reason is not None) for r in reconcile.events(rows, "label").collect())
+    assert got == [("a", "skipped", True), ("b", "padded", True), ("b", "updated", True)]
+
+
+def test_keys_at_every_depth_leave_no_view(spark):
+    rows = spark.createDataFrame([(1, '{"a": {"b": 1, "c": {"d": 2}}, "e": 3}'), (2, "{}"), (3, None)], "id int, body string")
+    assert sorted(map(tuple, text.key_counts(rows, "id", "body").collect())) == [(1, 5), (2, 0)]
+    assert not [t for t in spark.catalog.listTables() if t.isTemporary]
