@@ -78,3 +78,9 @@ def direction(values: Column) -> Column:
 def reshaped(flat: Column, nx: int, ny: int) -> Column:
     """ny rows of nx values, row by row."""
     return F.transform(F.sequence(F.lit(0), F.lit(ny - 1)), lambda r: F.slice(flat, (r * nx + 1).cast("int"), nx))
+
+
+def transposed(rows: Column) -> Column:
+    """A map's columns as rows; short rows end in nulls."""
+    width = F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))
+    return F.when(width <= 0, F.array().cast("array<array<double>>")).otherwise(F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.transform(rows, lambda r: F.get(r, i.cast("int")))))

@@ -69,17 +69,20 @@ def events(results: DataFrame, key: str) -> DataFrame:
     return results.select("source", F.col(key).alias("label"), F.explode(action).alias("action")).select("source", "label", "action", F.lit("reconcile").alias("stage"), F.try_element_at(reason, F.col("action")).alias("reason"))
 
 
-def tiered(left: DataFrame, text: str, exact: DataFrame, prefix: DataFrame, default: Column) -> DataFrame:
-    """``left`` with ``found``: the exact entry's value, else that of the longest prefix, else ``default``.
+def tiered(left: DataFrame, text: str, exact: DataFrame, prefix: DataFrame, default: Column, suffix: DataFrame | None = None) -> DataFrame:
+    """``left`` with ``found``: the exact entry's value, else that of the longest prefix, else that of the longest ending
+    if ``suffix`` is given, else ``default``.
 
-    ``exact(entry, value)`` and ``prefix(entry, value)`` are joined by equality; a prefix table is probed once per
-    length that occurs in it, which is collected (lengths, not entries).
+    The tables (entry, value) are joined by equality; one of prefixes or endings is probed once per length that occurs
+    in it, which is collected (lengths, not entries).
     """
     out = left.join(exact.select(F.col("entry").alias("_e"), F.col("value").alias("_v0")), F.col(text) == F.col("_e"), "left").drop("_e")
-    lengths = sorted((r[0] for r in prefix.select(F.length("entry")).distinct().collect()), reverse=True)
     names = ["_v0"]
-    for n in lengths:
-        own = prefix.where(F.length("entry") == n).select(F.col("entry").alias("_p"), F.col("value").alias(f"_p{n}"))
-        out = out.join(own, F.substring(text, 1, n) == F.col("_p"), "left").drop("_p")
-        names.append(f"_p{n}")
+    for side, table in (("_p", prefix), ("_s", suffix)):
+        lengths = sorted((r[0] for r in table.select(F.length("entry")).distinct().collect()), reverse=True) if table is not None else []
+        for n in lengths:
+            own = table.where(F.length("entry") == n).select(F.col("entry").alias("_e"), F.col("value").alias(f"{side}{n}"))
+            piece = F.substring(text, 1, n) if side == "_p" else F.right(F.col(text), F.lit(n))
+            out = out.join(own, piece == F.col("_e"), "left").drop("_e")
+            names.append(f"{side}{n}")
     return out.withColumn("found", F.coalesce(*names, default)).drop(*names)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import compare, convert, labels, numeric, text
-from ..operators import match
+from ..operators import extract, linked, match, reconcile
 from ..sources import tabular
 from .registry import load, query
 
@@ -133,3 +133,41 @@ def calibration_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT * FROM (VALUES ('E1M_x EMO1 a_c −5(cid:3)', 'ElM_x EM01 a_C -5')) v(t, repaired)""")
 def scan_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("E1M_x EMO1 a_c −5(cid:3)",)], "t string").select("t", text.repaired_text(F.col("t")).alias("repaired"))
+
+
+@query("""SELECT vec_id, (p // 8)::INTEGER AS row, (p % 8)::INTEGER AS col, (p % 8)::DOUBLE * 10 AS x, CASE WHEN p // 8 < 4 THEN (p // 8)::DOUBLE END AS y, round(embedding[p + 1]::DOUBLE, 6) AS value
+FROM (SELECT vec_id, embedding, unnest(range(64)) AS p FROM embeddings) t""")
+def unpivot_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a map of eight rows, over a full and a short axis."""
+    v = F.transform("embedding", lambda x: F.round(x.cast("double"), 6))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice(v, r * 8 + 1, F.lit(8)))
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", cells.alias("cells"), F.expr("transform(sequence(0, 7), i -> i * 10D)").alias("xs"), F.expr("transform(sequence(0, 3), i -> cast(i AS double))").alias("ys"))
+    return extract.unpivoted_maps(rows, ["vec_id"], "cells", "xs", "ys")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') AS t FROM conversations),
+n AS (SELECT *, regexp_extract(t, '(?i)\\b(?:start|standard|default|initial)\\s*value\\b\\s*:\\s*([^\\s\\[]+)', 1) AS marked, regexp_extract_all(t, '[-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?')[1:24] AS ns FROM c),
+v AS (SELECT conv_id, turn, CASE WHEN marked <> '' THEN marked WHEN len(ns) > 0 THEN array_to_string(ns, ', ') ELSE t END AS v FROM n)
+SELECT conv_id, turn, md5(CASE WHEN length(v) > 120 THEN rtrim(substr(v, 1, 117)) || '...' ELSE v END) AS value FROM v""")
+def primary_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(labels.primary_value(F.col("text"))).alias("value"))
+
+
+@query("""SELECT label, how, val::DOUBLE AS val FROM (VALUES ('A_T', 'number', 3), ('B_T', 'label', 9), ('C_T', 'label', 9), ('D_T', NULL, NULL), ('E_T', NULL, NULL)) v(label, how, val)""")
+def linked_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two tables numbered 1 the richer counts; a number without a table links nothing, whatever the context says."""
+    d = lambda *v: [float(x) for x in v]
+    tables = spark.createDataFrame([(1, 0, "1", "Z_T", d(1), None, d(5)), (1, 1, "1", "Y_T", d(1, 2), None, d(3, 4)), (1, 2, "2", "B_T", d(1), d(2), d(9)), (1, 3, "3", "C_T", None, None, d(9)), (1, 4, "4", "D_T", None, None, d(8)), (2, 0, "9", "E_T", None, None, d(1))],
+                                   "doc_id int, seq int, table_id string, label string, x array<double>, y array<double>, val array<double>")
+    records = spark.createDataFrame([(1, "A_T", "1", ""), (1, "B_T", None, "as in [ B_T ]"), (1, "C_T", None, "See  table below"), (1, "D_T", None, "plain"), (1, "E_T", "9", "see table")], "doc_id int, label string, table_ref string, context string")
+    return linked.linked(records, tables).select("label", "how", F.get("val", F.lit(0)).alias("val"))
+
+
+@query("""SELECT l_returnflag AS label, how, count(*) AS n FROM (SELECT l_returnflag, CASE WHEN l_partkey % 7 = 0 THEN 'exact' WHEN (l_partkey % 1000)::VARCHAR LIKE '1%' THEN 'prefix' WHEN (l_partkey % 1000)::VARCHAR LIKE '%3' THEN 'suffix' ELSE 'none' END AS how FROM lineitem) t GROUP BY ALL""")
+def tiers_with_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact entries first, then beginnings, then endings."""
+    entry = lambda text, value: spark.createDataFrame([(text, value)], "entry string, value string")
+    key = F.when(F.col("l_partkey") % 7 == 0, "whole").otherwise((F.col("l_partkey") % 1000).cast("string"))
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("label"), key.alias("key"))
+    found = reconcile.tiered(rows, "key", entry("whole", "exact"), entry("1", "prefix"), F.lit("none"), entry("3", "suffix"))
+    return found.groupBy("label", F.col("found").alias("how")).agg(F.count(F.lit(1)).alias("n"))

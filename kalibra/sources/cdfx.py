@@ -105,10 +105,11 @@ def rendered_instance(label: Column, category: Column, unit: Column, vals: Colum
     )
 
 
-def documents(pieces: DataFrame) -> DataFrame:
-    """(file, text) of ``pieces(file, pos, fragment)`` in their order, in a document of their own."""
+def documents(pieces: DataFrame, doctype: str | None = None) -> DataFrame:
+    """(file, text) of ``pieces(file, pos, fragment)`` in their order, in a document of their own, with ``doctype`` as its
+    DOCTYPE declaration if given."""
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "fragment"))), lambda p: p["fragment"]), "\n")
-    head, tail = '<?xml version="1.0" encoding="UTF-8"?>\n<MSRSW><SW-INSTANCE-SPEC><SW-INSTANCE-TREE>\n', "\n</SW-INSTANCE-TREE></SW-INSTANCE-SPEC></MSRSW>\n"
+    head, tail = '<?xml version="1.0" encoding="UTF-8"?>\n' + (f"<!DOCTYPE {doctype}>\n" if doctype else "") + '<MSRSW><SW-INSTANCE-SPEC><SW-INSTANCE-TREE>\n', "\n</SW-INSTANCE-TREE></SW-INSTANCE-SPEC></MSRSW>\n"
     return pieces.groupBy("file").agg(F.concat(F.lit(head), body, F.lit(tail)).alias("text"))
 
 
@@ -116,3 +117,8 @@ def merged(destination: DataFrame, updates: DataFrame) -> DataFrame:
     """The destination's fragments, each replaced by that of ``updates(label, fragment)`` where there is one; places stay."""
     new = updates.select("label", F.col("fragment").alias("new"))
     return documents(fragments(destination).join(new, "label", "left").select("file", "pos", F.coalesce("new", "fragment").alias("fragment")))
+
+
+def subset(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(file, text): the files with only the instances whose label is in ``labels(label)``, in their order."""
+    return documents(fragments(texts).join(labels.select("label").distinct(), "label", "left_semi").select("file", "pos", "fragment"))

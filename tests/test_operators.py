@@ -1,12 +1,14 @@
 """Properties and corners that the query comparisons do not reach."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from kalibra.functions import compare, convert, numeric, text
-from kalibra.operators import decode, extract, match, pages, reconcile, sequence, update
+from kalibra.functions import labels as label_functions
+from kalibra.operators import decode, extract, frames, linked, match, pages, reconcile, sequence, update
 from kalibra.plans import labels, samples
 from kalibra.sources import cdfx, hexfile, tabular
 
@@ -194,3 +196,42 @@ def test_keys_at_every_depth_leave_no_view(spark):
     rows = spark.createDataFrame([(1, '{"a": {"b": 1, "c": {"d": 2}}, "e": 3}'), (2, "{}"), (3, None)], "id int, body string")
     assert sorted(map(tuple, text.key_counts(rows, "id", "body").collect())) == [(1, 5), (2, 0)]
     assert not [t for t in spark.catalog.listTables() if t.isTemporary]
+
+
+def test_label_texts_of_a_table_block(spark):
+    rows = [(1, 1, n, t) for n, t in enumerate(["Table 4 values", "X 1 2", "A_T 5 6", " 7 8", "[ B_C ] 9", "10 ", "A_T 11"])]
+    got = {r.label: r.text for r in linked.label_texts(spark.createDataFrame(rows, "doc_id int, block int, line_no int, line string")).collect()}
+    assert got == {"A_T": "Table 4 values\nA_T 5 6\n 7 8\nA_T 11", "B_C": "Table 4 values\n[ B_C ] 9\n10"}
+
+
+def test_frames(spark):
+    records = spark.createDataFrame([("A_C", "1", "V", "c", "d", 3, True)], "label string, start_value string, unit string, condition string, description string, page int, reconstructed boolean")
+    assert tuple(frames.start_value_frame(records).first()) == ("A_C", "1", "V", "c", "d", 3, "YES", "text")
+    log = spark.createDataFrame([("A", "updated"), ("B", "updated"), ("C", "missing")], "label string, status string")
+    patch = spark.createDataFrame([("A", "patched", None), ("B", "error", "no bytes"), ("C", "warning", "clamped")], "label string, kind string, text string")
+    made = frames.apply_frames(log, patch)
+    assert {tuple(r) for r in made["summary"].collect()} == {("updated", 2), ("missing", 1)} and tuple(made["patch"].first()) == (1, 0, 0, 0, 1, 1)
+    assert [r.error for r in made["errors"].collect()] == ["no bytes"] and [r.warning for r in made["warnings"].collect()] == ["clamped"]
+    events = spark.createDataFrame([("s", "A", "updated", "reconcile", "r"), (None, "B", "attention", "reconcile", "q")], "source string, label string, action string, stage string, reason string")
+    run = frames.run_frames(events)
+    assert tuple(run["summary"].first()) == (2, 1, 0, 1, 0, 2) and [r.label for r in run["attention"].collect()] == ["B"]
+    kinds = frames.missing_kinds(spark.createDataFrame([("A",), ("B",)], "label string"), spark.createDataFrame([("B",), ("B",)], "label string"))
+    assert {tuple(r) for r in kinds.collect()} == {("A", "unknown"), ("B", "axis_points")}
+
+
+def test_decoded_labels_as_json(spark):
+    got = {r.label: json.loads(r.json) for r in frames.label_json(decode.decoded(one(spark, samples.DESCRIPTOR), one(spark, samples.image()))).collect()}
+    assert got["K_lin_C"] == {"label": "K_lin_C", "kind": "VALUE", "value": 20.0} and got["K_on_C"]["value"] == "on" and got["K_arr_CA"]["value"] == [5.0, -2.0, 300.0]
+    assert "K_gap_C" not in got
+
+
+def test_subset_and_doctype(spark):
+    texts = one(spark, samples.DESTINATION)
+    kept = cdfx.subset(texts, spark.createDataFrame([("B_C",), ("A_C",), ("B_C",)], "label string"))
+    assert [r.label for r in cdfx.instances(kept).orderBy("pos").collect()] == ["A_C", "B_C"]
+    assert "<!DOCTYPE MSRSW>" in cdfx.documents(cdfx.fragments(texts).select("file", "pos", "fragment"), "MSRSW").first().text
+
+
+def test_transposed_and_primary_value(spark):
+    row = spark.range(1).select(numeric.transposed(F.expr("array(array(1D, 2D, 3D), array(4D, 5D))")).alias("t"), *[label_functions.primary_value(F.lit(t)) for t in ("x Start value: 5 [s] 7", "a 1 b 2.5", "no  number", "Initial value 3")]).first()
+    assert row[0] == [[1.0, 4.0], [2.0, 5.0], [3.0, None]] and tuple(row)[1:] == ("5", "1, 2.5", "no number", "3")
