@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import documents, formats, labels, relational, series  # noqa: F401
+from .plans import documents, formats, labels, relational, retrieval, series, tables  # noqa: F401
 from .plans.registry import QUERIES, SQL, Query
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import convert, numeric
+from ..functions import convert
 from ..sources import a2l, hexfile
 
-INTEGER_BITS = {"UBYTE": 8, "SBYTE": 8, "UWORD": 16, "SWORD": 16, "ULONG": 32, "SLONG": 32}
-
 
 def _conversions(texts: DataFrame) -> DataFrame:
     tabs = a2l.compu_tabs(texts)
@@ -57,24 +59,96 @@ def map_rows(value: Column, nx: Column, ny: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), ny - 1), lambda r: F.slice(value, r * nx + 1, nx))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """(file, at, byte, seq) of ``rows(file, seq, address, raw, kind, little)``: integers rounded half to even and held to
+    the type's range, floats as they are; what is no number is 0. 64-bit integers pass through doubles."""
+
+    def one(values: np.ndarray, k: str, le: bool) -> bytes:
+        kind_of = np.dtype(("<" if le else ">") + hexfile.TYPES[k])
+        numbers = np.asarray(values, dtype=np.float64)
+        if kind_of.kind == "f":
+            with np.errstate(over="ignore"):
+                return numbers.astype(kind_of).tobytes()
+        low, high = np.iinfo(kind_of).min, np.iinfo(kind_of).max
+        held = [0 if v != v else low if v <= low else high if v >= high else round(v) for v in numbers.tolist()]
+        return np.array(held, dtype=kind_of).tobytes()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            done = [one(*x) for x in zip(part["raw"], part["kind"], part["little"], strict=True)]
+            yield part[["file", "seq", "address"]].assign(bytes=pd.Series(done, index=part.index, dtype=object))
+
+    numbers = F.transform("raw", lambda v: F.coalesce(v, F.lit(0.0)))
+    given = rows.where(F.col("raw").isNotNull()).select("file", F.col("seq").cast("long").alias("seq"), "address", numbers.alias("raw"), hexfile.known_type(F.col("kind")).alias("kind"), "little")
+    done = given.mapInPandas(run, "file string, seq long, address long, bytes binary")
+    each = done.select("file", "seq", "address", F.posexplode(F.regexp_extract_all(F.hex("bytes"), F.lit(".."), F.lit(0))).alias("k", "byte"))
+    return each.select("file", (F.col("address") + F.col("k")).alias("at"), "byte", "seq")
+
+
+def _bytes(rows: DataFrame) -> DataFrame:
+    """(file, at, byte, seq) of ``rows`` with value, conversion columns, value_type, little, address and seq."""
+    c = F.col
+    raw = F.transform("value", lambda v: convert.stored(v["num"], v["txt"], c("conversion_type"), c("coeffs"), c("linear"), c("pairs")))
+    return packed(rows.select("file", "seq", "address", raw.alias("raw"), c("value_type").alias("kind"), "little"))
+
+
+def _described(updates: DataFrame, texts: DataFrame) -> DataFrame:
+    return updates.join(a2l.characteristics(texts), ["file", "label"]).join(a2l.record_layouts(texts), ["file", "layout"])
+
+
 def patches(updates: DataFrame, texts: DataFrame) -> DataFrame:
-    """(file, at, byte, seq) for ``updates(file, label, seq, value array<struct<num, txt>>)`` of integer layouts.
+    """(file, at, byte, seq) for ``updates(file, label, seq, value array<struct<num, txt>>)``, all data types.
 
-    Values are converted back, rounded half to even and held to the type's range; other types are left out.
+    Values are converted back, rounded half to even and held to an integer type's range; labels without a characteristic
+    or a layout give nothing, ``patch_events`` says why.
     """
-    layouts, orders = a2l.record_layouts(texts), a2l.byte_orders(texts)
-    rows = updates.join(a2l.characteristics(texts).drop("kind"), ["file", "label"]).join(layouts, ["file", "layout"]).join(orders, "file").join(_conversions(texts), ["file", "conversion"], "left")
-    cell = rows.select("*", F.posexplode("value").alias("i", "v"))
-    raw = convert.stored(F.col("v.num"), F.col("v.txt"), F.col("conversion_type"), F.col("coeffs"), F.col("linear"), F.col("pairs"))
-    whole = F.lit(None).cast("long")
-    for kind in INTEGER_BITS:
-        whole = F.when(F.col("value_type") == kind, numeric.packed(raw, kind)).otherwise(whole)
-    size = F.col("size").cast("int")
-    text = F.expr("right(lpad(hex(whole), 16, '0'), cast(2 * size as int))")
-    ordered = F.regexp_extract_all(F.col("text"), F.lit(".."), F.lit(0))
-    return (
-        cell.withColumns({"whole": whole, "size": hexfile.width(F.col("value_type"))}).where("whole is not null").withColumn("text", text)
-        .withColumn("bytes", F.when(F.col("little"), F.reverse(ordered)).otherwise(ordered))
-        .select("file", "seq", "i", "address", size.alias("size"), F.posexplode("bytes").alias("k", "byte"))
-        .select("file", (F.col("address") + F.col("i") * F.col("size") + F.col("k")).alias("at"), "byte", "seq")
-    )
+    rows = _described(updates, texts).join(a2l.byte_orders(texts), "file").join(_conversions(texts), ["file", "conversion"], "left")
+    return _bytes(rows)
+
+
+def _shared_axes(updates: DataFrame, texts: DataFrame) -> DataFrame:
+    """(file, ref, label, seq, value): of each axis that labels share the points that the first label by ``seq`` brings."""
+    axes = _described(updates, texts).where("kind in ('CURVE', 'MAP')").select("file", "label", "seq", "new_axes", F.posexplode("axes").alias("pos", "axis"))
+    brought = axes.where("axis.attribute = 'COM_AXIS' and axis.ref is not null").select("file", F.col("axis.ref").alias("ref"), "label", "seq", F.get("new_axes", F.col("pos")).alias("value"))
+    return brought.where(F.size("value") > 0).groupBy("file", "ref").agg(F.min(F.struct("seq", "label", "value")).alias("b")).select("file", "ref", "b.*")
+
+
+def axis_patches(updates: DataFrame, texts: DataFrame) -> DataFrame:
+    """(file, at, byte, seq) of the shared axes of curves and maps: ``updates(file, label, seq, new_axes)`` holds a label's
+    axes as array<array<struct<num, txt>>>, by place. An axis is written once, no more points than it has."""
+    points = a2l.axis_points(texts).join(a2l.record_layouts(texts).select("file", "layout", "axis_type"), ["file", "layout"], "left")
+    rows = _shared_axes(updates, texts).join(points.withColumnRenamed("axis", "ref"), ["file", "ref"]).join(a2l.byte_orders(texts), "file").join(_conversions(texts), ["file", "conversion"], "left")
+    cut = F.slice("value", F.lit(1), F.greatest(F.col("points"), F.lit(0)))
+    return _bytes(rows.withColumns({"value": cut, "value_type": F.coalesce("axis_type", F.lit("UWORD"))}))
+
+
+def flattened(rows: Column, kind: Column, nx: Column, ny: Column) -> Column:
+    """A map's rows as ny times nx values, missing cells as empty texts (which store 0); of other kinds the rows joined.
+
+    ``rows`` is array<array<struct<num, txt>>>."""
+    empty = F.struct(F.lit(None).cast("double").alias("num"), F.lit("").alias("txt"))
+    n = lambda v: F.sequence(F.lit(0), F.greatest(v, F.lit(1)) - 1)
+    full = F.flatten(F.transform(n(ny), lambda r: F.transform(n(nx), lambda c: F.coalesce(F.get(F.get(rows, r), c), empty))))
+    return F.when(kind == "MAP", full).otherwise(F.flatten(rows))
+
+
+# What the report says of a label that was or was not patched.
+PATCH_REASONS = {
+    "patched": "patched from CDFX",
+    "axis_points": "no A2L characteristic (label exists as AXIS_PTS)",
+    "unknown": "no A2L characteristic (label not found in A2L)",
+    "no_layout": "missing record layout",
+}
+
+
+def patch_events(updates: DataFrame, texts: DataFrame) -> DataFrame:
+    """(file, label, kind, source, action, stage, reason) of each of ``updates(file, label, ...)``: kind is patched,
+    axis_points or unknown (no characteristic of that name), or no_layout. Without values nothing is said."""
+    known = a2l.characteristics(texts).select("file", "label", "layout")
+    layouts = a2l.record_layouts(texts).select("file", "layout", F.lit(True).alias("_laid"))
+    axes = a2l.axis_points(texts).select("file", F.col("axis").alias("label"), F.lit(True).alias("_axis"))
+    rows = updates.join(known, ["file", "label"], "left").join(layouts, ["file", "layout"], "left").join(axes, ["file", "label"], "left")
+    kind = F.when(F.col("layout").isNull(), F.when(F.col("_axis"), "axis_points").otherwise("unknown")).when(F.col("_laid").isNull(), "no_layout").when(F.size("value") > 0, "patched")
+    reason = F.create_map(*[F.lit(x) for kv in PATCH_REASONS.items() for x in kv])
+    action = F.when(F.col("kind") == "patched", "patched").otherwise("skipped")
+    return rows.withColumn("kind", kind).where("kind is not null").select("file", "label", "kind", F.lit("hex_patch").alias("source"), action.alias("action"), F.lit("hex_patch").alias("stage"), F.try_element_at(reason, F.col("kind")).alias("reason"))

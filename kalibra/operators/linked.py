@@ -44,3 +44,24 @@ def label_texts(lines: DataFrame) -> DataFrame:
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", F.rtrim("line").alias("line")))), lambda p: p["line"]), "\n")
     joined = titled.where("label is not null").groupBy("doc_id", "block", "label").agg(F.min("title").alias("title"), body.alias("body"))
     return joined.select("doc_id", "block", "label", F.concat_ws("\n", "title", "body").alias("text"))
+
+
+def loosely_linked(records: DataFrame, tables: DataFrame) -> DataFrame:
+    """``records(doc_id, label, table_ref)`` with ``table_seq`` of the table of the same document that they mean, and ``how``.
+
+    Asked in turn: the table of that number, one whose number has the same digits, the table of that label, one whose label
+    ends in the record's (its part after the last point), in any case. Of several the first by ``seq`` answers. An ending is
+    found by equality with the endings of the tables' labels, which are as many as those have letters.
+    """
+    first = lambda key, value, how: tables.select("doc_id", value.alias(key), "seq").where(F.col(key) != "").groupBy("doc_id", key).agg(F.min("seq").alias(how))
+    digits = lambda c: F.array_join(F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0)), "")
+    low = F.lower("label")
+    ends = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.substring(low, i, F.length(low))))
+    keyed = records.withColumns({"_id": F.coalesce("table_ref", F.lit("")), "_digits": digits(F.coalesce("table_ref", F.lit(""))), "_end": F.lower(F.substring_index("label", ".", -1))})
+    joined = (
+        keyed.join(first("_id", F.col("table_id"), "number"), ["doc_id", "_id"], "left").join(first("_digits", digits(F.col("table_id")), "digits"), ["doc_id", "_digits"], "left")
+        .join(first("label", F.col("label"), "whole"), ["doc_id", "label"], "left").join(first("_end", ends, "ending"), ["doc_id", "_end"], "left")
+    )
+    tiers = {"number": "number", "digits": "digits", "whole": "label", "ending": "ending"}
+    how = F.coalesce(*[F.when(F.col(c).isNotNull(), name) for c, name in tiers.items()])
+    return joined.select(*records.columns, F.coalesce(*tiers).alias("table_seq"), how.alias("how"))

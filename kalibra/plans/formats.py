@@ -36,8 +36,35 @@ def patch_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The image written back with K_lin_C at 20.5; all that is not patched stays byte by byte."""
     value = F.array(F.struct(F.lit(20.5).alias("num"), F.lit(None).cast("string").alias("txt")))
     change = one(spark, "", "f").select("file", F.lit("K_lin_C").alias("label"), F.lit(1).alias("seq"), value.alias("value"))
-    image = hexfile.overlaid(hexfile.records(one(spark, samples.image())), decode.patches(change, one(spark, samples.DESCRIPTOR)))
-    return hexfile.rendered(image).select(F.col("at").alias("place"), "line")
+    image = hexfile.written(hexfile.records(one(spark, samples.image())), decode.patches(change, one(spark, samples.DESCRIPTOR)))
+    return image.select(F.col("at").alias("place"), "line")
+
+
+def changes(spark: SparkSession) -> DataFrame:
+    """New values of a float, a curve with its shared axis, a map with short rows, and labels that can't be written."""
+    c = lambda *v: [(float(x), None) for x in v]
+    rows = [
+        ("K_flt_C", 1, c(-0.25), None), ("K_crv_T", 2, c(200, 100, 0), [c(0, 10, 20, 30)]), ("K_map_M", 3, [*c(9), (None, ""), *c(8, 7, 6.5, 300)], None),
+        ("K_non_C", 4, c(1), None), ("ax", 5, c(1), None), ("K_new_C", 6, c(1), None), ("K_lin_C", 7, [], None),
+    ]
+    cell = "struct<num: double, txt: string>"
+    return spark.createDataFrame([("f", *r) for r in rows], f"file string, label string, seq int, value array<{cell}>, new_axes array<array<{cell}>>")
+
+
+@query("""SELECT place::BIGINT AS place, line FROM (VALUES (0, ':020000040000FA'), (4096, ':0A1000003C0A01070500FEFF2C0169'), (4112, ':0A1010000A0000000900080706FFAF'), (4128, ':06102000140028003C0052'),
+(65536, ':020000040001F9'), (69632, ':04100000000080BEAE')) v(place, line)""")
+def patch_floats_and_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Floats, a table's nearest entries, missing cells as 0, values held to their range, and an axis of three points."""
+    texts = one(spark, samples.DESCRIPTOR)
+    bytes_ = decode.patches(changes(spark), texts).unionByName(decode.axis_patches(changes(spark), texts))
+    return hexfile.written(hexfile.records(one(spark, samples.image())), bytes_).select(F.col("at").alias("place"), "line")
+
+
+@query("""SELECT label, kind, action, reason FROM (VALUES ('K_flt_C', 'patched', 'patched', 'patched from CDFX'), ('K_crv_T', 'patched', 'patched', 'patched from CDFX'), ('K_map_M', 'patched', 'patched', 'patched from CDFX'),
+('K_non_C', 'no_layout', 'skipped', 'missing record layout'), ('ax', 'axis_points', 'skipped', 'no A2L characteristic (label exists as AXIS_PTS)'),
+('K_new_C', 'unknown', 'skipped', 'no A2L characteristic (label not found in A2L)')) v(label, kind, action, reason)""")
+def patch_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.patch_events(changes(spark), one(spark, samples.DESCRIPTOR)).select("label", "kind", "action", "reason")
 
 
 @query("""SELECT label, kind, n::INTEGER AS n, pos::INTEGER AS pos FROM (VALUES ('A_C', 'SCALAR', 1, 0), ('B_C', 'SCALAR', 1, 1), ('Arr_CA', 'ARRAY', 3, 2), ('Crv_T', 'CURVE', 4, 3), ('Map_M', 'MAP', 3, 4),

@@ -60,32 +60,77 @@ def cells(data: DataFrame) -> DataFrame:
     return each.groupBy("file", (F.col("address") + F.col("i")).alias("at")).agg(F.max(F.struct("no", "byte")).alias("b")).select("file", "at", "b.byte")
 
 
-def pages(data: DataFrame) -> DataFrame:
-    """(file, page, cells map<at, byte>): at most ``PAGE`` bytes each."""
-    return cells(data).groupBy("file", F.floor(F.col("at") / PAGE).alias("page")).agg(F.map_from_entries(F.collect_list(F.struct("at", "byte"))).alias("cells"))
+def pieces(data: DataFrame, size: int, name: str) -> DataFrame:
+    """``data`` cut where a multiple of ``size`` lies: (file, ``name``, no, at, part), at most ``size`` bytes a row."""
+    last = F.floor((F.col("address") + F.length("bytes") - 1) / size)
+    each = data.where(F.length("bytes") > 0).select("file", "no", "address", "bytes", F.explode(F.sequence(F.floor(F.col("address") / size), last)).alias(name))
+    start = F.greatest(F.col("address"), F.col(name) * size)
+    end = F.least(F.col("address") + F.length("bytes"), (F.col(name) + 1) * size)
+    part = F.substring("bytes", (start - F.col("address") + 1).cast("int"), (end - start).cast("int"))
+    return each.select("file", name, "no", start.alias("at"), part.alias("part"))
+
+
+def _column(field: str) -> Column:
+    """One field of the collected ``p``, in the order of records."""
+    return F.transform(F.sort_array("p"), lambda e: e[field])
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def unpacked(raw: pd.Series, kind: pd.Series, little: pd.Series) -> pd.Series:
-    def one(b: bytes | None, k: str, le: bool) -> list[float] | None:
-        return None if b is None else np.frombuffer(b, dtype=("<" if le else ">") + TYPES[k]).astype(float).tolist()
+def unpacked(address: pd.Series, size: pd.Series, at: pd.Series, part: pd.Series, kind: pd.Series, little: pd.Series) -> pd.Series:
+    """The values of ``size`` bytes from ``address``, laid out of parts of which later ones count; null where a byte is missing."""
 
-    return pd.Series([one(*x) for x in zip(raw, kind, little, strict=True)], dtype=object)
+    def one(start: int, n: int, places: np.ndarray | None, parts: np.ndarray | None, k: str, le: bool) -> list[float] | None:
+        got, known = np.zeros(n, np.uint8), np.zeros(n, bool)
+        for a, b in zip(places if places is not None else (), parts if parts is not None else (), strict=True):
+            lo, hi = max(a - start, 0), min(a - start + len(b), n)
+            if lo < hi:
+                got[lo:hi] = np.frombuffer(b, np.uint8)[lo + start - a : hi + start - a]
+                known[lo:hi] = True
+        return np.frombuffer(got.tobytes(), dtype=("<" if le else ">") + TYPES[k]).astype(float).tolist() if known.all() and n else None
+
+    return pd.Series([one(*x) for x in zip(address, size, at, part, kind, little, strict=True)], dtype=object)
 
 
 def typed(reads: DataFrame, data: DataFrame) -> DataFrame:
     """``reads`` (file, read_id, address, kind, count, little) with ``raw`` array<double>, null where a byte is missing.
 
-    A read is joined to the pages it touches by equality, so neither side is broadcast or compared with all.
+    A read is joined by equality to the pages it touches, and so to parts of records, never to single bytes; neither side
+    is broadcast or compared with all.
     """
     sized = reads.withColumns({"kind": known_type(F.col("kind")), "size": (width(F.col("kind")) * F.col("count")).cast("long")})
-    touched = sized.select("file", "read_id", F.explode(F.sequence(F.floor(F.col("address") / PAGE), F.floor((F.col("address") + F.greatest(F.col("size"), F.lit(1)) - 1) / PAGE))).alias("page"))
-    maps = touched.join(pages(data), ["file", "page"]).groupBy("file", "read_id").agg(F.map_from_entries(F.flatten(F.collect_list(F.map_entries("cells")))).alias("cells"))
-    joined = sized.join(maps, ["file", "read_id"], "left")
-    places = F.sequence(F.col("address"), F.col("address") + F.greatest(F.col("size"), F.lit(1)) - 1)
-    got = F.transform(places, lambda a: F.try_element_at("cells", a))
-    whole = F.when(F.forall(got, lambda b: b.isNotNull()), F.unhex(F.array_join(got, "")))
-    return joined.withColumn("raw", unpacked(whole, F.col("kind"), F.col("little"))).drop("cells", "size")
+    touched = sized.where("size > 0").select("file", "read_id", "address", "size", F.explode(F.sequence(F.floor(F.col("address") / PAGE), F.floor((F.col("address") + F.col("size") - 1) / PAGE))).alias("page"))
+    met = touched.join(pieces(data, PAGE, "page"), ["file", "page"]).where("at < address + size and at + length(part) > address")
+    parts = met.groupBy("file", "read_id").agg(F.collect_list(F.struct("no", "at", "part")).alias("p")).select("file", "read_id", _column("at").alias("_at"), _column("part").alias("_part"))
+    joined = sized.join(parts, ["file", "read_id"], "left")
+    return joined.withColumn("raw", unpacked("address", "size", "_at", "_part", "kind", "little")).drop("_at", "_part", "size")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("hex", T.StringType())])))
+def _runs(at: pd.Series, part: pd.Series) -> pd.Series:
+    """The bytes of a block as runs without a gap; of several parts over a byte the last counts."""
+
+    def one(places: np.ndarray, parts: np.ndarray) -> list[dict]:
+        cells = {a + i: b for a, p in zip(places, parts, strict=True) for i, b in enumerate(p)}
+        out: list[list] = []
+        for a in sorted(cells):
+            if out and out[-1][0] + len(out[-1][1]) == a:
+                out[-1][1].append(cells[a])
+            else:
+                out.append([a, bytearray([cells[a]])])
+        return [{"at": a, "hex": b.hex().upper()} for a, b in out]
+
+    return pd.Series([one(*x) for x in zip(at, part, strict=True)], dtype=object)
+
+
+def written(data: DataFrame, patches: DataFrame) -> DataFrame:
+    """(file, at, rank, line): the image with ``patches(file, at, byte, seq)`` over it as lines, as ``rendered`` writes them.
+
+    Records stay whole on their way; a block of ``RECORD`` bytes and the patches in it are one group.
+    """
+    old = pieces(data, RECORD, "block").select("file", "block", F.lit(0).alias("layer"), F.col("no").cast("long").alias("no"), "at", "part")
+    new = patches.select("file", F.floor(F.col("at") / RECORD).alias("block"), F.lit(1).alias("layer"), F.col("seq").cast("long").alias("no"), F.col("at").cast("long").alias("at"), F.unhex("byte").alias("part"))
+    blocks = old.unionByName(new).groupBy("file", "block").agg(F.collect_list(F.struct("layer", "no", "at", "part")).alias("p"))
+    return _lines(blocks.select("file", F.explode(_runs(_column("at"), _column("part"))).alias("r")).select("file", "r.at", "r.hex"))
 
 
 def overlaid(data: DataFrame, patches: DataFrame) -> DataFrame:
@@ -99,6 +144,11 @@ def rendered(image: DataFrame) -> DataFrame:
     own = Window.partitionBy("file", F.floor(F.col("at") / RECORD)).orderBy("at")
     run = image.withColumn("start", F.col("at") - F.row_number().over(own))
     rows = run.groupBy("file", F.floor(F.col("at") / RECORD).alias("block"), "start").agg(F.min("at").alias("at"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "byte"))), lambda c: c["byte"]), "").alias("hex"))
+    return _lines(rows)
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """(file, at, rank, line) of runs (file, at, hex): their records, and the extended address before each 64 KiB."""
     data = rows.select("file", "at", F.lit(1).alias("rank"), _line(F.col("at") % 65536, "00", F.col("hex")).alias("line"))
     bases = rows.select("file", F.floor(F.col("at") / 65536).alias("high")).distinct()
     moves = bases.select("file", (F.col("high") * 65536).alias("at"), F.lit(0).alias("rank"), _line(F.lit(0), "04", F.lpad(F.hex("high"), 4, "0")).alias("line"))

@@ -21,13 +21,14 @@ def canonical(df: DataFrame, aliases: Mapping[str, Sequence[str]], required: Seq
     return df.select(*[(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c else F.lit("")).alias(name) for name, c in found.items()])
 
 
-def grouped(rows: DataFrame, label: str, function: str, order: str) -> DataFrame:
-    """(label, function) of a grouped sheet in order: header rows (*** ... ***) and blanks go, the function is carried down
-    over empty cells and NOT FOUND, repeated pairs keep their first row. A sheet is ordered in one task."""
+def grouped(rows: DataFrame, label: str, function: str, order: str, key: Sequence[str] = ()) -> DataFrame:
+    """(``key``, label, function, seq) of grouped sheets: header rows (*** ... ***) and blanks go, the function is carried
+    down over empty cells and NOT FOUND, repeated pairs keep their first row. A sheet, told apart by ``key``, is ordered in
+    one task; without ``key`` all rows are one sheet."""
     name = F.trim(F.col(function))
-    carried = filled(F.when((name != "") & (name != "NOT FOUND"), name), [], [order])
+    carried = filled(F.when((name != "") & (name != "NOT FOUND"), name), list(key), [order])
     kept = rows.withColumn("_function", carried).where((F.trim(label) != "") & ~F.col(label).rlike(r"^\s*\*\*\*"))
-    return kept.groupBy(F.trim(label).alias("label"), F.col("_function").alias("function")).agg(F.min(order).alias("seq"))
+    return kept.groupBy(*key, F.trim(label).alias("label"), F.col("_function").alias("function")).agg(F.min(order).alias("seq"))
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
