@@ -25,7 +25,8 @@ def _physical(rows: DataFrame) -> DataFrame:
 
 
 def decoded(texts: DataFrame, images: DataFrame) -> DataFrame:
-    """(file, label, kind, address, value, unit, nx, ny, x_axis, y_axis, error) of every characteristic.
+    """(file, label, kind, address, value, cells, unit, nx, ny, x_axis, y_axis, error) of every characteristic; ``cells`` are a
+    map's values as rows.
 
     ``texts`` and ``images`` are (file, text), paired by file. A missing layout is an error row, a missing conversion
     leaves the raw value without unit; axes are read where they are shared points, others are empty.
@@ -50,13 +51,13 @@ def decoded(texts: DataFrame, images: DataFrame) -> DataFrame:
     axis = lambda i: F.coalesce(F.try_element_at("read_axes", F.lit(i)), F.array().cast("array<struct<num: double, txt: string>>"))
     error = F.when(F.col("value_type").isNull(), "no_record_layout").when(F.col("raw").isNull(), "missing_bytes")
     return _physical(found).join(read_axes, ["file", "label"], "left").select(
-        "file", "label", "kind", "address", "value", F.coalesce("unit", F.lit("")).alias("unit"), "nx", "ny", axis(0).alias("x_axis"), axis(1).alias("y_axis"), error.alias("error")
+        "file", "label", "kind", "address", "value", F.when(F.col("kind") == "MAP", map_rows(F.col("value"), F.col("nx"), F.col("ny"))).alias("cells"), F.coalesce("unit", F.lit("")).alias("unit"), "nx", "ny", axis(0).alias("x_axis"), axis(1).alias("y_axis"), error.alias("error")
     )
 
 
 def map_rows(value: Column, nx: Column, ny: Column) -> Column:
     """A map's values as ny rows of nx, row by row in every index mode."""
-    return F.transform(F.sequence(F.lit(0), ny - 1), lambda r: F.slice(value, r * nx + 1, nx))
+    return F.transform(F.sequence(F.lit(0), F.greatest(ny, F.lit(1)) - 1), lambda r: F.slice(value, r * nx + 1, F.greatest(nx, F.lit(0))))
 
 
 def packed(rows: DataFrame) -> DataFrame:

@@ -116,3 +116,13 @@ def continued(rows: DataFrame) -> DataFrame:
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
     context = F.array_join(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("seq", "context"))), lambda p: p["context"])), " | ")
     return rows.groupBy("record_id").agg(first("label"), first("value"), first("unit"), context.alias("context"))
+
+
+def merged_axes(rows: DataFrame) -> DataFrame:
+    """(record_id, axes): the axes of all rows (record_id, seq, axes array<struct<axis, signal, unit, size, breakpoints>>) of a
+    record, each once; each field is the first by ``seq`` that is not null. Axes stand by name."""
+    fields = ["signal", "unit", "size", "breakpoints"]
+    each = rows.select("record_id", "seq", F.explode("axes").alias("a")).select("record_id", "seq", "a.*")
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in fields]
+    one = each.groupBy("record_id", "axis").agg(*first)
+    return one.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("axis", *fields))).alias("axes"))

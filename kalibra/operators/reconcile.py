@@ -69,6 +69,14 @@ def events(results: DataFrame, key: str) -> DataFrame:
     return results.select("source", F.col(key).alias("label"), F.explode(action).alias("action")).select("source", "label", "action", F.lit("reconcile").alias("stage"), F.try_element_at(reason, F.col("action")).alias("reason"))
 
 
+def group_totals(labels: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One row (functions, labels, grouped, not_found): the function blocks read, the labels they hold, and how many of
+    ``labels(label)`` are in one. ``blocks`` is (label, function); a label that repeats counts once."""
+    held = blocks.agg(F.count_distinct("function").alias("functions"), F.count_distinct("label").alias("labels"))
+    asked = indicated(labels, blocks, "label").agg(F.count_if(F.col("indicator") == "both").alias("grouped"), F.count_if(F.col("indicator") == "left_only").alias("not_found"))
+    return held.crossJoin(asked)  # two tables of one row
+
+
 def tiered(left: DataFrame, text: str, exact: DataFrame, prefix: DataFrame, default: Column, suffix: DataFrame | None = None) -> DataFrame:
     """``left`` with ``found``: the exact entry's value, else that of the longest prefix, else that of the longest ending
     if ``suffix`` is given, else ``default``.

@@ -6,6 +6,8 @@ the last block of a name counts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ COMMENT = r'("(?:[^"\\]|\\.)*")|/\*(?s:.*?)\*/|//[^\n]*'
 TOKEN = r'"(?:[^"\\]|\\.)*"|[^\s"]+'
 # Numbers that follow a keyword of a conversion.
 COEFFICIENTS, LINEAR = 6, 2
+# The kinds of conversion tables.
+TABS = ["COMPU_VTAB", "COMPU_TAB", "COMPU_VTAB_RANGE"]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -77,14 +81,16 @@ def compu_methods(texts: DataFrame) -> DataFrame:
     t = F.col("t")
     return _blocks(texts, "COMPU_METHOD", 5).select(
         "file", F.col("name").alias("conversion"), F.get(t, F.lit(2)).alias("conversion_type"), F.get(t, F.lit(4)).alias("unit"),
-        numbers_after(t, "COEFFS", COEFFICIENTS).alias("coeffs"), numbers_after(t, "COEFFS_LINEAR", LINEAR).alias("linear"), after(t, "COMPU_TAB_REF", 1).alias("tab"),
+        numbers_after(t, "COEFFS", COEFFICIENTS).alias("coeffs"), numbers_after(t, "COEFFS_LINEAR", LINEAR).alias("linear"), after(t, "COMPU_TAB_REF", 1).alias("tab"), after(t, "FORMULA", 1).alias("formula"),
     )
 
 
 def compu_tabs(texts: DataFrame) -> DataFrame:
-    """(file, tab, tab_type, pairs array<struct<raw, num, txt>>, default_text); the last default counts."""
+    """(file, tab, tab_type, pairs array<struct<raw, num, txt>>, default_text); the last default counts, and of blocks of
+    several kinds with one name that of the last of ``TABS``."""
     t = F.col("t")
-    both = _blocks(texts, "COMPU_VTAB", 4).unionByName(_blocks(texts, "COMPU_TAB", 4))
+    kinds = reduce(DataFrame.unionByName, [_blocks(texts, kind, 4).withColumn("_kind", F.lit(n)) for n, kind in enumerate(TABS)])
+    both = kinds.groupBy("file", "name").agg(F.max_by("t", "_kind").alias("t"))
     count = F.coalesce(F.get(t, F.lit(3)).try_cast("int"), F.lit(0))
     pairs = F.transform(
         F.when(count > 0, F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))).otherwise(F.array().cast("array<int>")),
@@ -131,6 +137,11 @@ def functions(texts: DataFrame) -> DataFrame:
     return rows.groupBy("file", "label").agg(F.max(F.struct("seq", "function", "version")).alias("b")).select("file", "label", "b.function", "b.version")
 
 
+def function_counts(texts: DataFrame) -> DataFrame:
+    """(file, blocks): how many function blocks a descriptor has, 0 too."""
+    return texts.select("file", F.size(bodies(stripped(F.coalesce("text", F.lit(""))), "FUNCTION")).alias("blocks"))
+
+
 def value_count(kind: Column, matrix_dim: Column, number: Column, axes: Column) -> Column:
     """How many elements a characteristic holds."""
     n = lambda i: F.coalesce(F.get(axes, F.lit(i))["points"], F.lit(1))

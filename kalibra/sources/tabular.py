@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from ..operators.sequence import filled
 
 
-def canonical(df: DataFrame, aliases: Mapping[str, Sequence[str]], required: Sequence[str] = ()) -> DataFrame:
+def canonical(df: DataFrame, aliases: Mapping[str, Sequence[str]], required: Sequence[str] = (), instead: Mapping[str, str] | None = None) -> DataFrame:
     """Columns under the names of ``aliases``; the first alias present counts, names compare without case, spaces and
-    marks; a column that is absent is empty text. Raises where a required one is absent."""
+    marks; a column that is absent is that of ``instead`` (such as context: description), else empty text. Raises where a
+    required one is absent."""
     plain = lambda name: "".join(c for c in name.lower() if c.isalnum())
     have = {plain(c): c for c in reversed(df.columns)}
     found = {name: next((have[plain(a)] for a in (name, *others) if plain(a) in have), None) for name, others in aliases.items()}
+    for name, other in (instead or {}).items():
+        found[name] = found[name] or found[other]
     if missing := [name for name in required if found[name] is None]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df.select(*[(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c else F.lit("")).alias(name) for name, c in found.items()])

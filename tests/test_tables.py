@@ -159,3 +159,35 @@ def test_sheets_are_told_apart(spark):
 
 def test_label_pattern_has_no_empty_parts(spark):
     assert spark.range(1).select(tx.label_parts(F.lit("nolabel"))["name"].alias("n")).first().n is None
+
+
+def test_maps_have_rows_and_tables_of_ranges_count(spark):
+    ranges = samples.DESCRIPTOR.replace("/begin AXIS_PTS ax", '/begin COMPU_VTAB_RANGE t_verb "" 9 2 0 "low" 1 "high" /end COMPU_VTAB_RANGE /begin COMPU_METHOD c_form "" FORM "%1" "" FORMULA "X1*2" /end COMPU_METHOD /begin AXIS_PTS ax')
+    texts = formats.one(spark, ranges)
+    from kalibra.sources import a2l
+
+    tabs = {r.tab: r for r in a2l.compu_tabs(texts).collect()}
+    assert [p.txt for p in tabs["t_verb"].pairs] == ["low", "high"] and tabs["t_verb"].tab_type == "9"
+    assert {r.conversion: r.formula for r in a2l.compu_methods(texts).collect()}["c_form"] == "X1*2"
+    assert a2l.function_counts(texts).first().blocks == 2
+    found = {r.label: r.cells for r in decode.decoded(formats.one(spark, samples.DESCRIPTOR), formats.one(spark, samples.image())).collect()}
+    assert [[v.num for v in row] for row in found["K_map_M"]] == [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]] and found["K_lin_C"] is None
+
+
+def test_columns_instead(spark):
+    df = spark.createDataFrame([("a", "text")], "label string, Description string")
+    assert tuple(tabular.canonical(df, {"label": [], "context": [], "description": []}, instead={"context": "description"}).first()) == ("a", "text", "text")
+
+
+def test_axes_are_filled(spark):
+    from kalibra.operators import pages
+
+    axis = "struct<axis: string, signal: string, unit: string, size: int, breakpoints: array<double>>"
+    df = spark.createDataFrame([(1, 0, [("X", "n", None, None, None)]), (1, 1, [("X", "m", "rpm", 2, [1.0, 2.0]), ("Y", None, "K", None, None)]), (2, 0, None)], f"record_id int, seq int, axes array<{axis}>")
+    assert [(r.record_id, [tuple(a) for a in r.axes]) for r in pages.merged_axes(df).collect()] == [(1, [("X", "n", "rpm", 2, [1.0, 2.0]), ("Y", None, "K", None, None)])]
+
+
+def test_group_totals(spark):
+    labels = spark.createDataFrame([("A",), ("A",), ("B",)], "label string")
+    blocks = spark.createDataFrame([("A", "F"), ("C", "F"), ("C", "G")], "label string, function string")
+    assert tuple(reconcile.group_totals(labels, blocks).first()) == (2, 2, 1, 1)
