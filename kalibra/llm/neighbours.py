@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 BLOCK = 4096  # candidates of a tile
 QUERY_BLOCK = 1024  # queries of a tile
 STRIP = 1024  # candidates compared at once within a tile
+EXACT = 2**24 // 127**2  # dimensions up to which products of int8 codes are exact in float32
 
 
 def usable(vector: Column) -> Column:
@@ -42,18 +43,19 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
     """For each query the k best (score, -id) among the candidates, as heaps.
 
-    A product of codes (exact in float32, being under 2**24) times both steps differs from the true score by
-    at most |q| * lost(c) + lost(q) * |c'|. Per strip of candidates only those whose upper bound reaches the
+    A product of codes (exact in float32 up to ``EXACT`` dimensions, where it stays under 2**24, beyond them taken in
+    double) times both steps differs from the true score by at most |q| * lost(c) + lost(q) * |c'|. Per strip of candidates only those whose upper bound reaches the
     k-th best so far, or the strip's k-th best lower bound, are computed exactly and offered to the heap.
     """
     heaps: list[list[tuple[float, int]]] = [[] for _ in query_ids]
     q_codes, q_step, q_lost = quantised(queries)
     q_norm = np.sqrt((queries**2).sum(axis=1))
+    real = np.float32 if queries.shape[1] <= EXACT else np.float64
     for at in range(0, len(ids), STRIP):
         own_ids, own = ids[at : at + STRIP], vectors[at : at + STRIP]
         codes, step, lost = quantised(own)
         norm = np.sqrt((own**2).sum(axis=1)) + lost
-        about = (q_codes.astype(np.float32) @ codes.astype(np.float32).T) * q_step[:, None] * step
+        about = (q_codes.astype(real) @ codes.astype(real).T).astype(np.float64) * q_step[:, None] * step
         slack = (q_norm[:, None] * lost + q_lost[:, None] * norm) * 1.0001 + 1e-12
         low, high = about - slack, about + slack
         low[query_ids[:, None] == own_ids] = -np.inf
@@ -91,10 +93,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, id_col: str =
     compared. A query does not find rows of its own id. Repeated query ids are one query, by the smallest
     vector; repeated candidates are candidates each. Ties go to the smaller id. Fewer than k candidates: all.
     Rows are dealt to blocks by a hash of the row, every query block meets every candidate block in a tile of
-    bounded size, and each tile sends at most k rows a query on. Other columns are ignored.
+    bounded size, and each tile sends at most k rows a query on. Float vectors travel as floats, which tiles widen.
+    Other columns are ignored.
     """
+    kind = "float" if dict(vectors.dtypes)[vector] == "array<float>" else "double"
     ready = vectors.where(usable(F.col(vector)) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("vec_id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), is_query.alias("asks")
+        F.col(id_col).cast("long").alias("vec_id"), F.transform(vector, lambda x: x.cast(kind)).alias("v"), is_query.alias("asks")
     )
     rows = ready.select("vec_id", "v", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("row"))
     asked = ready.where("asks").groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))

@@ -25,3 +25,21 @@ def test_few_candidates_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], "", ""), (1, [0.5, 0.5], "", ""), (20, [1.0, 1.0, 1.0], "", "")], SCHEMA)
     assert [(r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1)]
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_repeated_queries_and_candidates(spark):
+    """Of a repeated query the smallest vector asks; repeated candidates answer each; doubles stay doubles."""
+    rows = [(0, [2.0, 0.0]), (0, [1.0, 0.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [0.1, 0.0]), (None, [9.0, 9.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20, block=2).collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 1, 3.0), (0, 2, 1, 3.0), (0, 3, 2, 0.1)]
+
+
+def test_many_dimensions(spark):
+    """Above the dimensions that float32 holds exactly, bounds still hold."""
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(60, neighbours.EXACT + 60))
+    heaps = neighbours.tile(np.arange(3), data[:3], np.arange(60), data, 5)
+    for q in range(3):
+        scores = neighbours.inner(np.broadcast_to(data[q], data.shape), data)
+        want = [i for i in np.lexsort((np.arange(60), -scores)) if i != q][:5]
+        assert [-v for _, v in sorted(heaps[q], key=lambda h: (-h[0], -h[1]))] == want
