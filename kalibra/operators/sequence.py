@@ -49,6 +49,29 @@ def merged_intervals(rows: DataFrame, key: Sequence[str], start: str, end: str)
     return opened.groupBy(*key, "_run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("parts")).drop("_run")
 
 
+def numbered(rows: DataFrame, key: Sequence[str], order: str, buckets: int = 1024) -> DataFrame:
+    """``rows`` with ``number``, from 1 by the integer ``order`` within the key, and ``first``, the key's smallest ``order``.
+
+    A key may hold most rows: the range of ``order`` is cut into ``buckets`` equal parts, rows are counted by key and part,
+    and only rows of one key and part are ordered together. Null keys are a key; rows of null ``order`` are left out. Equal
+    ``order`` within a key is numbered in any order.
+    """
+    known = rows.where(F.col(order).isNotNull())
+    low, high = known.agg(F.min(order), F.max(order)).first()
+    width = ((high or 0) - (low or 0)) // buckets + 1
+    cut = known.withColumn("_b", F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)))
+    of_key = Window.partitionBy(*key)
+    before = F.sum("n").over(of_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    counted = cut.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("m"))
+    names = [F.col(c).alias(f"_k{n}") for n, c in enumerate(key)]
+    offsets = counted.select(*names, F.col("_b").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"), F.min("m").over(of_key).alias("first"))
+    same = F.col("_b") == F.col("_p")
+    for n, c in enumerate(key):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{n}"))
+    own = F.row_number().over(Window.partitionBy(*key, "_b").orderBy(order))
+    return cut.join(offsets, same).select(*rows.columns, (F.col("_before") + own).alias("number"), "first")
+
+
 def lines(documents: DataFrame, id_col: str, text: str) -> DataFrame:
     """One row per line: (id, line_no from 0, line)."""
     return documents.select(id_col, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("line_no", "line"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.compare import numbers_equal
-from ..operators import reconcile
+from ..operators import reconcile, sequence
 from .registry import load, query
 
 PRICES = """
@@ -171,7 +171,7 @@ def best_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS action, count(*) AS n FROM events GROUP BY event_type")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").groupBy(F.coalesce("event_type", F.lit("unknown")).alias("action")).agg(F.count(F.lit(1)).alias("n"))
+    return load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("action")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT c_mktsegment, count(c_acctbal) AS n, round(avg(c_acctbal), 2) AS mean FROM customer GROUP BY c_mktsegment")
@@ -224,8 +224,7 @@ def attention_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups in order of first appearance, a header before each, two blank rows after, NOT FOUND last."""
     nation = load(spark, sf_dir, "nation").where("n_regionkey < 4")
     rows = load(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.coalesce("n_name", F.lit("NOT FOUND")).alias("f"))
-    own = Window.partitionBy("f")
-    members = rows.select("f", "s_suppkey", F.row_number().over(own.orderBy("s_suppkey")).alias("line"), F.min("s_suppkey").over(own).alias("first"))
+    members = sequence.numbered(rows, ["f"], "s_suppkey").withColumnRenamed("number", "line")
     item = lambda line, text: F.struct(line.cast("long").alias("line"), text.alias("text"))
     extra = F.when(
         F.col("line") == 1,

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kalibra.functions import text as tx
-from kalibra.operators import decode, embedding, frames, reconcile, rows
-from kalibra.plans import formats, retrieval, samples, tables
+from kalibra.operators import decode, embedding, frames, match, reconcile, rows, sequence
+from kalibra.plans import formats, retrieval, samples, series, tables
 from kalibra.sources import hexfile, tabular
 
 LINES = "doc_id int, page int, line_no int, line string"
@@ -191,3 +191,27 @@ def test_group_totals(spark):
     labels = spark.createDataFrame([("A",), ("A",), ("B",)], "label string")
     blocks = spark.createDataFrame([("A", "F"), ("C", "F"), ("C", "G")], "label string, function string")
     assert tuple(reconcile.group_totals(labels, blocks).first()) == (2, 2, 1, 1)
+
+
+def test_numbers_within_hot_and_null_keys(spark):
+    given = [("hot", i * 7 % 101) for i in range(101)] + [(None, 5), (None, -3), ("one", 9), ("hot", None)]
+    df = spark.createDataFrame(given, "k string, o int")
+    got = {(r.k, r.o): (r.number, r["first"]) for r in sequence.numbered(df, ["k"], "o", buckets=8).collect()}
+    assert got == {**{("hot", i): (i + 1, 0) for i in range(101)}, (None, -3): (1, -3), (None, 5): (2, -3), ("one", 9): (1, 9)}
+    assert sequence.numbered(df.limit(0), ["k"], "o").count() == 0
+
+
+def test_greedy_match_equals_plain_greedy(spark):
+    """The query's rows against pairs taken one by one, the best first."""
+    folder = "/root/testdata/sf0.001"
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").where("text is not null").collect()
+    pairs = spark.createDataFrame([(a.conv_id, a.turn, b.turn, a.text, b.text) for a in turns for b in turns if a.conv_id == b.conv_id and (a.role, b.role) == ("user", "assistant")], "c long, l long, r long, a string, b string")
+    scored = sorted(((-p.s, p.c, p.l, p.r) for p in pairs.select("c", "l", "r", match.text_similarity("a", "b").alias("s")).collect() if p.s >= 10))
+    left, right, want = set(), set(), set()
+    for s, c, a, b in scored:
+        if (c, a) not in left and (c, b) not in right:
+            left.add((c, a))
+            right.add((c, b))
+            want.add((c, a, b, -s))
+    got = [tuple(r[c] for c in ("conv_id", "left_id", "right_id", "score")) for r in series.greedy_match(spark, folder).collect()]
+    assert want and len(got) == len(want) and set(got) == want
