@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, language_model, lines, near, neighbours, packing, quality, sharding, urls
-from .tables import table
+from . import bpe, filter_audit, language, language_model, lines, near, neighbours, packing, quality, secret_scan, sharding, spelling, urls
+from .tables import materialise, table
 
 
 def remainder(column: str, divisor: int):
@@ -71,6 +71,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_audit.facts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    filters = {
+        "A": F.col("n_words") < 100,
+        "B": 100 * F.col("n_distinct").cast("long") < 80 * F.col("n_words").cast("long"),
+        "C": 100 * F.col("n_upper").cast("long") > 10 * F.col("n_chars").cast("long"),
+        "D": F.col("has_symbol"),
+        "E": F.col("is_copy"),
+    }
+    found = filter_audit.audit(materialise(rows, "audit-rows"), filters, "part", {"good_lost": F.col("good"), "toxic_lost": F.col("toxic")})
+    return found.drop("filter")
+
+
+def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -136,6 +157,40 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS sco
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, n::INTEGER AS rank, vec_id, score FROM t WHERE n <= 20"""
 
+SQL["op11_filter_audit"] = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {WORDS} AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT
+  + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > first, false)::INT AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM d LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, fails, count(*) AS n, count_if(good) AS g, count_if(toxic) AS t FROM m GROUP BY part, fails),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(l, b)),
+o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a, f b, f c, f d, f e WHERE a.b + b.b + c.b + d.b + e.b = 31),
+s AS (SELECT filter_order, step::INTEGER AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS done FROM (SELECT *, unnest(range(1, 6)) AS step FROM o) t),
+r AS (SELECT part, filter_order, step, bit, sum(CASE WHEN fails & (done | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails & done = 0 AND fails & bit > 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN fails & done > 0 AND fails & bit > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN fails & done = 0 AND fails & bit > 0 THEN g ELSE 0 END) AS good_lost, sum(CASE WHEN fails & done = 0 AND fails & bit > 0 THEN t ELSE 0 END) AS toxic_lost
+  FROM g, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r"""
+
+CRC32 = """xor(list_reduce(list_transform(range(length(%s) // 2), lambda i: 16 * (instr('0123456789ABCDEF', %s[2 * i + 1]) - 1) + instr('0123456789ABCDEF', %s[2 * i + 2]) - 1),
+  lambda c, b: xor(c >> 8, codes[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"""
+
+SQL["op13_spelling_variants"] = f"""
+WITH RECURSIVE codes AS (SELECT list(code ORDER BY i) AS codes FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS code FROM range(256) t(i)) u),
+r AS (SELECT doc_id, unnest(regexp_extract_all({LOWER % "coalesce(text, '')"}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+c AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM (SELECT doc_id, run, count(*) AS n FROM r GROUP BY doc_id, run) t),
+h AS (SELECT run, n, {CRC32 % ("x", "x", "x")} AS h FROM c, codes),
+m AS (SELECT CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n, length(word) AS l FROM m GROUP BY word HAVING length(word) >= 6 AND sum(n) >= 5),
+v AS (SELECT word, n, l, i, word[1:i - 1] || word[i + 1:] AS less FROM (SELECT *, unnest(range(1, l + 1)) AS i FROM w) t),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM v a JOIN v b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.less = w.word UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.less = w.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM w LEFT JOIN b USING (word)),
+t(word, root, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT t.word, f.form, step + 1 FROM t JOIN f ON t.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, arg_max(t.root, t.step) AS root, n, n_near, form_n FROM f JOIN t USING (word) GROUP BY f.word, form, n, n_near, form_n"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
