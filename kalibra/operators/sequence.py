@@ -17,11 +17,6 @@ def filled(value: Column, key: Sequence[str], order: Sequence[str]) -> Column:
     return F.last(value, ignorenulls=True).over(ordered(key, order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def filled_back(value: Column, key: Sequence[str], order: Sequence[str]) -> Column:
-    """The first value that is not null, from this row on."""
-    return F.first(value, ignorenulls=True).over(ordered(key, order).rowsBetween(0, Window.unboundedFollowing))
-
-
 def runs(starts: Column, key: Sequence[str], order: Sequence[str]) -> Column:
     """The number of the run a row is in: a row where ``starts`` holds opens one."""
     return F.sum(F.coalesce(starts, F.lit(True)).cast("int")).over(ordered(key, order).rowsBetween(Window.unboundedPreceding, 0))
@@ -41,14 +36,6 @@ def ranges_text(rows: DataFrame, key: Sequence[str], number: str) -> DataFrame:
     return islands(rows, key, number).groupBy(*key).agg(F.array_join(F.transform(parts, lambda p: p["text"]), ", ").alias("ranges"))
 
 
-def merged_intervals(rows: DataFrame, key: Sequence[str], start: str, end: str) -> DataFrame:
-    """Overlapping or touching intervals of a key as one: (key, start, end, parts)."""
-    before = ordered(key, [start, end]).rowsBetween(Window.unboundedPreceding, -1)
-    reached = rows.withColumn("_reached", F.max(end).over(before))
-    opened = reached.withColumn("_run", runs(F.col(start) > F.col("_reached"), key, [start, end]))
-    return opened.groupBy(*key, "_run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("parts")).drop("_run")
-
-
 def numbered(rows: DataFrame, key: Sequence[str], order: str, buckets: int = 1024) -> DataFrame:
     """``rows`` with ``number``, from 1 by the integer ``order`` within the key, and ``first``, the key's smallest ``order``.
 

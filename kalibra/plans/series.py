@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..operators import match, sequence
+from ..operators import match, scan, sequence
 from .registry import load, query
 
 
+def events_in_order(spark: SparkSession, sf_dir: str, *columns: str) -> scan.Ordered:
+    rows = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", *columns)
+    return scan.Ordered(rows, ["user_id"], ["ts", "event_id"])
+
+
 @query("""SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER
 (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS active FROM events""")
 def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    active = sequence.filled(F.when(F.col("event_type") == "purchase", F.col("value")), ["user_id"], ["ts", "event_id"])
-    return load(spark, sf_dir, "events").select("event_id", "user_id", active.alias("active"))
+    bought = F.when(F.col("event_type") == "purchase", F.col("value"))
+    return events_in_order(spark, sf_dir, "event_type", "value").with_running({"active": scan.last(bought)}).frame().select("event_id", "user_id", "active")
 
 
 @query("""SELECT event_id, user_id, sum(CASE WHEN prev IS NULL OR prev <> event_type THEN 1 ELSE 0 END) OVER
@@ -22,16 +27,18 @@ def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) t""")
 def identity_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new block whenever the identity changes; one that comes back opens another."""
-    previous = F.lag("event_type").over(sequence.ordered(["user_id"], ["ts", "event_id"]))
-    rows = load(spark, sf_dir, "events").withColumn("changed", previous.isNull() | (previous != F.col("event_type")))
-    return rows.select("event_id", "user_id", sequence.runs(F.col("changed"), ["user_id"], ["ts", "event_id"]).alias("block"))
+    rows = events_in_order(spark, sf_dir, "event_type").with_running({"previous": scan.before(F.struct("event_type"))})
+    changed = ~F.col("previous.event_type").eqNullSafe(F.col("event_type")) | F.col("previous").isNull()
+    return scan.numbered_runs(rows, changed, "block").select("event_id", "user_id", "block")
 
 
 @query("""SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS occurrence,
 row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations""")
 def occurrence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy("turn"))
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", (number("conv_id", "role") - 1).alias("occurrence"), number("conv_id").alias("rank"))
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    ranked = scan.Ordered(turns, ["conv_id"], ["turn"]).with_running({"rank": scan.total(F.lit(1))}).frame()
+    placed = scan.Ordered(ranked, ["conv_id", "role"], ["turn"]).with_running({"occurrence": scan.total(F.lit(1))}).frame()
+    return placed.select("conv_id", "turn", "role", (F.col("occurrence") - 1).alias("occurrence"), "rank")
 
 
 ANCHORS = """last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above,
@@ -40,19 +47,16 @@ first_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER
 
 @query(f"SELECT event_id, {ANCHORS} FROM events")
 def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, anchor = sequence.ordered(["user_id"], ["ts", "event_id"]), F.when(F.col("event_type") == "error", F.col("event_id"))
-    above = F.last(anchor, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    below = F.first(anchor, ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing))
-    return load(spark, sf_dir, "events").select("event_id", above.alias("above"), below.alias("below"))
+    anchor = F.when(F.col("event_type") == "error", F.col("event_id"))
+    return events_in_order(spark, sf_dir, "event_type").with_running({"above": scan.before(anchor), "below": scan.after(anchor)}).frame().select("event_id", "above", "below")
 
 
 @query("""SELECT event_id, user_id, sum(CASE WHEN prev IS NULL OR ts - prev > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER
 (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS session FROM
 (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) t""")
 def session_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    previous = F.lag("ts").over(sequence.ordered(["user_id"], ["ts", "event_id"]))
-    rows = load(spark, sf_dir, "events").withColumn("opens", previous.isNull() | (F.col("ts") - previous > F.expr("interval 30 minutes")))
-    return rows.select("event_id", "user_id", sequence.runs(F.col("opens"), ["user_id"], ["ts", "event_id"]).alias("session"))
+    rows = events_in_order(spark, sf_dir).with_running({"previous": scan.before(F.col("ts"))})
+    return scan.numbered_runs(rows, F.col("ts") - F.col("previous") > F.expr("interval 30 minutes"), "session").select("event_id", "user_id", "session")
 
 
 @query("""WITH i AS (SELECT o_custkey, o_orderdate::DATE AS s, o_orderdate::DATE + 60 AS e FROM orders),
@@ -61,7 +65,7 @@ g AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTIT
 SELECT o_custkey, min(s) AS s, max(e) AS e, count(*) AS parts FROM g GROUP BY o_custkey, k""")
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("s"), F.date_add(F.col("o_orderdate").cast("date"), 60).alias("e"))
-    return sequence.merged_intervals(rows, ["o_custkey"], "s", "e")
+    return scan.merged_intervals(rows, ["o_custkey"], "s", "e")
 
 
 @query("""WITH k AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), r AS (SELECT *, l_partkey - row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS g FROM k),
@@ -90,8 +94,8 @@ def join_wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS n FROM events) t WHERE n = 1""")
 def monotonic_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = Window.partitionBy("user_id", F.col("ts").cast("date")).orderBy("ts", "event_id")
-    return load(spark, sf_dir, "events").withColumn("n", F.row_number().over(own)).where("n = 1").select("user_id", "event_id")
+    first = F.min(F.struct("ts", "event_id")).alias("first")
+    return load(spark, sf_dir, "events").groupBy("user_id", F.col("ts").cast("date")).agg(first).select("user_id", "first.event_id")
 
 
 RESAMPLE = """WITH o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n, o_totalprice AS v FROM orders),
@@ -254,8 +258,8 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, max(CASE WHEN event_type = 'signup' THEN value END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS near FROM events""")
 def nearby_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = F.max(F.when(F.col("event_type") == "signup", F.col("value"))).over(sequence.ordered(["user_id"], ["ts", "event_id"]).rowsBetween(-3, 1))
-    return load(spark, sf_dir, "events").select("event_id", near.alias("near"))
+    rows = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") == "signup", F.col("value")).alias("v"))
+    return scan.framed(rows, ["user_id"], ["ts", "event_id"], lambda w: F.max("v").over(w), "near", 3, 1).select("event_id", "near")
 
 
 @query()

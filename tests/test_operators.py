@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kalibra.functions import compare, convert, numeric, text
 from kalibra.functions import labels as label_functions
-from kalibra.operators import decode, extract, frames, linked, match, pages, reconcile, sequence, update
+from kalibra.operators import decode, extract, frames, linked, match, pages, reconcile, scan, sequence, update
 from kalibra.plans import labels, samples
 from kalibra.sources import cdfx, hexfile, tabular
 
@@ -121,7 +121,7 @@ def test_embedder_is_deterministic_and_unit_length(spark):
 
 def test_intervals_runs_and_records_of_nothing(spark):
     none = spark.createDataFrame([], "k int, s int, e int")
-    assert sequence.merged_intervals(none, ["k"], "s", "e").count() == 0
+    assert scan.merged_intervals(none, ["k"], "s", "e").count() == 0
     assert extract.records(spark.createDataFrame([], "doc_id long, page int, line_no int, line string")).count() == 0
     assert pages.value_tables(spark.createDataFrame([], "doc_id long, line_no int, line string")).count() == 0
 
@@ -192,6 +192,18 @@ def test_events_of_skipped_and_padded(spark):
     assert got == [("a", "skipped", True), ("b", "padded", True), ("b", "updated", True)]
 
 
+def test_keys_of_odd_texts(spark):
+    deep = '{"k":' * 500 + "1" + "}" * 500
+    texts = ['{"a:b": ":", "c": "x\\\\\\"y:", "d": [{"e": 1}, ["f:"]], "g": {"h": "{\\"i\\": 1}"}}', deep, '[{"a": 1}]', "7", "", "{broken", '{"long": "' + "x\\\\n" * 100_000 + '"}', None]
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    assert [r.n for r in text.key_counts(got, "id", "body").orderBy("id").collect()] == [5, 500, 0, 0, 0, 0, 1]
+
+
+def test_keys_of_two_million_texts(spark):
+    rows = spark.range(2_000_000).select((F.col("id") % 3).alias("id"), F.lit('{"a": {"b": 1}, "c": [{"d": 1}]}').alias("body"))
+    assert {r.id: r.n for r in text.key_counts(rows, "id", "body").collect()} == {0: 2_000_001, 1: 2_000_001, 2: 1_999_998}
+
+
 def test_keys_at_every_depth_leave_no_view(spark):
     rows = spark.createDataFrame([(1, '{"a": {"b": 1, "c": {"d": 2}}, "e": 3}'), (2, "{}"), (3, None)], "id int, body string")
     assert sorted(map(tuple, text.key_counts(rows, "id", "body").collect())) == [(1, 5), (2, 0)]
