@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,17 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..store import written
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def unit(v: Column) -> Column:
-    """The vector at length 1; a zero vector as it is."""
-    length = F.sqrt(dot(v, v))
-    return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(F.transform(v, lambda x: x.cast("double")))
-
-
 def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
@@ -100,37 +97,55 @@ def mean_vector(vectors: DataFrame, key: str, v: str, order: str) -> DataFrame:
     return joined.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", (F.col("s") / F.col("rows")).alias("m")))).alias("p")).select(key, F.transform("p", lambda e: e["m"]).alias("mean"))
 
 
+def tidy(text: str | None) -> str:
+    """White space collapsed, lower case; null is empty."""
+    return " ".join((text or "").split()).lower()
+
+
 @F.pandas_udf(T.DoubleType())
 def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching blocks' share of both texts (spaces collapsed, lower case) in percent, two decimals; two empty texts: 100."""
 
-    def one(x: str | None, y: str | None) -> float:
-        x, y = (" ".join((t or "").split()).lower() for t in (x, y))
+    def one(x: str, y: str) -> float:
         return 100.0 if not x and not y else round(difflib.SequenceMatcher(None, x, y).ratio() * 100, 2)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    return pd.Series([one(tidy(x), tidy(y)) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def greedy_pairs(scored: DataFrame, group: str, threshold: float) -> DataFrame:
+def greedy_pairs(scored: DataFrame, group: str, threshold: float, few: int = 100_000) -> DataFrame:
     """One-to-one pairs within each group: the best remaining pair first (score + bonus, then ids), each side once.
 
-    ``scored`` has group, left_id, right_id, score, bonus; pairs whose score is under the threshold consume nothing. A
-    group is one task's work: its candidate pairs must be few, as they are within one function's labels.
+    ``scored`` has group, left_id, right_id, score, bonus; pairs whose score is under the threshold consume nothing. A pair
+    that is the best of both its sides is taken by the greedy order whatever else it takes, so all such pairs are taken
+    at once and their sides leave; this repeats while a group has over ``few`` pairs. A group of fewer is finished in
+    one task. Pairs are written once a round.
     """
-
-    def assign(part: pd.DataFrame) -> pd.DataFrame:
-        part = part[part["score"] >= threshold].assign(order=part["score"] + part["bonus"])
-        part = part.sort_values(["order", "left_id", "right_id"], ascending=[False, True, True], kind="stable")
-        left, right, taken = set(), set(), []
-        for n, (a, b) in enumerate(zip(part["left_id"], part["right_id"], strict=True)):
+    order = F.struct((-(F.col("score") + F.col("bonus"))).alias("minus"), "left_id", "right_id", "score")
+    known = scored.where((F.col("score") >= threshold) & F.col("left_id").isNotNull() & F.col("right_id").isNotNull())
+    pairs = written(known.select(F.col(group).alias("_g"), "left_id", "right_id", order.alias("o")), "pairs")
+    taken = []
+    while (pairs.groupBy("_g").count().agg(F.max("count")).first()[0] or 0) > few:
+        best = {side: pairs.groupBy("_g", side).agg(F.min("o").alias("o")).select(F.col("_g").alias(f"_g_{side}"), F.col("o").alias(f"o_{side}")) for side in ("left_id", "right_id")}
+        mutual = best["left_id"].join(best["right_id"], F.col("_g_left_id").eqNullSafe(F.col("_g_right_id")) & (F.col("o_left_id") == F.col("o_right_id")))
+        taken.append(written(mutual.select(F.col("_g_left_id").alias("_g"), "o_left_id.left_id", "o_left_id.right_id", "o_left_id.score"), "taken"))
+        for side in ("left_id", "right_id"):
+            gone = taken[-1].select(F.col("_g").alias("_h"), F.col(side).alias("_side"))
+            pairs = pairs.join(gone, F.col("_g").eqNullSafe(F.col("_h")) & (F.col(side) == F.col("_side")), "left_anti")
+        pairs = written(pairs, "pairs")
+
+    def finish(part: pd.DataFrame) -> pd.DataFrame:
+        left, right, kept = set(), set(), []
+        rows = zip(part["minus"], part["left_id"], part["right_id"], part["score"], strict=True)
+        for _, a, b, score in sorted(rows):
             if a not in left and b not in right:
                 left.add(a)
                 right.add(b)
-                taken.append(n)
-        return part.iloc[taken][[group, "left_id", "right_id", "score"]].reset_index(drop=True)
+                kept.append((a, b, score))
+        return pd.DataFrame({"_g": part["_g"].iloc[: len(kept)].reset_index(drop=True), **{c: [k[n] for k in kept] for n, c in enumerate(("left_id", "right_id", "score"))}})
 
     kinds = dict(scored.dtypes)
-    return scored.groupBy(group).applyInPandas(assign, f"{group} {kinds[group]}, left_id {kinds['left_id']}, right_id {kinds['right_id']}, score double").where("left_id is not null")
+    last = pairs.select("_g", "o.*").groupBy("_g").applyInPandas(finish, f"_g {kinds[group]}, left_id {kinds['left_id']}, right_id {kinds['right_id']}, score double")
+    return reduce(DataFrame.unionByName, taken, last).withColumnRenamed("_g", group)
 
 
 def embedded(texts: DataFrame, text: str, dim: int = 64) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..operators import match, scan, sequence
+from ..operators import match, scan, sequence, similar
 from .registry import load, query
 
 
@@ -265,8 +265,6 @@ def nearby_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns against assistant turns of a conversation, one to one, by text similarity."""
-    turns = load(spark, sf_dir, "conversations").where("text is not null")
-    left = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("left_id"), F.col("text").alias("a"))
-    right = turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("right_id"), F.col("text").alias("b"))
-    scored = left.join(right, "conv_id").select("conv_id", "left_id", "right_id", match.text_similarity("a", "b").alias("score"), F.lit(0.0).alias("bonus"))
-    return match.greedy_pairs(scored, "conv_id", 10.0)
+    turns = load(spark, sf_dir, "conversations")
+    side = lambda role, key: turns.where(F.col("role") == role).select("conv_id", F.col("turn").alias(key), "text")
+    return similar.one_to_one(side("user", "left_id"), side("assistant", "right_id"), "conv_id", 10.0)
