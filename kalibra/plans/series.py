@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import numeric
+from ..functions import noise, numeric
 from ..operators import match, scan, sequence, similar
 from .registry import load, query
 
@@ -211,11 +211,23 @@ def number_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(found).cast("long").alias("n"), F.get(found, F.lit(0)).try_cast("double").alias("first"))
 
 
-@query("""SELECT source, count(*) AS n FROM (SELECT source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) t
-WHERE NOT regexp_matches(line, '^\\s*$|^[0-9. ]+$|(?i)copyright|license') GROUP BY source""")
+NOISE_LINES = """WITH l AS (SELECT 'documents' AS source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents UNION ALL SELECT 'pages', unnest(string_split(coalesce(html, ''), chr(10))) FROM pages),
+f AS (SELECT source, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS c, regexp_replace(lower(line), '[^a-z]+', '', 'g') AS q FROM l),
+k AS (SELECT source, c = '' AS blank, c = '|' AS bar, regexp_matches(c, '^[0-9. ]*[0-9][0-9. ]*$') AS numbers, regexp_matches(c, '^\\d+ ?\\| ?\\d+$') AS page_number, regexp_matches(c, '^\\d{4}-\\d\\d-\\d\\d ?\\| ?\\[PVER\\]') AS stamp,
+regexp_matches(c, '^\\w+ \\d+\\.\\d+\\.\\d+;?\\d*$') AS version, regexp_matches(c, '^\\w+ \\d+\\.\\d+\\.\\d+;?\\d* \\d+ ?\\| ?\\d+$') AS version_page, regexp_matches(c, '\\d\\.\\d+\\.\\d+;\\d+ \\d+ ?\\|') AS running_head,
+regexp_matches(lower(c), '^\\d+(\\.\\d+)* system ?constants') AS constants, regexp_matches(q, 'reservesallrights|copyingandpassingontothirdparties') AS rights,
+regexp_matches(q, 'reserve[sd]?allright|thirdpartie|industrialpropertyright') AS legal, regexp_matches(q, 'copyright|allrightsreserved|license') AS licence, regexp_matches(lower(c), '^label ?name\\b') AS header,
+regexp_matches(lower(c), 'calibration of function labels|must be edited by calibration parameter editor|do not edit these tables manually|label name|description|caution|apph_labtab') AS editing FROM f)"""
+
+
+@query(f"""{NOISE_LINES}, r AS (SELECT source, blank OR bar OR running_head OR legal OR header AS page, blank OR stamp OR rights OR page_number OR version OR constants AS "table",
+blank OR header OR stamp OR rights OR page_number OR version_page OR version AS continuation, editing AS section, blank OR page_number OR numbers OR licence AS corpus FROM k)
+SELECT source, count(*) AS lines, count_if(page) AS page, count_if("table") AS "table", count_if(continuation) AS continuation, count_if(section) AS section, count_if(corpus) AS corpus FROM r GROUP BY source""")
 def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "documents").select("source", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
-    return rows.where(~F.col("line").rlike(r"^\s*$|^[0-9. ]+$|(?i)copyright|license")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    """How many lines of each table each rule set leaves out."""
+    lines = lambda name, text: load(spark, sf_dir, name).select(F.lit(name).alias("source"), F.explode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("line"))
+    found = lines("documents", "text").unionByName(lines("pages", "html")).select("source", noise.kinds(F.col("line")).alias("k"))
+    return found.groupBy("source").agg(F.count(F.lit(1)).alias("lines"), *[F.count_if(noise.is_noise(F.col("k"), r)).alias(r) for r in noise.RULES])
 
 
 @query("""SELECT doc_id, md5(lower(trim(regexp_replace(replace(text, ',', ' ;'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' '))) AS norm FROM documents""")
