@@ -39,20 +39,25 @@ def nearest_in_tiles(vectors: DataFrame, is_query: Column, k: int, *, within: bo
     rows, exact, by cosine distance, ties to the smaller id.
 
     ``within``: only rows of the query's label. ``per_label``: k rows of each label. ``itself``: a query may find its own
-    id. Every block of queries meets every block of candidates in a tile, and a tile sends at most k rows a query on
-    (and label). Vectors that are null, empty or zero take no part; those of different lengths are not compared.
+    id. Every block of queries meets every block of candidates in a tile (``within``: of the same label, whose rows make
+    blocks of their own, so a query is compared with no other label), and a tile sends at most k rows a query on (and
+    label). Vectors that are null, empty or zero take no part; those of different lengths are not compared.
     """
     ready = vectors.where(F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.transform("v", lambda x: x.cast("double")).alias("v"), F.size("v").alias("dim"), is_query.alias("asks"))
-    counts = ready.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
-    blocks, query_blocks = max(1, -(-counts["n"] // block)), max(1, -(-counts["q"] // query_block))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = ready.where("asks").select("vec_id", "label", "v", "dim", dealt(query_blocks).alias("qb"), every(blocks).alias("cb"))
-    right = ready.select("vec_id", "label", "v", "dim", dealt(blocks).alias("cb"), every(query_blocks).alias("qb"))
+    own = [F.col("dim").alias("_dim"), *([F.col("label").alias("_label")] if within else [])]
+    cut = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+    sizes = written(ready.groupBy(*own).agg(cut(F.count(F.lit(1)), block).alias("blocks"), cut(F.count_if("asks"), query_block).alias("query_blocks")), "tile-sizes")
+    same = (F.col("dim") == F.col("_dim")) & (F.col("label").eqNullSafe(F.col("_label")) if within else F.lit(True))
+    sized = ready.join(sizes, same).drop("_dim", "_label")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    tile = F.col("label") if within else F.lit(None).cast(vectors.schema["label"].dataType)
+    left = sized.where("asks").select(*[F.col(c).alias(c) for c in ("vec_id", "v", "dim")], tile.alias("of"), dealt("query_blocks").alias("qb"), every("blocks").alias("cb"))
+    right = sized.select("vec_id", "label", "v", "dim", tile.alias("of"), dealt("blocks").alias("cb"), every("query_blocks").alias("qb"))
     kind = vectors.schema["label"].dataType.simpleString()
 
     def matrix(t: pa.Table) -> np.ndarray:
-        return np.array(t["v"].to_pylist(), dtype=np.float64).reshape(t.num_rows, -1)
+        return t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
 
     def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         total = np.zeros(len(b))
@@ -61,28 +66,25 @@ def nearest_in_tiles(vectors: DataFrame, is_query: Column, k: int, *, within: bo
         return total
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        of, ids = a["label"].to_pylist(), b["vec_id"].to_numpy()
-        query_ids = a["vec_id"].to_numpy()
-        labels = b["label"].to_pylist()
+        ids, query_ids, labels = b["vec_id"].to_numpy(), a["vec_id"].to_numpy(), b["label"].to_pylist()
         places: dict = {}
         for i, x in enumerate(labels):
-            places.setdefault(x, []).append(i)
-        places = {x: np.array(p) for x, p in places.items()}
+            places.setdefault(x if per_label else None, []).append(i)
+        parts = [np.array(p) for p in places.values()]
         found: tuple[list, list, list, list] = ([], [], [], [])
         if a.num_rows and b.num_rows:
             q, c = matrix(a), matrix(b)
             size = np.sqrt(inner(c, c))
             for n, own in enumerate(q):
                 d = 1 - inner(own[None, :], c) / (np.sqrt(inner(own[None, :], own[None, :]))[0] * size)
-                some = ([places[of[n]]] if of[n] in places else []) if within else places.values() if per_label else [np.arange(len(ids))]
-                for p in some:
+                for p in parts:
                     p = p if itself else p[ids[p] != query_ids[n]]
                     for j in p[np.lexsort((ids[p], d[p]))[:k]].tolist():
                         for column, value in zip(found, (int(query_ids[n]), int(ids[j]), labels[j], float(d[j])), strict=True):
                             column.append(value)
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "label": pa.array(found[2], b.schema.field("label").type), "distance": pa.array(found[3], pa.float64())})
 
-    keys = ["dim", "qb", "cb"]
+    keys = ["dim", "of", "qb", "cb"]
     best = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(compare, f"query_id long, vec_id long, label {kind}, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id", *(["label"] if per_label else [])).orderBy("distance", "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import scan
 from .sequence import ordered, runs
 
 # A page header: a function's name and its version (digits and points, a semicolon, a number) in one of three frames.
@@ -110,6 +113,21 @@ def backfilled(records: DataFrame, documents: DataFrame, reach: int = 5000) -> D
     return joined.select("doc_id", "label", F.coalesce("values", tx.start_value(window)["values"]).alias("values"), F.col("values").isNull().alias("was_empty"))
 
 
+def open_records(lines: DataFrame, key: Sequence[str], order: Sequence[str], opens: Column, closes: Column, skips: Column, **sizes: int | None) -> DataFrame:
+    """``lines`` that belong to a record, with ``record``: the order (a struct) of the line that opened it.
+
+    A record is open from a line that ``opens`` one, over pages, until the next one that does or one that ``closes`` it;
+    a line that does both opens. Lines that close or that are to be skipped (and don't open) belong to no record, but
+    what is skipped leaves it open. Null conditions don't hold. The lines of a key of any size are many tasks' work.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    here = F.struct(*order)
+    event = F.when(yes(opens), F.struct(here.alias("record"), F.lit(True).alias("open"))).when(yes(closes), F.struct(here.alias("record"), F.lit(False).alias("open")))
+    marked = lines.withColumns({"_event": event, "_skip": yes(skips) & ~yes(opens)})
+    held = scan.Ordered(marked, key, order, **sizes).with_running({"_state": scan.last(F.col("_event"))}).frame()
+    return held.where(yes(F.col("_state.open")) & ~F.col("_skip")).withColumn("record", F.col("_state.record")).drop("_event", "_skip", "_state")
+
+
 def continued(rows: DataFrame) -> DataFrame:
     """Rows of one record as one: (record_id, label, value, unit, context); the first value of each field that is not
     null by ``seq``, the contexts joined in order without repeats."""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.compare import texts_equal
+from ..store import written
 
 
 #: What an event's action means.
@@ -77,20 +78,45 @@ def group_totals(labels: DataFrame, blocks: DataFrame) -> DataFrame:
     return held.crossJoin(asked)  # two tables of one row
 
 
+def _of_tier(tier: int) -> Callable[[Column], Column]:
+    return lambda piece: F.struct(F.lit(tier).alias("tier"), piece.alias("piece"))
+
+
 def tiered(left: DataFrame, text: str, exact: DataFrame, prefix: DataFrame, default: Column, suffix: DataFrame | None = None) -> DataFrame:
     """``left`` with ``found``: the exact entry's value, else that of the longest prefix, else that of the longest ending
-    if ``suffix`` is given, else ``default``.
+    if ``suffix`` is given, else ``default``; also for a null text.
 
-    The tables (entry, value) are joined by equality; one of prefixes or endings is probed once per length that occurs
-    in it, which is collected (lengths, not entries).
+    The tables (entry, value) are one, joined once: each distinct text asks for itself, for its beginnings and for its
+    endings, of lengths that occur (lengths are collected, not entries). Of equal entries the smallest value counts.
+    """
+    whole = F.col("_t")
+    asked = [F.array(F.struct(F.lit(0).alias("tier"), whole.alias("piece")))]
+    tables = [exact.select(F.lit(0).alias("_tier"), F.col("entry").alias("_e"), F.col("value").alias("_v"))]
+    cut = {1: lambda n: F.substring(whole, F.lit(1), n), 2: lambda n: F.right(whole, n)}
+    for tier, table in ((1, prefix), (2, suffix)):
+        if table is not None:
+            lengths = sorted(r[0] for r in table.where("entry is not null").select(F.length("entry")).distinct().collect())
+            fitting = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length(whole))
+            pieces = F.transform(fitting, cut[tier])
+            asked.append(F.transform(pieces, _of_tier(tier)))
+            tables.append(table.select(F.lit(tier).alias("_tier"), F.col("entry").alias("_e"), F.col("value").alias("_v")))
+    texts = left.select(F.col(text).alias("_t")).where("_t is not null").distinct().select("_t", F.explode(F.concat(*asked)).alias("_p"))
+    met = texts.join(reduce(DataFrame.unionByName, tables), (F.col("_p.tier") == F.col("_tier")) & (F.col("_p.piece") == F.col("_e")))
+    best = written(met.groupBy("_t").agg(F.min(F.struct("_tier", (-F.length("_e")).alias("_l"), "_v")).alias("_best")), "tiers")
+    return left.join(best, F.col(text) == F.col("_t"), "left").withColumn("found", F.coalesce("_best._v", default)).drop("_t", "_best")
+
+
+def bounded_sets(rows: DataFrame, key: str, value: str, most: int) -> DataFrame:
+    """(key, n, n_distinct, values): how many rows a key has, how many distinct values, exactly, and the ``most`` smallest
+    of these, sorted. Null values count as rows only; a null key is a key.
+
+    Values are made distinct by key and value, so the values of one key are many tasks' work; each task sends at most
+    ``most`` values of a key on.
     """
-    out = left.join(exact.select(F.col("entry").alias("_e"), F.col("value").alias("_v0")), F.col(text) == F.col("_e"), "left").drop("_e")
-    names = ["_v0"]
-    for side, table in (("_p", prefix), ("_s", suffix)):
-        lengths = sorted((r[0] for r in table.select(F.length("entry")).distinct().collect()), reverse=True) if table is not None else []
-        for n in lengths:
-            own = table.where(F.length("entry") == n).select(F.col("entry").alias("_e"), F.col("value").alias(f"{side}{n}"))
-            piece = F.substring(text, 1, n) if side == "_p" else F.right(F.col(text), F.lit(n))
-            out = out.join(own, piece == F.col("_e"), "left").drop("_e")
-            names.append(f"{side}{n}")
-    return out.withColumn("found", F.coalesce(*names, default)).drop(*names)
+    each = rows.groupBy(F.col(key).alias("_k"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = each.groupBy("_k").agg(F.sum("_n").alias("n"), F.count("_v").alias("n_distinct"))
+    smallest = F.row_number().over(Window.partitionBy("_k").orderBy("_v"))
+    shown = each.where("_v is not null").select("_k", "_v").withColumn("_place", smallest).where(F.col("_place") <= most).groupBy("_k").agg(F.sort_array(F.collect_list("_v")).alias("values"))
+    kept = shown.withColumnRenamed("_k", "_s")
+    joined = counts.join(kept, F.col("_k").eqNullSafe(F.col("_s")), "left")
+    return joined.select(F.col("_k").alias(key), "n", "n_distinct", F.coalesce("values", F.array().cast(shown.schema["values"].dataType)).alias("values"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import noise
+from ..functions import text as tx
 from ..operators import match, pages, sequence
 from ..sources import caljson, cdfx
 from . import samples
@@ -117,10 +119,25 @@ def backfill_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("vals"), "was_empty")
 
 
-@query("""SELECT record_id::BIGINT AS record_id, label, value, unit, context FROM (VALUES (1, 'A_C', '5', 'V', 'first | second'), (2, 'B_C', NULL, 'K', 'x')) v(record_id, label, value, unit, context)""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10)))))::INTEGER AS line_no FROM documents),
+m AS (SELECT *, length(line) BETWEEN 1 AND 20 AS opens, regexp_matches(line, '(?i)license|rights reserved|copyright') AS closes, trim(regexp_replace(line, '\\s+', ' ', 'g')) = '' AS skips FROM l),
+s AS (SELECT *, last_value(CASE WHEN opens THEN line_no WHEN closes THEN -1 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS record FROM m),
+k AS (SELECT *, nullif(regexp_extract(line, '[0-9]+(?:\\.[0-9]+)?'), '') AS v, nullif(regexp_extract(line, '[%$&#]'), '') AS u FROM s WHERE record >= 0 AND NOT (skips AND NOT opens)),
+d AS (SELECT doc_id, record, line, min(line_no) AS first_no FROM k GROUP BY doc_id, record, line),
+c AS (SELECT doc_id, record, md5(string_agg(line, ' | ' ORDER BY first_no)) AS context FROM d GROUP BY doc_id, record)
+SELECT doc_id, record AS line_no, context, min(CASE WHEN line_no = record THEN line END) AS label, arg_min(v, line_no) FILTER (v IS NOT NULL) AS value, arg_min(u, line_no) FILTER (u IS NOT NULL) AS unit
+FROM k JOIN c USING (doc_id, record) GROUP BY doc_id, record, context""")
 def continuation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, 0, "A_C", None, "V", "first"), (1, 1, None, "5", "mV", "second"), (1, 2, None, "6", None, "first"), (2, 0, "B_C", None, None, "x"), (2, 1, None, None, "K", "x")]
-    return pages.continued(spark.createDataFrame(rows, "record_id long, seq int, label string, value string, unit string, context string"))
+    """Short lines of documents open records, licence lines close them; the lines between fill the first number and mark."""
+    lines = sequence.lines(load(spark, sf_dir, "documents"), "doc_id", "text")
+    line = F.col("line")
+    held = pages.open_records(lines, ["doc_id"], ["line_no"], F.length(line).between(1, 20), line.rlike("(?i)license|rights reserved|copyright"), F.array_contains(noise.kinds(line), "blank"))
+    own = F.col("record.line_no") == F.col("line_no")
+    rows = held.select(
+        F.struct("doc_id", "record.line_no").alias("record_id"), F.col("line_no").alias("seq"), F.when(own, line).alias("label"), tx.part(line, r"([0-9]+(?:\.[0-9]+)?)", 1).alias("value"),
+        tx.part(line, "([%$&#])", 1).alias("unit"), line.alias("context"),
+    )
+    return pages.continued(rows).select("record_id.doc_id", "record_id.line_no", "label", "value", "unit", F.md5("context").alias("context"))
 
 
 @query("""SELECT label, unit, vals, n_rows::INTEGER AS n_rows, axes FROM (VALUES ('A_C', 'V', '1.5', 0, ''), ('B_CA', '', '1,two,3', 0, ''), ('C_T', 'K', '4,5', 0, '0.0,1.0'), ('D_M', 'K', '', 2, '0.0,1.0;7.0,8.0')) v(label, unit, vals, n_rows, axes)""")

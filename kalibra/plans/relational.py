@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.compare import numbers_equal
-from ..operators import reconcile, sequence
+from ..operators import reconcile, sequence, sink
+from ..store import fresh_path
 from .registry import load, query
 
 PRICES = """
@@ -185,9 +186,10 @@ def global_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.expr("stack(2, 'pairs', n, 'mean', mean) as (measure, value)"))
 
 
-@query("""SELECT role, count(*) AS n, list_sort(list(DISTINCT turn)) AS turns FROM conversations GROUP BY role""")
+@query("""SELECT role, count(*) AS n, count(DISTINCT turn) AS n_turns, list_sort(list(DISTINCT turn))[1:1000] AS turns FROM conversations GROUP BY role""")
 def set_agg_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("turn")).alias("turns"))
+    """The turns at which a role speaks: how many there are, and the first thousand."""
+    return reconcile.bounded_sets(load(spark, sf_dir, "conversations"), "role", "turn", 1000).withColumnsRenamed({"n_distinct": "n_turns", "values": "turns"})
 
 
 @query("""SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS member FROM orders""")
@@ -259,3 +261,12 @@ def block_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rows.groupBy(F.col("l_orderkey").alias("label"), F.col("l_linenumber").alias("block")).agg(F.max("l_quantity").alias(name))
 
     return side("A", "left_value").join(side("R", "right_value"), ["label", "block"], "full")
+
+
+@query("""SELECT row_number() OVER (ORDER BY o_orderpriority NULLS FIRST, o_custkey NULLS FIRST, o_orderkey) - 1 AS row, o_orderpriority AS module, o_custkey, o_orderkey FROM orders""")
+def sorted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by (module, label), written as many files in order and read back with their place."""
+    rows = load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("module"), "o_custkey", "o_orderkey")
+    path = fresh_path(spark, "sorted-records")
+    sink.write_sorted(rows, ["module", "o_custkey", "o_orderkey"], path)
+    return sink.read_sorted(spark, path).select("row", "module", "o_custkey", "o_orderkey")

@@ -20,8 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="kalibra-tables-"))
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_folder(spark)}/kalibra-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df``, written once as Parquet and read again: later jobs don't repeat what made it, nor get other rows of it."""
-    path = f"{shared_folder(df.sparkSession)}/kalibra-{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
