@@ -420,7 +420,7 @@ def near_duplicates(documents: DataFrame, *, percent: int = 80, id_col: str = "d
     again = nodes.where(F.col("size") > FEW).join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = materialise(again.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "mixed")
     links = links.unionByName(linked_within(materialise(again.join(mixed, "key", "left_semi"), "mixed-leaves"), texts, least, percent, once))
-    final = components(links)
+    final = components(links.unionByName(linked_by_id(able, sets)))
 
     named = materialise(sets.join(final, "node", "left").select("digest", F.coalesce("label", "node").alias("component")), "set-components")
     by_id = all_.join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", F.col("doc_id").cast("long")).alias("component"))
@@ -428,6 +428,14 @@ def near_duplicates(documents: DataFrame, *, percent: int = 80, id_col: str = "d
     return by_id.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def linked_by_id(able: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) edges between the nodes of the sets that an id has, where it has several: its smallest and each other one."""
+    several = materialise(able.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id"), "ids-of-sets")
+    held = materialise(able.join(several, "doc_id", "left_semi").join(sets.select("digest", "node"), "digest").select("doc_id", "node").distinct(), "sets-of-ids")
+    least = materialise(held.groupBy("doc_id").agg(F.min("node").alias("a")), "least-sets")
+    return held.join(least, "doc_id").where("a < node").select("a", F.col("node").alias("b"))
+
+
 def keep_one(documents: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``documents`` without those whose component has a smaller id, all their columns as they are.
 

@@ -71,6 +71,16 @@ def test_null_ids_repeats_and_empty_table(spark):
     assert near.keep_one(df).columns == df.columns and near.keep_one(df).count() == 4
 
 
+def test_one_id_over_several_sets(spark):
+    """Rows that share an id are one document: it links the sets of its texts, also where neither is named after it."""
+    a, b, c = ("a b c d e f", "g h i j k l", "m n o p q r")
+    rows = [(3, a), (5, a), (5, b), (9, b), (20, c), (21, c), (21, "s t u v w x"), (21, "s t u v w y"), (4, "lone words of its own here"), (7, None)]
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], SCHEMA)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near.near_duplicates(df, percent=85).collect())
+    assert got == [(3, 3, True), (4, 4, True), (5, 3, False), (5, 3, False), (7, 7, True), (9, 3, False), (20, 20, True), (21, 20, False), (21, 20, False), (21, 20, False)]
+    assert sorted(r.doc_id for r in near.keep_one(df, percent=85).collect()) == [3, 4, 7, 20]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(100, i) for i in range(101, 140)] + [(90, 139)]
     labels = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

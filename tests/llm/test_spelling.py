@@ -57,7 +57,7 @@ def corpus(seed=4):
         return w[:k] + rng.choice(["", rng.choice("abcé"), w[k] + "x"]) + w[k + 1 :] if rng.random() < 0.2 else w
 
     rows = [(i, " ".join(typo(rng.choice(stems[: rng.randrange(1, len(stems))])) for _ in range(rng.randrange(120)))) for i in range(150)]
-    return rows + [(None, "organise " * 9), (None, None), (900, None), (901, ""), (3, "letter lettér LETTER " * 300), (902, "z" * 100_000 + " " + "x1" * 20_000)]
+    return rows + [(None, "organise " * 9), (None, None), (900, None), (901, ""), (3, "letter lettér LETTER " * 300), (902, "z" * 100_000 + " " + "x1" * 20_000), (903, "chained " * 130 + "chainedd " * 26 + "chaineddd " * 5)]
 
 
 @pytest.mark.parametrize("shard", [spelling.SHARD, 7])
