@@ -2,48 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from . import notation
 from .compare import as_number
 
 # Words and marks of the documents' notation.
 NUMBER = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
-MINUS_SIGNS = "[−–]"
 LABEL_PREFIXES = "ti fac rat pwr u vol i cur st b pct val num tq n".split()
 CLASSES = {"C": "VALUE", "T": "CURVE", "M": "MAP", "CA": "VAL_BLK"}
-VALUE_WORDS = "start standard default initial".split()
-
-# A small grammar: a value list is numbers apart by blanks, commas or semicolons; a unit stands in brackets.
-GAP = r"[\s,;]+"
-NUMBERS = f"{NUMBER}(?:{GAP}{NUMBER})+"
-UNIT = r"\[([^\]]*)\]"
-
-
-def words_of(*alternatives: str) -> str:
-    """Any of the phrases, blanks standing for white space, in any case."""
-    return "(?i)(?:" + "|".join(a.replace(" ", r"\s+") for a in alternatives) + ")"
-
-
-START_MARKER = rf"(?i)\b(?:{'|'.join(VALUE_WORDS)})\s*value\b\s*:?"
-START_LINE = rf"(?i)(?:start|standard)\s*value\s*[:：]\s*([^\[]*?)\s*(?:{UNIT}\s*)?$"
-TABLE_NUMBER = r"(?i)\btable\s+(\d+)\b"
-SEE_TABLE = rf"(?i)\bsee\s+table\b|{TABLE_NUMBER}"
-FOR_ALL = r"(?i)\ball\b"
-#: An axis' head: its letter, the signal on it, the signal's unit, the number of its points.
-AXIS_UNIT, AXIS_SIZE = r"\[\s*([^\]]+?)\s*\]", r"\[\s*(\d+)\s*\]"
-AXIS = rf"(?i)\b([XY]):\s*(?:([\w./-]+)\s*)?{AXIS_UNIT}\s*{AXIS_SIZE}"
-#: An axis without a head: its letter and its points.
-BARE_AXIS = rf"(?i)\b[XY]\s*:?{GAP}{NUMBERS}\b"
-RANGE = rf"({NUMBER})\s*\.{{3}}\s*({NUMBER})(?:\s*{UNIT})?"
-
-#: Phrases that bound a value: how they read, which group is the lower and which the upper bound, what they are called.
-BOUNDS = [
-    (words_of("between") + rf"\s+({NUMBER})\s+(?:and|to)\s+({NUMBER})", 1, 2, "explicit_between"),
-    (rf"(?i)min\s*[:=]?\s*({NUMBER}){GAP}max\s*[:=]?\s*({NUMBER})", 1, 2, "explicit_min_max"),
-    (words_of("greater than", "at least", ">=", ">") + rf"\s*({NUMBER})", 1, None, "explicit_greater_than"),
-    (words_of("less than", "at most", "<=", "<") + rf"\s*({NUMBER})", None, 1, "explicit_less_than"),
-]
 #: What a unit or a prefix implies: units that it takes, prefixes that it takes, whether both must hold, bounds, name.
 IMPLIED = [
     (["%", "percent"], ["pct", "rat"], False, 0, 100, "implicit_percent_ratio"),
@@ -74,53 +48,41 @@ def unit(text: Column) -> Column:
     return F.when(bare.isin("", "-", "−", "--"), "dimensionless").otherwise(bare)
 
 
-def after_marker(text: Column) -> Column:
-    """What follows the first start-value marker; the whole text without one."""
-    return F.when(text.rlike(START_MARKER), F.regexp_replace(text, rf"^(?s).*?{START_MARKER}", "")).otherwise(text)
+VALUE = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("unit", T.StringType()), T.StructField("for_all", T.BooleanType())])
+LIMITS = T.StructType([T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType()), T.StructField("kind", T.StringType())])
+RANGE = T.StructType([T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType()), T.StructField("unit", T.StringType())])
+AXES = T.ArrayType(
+    T.StructType([T.StructField("axis", T.StringType()), T.StructField("signal", T.StringType()), T.StructField("unit", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("breakpoints", T.ArrayType(T.DoubleType()))])
+)
 
 
-def start_value(text: Column) -> Column:
-    """struct<values, unit, for_all>: what follows the marker; else the last numbers that carry a unit, outside axes.
+def read_by(reader: Callable[[str | None], Any], kind: T.DataType) -> Callable[[Column], Column]:
+    """``reader``, a function of one text, as a function of a column, in Arrow batches."""
 
-    A reference to a table gives none. Lists with a unit come before single values, the last match counts; after a
-    marker numbers without unit do as well.
-    """
-    marked = text.rlike(START_MARKER)
-    rest = F.when(marked, after_marker(text)).otherwise(F.regexp_replace(F.regexp_replace(text, AXIS, " "), BARE_AXIS, " "))
-    last = lambda pattern, group: F.try_element_at(F.regexp_extract_all(rest, F.lit(pattern), F.lit(group)), F.lit(-1))
-    many, one = rf"({NUMBERS})\s*\[([^\]]*)\]", rf"({NUMBER})\s*\[([^\]]*)\]"
-    bare = numbers(rest)
-    values = F.when(last(many, 1).isNotNull(), numbers(last(many, 1))).when(last(one, 1).isNotNull(), numbers(last(one, 1))).when(marked & (F.size(bare) > 0), bare)
-    found_unit = F.when(last(many, 1).isNotNull(), unit(last(many, 2))).when(last(one, 1).isNotNull(), unit(last(one, 2)))
-    table = marked & rest.rlike(SEE_TABLE)
-    return F.struct(F.when(~table, values).alias("values"), F.when(~table, found_unit).alias("unit"), rest.rlike(FOR_ALL).alias("for_all"))
-
-
-def limits(text: Column) -> Column:
-    """struct<lower, upper, kind> by the first of ``BOUNDS`` that the text has."""
-    bound = lambda pattern, group: part(text, pattern, group).try_cast("double") if group else F.lit(None).cast("double")
-    found = [F.when(text.rlike(p), F.struct(bound(p, low).alias("lower"), bound(p, high).alias("upper"), F.lit(kind).alias("kind"))) for p, low, high, kind in BOUNDS]
-    return F.coalesce(*found)
-
-
-def physical_range(text: Column) -> Column:
-    """struct<lower, upper, unit> of the second range a...b, of the first if there is one alone."""
-    plain = F.regexp_replace(text, MINUS_SIGNS, "-")
-    pick = lambda group: F.coalesce(F.get(F.regexp_extract_all(plain, F.lit(RANGE), F.lit(group)), F.lit(1)), F.get(F.regexp_extract_all(plain, F.lit(RANGE), F.lit(group)), F.lit(0)))
-    return F.struct(pick(1).try_cast("double").alias("lower"), pick(2).try_cast("double").alias("upper"), F.nullif(pick(3), F.lit("")).alias("unit"))
-
-
-def axes(text: Column) -> Column:
-    """array<struct<axis, signal, unit, size, breakpoints>>; an axis' breakpoints stand before the next axis, no more than its size."""
-    groups = [F.regexp_extract_all(text, F.lit(AXIS), F.lit(g)) for g in (1, 2, 3, 4)]
-    tails = F.slice(F.split(text, AXIS), 2, F.greatest(F.size(groups[0]), F.lit(0)))
-    zipped = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, "asuz", strict=True)], tails.alias("t"))
-    points = lambda e: numbers(F.regexp_extract(e["t"], f"({NUMBERS})", 1))
-    made = lambda e: F.struct(
-        F.upper(e["a"]).alias("axis"), F.nullif(e["s"], F.lit("")).alias("signal"), unit(e["u"]).alias("unit"), e["z"].cast("int").alias("size"),
-        F.when(F.size(points(e)) > 0, F.when(e["z"].cast("int") > 0, F.slice(points(e), F.lit(1), F.greatest(e["z"].cast("int"), F.lit(1)))).otherwise(points(e))).alias("breakpoints"),
-    )
-    return F.transform(zipped, made)
+    @F.arrow_udf(kind)
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([reader(t) for t in texts.to_pylist()], to_arrow_type(kind))
+
+    return read
+
+
+#: struct<values, unit, for_all>: what follows the marker; else the last numbers that carry a unit, outside axes. A
+#: reference to a table gives none. Lists with a unit come before single values, the last one counts; after a marker
+#: numbers without unit do as well.
+start_value = read_by(notation.start_value, VALUE)
+#: struct<lower, upper, kind> by the first of ``notation.BOUNDS`` that the text has.
+limits = read_by(notation.limits, LIMITS)
+#: struct<lower, upper, unit> of the second range a...b, of the first if there is one alone.
+physical_range = read_by(notation.physical_range, RANGE)
+#: array<struct<axis, signal, unit, size, breakpoints>>; an axis' breakpoints stand before the next axis, no more than its size.
+axes = read_by(notation.axes, AXES)
+#: The number of the table that a text refers to, after its start marker if there is one.
+table_reference = read_by(notation.table_reference, T.StringType())
+before_marker = read_by(notation.before_marker, T.StringType())
+is_marked = read_by(notation.is_marked, T.BooleanType())
+marked_word = read_by(notation.marked_word, T.StringType())
+ended_value = read_by(notation.ended_value, T.StructType([T.StructField("value", T.StringType()), T.StructField("unit", T.StringType())]))
 
 
 def label_parts(label: Column) -> Column:
@@ -171,12 +133,12 @@ def calibration_row(label: Column, text: Column) -> Column:
     """One label's row of a document: its parts and class, the context before the start value, value, unit, limits, axes
     and the table that its value refers to, named after the start marker if there is one."""
     parts = label_parts(label)
-    context = collapsed(F.regexp_replace(text, rf"(?s){START_MARKER}.*$", ""))
+    context = before_marker(text)
     value = start_value(text)
     found = F.coalesce(limits(context), implied_limits(parts["prefix"], value["unit"]))
     return F.struct(
         parts["object_class"].alias("object_class"), context.alias("context"), value["values"].alias("values"), value["unit"].alias("unit"), value["for_all"].alias("for_all"),
-        found["lower"].alias("lower"), found["upper"].alias("upper"), found["kind"].alias("limit_kind"), axes(text).alias("axes"), part(after_marker(text), TABLE_NUMBER, 1).alias("table_ref"),
+        found["lower"].alias("lower"), found["upper"].alias("upper"), found["kind"].alias("limit_kind"), axes(text).alias("axes"), table_reference(text).alias("table_ref"),
     )
 
 

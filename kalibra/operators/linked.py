@@ -26,7 +26,7 @@ def linked(records: DataFrame, tables: DataFrame) -> DataFrame:
     by_id = best_tables(tables, "table_id").select("doc_id", F.col("table_id").alias("table_ref"), F.struct("x", "y", "val").alias("of_id"))
     by_label = best_tables(tables, "label").select("doc_id", "label", F.struct("x", "y", "val").alias("of_label"))
     named = F.expr("locate(concat('[', label, ']'), regexp_replace(context, '\\\\[\\\\s*([^\\\\]]*?)\\\\s*\\\\]', '[$1]')) > 0")
-    wants = F.when(F.col("table_ref").isNotNull(), "number").when(F.coalesce(named | F.col("context").rlike(tx.words_of("see table")), F.lit(False)), "label")
+    wants = F.when(F.col("table_ref").isNotNull(), "number").when(F.coalesce(named | F.col("context").rlike(r"(?i)see\s+table"), F.lit(False)), "label")
     joined = records.withColumn("wants", wants).join(by_id, ["doc_id", "table_ref"], "left").join(by_label, ["doc_id", "label"], "left")
     found = F.when(F.col("wants") == "number", F.col("of_id")).when(F.col("wants") == "label", F.col("of_label"))
     return joined.withColumn("t", found).select(*records.columns, "t.x", "t.y", "t.val", F.when(F.col("t").isNotNull(), F.col("wants")).alias("how"))

@@ -16,16 +16,6 @@ from .sequence import ordered, runs
 KEY, ORDER = ["doc_id"], ["page", "line_no"]
 # Fixed value: the mark before a label table.
 TABLE_MARK = r"(?i)\[apph_labtab\]"
-#: A numbered heading with a name, plain or in brackets.
-NUMBERED = r"^\s*\d+(?:\.\d+){0,6}\s+"
-HEADING = rf"{NUMBERED}\[?\w"
-HEADING_NAME = rf"{NUMBERED}\[?(\w+)"
-#: What ends a table, and what ends a row within it.
-TABLE_END = r"(?i)^\s*(?:caution\b.*\btables\s+above\b|\d+(?:\.\d+)*\s+system\s+constants)"
-ROW_ENDS = {"axis": r"(?i)^\s*[XY]:", "table": r"(?i)^\s*table\s+\d+\b", "caution": r"(?i)^\s*caution\b", "date": r"^\s*20\d\d-"}
-#: A heading by its look: numbered in two parts at least, or a short line that ends in a colon.
-SECTION = r"^\s*\d+(?:\.\d+){1,6}\s+\S"
-VALUE_MARK = r"(?i)\b(?:" + "|".join(tx.VALUE_WORDS) + r")\s*value\s*:"
 #: Punctuation that leaks from cells to the ends of a word.
 FRINGE = r"""[.,;:()\[\]{}<>"'|\s]+"""
 
@@ -42,22 +32,58 @@ def label_in(line: Column) -> Column:
     return F.get(F.filter(words, lambda w: w.isNotNull()), F.lit(0))
 
 
+def words_in(line: Column) -> Column:
+    """A line's words; none of a blank line."""
+    return F.filter(F.split(F.trim(F.coalesce(line, F.lit("")), F.lit(" \t\r")), r"\s+"), lambda w: w != "")
+
+
+def word(line: Column, n: int) -> Column:
+    """The line's ``n``-th word, from 0; empty where there is none."""
+    return F.coalesce(F.get(words_in(line), F.lit(n)), F.lit(""))
+
+
+def numbering(line: Column) -> Column:
+    """How many parts the number has that a line begins with, as in ``3.1.2``; 0 without one or if nothing follows it."""
+    parts = F.split(word(line, 0), r"\.")
+    return F.when(F.forall(parts, lambda p: p.rlike(r"^\d+$")) & (F.size(words_in(line)) > 1), F.size(parts)).otherwise(0)
+
+
+def heading_name(line: Column) -> Column:
+    """The name that a heading gives: the letters, digits and underscores that its second word begins with, a bracket before them apart."""
+    return F.when(numbering(line).between(1, 7), F.nullif(F.regexp_extract(F.ltrim(word(line, 1), F.lit("[")), r"^\w*", 0), F.lit("")))
+
+
 def is_heading(line: Column) -> Column:
-    return F.coalesce(line.rlike(HEADING), F.lit(False))
+    return heading_name(line).isNotNull() & ~word(line, 1).startswith("[[")
 
 
 def is_section(line: Column) -> Column:
-    """Whether a line looks like a section's head."""
+    """Whether a line looks like a section's head: numbered in two parts at least, or short and ending in a colon."""
     bare = F.trim(line)
-    return F.coalesce(bare.rlike(SECTION) | ((F.length(bare) < 90) & bare.endswith(":")), F.lit(False))
+    return F.coalesce(numbering(line).between(2, 7) | ((F.length(bare) < 90) & bare.endswith(":")), F.lit(False))
+
+
+def is_caution(line: Column) -> Column:
+    return word(line, 0).rlike(r"(?i)^caution(\W|$)")
+
+
+def ends_table(line: Column) -> Column:
+    """Whether a line ends a label table: a caution about the tables above, or the heading of the system constants."""
+    text = F.lower(tx.collapsed(F.coalesce(line, F.lit(""))))
+    return (is_caution(line) & text.rlike(r"\btables above\b")) | ((numbering(line) > 0) & F.lower(word(line, 1)).eqNullSafe("system") & F.lower(word(line, 2)).startswith("constants"))
 
 
 def ends_row(line: Column) -> Column:
-    """Whether a line can't go on with the row above it: a label, a heading, an axis, a table's title, a caution, a date."""
-    ends = is_heading(line) | label_in(line).isNotNull()
-    for pattern in ROW_ENDS.values():
-        ends = ends | line.rlike(pattern)
-    return F.coalesce(ends, F.lit(False))
+    """Whether a line can't go on with the row above it: a label, a heading, an axis, a table's title, a caution, a date of this century."""
+    first = F.lower(word(line, 0))
+    axis = first.substr(1, 2).isin("x:", "y:")
+    date = F.coalesce(F.length(F.regexp_extract(line, r"^20\d\d-", 0)) > 0, F.lit(False))
+    return is_heading(line) | label_in(line).isNotNull() | axis | is_title(line) | is_caution(line) | date
+
+
+def is_title(line: Column) -> Column:
+    """Whether a line is a table's title: the word and a number."""
+    return F.lower(word(line, 0)).eqNullSafe("table") & word(line, 1).rlike(r"^\d+(\W|$)")
 
 
 def is_noise(line: Column) -> Column:
@@ -67,8 +93,7 @@ def is_noise(line: Column) -> Column:
 
 def module_of(line: Column) -> Column:
     """The function that a heading names: a word with an underscore, in brackets longer than three letters, plain not beginning with dsd."""
-    name = tx.part(line, HEADING_NAME, 1)
-    bracketed = line.rlike(rf"{NUMBERED}\[")
+    name, bracketed = heading_name(line), word(line, 1).startswith("[")
     return F.when(name.contains("_") & F.when(bracketed, F.length(name) > 3).otherwise(~F.lower(name).startswith("dsd")), name)
 
 
@@ -97,7 +122,7 @@ def tabled(lines: DataFrame, lead: int = 2) -> DataFrame:
     mark = F.col("line").rlike(TABLE_MARK)
     recent = F.max(mark.cast("int")).over(page.rowsBetween(-lead, 0))
     ahead = F.max(mark.cast("int")).over(page.rowsBetween(0, lead))
-    closes = F.col("line").rlike(TABLE_END) | (is_heading(F.col("line")) & (recent == 0))
+    closes = ends_table(F.col("line")) | (is_heading(F.col("line")) & (recent == 0))
     flag = F.when(ahead == 1, F.lit(True)).when(closes, F.lit(False))
     return lines.withColumn("_flag", flag).withColumns({"inside": F.coalesce(F.last("_flag", ignorenulls=True).over(upto), F.lit(False)), "module": F.last(module_of(F.col("line")), ignorenulls=True).over(upto)}).drop("_flag")
 
@@ -157,7 +182,7 @@ def section_labels(lines: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
     spoken = blocks.withColumn("said", F.when((said != "") & ~is_noise(said), said))
     block = Window.partitionBy("section_id", "_block").orderBy("line_no")
     before, upto = block.rowsBetween(Window.unboundedPreceding, -1), block.rowsBetween(Window.unboundedPreceding, 0)
-    marked = spoken.withColumn("mark", F.coalesce(F.col("said").rlike(VALUE_MARK), F.lit(False))).withColumn("_since", F.max(F.col("mark").cast("int")).over(upto) == 1)
+    marked = spoken.withColumn("mark", tx.is_marked(F.col("said"))).withColumn("_since", F.max(F.col("mark").cast("int")).over(upto) == 1)
     counted = marked.withColumn("_part", F.col("mark") | (F.col("_since") & F.coalesce(F.col("said").rlike(r"\d"), F.lit(False))))
     earlier = F.coalesce(F.sum(F.col("_part").cast("int")).over(before), F.lit(0))
     is_value = counted.withColumn("is_value", F.col("mark") | (F.col("_part") & (earlier < 4)))
@@ -180,10 +205,10 @@ def split_maps(lines: DataFrame) -> DataFrame:
     own = ["table_key"]
     bare = tx.collapsed(F.coalesce("line", F.lit("")))
     opened = lines.withColumn("line", bare).withColumn("opens", F.upper("line") == "Y/X").withColumn("piece", runs(F.col("opens"), own, ["line_no"]))
-    closes = (F.col("line").rlike(ROW_ENDS["table"]) | label_in(F.col("line")).isNotNull()).cast("int")
+    closes = (is_title(F.col("line")) | label_in(F.col("line")).isNotNull()).cast("int")
     upto = Window.partitionBy("table_key", "piece").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     live = opened.withColumns({"_headed": F.max(F.col("opens").cast("int")).over(upto), "_closed": F.max(closes).over(upto)}).where("_headed = 1 and _closed = 0 and not opens")
-    numeric_line = F.col("line").rlike(rf"^(?:{tx.NUMBER}|[\s,;|])+$")
+    numeric_line = F.col("line").rlike(r"^[-+0-9.eE\s,;|]*\d[-+0-9.eE\s,;|]*$")
     told = live.where(numeric_line).groupBy("table_key", "piece").agg(F.first("x_size").alias("x_size"), F.first("y_size").alias("y_size"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("line_no", tx.numbers(F.col("line")).alias("v")))), lambda p: p["v"])).alias("n"))
     width = F.when(F.col("x_size") > 0, F.col("x_size")).otherwise(F.floor((F.size("n") - F.col("y_size")) / (F.col("y_size") + 1))).cast("int")
     wide = told.where("y_size > 0").withColumn("w", width).where("w > 0 and size(n) > w")
