@@ -1,6 +1,6 @@
 """A hidden Markov language model: Baum-Welch counts summed over partitions, exact scaled forward scores.
 
-Hidden states emit word classes (a hash of the word; the end and the unknown word are classes of their own) and a
+Hidden states emit word classes (a hash of the word's ending; the end and the unknown word are classes of their own) and a
 class emits its word by the word's share of the class in training. Classes bound what travels, while word counts
 stay a distributed table of every training word.
 """
@@ -35,8 +35,14 @@ SMOOTH = 0.1
 PRIOR = 10.0  # weight of the corpus' class shares in each state's emissions
 
 
+#: Marks around words, and bytes of a word's end by which it is classed.
+MARKS, ENDING = b"\"'`.,;:!?()[]{}<>*#$%&|-_/\\+=~", 2
+
+
 def class_of(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word) % END
+    """By a word's ending, marks apart: short words have one almost to themselves, others share it with words of the same
+    language and form, so that states can tell these."""
+    return xxhash.xxh32_intdigest(word.rstrip(MARKS)[-ENDING:] or word[:1]) % END
 
 
 COLUMNS = ["block", "doc_ids", "held_out", "sizes", "ids", "classes", "part", "words", "lengths", "numbers", "counts"]

@@ -86,6 +86,10 @@ def test_base_by_brute_force_and_model_beats_it(spark):
     mean = lambda f: sum(f(r) for r in got if r.held_out) / sum(r.n_tokens for r in got if r.held_out)
     print(mean(lambda r: r.base_score), mean(lambda r: r.score))
     assert mean(lambda r: r.score) > mean(lambda r: r.base_score) + 0.05
+    # Where every word is known, the unknown word's share plays no part: what is won is won by the states.
+    known = [r for r in got if r.held_out and r.n_known == r.n_tokens]
+    assert len(known) > 10 and all(r.score > r.base_score for r in known)
+    assert sum(r.score - r.base_score for r in known) > 0.1 * sum(r.n_tokens for r in known)
 
 
 def test_edges(spark):
