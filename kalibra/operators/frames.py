@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import extract, linked
+from . import extract, linked, sink
 
 
 def start_value_frame(records: DataFrame) -> DataFrame:
@@ -49,6 +49,41 @@ def run_frames(events: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def match_frames(source: DataFrame, destination: DataFrame, pairs: DataFrame, threshold: float) -> dict[str, DataFrame]:
+    """The five frames of a matching: Source, Destination, Matched, Summary and Function Breakdown.
+
+    ``source`` and ``destination`` have (id, function, label, description, value, value_type, suffix, pages, context),
+    ids unique; ``pairs`` (left_id, right_id, score) is their one-to-one matching. A pair counts for its source's function,
+    or for its destination's where that is empty. Averages are rounded to two places, 0 of none.
+    """
+    said = {"Function Component": "function", "Label": "label", "Description": "description", "Value": "value", "Value Type": "value_type", "Suffix": "suffix", "Page(s)": "pages"}
+    of = lambda side, name, key: side.select(F.col("id").alias(key), *[F.col(c).alias(f"{name} {heading}") for heading, c in said.items()])
+    joined = pairs.join(of(source, "Source", "left_id"), "left_id").join(of(destination, "Destination", "right_id"), "right_id")
+    matched = joined.select(
+        *[F.col(f"`{name} {heading}`") for heading in said for name in ("Source", "Destination")], F.col("score").alias("Context Similarity %"), F.lit("Semantic Match").alias("Status"), F.lit("OK").alias("Context Flag")
+    )
+    own, other = (F.trim(F.coalesce(f"{name} Function Component", F.lit(""))) for name in ("Source", "Destination"))
+    average = F.coalesce(F.round(F.avg("Context Similarity %"), 2), F.lit(0.0))
+    total = matched.agg(F.count(F.lit(1)).cast("double").alias("n"), average.alias("mean"))
+    lines = [("Total Semantic Matches", F.col("n")), ("Average Context Similarity %", F.col("mean")), (f"Threshold Used (>= {threshold}%)", F.lit(float(threshold)))]
+    return {
+        "Source": source,
+        "Destination": destination,
+        "Matched": matched,
+        "Summary": total.select(F.inline(F.array(*[F.struct(F.lit(name).alias("Metric"), value.alias("Value")) for name, value in lines]))),
+        "Function Breakdown": matched.groupBy(F.when(own != "", own).otherwise(other).alias("Function Component")).agg(F.count("Source Label").alias("Semantic Matches"), average.alias("Average Context Similarity %")),
+    }
+
+
+def write_match_frames(frames: dict[str, DataFrame], path: str) -> None:
+    """Each of ``match_frames`` as sorted CSV files under its name: pairs by falling similarity, then labels; functions by name."""
+    falling = frames["Matched"].withColumn("_order", -F.col("Context Similarity %"))
+    sink.write_csv(falling, ["_order", "Source Label", "Destination Label"], f"{path}/Matched", leave=["_order"])
+    for name, order in (("Source", ["function", "label", "id"]), ("Destination", ["function", "label", "id"]), ("Function Breakdown", ["Function Component"])):
+        sink.write_csv(frames[name], order, f"{path}/{name}")
+    frames["Summary"].coalesce(1).write.csv(f"{path}/Summary", header=True)
+
+
 def label_json(decoded: DataFrame) -> DataFrame:
     """(label, json): each decoded label that has no error as one object of label, kind and value: a number, a text or a list."""
     cell = F.transform("value", lambda v: F.when(v["num"].isNotNull(), F.to_json(F.struct(v["num"].alias("v")))).when(v["txt"].isNotNull(), F.to_json(F.struct(v["txt"].alias("v")))).otherwise('{"v":null}'))

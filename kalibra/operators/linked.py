@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import scan
 
 
 def best_tables(tables: DataFrame, key: str) -> DataFrame:
@@ -46,6 +49,35 @@ def label_texts(lines: DataFrame) -> DataFrame:
     return joined.select("doc_id", "block", "label", F.concat_ws("\n", "title", "body").alias("text"))
 
 
+def enriched(records: DataFrame, spans: DataFrame, lines: DataFrame, *, bucket: int = 64) -> DataFrame:
+    """``records(doc_id, record_id, context)`` whose contexts go on with the texts of their ``spans(doc_id, record_id,
+    first_line, last_line)`` in ``lines(doc_id, line_no, line)``, in the order of the spans, a line each.
+
+    A text that the context holds already, or that another span of the record has said, is not added; nor is one without
+    words. Lines meet spans by the bucket of ``bucket`` lines that they lie in: an equality, so that no document's lines go
+    to every span and no side is broadcast. Record ids are unique in their document; spans without lines add nothing.
+    """
+    covered = F.explode(F.sequence(F.floor(F.col("first_line") / bucket), F.floor(F.col("last_line") / bucket)))
+    dealt = spans.where("first_line <= last_line").distinct().select(F.col("doc_id").alias("_doc"), "record_id", "first_line", "last_line", covered.alias("_bucket"))
+    placed = lines.select("doc_id", "line_no", "line", F.floor(F.col("line_no") / bucket).alias("_at"))
+    met = placed.join(dealt, (F.col("doc_id") == F.col("_doc")) & (F.col("_at") == F.col("_bucket")) & F.col("line_no").between(F.col("first_line"), F.col("last_line")))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", F.rtrim("line").alias("line")))), lambda p: p["line"]), "\n")
+    texts = met.groupBy("doc_id", "record_id", "first_line", "last_line").agg(F.trim(body, F.lit(" \n\t\r")).alias("text")).where("text <> ''")
+    said = F.transform(F.sort_array(F.collect_list(F.struct("first_line", "last_line", "text"))), lambda p: p["text"])
+    of_record = texts.groupBy(F.col("doc_id").alias("_doc"), F.col("record_id").alias("_record")).agg(F.array_distinct(said).alias("_texts"))
+    joined = records.join(of_record, (F.col("doc_id") == F.col("_doc")) & (F.col("record_id") == F.col("_record")), "left")
+    context = F.coalesce("context", F.lit(""))
+    fresh = F.filter(F.coalesce("_texts", F.array().cast("array<string>")), lambda t: ~F.contains(context, t))
+    whole = F.array_join(F.filter(F.concat(F.array(F.rtrim(context)), fresh), lambda t: t != ""), "\n")
+    return joined.withColumn("context", F.when(F.size(fresh) > 0, whole).otherwise(F.col("context"))).select(*records.columns)
+
+
+def marks_nearby(lines: DataFrame, key: Sequence[str], order: Sequence[str], mark: Column, name: str, *, back: int = 3, ahead: int = 1, **sizes: int | None) -> DataFrame:
+    """``lines`` with ``name``: the first ``mark`` (a table's number, say) that is not null from ``back`` lines before to
+    ``ahead`` lines after each of them."""
+    return scan.framed(lines.withColumn("_mark", mark), key, order, lambda w: F.first("_mark", ignorenulls=True).over(w), name, back, ahead, **sizes).drop("_mark")
+
+
 def loosely_linked(records: DataFrame, tables: DataFrame) -> DataFrame:
     """``records(doc_id, label, table_ref)`` with ``table_seq`` of the table of the same document that they mean, and ``how``.
 

@@ -33,10 +33,12 @@ def read_sorted(spark: SparkSession, path: str) -> DataFrame:
     return placed.join(F.broadcast(first), "_file").select(*table.columns, (F.col("first_row") + F.col("_index")).alias("row"))
 
 
-def write_csv(rows: DataFrame, order: Sequence[str], path: str, *, files: int | None = None) -> None:
-    """``rows`` by ``order`` as CSV files with a heading and a byte mark each; lists and structs as JSON, nulls empty."""
-    flat = [F.to_json(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in rows.dtypes]
+def write_csv(rows: DataFrame, order: Sequence[str], path: str, *, files: int | None = None, leave: Sequence[str] = ()) -> None:
+    """``rows`` by ``order`` as CSV files with a heading and a byte mark each, without the columns ``leave``; lists and
+    structs as JSON, nulls empty."""
     parts = files or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    named = [c.alias((BYTE_MARK if n == 0 else "") + name) for n, (c, name) in enumerate(zip(flat, rows.columns, strict=True))]
-    sorted_rows.select(*named).write.csv(path, header=True, escape='"', emptyValue="")
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    shown = [(c, kind) for c, kind in rows.dtypes if c not in leave]
+    flat = [F.to_json(f"`{c}`") if kind.startswith(("array", "struct", "map")) else F.col(f"`{c}`") for c, kind in shown]
+    named = [value.alias((BYTE_MARK if n == 0 else "") + c) for n, (value, (c, _)) in enumerate(zip(flat, shown, strict=True))]
+    ordered.select(*named).write.csv(path, header=True, escape='"', emptyValue="")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import noise
 from ..functions import text as tx
-from ..operators import match, pages, sequence
+from ..operators import frames, linked, match, pages, sequence, similar
 from ..sources import caljson, cdfx
 from . import samples
 from .registry import load, query
@@ -154,3 +154,48 @@ def enum_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cdfx.instances(spark.createDataFrame([("f", samples.DESTINATION)], "file string, text string")).where("kind = 'MAP'")
     texts = F.exists("rows", lambda r: r["is_text"])
     return rows.select("label", F.when(texts & F.exists("rows", lambda r: ~r["is_text"]), "mixed").when(texts, "enum").otherwise("numeric").alias("cells"))
+
+
+ENRICHED = """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10)))))::INTEGER AS line_no FROM documents),
+r AS (SELECT doc_id, line_no AS record_id, line AS context FROM l WHERE length(line) BETWEEN 1 AND 20),
+s AS (SELECT DISTINCT * FROM (SELECT doc_id, record_id, record_id + 1 AS a, record_id + 2 AS b FROM r UNION ALL SELECT doc_id, record_id, 0, 1 FROM r)),
+t AS (SELECT s.doc_id, record_id, a, b, trim(string_agg(rtrim(line, ' '), chr(10) ORDER BY line_no), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM s JOIN l ON l.doc_id = s.doc_id AND line_no BETWEEN a AND b GROUP BY s.doc_id, record_id, a, b),
+u AS (SELECT doc_id, record_id, text, min((a, b)) AS first_at FROM t WHERE text <> '' GROUP BY doc_id, record_id, text),
+f AS (SELECT r.doc_id, r.record_id, r.context, string_agg(text, chr(10) ORDER BY first_at) FILTER (NOT contains(r.context, text)) AS more FROM r LEFT JOIN u USING (doc_id, record_id) GROUP BY r.doc_id, r.record_id, r.context)
+SELECT doc_id, record_id, md5(CASE WHEN more IS NULL THEN context ELSE concat_ws(chr(10), nullif(rtrim(context, ' '), ''), more) END) AS context FROM f"""
+
+
+@query(ENRICHED)
+def enriched_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short lines of documents with the two lines after them and the first two of their document."""
+    lines = sequence.lines(load(spark, sf_dir, "documents"), "doc_id", "text")
+    records = lines.where(F.length("line").between(1, 20)).select("doc_id", F.col("line_no").alias("record_id"), F.col("line").alias("context"))
+    after = records.select("doc_id", "record_id", (F.col("record_id") + 1).alias("first_line"), (F.col("record_id") + 2).alias("last_line"))
+    head = records.select("doc_id", "record_id", F.lit(0).alias("first_line"), F.lit(1).alias("last_line"))
+    return linked.enriched(records, after.unionByName(head), lines).withColumn("context", F.md5("context"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10)))))::INTEGER AS line_no FROM documents),
+m AS (SELECT *, nullif(regexp_extract(line, '[0-9]{4,}'), '') AS mark FROM l)
+SELECT doc_id, line_no, first_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS nearby FROM m""")
+def marks_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first long number from three lines above each line to one below."""
+    lines = sequence.lines(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return linked.marks_nearby(lines, ["doc_id"], ["line_no"], tx.part(F.col("line"), "([0-9]{4,})", 1), "nearby").select("doc_id", "line_no", "nearby")
+
+
+def turns(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
+    """A role's turns as labels of their conversation: what a matching takes for rows of a workbook."""
+    rows = load(spark, sf_dir, "conversations").where((F.col("role") == role) & F.col("text").isNotNull())
+    none = [F.lit("").alias(c) for c in ("description", "value", "value_type", "suffix", "pages")]
+    return rows.select(F.struct("conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("function"), F.concat(F.lit("t"), "turn").alias("label"), *none, F.col("text").alias("context"))
+
+
+@query()
+def match_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many user turns of each conversation meet an assistant turn, and how alike they are: a frame of the match workbook."""
+    sides = [turns(spark, sf_dir, "user"), turns(spark, sf_dir, "assistant")]
+    asked = [d.select("function", F.col("id").alias(key), F.col("context").alias("text")) for d, key in zip(sides, ("left_id", "right_id"), strict=True)]
+    pairs = similar.one_to_one(*[d.withColumn(k, F.col(k)["turn"]) for d, k in zip(asked, ("left_id", "right_id"), strict=True)], "function", 10.0)
+    whole = pairs.select(*[F.struct(F.col("function").cast("long").alias("conv_id"), F.col(k).alias("turn")).alias(k) for k in ("left_id", "right_id")], "score")
+    return frames.match_frames(*sides, whole, 10.0)["Function Breakdown"].toDF("function", "matches", "average")

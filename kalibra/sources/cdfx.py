@@ -52,7 +52,8 @@ def _inner(block: Column, path: str) -> Column:
 
 
 def instances(texts: DataFrame) -> DataFrame:
-    """(file, pos, label, fragment, kind, unit, vals, rows array<struct<label, vals, is_text>>, x_axis, y_axis): the last of
+    """(file, pos, label, fragment, kind, unit, vals, rows array<struct<label, vals, is_text>>, x_axis, y_axis,
+    numbers, texts, sized): the last of
     equal labels of a file; labels of no known kind have a null kind."""
     p = F.col("plain")
     body = "/SW-INSTANCE/SW-VALUE-CONT/SW-VALUES-PHYS"
@@ -62,14 +63,31 @@ def instances(texts: DataFrame) -> DataFrame:
     )
     axes = F.regexp_extract_all(p, F.lit(r"(?s)<SW-AXIS-CONT(?:\s[^>]*)?>.*?</SW-AXIS-CONT>"), F.lit(0))
     axis = lambda i: F.coalesce(_inner(F.get(axes, F.lit(i)), "/SW-AXIS-CONT/SW-VALUES-PHYS"), F.array().cast("array<string>"))
+    filled = lambda tag: F.filter(F.transform(F.xpath(p, F.lit(f"{body}/{tag}/text()")), F.trim), lambda v: v != "")
     rows = fragments(texts).select(
         "file", "pos", "label", "fragment", kind_of(F.col("label")).alias("kind"), F.xpath_string(p, F.lit("/SW-INSTANCE/SW-VALUE-CONT/UNIT-DISPLAY-NAME")).alias("unit"),
         _inner(p, body).alias("vals"), F.transform(groups, row).alias("rows"), axis(0).alias("x_axis"), axis(1).alias("y_axis"),
+        filled("V").alias("numbers"), filled("VT").alias("texts"), (F.trim(F.xpath_string(p, F.lit("/SW-INSTANCE/SW-VALUE-CONT/SW-ARRAYSIZE/V"))) != "").alias("sized"),
     )
     names = [c for c in rows.columns if c not in ("file", "label", "pos")]
     return rows.groupBy("file", "label").agg(F.max_by(F.struct(*names), "pos").alias("b"), F.max("pos").alias("pos")).select("file", "pos", "label", "b.*")
 
 
+def valued(found: DataFrame) -> DataFrame:
+    """``instances`` as a comparison of sets reads them: those that have the values their kind asks for, ``vals`` being these.
+
+    A scalar has one value, its first number or else its first text; an array tells its size, and has its texts or
+    else its numbers; a curve has its numbers or else its texts. Scalars without value and arrays without size are left
+    out; maps and labels of no known kind are as they are. Blank values are none.
+    """
+    numbers, texts = F.col("numbers"), F.col("texts")
+    either = lambda first, second: F.when(F.size(first) > 0, first).otherwise(second)
+    kind = F.col("kind")
+    vals = F.when(kind == "SCALAR", F.slice(either(numbers, texts), 1, 1)).when(kind == "ARRAY", either(texts, numbers)).when(kind == "CURVE", either(numbers, texts)).otherwise(F.col("vals"))
+    lacks = ((kind == "SCALAR") & (F.size(numbers) + F.size(texts) == 0)) | ((kind == "ARRAY") & ~F.col("sized"))
+    return found.withColumn("vals", vals).where(~F.coalesce(lacks, F.lit(False)))
+
+
 def number_text(value: Column) -> Column:
     """Decimal text that reads back as the same number: plain from 1e-4 up to 1e16, beyond with an exponent of two digits."""
     usual = value.cast("string")
