@@ -95,7 +95,7 @@ def label_parts(label: Column) -> Column:
 def explicit_values(text: Column) -> Column:
     """The values of a cell: without ``(all)``, split at commas, semicolons or bars, else at spaces if all are numbers."""
     bare = F.trim(F.regexp_replace(text, r"(?i)\(all\)", ""))
-    marks, spaces = F.filter(F.transform(F.split(bare, r"[,;|]"), F.trim), lambda v: v != ""), F.split(bare, r"\s+")
+    marks, spaces = F.filter(F.transform(F.split(bare, r"[,;|]"), lambda v: F.trim(v)), lambda v: v != ""), F.split(bare, r"\s+")
     return F.when(bare == "", F.array().cast("array<string>")).when(bare.rlike(r"[,;|]"), marks).when(F.forall(spaces, lambda v: as_number(v).isNotNull()), spaces).otherwise(F.array(bare))
 
 

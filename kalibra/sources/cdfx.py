@@ -63,7 +63,7 @@ def instances(texts: DataFrame) -> DataFrame:
     )
     axes = F.regexp_extract_all(p, F.lit(r"(?s)<SW-AXIS-CONT(?:\s[^>]*)?>.*?</SW-AXIS-CONT>"), F.lit(0))
     axis = lambda i: F.coalesce(_inner(F.get(axes, F.lit(i)), "/SW-AXIS-CONT/SW-VALUES-PHYS"), F.array().cast("array<string>"))
-    filled = lambda tag: F.filter(F.transform(F.xpath(p, F.lit(f"{body}/{tag}/text()")), F.trim), lambda v: v != "")
+    filled = lambda tag: F.filter(F.transform(F.xpath(p, F.lit(f"{body}/{tag}/text()")), lambda v: F.trim(v)), lambda v: v != "")
     rows = fragments(texts).select(
         "file", "pos", "label", "fragment", kind_of(F.col("label")).alias("kind"), F.xpath_string(p, F.lit("/SW-INSTANCE/SW-VALUE-CONT/UNIT-DISPLAY-NAME")).alias("unit"),
         _inner(p, body).alias("vals"), F.transform(groups, row).alias("rows"), axis(0).alias("x_axis"), axis(1).alias("y_axis"),

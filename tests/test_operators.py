@@ -126,6 +126,13 @@ def test_intervals_runs_and_records_of_nothing(spark):
     assert pages.value_tables(spark.createDataFrame([], "doc_id long, line_no int, line string")).count() == 0
 
 
+def test_explicit_values_keep_their_digits(spark):
+    texts = ["0,1,2", " 1 ; 1 ", "(all) 0|x", "5", "a b", "1 2", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [list(r.v) for r in df.select("i", text.explicit_values(F.col("t")).alias("v")).orderBy("i").collect()]
+    assert got == [["0", "1", "2"], ["1", "1"], ["0", "x"], ["5"], ["a b"], ["1", "2"], []]
+
+
 def test_fitted_and_units(spark):
     row = spark.range(1).select(text.fitted(F.array().cast("array<string>"), F.lit(3)).alias("none"), text.unit(F.lit("−")).alias("u"), text.unit(F.lit(" V ")).alias("v")).first()
     assert row.none == [] and (row.u, row.v) == ("dimensionless", "V")
