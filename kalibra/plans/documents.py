@@ -9,7 +9,7 @@ from ..functions import noise
 from ..functions import text as tx
 from ..operators import frames, linked, match, pages, sequence, similar
 from ..sources import caljson, cdfx
-from . import samples
+from . import derived, samples
 from .registry import load, query
 
 SCORED = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -92,10 +92,15 @@ def value_table_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("table_id", "label", joined("x"), joined("y"), joined("val"))
 
 
-@query("""SELECT block_id::BIGINT AS block_id, chunk::INTEGER AS chunk, first_line::INTEGER AS first_line, last_line::INTEGER AS last_line FROM (VALUES (1, 0, 0, 2), (1, 1, 2, 3), (1, 2, 3, 4), (2, 0, 0, 0)) v(block_id, chunk, first_line, last_line)""")
+@query("""WITH RECURSIVE c AS (SELECT conv_id, list(greatest(1, length(text) // 4) ORDER BY turn) AS cost, list(turn ORDER BY turn) AS t FROM conversations WHERE text IS NOT NULL GROUP BY conv_id),
+p AS (SELECT conv_id, t, len(t) AS n, list_transform(range(len(cost) + 1), lambda i: coalesce(list_sum(cost[1:i]), 0)) AS upto FROM c),
+w(conv_id, chunk, a, e) AS (SELECT conv_id, 0, 1, greatest(1, len(list_filter(upto, lambda x: x <= 200)) - 1) FROM p
+  UNION ALL SELECT conv_id, chunk + 1, f, greatest(f, len(list_filter(upto, lambda x: x <= upto[f] + 200)) - 1) FROM (SELECT w.conv_id, chunk, greatest(a + 1, e) AS f, upto FROM w JOIN p USING (conv_id) WHERE e < n) u)
+SELECT conv_id AS block_id, chunk::INTEGER AS chunk, t[a]::INTEGER AS first_line, t[e]::INTEGER AS last_line FROM w JOIN p USING (conv_id)""")
 def chunk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, 0, "a" * 8), (1, 1, "b" * 8), (1, 2, "c" * 8), (1, 3, "d" * 16), (1, 4, "e" * 4), (2, 0, "f" * 400)]
-    return pages.budget_chunks(spark.createDataFrame(rows, "block_id long, line_no int, line string"), 6, 1)
+    """Conversations in chunks of 200 tokens, each next one beginning with the last turn of the one before."""
+    turns_ = load(spark, sf_dir, "conversations").where("text is not null")
+    return pages.budget_chunks(turns_.select(F.col("conv_id").alias("block_id"), F.col("turn").cast("int").alias("line_no"), F.col("text").alias("line")), 200, 1)
 
 
 @query("""SELECT * FROM (VALUES ('Main.a2l', 'main.HEX', 'stem'), ('one.a2l', 'uno.hex', 'place'), ('two.a2l', 'zwei.hex', 'place')) v(left_name, right_name, how)""")
@@ -140,12 +145,14 @@ def continuation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.continued(rows).select("record_id.doc_id", "record_id.line_no", "label", "value", "unit", F.md5("context").alias("context"))
 
 
-@query("""SELECT label, unit, vals, n_rows::INTEGER AS n_rows, axes FROM (VALUES ('A_C', 'V', '1.5', 0, ''), ('B_CA', '', '1,two,3', 0, ''), ('C_T', 'K', '4,5', 0, '0.0,1.0'), ('D_M', 'K', '', 2, '0.0,1.0;7.0,8.0')) v(label, unit, vals, n_rows, axes)""")
+@query("""WITH s AS (SELECT 'n' || s_nationkey AS file, 'S' || s_suppkey || '_C' AS label, 'EUR' AS unit, 1 AS n, round(s_acctbal, 2) AS total, 0 AS n_axes FROM supplier),
+c AS (SELECT 'n' || c_nationkey AS file, 'N' || c_nationkey || '_CA' AS label, 'key' AS unit, count(*) AS n, sum(c_custkey)::DOUBLE AS total, 1 AS n_axes FROM customer GROUP BY c_nationkey)
+SELECT file, label, unit, n::INTEGER AS n, total, n_axes::INTEGER AS n_axes FROM s UNION ALL SELECT * FROM c""")
 def json_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = '{"A_C": {"value": 1.5, "unit": "V"}, "B_CA": {"value": [1, "two", 3], "unit": ""}, "C_T": {"value": [4, 5], "unit": "K", "axes": [[0, 1]]}, "D_M": {"value": [[1, 2], [3, 4]], "unit": "K", "axes": [{"values": [0, 1]}, [7, 8]]}}'
-    found = caljson.entries(spark.createDataFrame([("f", body)], "file string, text string"))
-    axis = lambda a: F.array_join(F.transform(a, lambda v: v.cast("string")), ",")
-    return found.select("label", "unit", F.array_join("vals", ",").alias("vals"), F.size("rows").alias("n_rows"), F.array_join(F.transform("axes", axis), ";").alias("axes"))
+    """The entries of JSON files, one a nation: its suppliers' balances, its customers' keys over their places."""
+    found = caljson.entries(derived.json_files(spark, sf_dir))
+    total = F.round(F.aggregate(F.transform("vals", lambda v: v.cast("double")), F.lit(0.0), lambda x, y: x + y), 2)
+    return found.select("file", "label", "unit", F.size("vals").alias("n"), total.alias("total"), F.size("axes").alias("n_axes"))
 
 
 @query("""SELECT * FROM (VALUES ('Map_M', 'numeric'), ('Enum_M', 'enum')) v(label, cells)""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import compare, numeric, text
 from ..operators import decode, extract, update
 from ..sources import a2l, caljson, cdfx, hexfile
-from . import samples
+from . import derived, samples
 from .registry import query
 
 
@@ -67,11 +67,23 @@ def patch_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.patch_events(changes(spark), one(spark, samples.DESCRIPTOR)).select("label", "kind", "action", "reason")
 
 
-@query("""SELECT label, kind, n::INTEGER AS n, pos::INTEGER AS pos FROM (VALUES ('A_C', 'SCALAR', 1, 0), ('B_C', 'SCALAR', 1, 1), ('Arr_CA', 'ARRAY', 3, 2), ('Crv_T', 'CURVE', 4, 3), ('Map_M', 'MAP', 3, 4),
-('Enum_M', 'MAP', 1, 5), ('D_C', 'SCALAR', 1, 6), ('E_C', 'SCALAR', 1, 7), ('F_X', NULL, 1, 8)) v(label, kind, n, pos)""")
+PARAMETERS = """WITH i AS (SELECT 'n' || s_nationkey AS file, 0 AS late, s_suppkey AS k, 'S' || s_suppkey || '_C' AS label, 'SCALAR' AS kind, 1 AS n, round(s_acctbal, 2) AS total FROM supplier
+UNION ALL SELECT 'n' || c_nationkey, 1, c_nationkey, 'N' || c_nationkey || '_CA', 'ARRAY', count(*), sum(c_custkey)::DOUBLE FROM customer GROUP BY c_nationkey)"""
+
+
+@query(PARAMETERS + """ SELECT file, label, kind, n::INTEGER AS n, (row_number() OVER (PARTITION BY file ORDER BY late, k) - 1)::INTEGER AS pos, total FROM i""")
 def parameter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cdfx.instances(one(spark, samples.DESTINATION))
-    return rows.select("label", "kind", F.when(F.col("kind").eqNullSafe("MAP"), F.size("rows")).otherwise(F.size("vals")).alias("n"), "pos")
+    """The instances of parameter-set files, one a nation: its suppliers' balances as scalars, its customers' keys as an array."""
+    rows = cdfx.valued(cdfx.instances(derived.parameter_files(spark, sf_dir)))
+    total = F.round(F.aggregate(F.transform("vals", lambda v: v.cast("double")), F.lit(0.0), lambda x, y: x + y), 2)
+    return rows.select("file", "label", "kind", F.size("vals").alias("n"), "pos", total.alias("total"))
+
+
+@query(PARAMETERS + """, d AS (SELECT file, label, total FROM i WHERE kind = 'SCALAR'), u AS (SELECT file, label, k, total, CASE WHEN k % 3 = 0 THEN 'one' WHEN k % 3 = 1 THEN 'two' END AS source FROM i WHERE kind = 'SCALAR')
+SELECT label, source, CASE WHEN source IS NULL THEN 'attention' WHEN source = 'one' AND total <> 0 THEN 'updated' ELSE 'copied' END AS status, CASE WHEN source = 'one' AND total <> 0 THEN round(total * 2, 2) END AS new_value FROM u""")
+def update_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalars of files that Spark writes from suppliers, updated from two sources: doubled in the first, the same in the second, absent else."""
+    return derived.updated_balances(spark, sf_dir)
 
 
 def updates(spark: SparkSession) -> DataFrame:
