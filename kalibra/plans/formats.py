@@ -9,7 +9,7 @@ from ..functions import compare, numeric, text
 from ..operators import decode, extract, update
 from ..sources import a2l, caljson, cdfx, hexfile
 from . import derived, samples
-from .registry import query
+from .registry import load, query
 
 
 def one(spark: SparkSession, body: str, name: str = "f") -> DataFrame:
@@ -142,30 +142,32 @@ def text_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("a", "b", compare.texts_equal(F.col("a"), F.col("b")).alias("same"))
 
 
-PHRASES = [
-    "must lie between 1 and 2.5", "min: -3, max= 4", "greater than 7", "at most 9", "no bound",
-    "X: n_eng [rpm] [3] 1000 2000 3000 4000 Y: [-] [2] Start value: 1.5 2.5 [V]", "Start value (all) 4 [-]", "Start value: see Table 12", "raw 0...65535 phys −327.68 ... 327.67 [%]",
-]
-
-
-@query("""SELECT id::INTEGER AS id, lower::DOUBLE AS lower, upper::DOUBLE AS upper, kind, vals, unit, for_all, axes, range_low::DOUBLE AS range_low FROM (VALUES
-(0, 1, 2.5, 'explicit_between', NULL, NULL, false, '', NULL), (1, -3, 4, 'explicit_min_max', NULL, NULL, false, '', NULL), (2, 7, NULL, 'explicit_greater_than', NULL, NULL, false, '', NULL),
-(3, NULL, 9, 'explicit_less_than', NULL, NULL, false, '', NULL), (4, NULL, NULL, NULL, NULL, NULL, false, '', NULL),
-(5, NULL, NULL, NULL, '1.5,2.5', 'V', false, 'X n_eng rpm 3 1000.0,2000.0,3000.0;Y - dimensionless 2 1.5,2.5', NULL), (6, NULL, NULL, NULL, '4.0', 'dimensionless', true, '', NULL),
-(7, NULL, NULL, NULL, NULL, NULL, false, '', NULL), (8, NULL, NULL, NULL, '327.67', '%', false, '', -327.68)) v(id, lower, upper, kind, vals, unit, for_all, axes, range_low)""")
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 AS k, round(l_quantity, 2) AS q, round(l_extendedprice, 2) AS p FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN k = 0 THEN q END AS lower, CASE WHEN k = 0 THEN p END AS upper, CASE WHEN k = 0 THEN 'explicit_between' END AS kind,
+CASE k WHEN 1 THEN [q, p] WHEN 3 THEN [q] END AS vals, CASE k WHEN 1 THEN 'EUR' WHEN 3 THEN '%' END AS unit, CASE WHEN k = 2 THEN 'X n_eng rpm 2' ELSE '' END AS axes, CASE WHEN k = 2 THEN p END AS last_point,
+CASE WHEN k = 3 THEN 0.0::DOUBLE END AS range_low, CASE WHEN k = 3 THEN q END AS range_high FROM t""")
 def value_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(PHRASES)), "id int, t string")
-    t = F.col("t")
-    joined = lambda a: F.array_join(F.transform(a, lambda v: v.cast("string")), ",")
-    axis = lambda e: F.concat_ws(" ", e["axis"], F.coalesce(e["signal"], F.lit("-")), e["unit"], e["size"].cast("string"), joined(e["breakpoints"]))
-    parsed = rows.select("id", text.limits(t).alias("l"), text.start_value(t).alias("s"), text.axes(t).alias("a"), text.physical_range(t).alias("r"))
-    return parsed.select("id", "l.lower", "l.upper", "l.kind", joined(F.col("s.values")).alias("vals"), "s.unit", "s.for_all", F.array_join(F.transform("a", axis), ";").alias("axes"), F.col("r.lower").alias("range_low"))
-
-
-@query("""SELECT * FROM (VALUES ('Mod_Inst.tiDelay_C', 'Mod', 'Inst', 'ti', 'Delay', 'C', 'VALUE'), ('Mod_facGain_T', 'Mod', NULL, 'fac', 'Gain', 'T', 'CURVE'), ('bad label', NULL, NULL, NULL, NULL, NULL, NULL)) v(label, module, instance, prefix, name, suffix, object_class)""")
+    """Bounds, values, axes and ranges read back out of sentences that are written about order lines."""
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.format_string("%.2f", "l_quantity").alias("q"), F.format_string("%.2f", "l_extendedprice").alias("p"))
+    said = [("valid between ", "q", " and ", "p", "."), ("Start value: ", "q", ", ", "p", " [EUR]"), ("on X: n_eng [rpm] [2] ", "q", "; ", "p", ""), ("range 0...", "q", " [%]", "", "")]
+    written = [F.concat(*[F.col(x) if x in ("q", "p") else F.lit(x) for x in parts]) for parts in said]
+    t = F.element_at(F.array(*written), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    parsed = rows.select("l_orderkey", "l_linenumber", t.alias("t")).select("*", *[f(F.col("t")).alias(name) for name, f in (("l", text.limits), ("s", text.start_value), ("a", text.axes), ("r", text.physical_range))])
+    axis = lambda e: F.concat_ws(" ", e["axis"], e["signal"], e["unit"], e["size"].cast("string"))
+    return parsed.select(
+        "l_orderkey", "l_linenumber", "l.lower", "l.upper", "l.kind", F.col("s.values").alias("vals"), "s.unit", F.array_join(F.transform("a", axis), ";").alias("axes"),
+        F.try_element_at(F.get("a", F.lit(0))["breakpoints"], F.lit(-1)).alias("last_point"), F.col("r.lower").alias("range_low"), F.col("r.upper").alias("range_high"),
+    )
+
+
+@query("""WITH n AS (SELECT p_partkey, replace(p_brand, '#', '') AS module, CASE WHEN p_size % 2 = 0 THEN 'inst' || p_size END AS instance, ['ti', 'fac', NULL][p_size % 3 + 1] AS prefix, 'X' || p_type AS name, ['C', 'T', 'M', 'CA', 'Q'][p_partkey % 5 + 1] AS suffix FROM part)
+SELECT p_partkey, CASE WHEN suffix <> 'Q' THEN module END AS module, CASE WHEN suffix <> 'Q' THEN instance END AS instance, CASE WHEN suffix <> 'Q' THEN prefix END AS prefix, CASE WHEN suffix <> 'Q' THEN name END AS name,
+CASE WHEN suffix <> 'Q' THEN suffix END AS suffix, CASE suffix WHEN 'C' THEN 'VALUE' WHEN 'T' THEN 'CURVE' WHEN 'M' THEN 'MAP' WHEN 'CA' THEN 'VAL_BLK' END AS object_class FROM n""")
 def label_splitter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("Mod_Inst.tiDelay_C",), ("Mod_facGain_T",), ("bad label",)], "label string")
-    return rows.select("label", F.inline(F.array(text.label_parts(F.col("label")))))
+    """Labels that are made of parts' brands, sizes and types, taken apart again."""
+    size, pick = F.col("p_size"), lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    label = F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("_"), F.when(size % 2 == 0, F.concat(F.lit("inst"), size, F.lit("."))).otherwise(""), pick(size, "ti", "fac", ""), F.lit("X"), F.col("p_type"), F.lit("_"), pick(F.col("p_partkey"), "C", "T", "M", "CA", "Q"))
+    return load(spark, sf_dir, "part").select("p_partkey", text.label_parts(label).alias("e")).select("p_partkey", "e.*")
 
 
 RECORD_LINES = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import frames, linked, pages, rows
+from ..operators import frames, linked, pages, rows, sequence
 from .registry import load, query
 
 PAGE_ONE = """1.2 Fuel_Main
@@ -53,16 +53,15 @@ def simple_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label", "context", F.array_join(F.transform("start_value", lambda v: v.cast("string")), ",").alias("start_value"), "unit", "page", "module")
 
 
-@query("""SELECT line, heading, section, ends, noise, module, label FROM (VALUES ('3.1 Fuel_Main', true, true, true, false, 'Fuel_Main', NULL), ('3 [ab_]', true, false, true, false, NULL, NULL), ('3 [abc_d] 1', true, false, true, false, 'abc_d', NULL),
-('2 dsd_x y', true, false, true, false, NULL, NULL), ('Note:', false, true, false, false, NULL, NULL), ('  y: 1 2', false, false, true, false, NULL, NULL), ('TABLE 12 of', false, false, true, false, NULL, NULL),
-('2026-01-02 was', false, false, true, false, NULL, NULL), ('Cautionary', false, false, false, true, NULL, NULL), ('Caution now', false, false, true, true, NULL, NULL), ('see (Mod_tiWait_C), there', false, false, true, false, NULL, 'Mod_tiWait_C'),
-('plain 12 words', false, false, false, false, NULL, NULL), ('', false, false, false, false, NULL, NULL), (NULL, false, false, false, false, NULL, NULL)) v(line, heading, section, ends, noise, module, label)""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+SELECT doc_id, count(*) AS lines, count_if(regexp_matches(line, '^\\s*\\d+(\\.\\d+){0,6}\\s+\\[?\\w')) AS headings, count_if(regexp_matches(line, '^\\s*\\d+(\\.\\d+){1,6}\\s+\\S') OR (length(trim(line)) < 90 AND ends_with(trim(line), ':'))) AS sections,
+count_if(regexp_matches(line, '(?i)^\\s*table\\s+\\d+(\\W|$)')) AS titles, count_if(regexp_matches(line, '(?i)^\\s*caution(\\W|$)')) AS cautions, count_if(regexp_matches(lower(line), 'calibration of function labels|must be edited by|label name|description|caution|apph_labtab')) AS noise FROM l GROUP BY doc_id""")
 def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each line is to the row above it."""
-    given = ["3.1 Fuel_Main", "3 [ab_]", "3 [abc_d] 1", "2 dsd_x y", "Note:", "  y: 1 2", "TABLE 12 of", "2026-01-02 was", "Cautionary", "Caution now", "see (Mod_tiWait_C), there", "plain 12 words", "", None]
+    """How many lines of each document are headings, section heads, table titles, cautions, noise."""
     line = F.col("line")
-    kinds = [rows.is_heading(line).alias("heading"), rows.is_section(line).alias("section"), rows.ends_row(line).alias("ends"), rows.is_noise(line).alias("noise"), rows.module_of(line).alias("module"), rows.label_in(line).alias("label")]
-    return spark.createDataFrame([(g,) for g in given], "line string").select("line", *kinds)
+    kinds = {"headings": rows.is_heading(line), "sections": rows.is_section(line), "titles": rows.is_title(line), "cautions": rows.is_caution(line), "noise": rows.is_noise(line)}
+    lines = sequence.lines(load(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", *[k.alias(c) for c, k in kinds.items()])
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), *[F.count_if(c).alias(c) for c in kinds])
 
 
 @query("""SELECT label, description, value, value_structure FROM (VALUES ('Eem_tiWait_C', 'waits a while until done', '5', 'Scalar'), ('Eem_facLong_C', 'a factor that is described at length', '1', 'Scalar'),

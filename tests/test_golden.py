@@ -1,6 +1,9 @@
 """Rows worked out by hand for small inputs whose queries run over tables."""
 
-from kalibra.operators import pages
+from pyspark.sql import functions as F
+
+from kalibra.functions import text
+from kalibra.operators import pages, rows
 from kalibra.plans import samples
 from kalibra.sources import caljson, cdfx
 
@@ -24,3 +27,39 @@ def test_instances_of_every_kind(spark):
     assert got == {
         "A_C": ("SCALAR", 1, 0), "B_C": ("SCALAR", 1, 1), "Arr_CA": ("ARRAY", 3, 2), "Crv_T": ("CURVE", 4, 3), "Map_M": ("MAP", 3, 4), "Enum_M": ("MAP", 1, 5), "D_C": ("SCALAR", 1, 6), "E_C": ("SCALAR", 1, 7), "F_X": (None, 1, 8),
     }
+
+
+PHRASES = [
+    "must lie between 1 and 2.5", "min: -3, max= 4", "greater than 7", "at most 9", "no bound",
+    "X: n_eng [rpm] [3] 1000 2000 3000 4000 Y: [-] [2] Start value: 1.5 2.5 [V]", "Start value (all) 4 [-]", "Start value: see Table 12", "raw 0...65535 phys −327.68 ... 327.67 [%]",
+]
+
+
+def test_phrases(spark):
+    t = F.col("t")
+    parsed = spark.createDataFrame(list(enumerate(PHRASES)), "id int, t string").select("id", text.limits(t).alias("l"), text.start_value(t).alias("s"), text.axes(t).alias("a"), text.physical_range(t).alias("r")).orderBy("id").collect()
+    bounds = [tuple(r.l) if r.l else None for r in parsed]
+    assert bounds == [(1.0, 2.5, "explicit_between"), (-3.0, 4.0, "explicit_min_max"), (7.0, None, "explicit_greater_than"), (None, 9.0, "explicit_less_than"), None, None, None, None, None]
+    values = [(r.s["values"], r.s.unit, r.s.for_all) for r in parsed]
+    assert values == [(None, None, False)] * 5 + [([1.5, 2.5], "V", False), ([4.0], "dimensionless", True), (None, None, False), ([327.67], "%", False)]
+    assert [tuple(a) for a in parsed[5].a] == [("X", "n_eng", "rpm", 3, [1000.0, 2000.0, 3000.0]), ("Y", None, "dimensionless", 2, [1.5, 2.5])]
+    assert all(not r.a for k, r in enumerate(parsed) if k != 5) and parsed[8].r.lower == -327.68
+
+
+def test_labels_taken_apart(spark):
+    df = spark.createDataFrame([("Mod_Inst.tiDelay_C",), ("Mod_facGain_T",), ("bad label",)], "label string")
+    got = [tuple(r) for r in df.select(F.inline(F.array(text.label_parts(F.col("label"))))).collect()]
+    assert got == [("Mod", "Inst", "ti", "Delay", "C", "VALUE"), ("Mod", None, "fac", "Gain", "T", "CURVE"), (None,) * 6]
+
+
+def test_kinds_of_lines(spark):
+    want = {
+        "3.1 Fuel_Main": (True, True, True, False, "Fuel_Main", None), "3 [ab_]": (True, False, True, False, None, None), "3 [abc_d] 1": (True, False, True, False, "abc_d", None), "2 dsd_x y": (True, False, True, False, None, None),
+        "Note:": (False, True, False, False, None, None), "  y: 1 2": (False, False, True, False, None, None), "TABLE 12 of": (False, False, True, False, None, None), "2026-01-02 was": (False, False, True, False, None, None),
+        "Cautionary": (False, False, False, True, None, None), "Caution now": (False, False, True, True, None, None), "see (Mod_tiWait_C), there": (False, False, True, False, None, "Mod_tiWait_C"),
+        "plain 12 words": (False, False, False, False, None, None), "": (False, False, False, False, None, None), None: (False, False, False, False, None, None),
+    }
+    line = F.col("line")
+    kinds = [rows.is_heading(line), rows.is_section(line), rows.ends_row(line), rows.is_noise(line), rows.module_of(line), rows.label_in(line)]
+    got = spark.createDataFrame([(g,) for g in want], "line string").select("line", *[k.alias(f"k{n}") for n, k in enumerate(kinds)])
+    assert {r.line: tuple(r)[1:] for r in got.collect()} == want
