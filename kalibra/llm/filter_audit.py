@@ -56,12 +56,13 @@ def edges(rows: DataFrame, filters: Mapping[str, Column], part: str, marks: Mapp
     fails = {name: F.coalesce(c, F.lit(False)) for name, c in filters.items()}
     counted: dict[frozenset, DataFrame] = {}
 
+    # The same sums for every state (a filter applied already removes nothing), so that their code is compiled once.
+    sums = [F.count_if(fails[f]).alias(f"_{k}_removed") for k, f in enumerate(fails)]
+    sums += [F.count_if(fails[f] & F.coalesce(c, F.lit(False))).alias(f"_{k}_{m}") for k, f in enumerate(fails) for m, c in marks.items()]
+
     def count(state: frozenset, survivors: DataFrame) -> DataFrame:
-        left = [f for f in fails if f not in state]
-        sums = [F.count_if(fails[f]).alias(f"_{k}_removed") for k, f in enumerate(left)]
-        sums += [F.count_if(fails[f] & F.coalesce(c, F.lit(False))).alias(f"_{k}_{m}") for k, f in enumerate(left) for m, c in marks.items()]
         done = F.array(*[F.lit(f) for f in sorted(state)]).cast("array<string>").alias("state")
-        leaving = [F.struct(done, F.lit(f).alias("filter"), F.col("_before").alias("before"), *[F.col(f"_{k}_{m}").alias(m) for m in ("removed", *marks)]) for k, f in enumerate(left)]
+        leaving = [F.struct(done, F.lit(f).alias("filter"), F.col("_before").alias("before"), *[F.col(f"_{k}_{m}").alias(m) for m in ("removed", *marks)]) for k, f in enumerate(fails)]
         return survivors.groupBy(part).agg(F.count(F.lit(1)).alias("_before"), *sums).select(F.col(part).alias("part"), F.inline(F.array(*leaving)))
 
     def visit(state: frozenset, survivors: DataFrame) -> None:
@@ -74,7 +75,7 @@ def edges(rows: DataFrame, filters: Mapping[str, Column], part: str, marks: Mapp
         survivors.unpersist()
 
     visit(frozenset(), rows)
-    return reduce(DataFrame.unionByName, counted.values())
+    return reduce(DataFrame.unionByName, counted.values()).where(~F.array_contains("state", F.col("filter")))
 
 
 def audit(rows: DataFrame, filters: Mapping[str, Column], part: str, marks: Mapping[str, Column]) -> DataFrame:
