@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import scan
+from .rows import split_maps
 from .sequence import ordered, runs
 
 # A page header: a function's name and its version (digits and points, a semicolon, a number) in one of three frames.
@@ -39,16 +40,19 @@ def function_blocks(lines: DataFrame) -> DataFrame:
 
 
 def value_tables(lines: DataFrame) -> DataFrame:
-    """(doc_id, table_id, label, x, y, val): blocks that open with ``Table N`` and name a label of class C, T, M or CA.
+    """(doc_id, table_id, label, x, y, val, axes): blocks that open with ``Table N`` and name a label of class C, T, M or CA.
 
-    A line that begins with X, Y or VAL gives that series' numbers, lines after it go on until another begins.
+    A line that begins with X, Y or VAL gives that series' numbers, lines after it go on until another begins. ``axes`` are
+    the heads that the block's text has. Where no line gave a series, the points and, row by row, the cells
+    of a map that is printed in pieces (lines ``Y/X``) count, without one the heads' breakpoints.
     """
     key, order = ["doc_id"], ["line_no"]
     marked = lines.withColumn("opens", F.col("line").rlike(TABLE)).withColumn("block", runs(F.coalesce(F.col("opens"), F.lit(False)), key, order))
     words = F.split(F.trim("line"), r"[\s,;|:]+")
     label = F.get(F.filter(words, lambda w: w.rlike(tx.LABEL)), F.lit(0))
     series = F.upper(F.nullif(F.regexp_extract("line", r"(?i)^\s*(X|Y|VAL)\b", 1), F.lit("")))
-    rows = marked.withColumns({"label": label, "starts": F.when(F.col("opens") | label.isNotNull(), F.lit("")).otherwise(series)})
+    apart = F.col("line").rlike(r"\]\s*\[\s*\d+\s*\]") | (F.upper(F.trim("line")) == "Y/X")  # an axis' head, a printed map
+    rows = marked.withColumns({"label": label, "starts": F.when(F.col("opens") | label.isNotNull() | apart, F.lit("")).otherwise(series)})
     own = Window.partitionBy("doc_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     keyed = rows.withColumn("series", F.last("starts", ignorenulls=True).over(own))
     numbers = F.when(F.col("series") != "", tx.numbers(F.regexp_replace("line", r"(?i)^\s*(X|Y|VAL)\b", "")))
@@ -56,8 +60,17 @@ def value_tables(lines: DataFrame) -> DataFrame:
     found = keyed.groupBy("doc_id", "block").agg(
         F.max(F.when(F.col("opens"), F.regexp_extract("line", TABLE, 1))).alias("table_id"), F.min_by("label", F.when(F.col("label").isNotNull(), F.col("line_no"))).alias("label"),
         gathered("X").alias("x"), gathered("Y").alias("y"), gathered("VAL").alias("val"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda p: p["line"]), "\n").alias("_body"),
     )
-    return found.where("table_id is not null and label is not null").drop("block")
+    told = found.where("table_id is not null and label is not null").withColumn("axes", tx.axes(F.col("_body"))).drop("_body")
+    size = lambda axis: F.get(F.filter("axes", lambda a: a["axis"] == axis), F.lit(0))["size"]
+    key = F.struct("doc_id", "block").alias("table_key")
+    printed = marked.join(told.select("doc_id", "block", size("X").alias("x_size"), size("Y").alias("y_size")), ["doc_id", "block"]).where("y_size > 0")
+    maps = split_maps(printed.select(key, "x_size", "y_size", "line_no", "line")).select("table_key.doc_id", "table_key.block", F.col("x").alias("_x"), F.col("y").alias("_y"), F.flatten("z").alias("_val"))
+    joined = told.join(maps, ["doc_id", "block"], "left")
+    points = lambda axis: F.get(F.filter("axes", lambda a: a["axis"] == axis), F.lit(0))["breakpoints"] if axis != "VAL" else F.lit(None)
+    filled = {c: F.when(F.size(c) > 0, F.col(c)).otherwise(F.coalesce(f"_{c}", points(c.upper()), c)).alias(c) for c in ("x", "y", "val")}
+    return joined.select("doc_id", "table_id", "label", *filled.values(), "axes")
 
 
 def budget_chunks(lines: DataFrame, budget: int, overlap: int) -> DataFrame:

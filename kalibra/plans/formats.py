@@ -210,7 +210,12 @@ def update_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label", "status", F.when(F.col("status") == "updated", F.array_join(flat, ",")).alias("new_values"))
 
 
-@query("""SELECT label, index::INTEGER AS index, x::DOUBLE AS x, value::DOUBLE AS value FROM (VALUES ('c', 0, 1, 5), ('c', 1, 2, 6), ('all', 0, 1, 9), ('all', 1, 2, 9), ('all', 2, 3, 9), ('bare', 0, NULL, 4)) v(label, index, x, value)""")
+@query("""WITH e AS (SELECT vec_id, label, vec_id % 3 AS k, list_transform(embedding[1:4], lambda x: round(x::DOUBLE, 6)) AS v FROM embeddings), i AS (SELECT *, unnest(range(4))::INTEGER AS index FROM e)
+SELECT vec_id, CASE WHEN k < 2 THEN 's' || label END AS signal, CASE WHEN k < 2 THEN 'rpm' END AS unit, index, CASE WHEN k = 0 THEN index * 10.0::DOUBLE END AS x, CASE WHEN k = 1 THEN v[1] ELSE v[index + 1] END AS value FROM i WHERE k < 2 OR index < 2""")
 def unpivot_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("c", [5.0, 6.0], [1.0, 2.0]), ("all", [9.0], [1.0, 2.0, 3.0]), ("bare", [4.0], None)], "label string, vals array<double>, axis array<double>")
-    return extract.unpivoted(rows, ["label"], "vals", "axis")
+    """Vectors as curves: over breakpoints, a single value over an axis that tells its size alone, values without axis."""
+    k, none = F.col("vec_id") % 3, F.lit(None).cast("array<double>")
+    cut = F.transform(F.slice("embedding", 1, 4), lambda v: F.round(v.cast("double"), 6))
+    head = F.struct(F.lit("X").alias("axis"), F.concat(F.lit("s"), "label").alias("signal"), F.lit("rpm").alias("unit"), F.lit(4).alias("size"), F.when(k == 0, F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: i * F.lit(10.0))).otherwise(none).alias("breakpoints"))
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", F.when(k == 0, cut).when(k == 1, F.slice(cut, 1, 1)).otherwise(F.slice(cut, 1, 2)).alias("vals"), F.when(k < 2, F.array(head)).alias("axes"))
+    return extract.unpivoted_curves(rows, ["vec_id"], "vals", "axes")

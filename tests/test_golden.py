@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kalibra.functions import text
-from kalibra.operators import pages, rows
+from kalibra.operators import extract, pages, rows
 from kalibra.plans import samples
 from kalibra.sources import caljson, cdfx
 
@@ -63,3 +63,28 @@ def test_kinds_of_lines(spark):
     kinds = [rows.is_heading(line), rows.is_section(line), rows.ends_row(line), rows.is_noise(line), rows.module_of(line), rows.label_in(line)]
     got = spark.createDataFrame([(g,) for g in want], "line string").select("line", *[k.alias(f"k{n}") for n, k in enumerate(kinds)])
     assert {r.line: tuple(r)[1:] for r in got.collect()} == want
+
+
+def test_printed_maps_in_value_tables(spark):
+    body = """Table 7
+Mod_facGain_M of it
+X: n_eng [rpm] [2]
+Y: t_oil [K] [2]
+Y/X
+10 20
+1 5 6
+2 7 8
+Table 8
+Mod_tiWait_T
+X 1 2
+VAL 3
+4"""
+    lines = spark.createDataFrame([(1, n, t) for n, t in enumerate(body.split("\n"))], "doc_id long, line_no int, line string")
+    got = {r.table_id: (r.label, list(r.x), list(r.y), list(r.val), [a.signal for a in r.axes]) for r in pages.value_tables(lines).collect()}
+    assert got == {"7": ("Mod_facGain_M", [10.0, 20.0], [1.0, 2.0], [5.0, 6.0, 7.0, 8.0], ["n_eng", "t_oil"]), "8": ("Mod_tiWait_T", [1.0, 2.0], [], [3.0, 4.0], [])}
+
+
+def test_curves_as_rows(spark):
+    df = spark.createDataFrame([("c", [5.0, 6.0], [1.0, 2.0]), ("all", [9.0], [1.0, 2.0, 3.0]), ("bare", [4.0], None)], "label string, vals array<double>, axis array<double>")
+    got = sorted(map(tuple, extract.unpivoted(df, ["label"], "vals", "axis").collect()))
+    assert got == [("all", 0, 1.0, 9.0), ("all", 1, 2.0, 9.0), ("all", 2, 3.0, 9.0), ("bare", 0, None, 4.0), ("c", 0, 1.0, 5.0), ("c", 1, 2.0, 6.0)]
