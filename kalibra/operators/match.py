@@ -34,16 +34,16 @@ def nearest_in_group(queries: DataFrame, vectors: DataFrame, group: str, k: int)
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def nearest_in_tiles(vectors: DataFrame, is_query: Column, k: int, *, within: bool = False, per_label: bool = False, itself: bool = False, block: int = 4096, query_block: int = 512) -> DataFrame:
+def nearest_in_tiles(vectors: DataFrame, is_query: Column, k: int, *, among: Column | None = None, within: bool = False, per_label: bool = False, itself: bool = False, block: int = 4096, query_block: int = 512) -> DataFrame:
     """(query_id, vec_id, label, distance, rank): for each row of ``vectors(vec_id, label, v)`` that asks its k nearest
     rows, exact, by cosine distance, ties to the smaller id.
 
-    ``within``: only rows of the query's label. ``per_label``: k rows of each label. ``itself``: a query may find its own
+    ``among``: only rows for which it holds may be found. ``within``: only rows of the query's label. ``per_label``: k rows of each label. ``itself``: a query may find its own
     id. Every block of queries meets every block of candidates in a tile (``within``: of the same label, whose rows make
     blocks of their own, so a query is compared with no other label), and a tile sends at most k rows a query on (and
     label). Vectors that are null, empty or zero take no part; those of different lengths are not compared.
     """
-    ready = vectors.where(F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.transform("v", lambda x: x.cast("double")).alias("v"), F.size("v").alias("dim"), is_query.alias("asks"))
+    ready = vectors.where(F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.transform("v", lambda x: x.cast("double")).alias("v"), F.size("v").alias("dim"), is_query.alias("asks"), (F.lit(True) if among is None else F.coalesce(among, F.lit(False))).alias("answers"))
     own = [F.col("dim").alias("_dim"), *([F.col("label").alias("_label")] if within else [])]
     cut = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
     sizes = written(ready.groupBy(*own).agg(cut(F.count(F.lit(1)), block).alias("blocks"), cut(F.count_if("asks"), query_block).alias("query_blocks")), "tile-sizes")
@@ -53,7 +53,7 @@ def nearest_in_tiles(vectors: DataFrame, is_query: Column, k: int, *, within: bo
     dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     tile = F.col("label") if within else F.lit(None).cast(vectors.schema["label"].dataType)
     left = sized.where("asks").select(*[F.col(c).alias(c) for c in ("vec_id", "v", "dim")], tile.alias("of"), dealt("query_blocks").alias("qb"), every("blocks").alias("cb"))
-    right = sized.select("vec_id", "label", "v", "dim", tile.alias("of"), dealt("blocks").alias("cb"), every("query_blocks").alias("qb"))
+    right = sized.where("answers").select("vec_id", "label", "v", "dim", tile.alias("of"), dealt("blocks").alias("cb"), every("query_blocks").alias("qb"))
     kind = vectors.schema["label"].dataType.simpleString()
 
     def matrix(t: pa.Table) -> np.ndarray:

@@ -206,3 +206,14 @@ def match_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = similar.one_to_one(*[d.withColumn(k, F.col(k)["turn"]) for d, k in zip(asked, ("left_id", "right_id"), strict=True)], "function", 10.0)
     whole = pairs.select(*[F.struct(F.col("function").cast("long").alias("conv_id"), F.col(k).alias("turn")).alias(k) for k in ("left_id", "right_id")], "score")
     return frames.match_frames(*sides, whole, 10.0)["Function Breakdown"].toDF("function", "matches", "average")
+
+
+@query("""WITH r AS (SELECT conv_id, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id), e AS (SELECT vec_id, label, role, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings JOIN r ON vec_id = conv_id),
+s AS (SELECT q.vec_id AS query_id, q.label, c.vec_id, 1 - list_cosine_similarity(q.v, c.v) AS d FROM e q JOIN e c ON q.label = c.label AND q.role = 'user' AND c.role = 'assistant')
+SELECT query_id, label, vec_id, round(d, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM s) t WHERE rank <= 3""")
+def opposite_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of conversations that a user ends ask those of the same label that the assistant ends."""
+    ends = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("role"))
+    vectors = load(spark, sf_dir, "embeddings").join(ends, F.col("vec_id") == F.col("conv_id")).select("vec_id", "label", F.col("embedding").alias("v"), "role")
+    found = match.nearest_in_tiles(vectors, F.col("role") == "user", 3, among=F.col("role") == "assistant", within=True)
+    return found.select("query_id", "label", "vec_id", F.round("distance", 6).alias("distance"), "rank")
