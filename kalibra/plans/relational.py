@@ -11,7 +11,7 @@ from ..store import fresh_path
 from .registry import load, query
 
 PRICES = """
-WITH s AS (SELECT c_custkey AS label, c_acctbal AS value, 'customer' AS source, 1 AS priority FROM customer WHERE c_acctbal > 5000
+WITH s AS (SELECT c_custkey AS label, c_acctbal AS value, 'customer' AS source, 1 AS priority FROM customer
 UNION ALL SELECT s_suppkey, s_acctbal, 'supplier', 2 FROM supplier
 UNION ALL SELECT p_partkey, p_retailprice, 'part', 3 FROM part),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY priority) AS n FROM s) t WHERE n = 1)"""
@@ -20,7 +20,7 @@ SAME = "(abs({a} - {b}) <= 1e-6 OR abs({a} - {b}) <= 1e-4 * greatest(abs({a}), a
 
 
 def price_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = load(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("label"), F.col("c_acctbal").alias("value"))
+    customer = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("label"), F.col("c_acctbal").alias("value"))
     supplier = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("label"), F.col("s_acctbal").alias("value"))
     part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("label"), F.col("p_retailprice").alias("value"))
     return reconcile.stacked([("customer", customer), ("supplier", supplier), ("part", part)])

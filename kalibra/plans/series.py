@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import noise, numeric
+from ..functions import convert, noise, numeric, text
 from ..operators import match, scan, sequence, similar
 from .registry import load, query
 
@@ -207,8 +207,8 @@ def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, len(regexp_extract_all(text, '[-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?')) AS n,
 try_cast(regexp_extract_all(text, '[-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?')[1] AS DOUBLE) AS first FROM documents WHERE text IS NOT NULL""")
 def number_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit(r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"), F.lit(0))
-    return load(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(found).cast("long").alias("n"), F.get(found, F.lit(0)).try_cast("double").alias("first"))
+    found = text.numbers(F.col("text"))
+    return load(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(found).cast("long").alias("n"), F.get(found, F.lit(0)).alias("first"))
 
 
 NOISE_LINES = """WITH l AS (SELECT 'documents' AS source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents UNION ALL SELECT 'pages', unnest(string_split(coalesce(html, ''), chr(10))) FROM pages),
@@ -244,14 +244,21 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_orderkey, l_linenumber, round(l_quantity * 0.25 - 40, 4) AS physical, round((l_quantity * 0.25 - 40 + 40) / 0.25, 4) AS raw FROM lineitem""")
 def linear_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    physical = F.col("l_quantity") * 0.25 - 40
-    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(physical, 4).alias("physical"), F.round((physical + 40) / 0.25, 4).alias("raw"))
+    none, kind, line = F.lit(None), F.lit("LINEAR"), F.array(F.lit(0.25), F.lit(-40.0))
+    pairs = none.cast("array<struct<raw: double, num: double, txt: string>>")
+    number = convert.physical(F.col("l_quantity"), kind, none.cast("array<double>"), line, kind, pairs, none.cast("string"))["num"]
+    back = convert.stored(F.col("physical"), none.cast("string"), kind, none.cast("array<double>"), line, pairs)
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", number.alias("physical")).select("l_orderkey", "l_linenumber", F.round("physical", 4).alias("physical"), F.round(back, 4).alias("raw"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'finished' ELSE 'other' END AS meaning FROM orders""")
 def enum_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = F.create_map(F.lit("O"), F.lit("open"), F.lit("F"), F.lit("finished"))
-    return load(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.try_element_at(table, F.col("o_orderstatus")), F.lit("other")).alias("meaning"))
+    none, kind = F.lit(None), F.lit("TAB_VERB")
+    entry = lambda letter, meaning: F.struct(F.lit(float(ord(letter))).alias("raw"), none.cast("double").alias("num"), F.lit(meaning).alias("txt"))
+    names = F.array(entry("O", "open"), entry("F", "finished"))
+    code = F.ascii("o_orderstatus").cast("double")
+    said = convert.physical(code, kind, none.cast("array<double>"), none.cast("array<double>"), kind, names, F.lit("other"))["txt"]
+    return load(spark, sf_dir, "orders").select("o_orderkey", said.alias("meaning"))
 
 
 @query("""SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS turns FROM conversations GROUP BY conv_id""")
