@@ -57,10 +57,13 @@ def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scalars.unionByName(arrays).groupBy("file").agg(named("{", F.array_join(F.collect_list("entry"), ", "), "}").alias("text"))
 
 
-def updated_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(label, source, status, new_value): the balances' files updated from files of every third supplier, doubled, and of
-    every next to it, as they are."""
+def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The balances' files updated from files of every third supplier, doubled, and of every next to it, as they are."""
     read = lambda rows: cdfx.instances(scalar_files(rows))
     one, two = balances(spark, sf_dir, F.lit(2)).where("k % 3 = 0"), balances(spark, sf_dir).where("k % 3 = 1")
-    found = update.updated([("one", read(one)), ("two", read(two))], read(balances(spark, sf_dir)))
-    return found.select("label", "source", "status", F.when(F.col("status") == "updated", F.get("texts", F.lit(0)).cast("double")).alias("new_value"))
+    return update.updated([("one", read(one)), ("two", read(two))], read(balances(spark, sf_dir)))
+
+
+def updated_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(label, source, status, new_value) of ``updates``."""
+    return updates(spark, sf_dir).select("label", "source", "status", F.when(F.col("status") == "updated", F.get("texts", F.lit(0)).cast("double")).alias("new_value"))

@@ -99,11 +99,12 @@ def update_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates(spark).select("label", "source", "status", F.when(F.col("status") == "updated", F.array_join(flat, ",")).alias("new_values"))
 
 
-@query("""SELECT label, vals FROM (VALUES ('A_C', '33.30078125'), ('B_C', 'on'), ('Arr_CA', '0.0,5.0,10.0'), ('Crv_T', '0.0,15.0,20.0,100.0'), ('Map_M', ''), ('Enum_M', ''), ('D_C', '6'), ('E_C', '1'), ('F_X', '1')) v(label, vals)""")
+@query(PARAMETERS + """ SELECT file, label, n::INTEGER AS n, CASE WHEN kind = 'SCALAR' AND k % 3 = 0 THEN round(total * 2, 2) ELSE total END AS total FROM i""")
 def merged_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The destination written with its updates and read again."""
-    written = cdfx.merged(one(spark, samples.DESTINATION), updates(spark).where("fragment is not null"))
-    return cdfx.instances(written).select("label", F.array_join("vals", ",").alias("vals"))
+    """Files that Spark writes from suppliers and customers, written again with every third supplier's balance doubled, and read."""
+    rows = cdfx.instances(cdfx.merged(derived.parameter_files(spark, sf_dir), derived.updates(spark, sf_dir).where("fragment is not null")))
+    total = F.round(F.aggregate(F.transform("vals", lambda v: v.cast("double")), F.lit(0.0), lambda x, y: x + y), 2)
+    return rows.select("file", "label", F.size("vals").alias("n"), total.alias("total"))
 
 
 GOLDEN = """SELECT * FROM (VALUES ('index_resample', '0.0,5.0,10.0'), ('interpolate', '0.0,15.0,20.0,100.0'), ('interpolate_empty', '0.0,0.0'), ('interpolate_one', '7.0,7.0,7.0'), ('label_map', '1,1'),
@@ -136,10 +137,14 @@ def numeric_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("result")) for k, v in rules.items()])))
 
 
-@query("""SELECT * FROM (VALUES ('33.3008', '33.30078125', true), ('0', '1e-7', true), (' on', 'on ', true), ('1d', '1', false), ('1', '1.01', false), ('a', NULL, false), (NULL, NULL, true)) v(a, b, same)""")
+@query("""SELECT l_orderkey, l_linenumber, l_linenumber % 5 IN (0, 1, 4) AS same FROM lineitem""")
 def text_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("33.3008", "33.30078125"), ("0", "1e-7"), (" on", "on "), ("1d", "1"), ("1", "1.01"), ("a", None), (None, None)], "a string, b string")
-    return rows.select("a", "b", compare.texts_equal(F.col("a"), F.col("b")).alias("same"))
+    """Prices as texts: with more places, with blanks, a hundredth larger, with a type's letter; and two absent ones."""
+    price = lambda places, times=1.0: F.format_string(f"%.{places}f", F.col("l_extendedprice") * times)
+    k = F.col("l_linenumber") % 5
+    a = F.when(k == 4, F.lit(None)).otherwise(price(2))
+    b = F.when(k == 0, price(6, 1.000001)).when(k == 1, F.concat(F.lit(" "), price(2), F.lit(" "))).when(k == 2, price(2, 1.01)).when(k == 3, F.concat(price(2), F.lit("d")))
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", compare.texts_equal(a, b).alias("same"))
 
 
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 AS k, round(l_quantity, 2) AS q, round(l_extendedprice, 2) AS p FROM lineitem)

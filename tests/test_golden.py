@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from kalibra.functions import text
+from kalibra.functions import compare, text
 from kalibra.operators import extract, pages, rows
-from kalibra.plans import samples
+from kalibra.plans import formats, samples
 from kalibra.sources import caljson, cdfx
 
 
@@ -88,3 +88,16 @@ def test_curves_as_rows(spark):
     df = spark.createDataFrame([("c", [5.0, 6.0], [1.0, 2.0]), ("all", [9.0], [1.0, 2.0, 3.0]), ("bare", [4.0], None)], "label string, vals array<double>, axis array<double>")
     got = sorted(map(tuple, extract.unpivoted(df, ["label"], "vals", "axis").collect()))
     assert got == [("all", 0, 1.0, 9.0), ("all", 1, 2.0, 9.0), ("all", 2, 3.0, 9.0), ("bare", 0, None, 4.0), ("c", 0, 1.0, 5.0), ("c", 1, 2.0, 6.0)]
+
+
+def test_texts_equal(spark):
+    rows = [("33.3008", "33.30078125", True), ("0", "1e-7", True), (" on", "on ", True), ("1d", "1", False), ("1", "1.01", False), ("a", None, False), (None, None, True)]
+    df = spark.createDataFrame(rows, "a string, b string, want boolean")
+    assert df.select((compare.texts_equal(F.col("a"), F.col("b")) == F.col("want")).alias("ok")).where("not ok or ok is null").count() == 0
+
+
+def test_destination_written_with_its_updates(spark):
+    texts = spark.createDataFrame([("f", samples.DESTINATION)], "file string, text string")
+    written = cdfx.instances(cdfx.merged(texts, formats.updates(spark).where("fragment is not null")))
+    got = {r.label: ",".join(r.vals) for r in written.collect()}
+    assert got == {"A_C": "33.30078125", "B_C": "on", "Arr_CA": "0.0,5.0,10.0", "Crv_T": "0.0,15.0,20.0,100.0", "Map_M": "", "Enum_M": "", "D_C": "6", "E_C": "1", "F_X": "1"}
