@@ -34,7 +34,8 @@ def misspelt(run: str, seed: int, every: int) -> str:
 def word_counts(documents: DataFrame, *, id_col: str = "doc_id", text: str = "text", every: int = 199) -> DataFrame:
     """(word, n): the runs of letters in all whole texts, lower-cased from A-Z only, by how often they occur.
 
-    Every ``every``-th pair of document and run loses a letter (null ids count as empty text). Each task sums up the words
+    Every ``every``-th pair of document and run loses a letter (null ids count as empty text). Null and empty texts have no
+    runs, long ones are counted whole, repeated rows count each, other columns are ignored, an empty table gives none. Each task sums up the words
     of some ``READ`` characters before it sends them on, so a frequent word is a row a task, not a row an occurrence.
     """
 
