@@ -74,8 +74,8 @@ class Ordered:
     """``rows`` of a key in an order, for ``with_running``.
 
     Where no key has over ``most`` rows, windows over whole keys do; else the rows are written once, cut into ``parts``
-    ranges. Null keys are a key. Rows of equal key and order come in any order and stay in one range, so an order
-    should tell the rows of a key apart.
+    ranges. Null keys are a key; nulls of the order come last. Rows of equal key and order come in any order and stay in
+    one range, so an order should tell the rows of a key apart.
     """
 
     def __init__(self, rows: DataFrame, key: Sequence[str], order: Sequence[str], *, most: int = 1_000_000, parts: int | None = None) -> None:
@@ -84,15 +84,18 @@ class Ordered:
         self.cut = largest > most
         if self.cut:
             count = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            self.rows = written(rows.repartitionByRange(count, *key, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+            self.rows = written(rows.repartitionByRange(count, *key, *self._ascending()).withColumn("_part", F.spark_partition_id()), "ranges")
         else:
             self.rows = rows
 
+    def _ascending(self) -> list[Column]:
+        return [F.col(c).asc_nulls_last() for c in self.order]
+
     def with_running(self, values: Mapping[str, Carry]) -> Ordered:
         """Itself, with a column for each of ``values``; these may be used by further ones."""
         out = object.__new__(Ordered)
         out.key, out.order, out.cut = self.key, self.order, self.cut
-        piece = Window.partitionBy(*(["_part"] if self.cut else []), *self.key).orderBy(*self.order)
+        piece = Window.partitionBy(*(["_part"] if self.cut else []), *self.key).orderBy(*self._ascending())
         out.rows = self.rows.withColumns({name: c.own(piece) for name, c in values.items()})
         if self.cut:
             carried = F.broadcast(self._carried(values))  # at most two rows a range
@@ -106,7 +109,7 @@ class Ordered:
         whole = F.struct(*self.key)
         ends = self.rows.groupBy("_part").agg(F.min(whole).alias("low"), F.max(whole).alias("high")).withColumnRenamed("_part", "_at")
         edge = self.rows.join(F.broadcast(ends), F.col("_part") == F.col("_at")).where(whole.eqNullSafe(F.col("low")) | whole.eqNullSafe(F.col("high")))
-        order = F.struct(*self.order)
+        order = F.struct(*[x for c in self.order for x in (F.col(c).isNull(), F.col(c))])
         pieces = edge.groupBy("_at", *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(self.key)]).agg(*[c.piece(order).alias(f"_piece_{name}") for name, c in values.items()])
         along = Window.partitionBy(*[f"_key_{i}" for i in range(len(self.key))]).orderBy("_at")
         return pieces.select("_at", *[f"_key_{i}" for i in range(len(self.key))], *[c.across(F.col(f"_piece_{name}"), along).alias(f"_far_{name}") for name, c in values.items()])
@@ -121,9 +124,13 @@ def numbered_runs(ordered: Ordered, changed: Column, name: str) -> DataFrame:
 
 
 def merged_intervals(rows: DataFrame, key: Sequence[str], start: str, end: str, **sizes: int | None) -> DataFrame:
-    """Overlapping or touching intervals of a key as one: (key, start, end, parts)."""
+    """Overlapping or touching intervals of a key as one: (key, start, end, parts).
+
+    An interval without a start comes last and joins the one before it; where none before it has an end, it is its own.
+    """
     reached = Ordered(rows, key, [start, end], **sizes).with_running({"_reached": highest_before(F.col(end))})
-    opened = numbered_runs(reached, F.col(start) > F.col("_reached"), "_run")
+    opens = F.col("_reached").isNull() | F.coalesce(F.col(start) > F.col("_reached"), F.lit(False))
+    opened = numbered_runs(reached, opens, "_run")
     return opened.groupBy(*key, "_run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("parts")).drop("_run")
 
 

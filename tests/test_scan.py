@@ -81,3 +81,19 @@ def test_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert scan.Ordered(none, ["k"], ["t"]).with_running({"x": scan.total(F.lit(1))}).frame().count() == 0
     assert scan.Ordered(none, ["k"], ["t"], most=-1, parts=3).with_running({"x": scan.total(F.lit(1)), "y": scan.after(F.col("v"))}).frame().count() == 0
+
+
+@pytest.mark.parametrize("most", [2, 10_000])
+def test_intervals_without_dates_come_last(spark, most):
+    made = [("a", 1, 4), ("a", 3, 6), ("a", None, None), ("a", 9, 12), ("a", None, None), ("b", None, None), ("b", None, None), ("c", 5, 8), (None, 2, 3), (None, None, None)]
+    spans = spark.createDataFrame(made, "k string, s int, e int").repartition(3)
+    got = scan.merged_intervals(spans, ["k"], "s", "e", most=most, parts=5)
+    expected = [("a", 1, 6, 2), ("a", 9, 12, 3), ("b", None, None, 1), ("b", None, None, 1), ("c", 5, 8, 1), (None, 2, 3, 2)]
+    assert both(got, ["k", "s", "e", "parts"]) == sorted(map(repr, expected))
+
+
+@pytest.mark.parametrize("most", [1, 10_000])
+def test_nulls_of_an_order_come_last(spark, most):
+    made = spark.createDataFrame([("a", None, 1, 7), ("a", 5, 2, 8), ("a", 3, 3, None), ("a", None, 4, None)], "k string, t long, i long, v long")
+    got = scan.Ordered(made, ["k"], ["t", "i"], most=most, parts=3).with_running({"before": scan.before(F.col("v")), "after": scan.after(F.col("v"))}).frame()
+    assert both(got, ["i", "before", "after"]) == sorted(map(repr, [(3, None, 8), (2, None, 7), (1, 8, None), (4, 7, None)]))
