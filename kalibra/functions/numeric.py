@@ -16,6 +16,16 @@ INT_RANGES = {
 }
 
 
+def rounded(value: Column, places: int) -> Column:
+    """A double at so many places by its product with 10^places, halves away from zero. A zero keeps the sign of what was
+    rounded; NaN, the infinite and what overflows stay as they are."""
+    scale = F.lit(10.0**places)
+    size = F.abs(value) * scale
+    whole = F.floor(size).cast("double")
+    near = F.when(size < 2.0**52, whole + F.when(size - whole >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(size) / scale
+    return F.when(F.isnan(near) | (near == float("inf")) | (value == 0), value).when(value < 0, -near).otherwise(near)
+
+
 def repaired(x: Column, v: Column) -> Column:
     """array<struct<x, v>> sorted by x, of equal x the first kept."""
     points = F.array_sort(F.transform(x, lambda a, i: F.struct(a.cast("double").alias("x"), i.alias("i"), F.get(v, i).cast("double").alias("v"))))

@@ -220,7 +220,7 @@ SELECT vec_id, CASE WHEN k < 2 THEN 's' || label END AS signal, CASE WHEN k < 2
 def unpivot_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as curves: over breakpoints, a single value over an axis that tells its size alone, values without axis."""
     k, none = F.col("vec_id") % 3, F.lit(None).cast("array<double>")
-    cut = F.transform(F.slice("embedding", 1, 4), lambda v: F.round(v.cast("double"), 6))
+    cut = F.transform(F.slice("embedding", 1, 4), lambda v: numeric.rounded(v.cast("double"), 6))
     head = F.struct(F.lit("X").alias("axis"), F.concat(F.lit("s"), "label").alias("signal"), F.lit("rpm").alias("unit"), F.lit(4).alias("size"), F.when(k == 0, F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: i * F.lit(10.0))).otherwise(none).alias("breakpoints"))
     rows = load(spark, sf_dir, "embeddings").select("vec_id", F.when(k == 0, cut).when(k == 1, F.slice(cut, 1, 1)).otherwise(F.slice(cut, 1, 2)).alias("vals"), F.when(k < 2, F.array(head)).alias("axes"))
     return extract.unpivoted_curves(rows, ["vec_id"], "vals", "axes")

@@ -139,7 +139,7 @@ def scan_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT vec_id, embedding, unnest(range(64)) AS p FROM embeddings) t""")
 def unpivot_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector as a map of eight rows, over a full and a short axis."""
-    v = F.transform("embedding", lambda x: F.round(x.cast("double"), 6))
+    v = F.transform("embedding", lambda x: numeric.rounded(x.cast("double"), 6))
     cells = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice(v, r * 8 + 1, F.lit(8)))
     rows = load(spark, sf_dir, "embeddings").select("vec_id", cells.alias("cells"), F.expr("transform(sequence(0, 7), i -> i * 10D)").alias("xs"), F.expr("transform(sequence(0, 3), i -> cast(i AS double))").alias("ys"))
     return extract.unpivoted_maps(rows, ["vec_id"], "cells", "xs", "ys")

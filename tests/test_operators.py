@@ -3,6 +3,7 @@
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +255,13 @@ def test_subset_and_doctype(spark):
 def test_transposed_and_primary_value(spark):
     row = spark.range(1).select(numeric.transposed(F.expr("array(array(1D, 2D, 3D), array(4D, 5D))")).alias("t"), *[label_functions.primary_value(F.lit(t)) for t in ("x Start value: 5 [s] 7", "a 1 b 2.5", "no  number", "Initial value 3")]).first()
     assert row[0] == [[1.0, 4.0], [2.0, 5.0], [3.0, None]] and tuple(row)[1:] == ("5", "1, 2.5", "no number", "3")
+
+
+def test_rounded_as_sql_rounds(spark):
+    """Values near zero keep their sign, halves go by the product; compared as text, since -0.0 equals 0.0."""
+    rng = random.Random(4)
+    values = [-3e-7, 3e-7, -0.0, 0.0, 1.005, 2.675, -1.005, 0.5e-6, -0.5e-6, 1e300, float("inf"), float("-inf"), float("nan"), None, 4503599627370497.5, *[rng.randrange(-10**6, 10**6) / 128 for _ in range(50)], *[rng.uniform(-1, 1) for _ in range(50)]]
+    for places in (2, 6):
+        got = spark.createDataFrame([(v,) for v in values], "v double").select(numeric.rounded(F.col("v"), places).alias("r")).collect()
+        want = [duckdb.execute("SELECT round(?::DOUBLE, ?::INTEGER)", [v, places]).fetchone()[0] for v in values]
+        assert [repr(r.r) for r in got] == list(map(repr, want))
