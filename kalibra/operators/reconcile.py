@@ -120,3 +120,14 @@ def bounded_sets(rows: DataFrame, key: str, value: str, most: int) -> DataFrame:
     kept = shown.withColumnRenamed("_k", "_s")
     joined = counts.join(kept, F.col("_k").eqNullSafe(F.col("_s")), "left")
     return joined.select(F.col("_k").alias(key), "n", "n_distinct", F.coalesce("values", F.array().cast(shown.schema["values"].dataType)).alias("values"))
+
+
+def whole_sets(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, n_distinct, values): as ``bounded_sets``, with all distinct values, a null last if there is one.
+
+    Rows become distinct values by key and value, in many tasks; only the distinct values of a key, which are its row of
+    the result, meet in one.
+    """
+    each = rows.groupBy(F.col(key).alias("_k"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    known, null = F.sort_array(F.collect_list("_v")), F.when(F.bool_or(F.col("_v").isNull()), F.array(F.lit(None).cast(rows.schema[value].dataType))).otherwise(F.array())
+    return each.groupBy("_k").agg(F.sum("_n").alias("n"), F.count("_v").alias("n_distinct"), F.concat(known, null).alias("values")).withColumnRenamed("_k", key)

@@ -186,10 +186,10 @@ def global_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.expr("stack(2, 'pairs', n, 'mean', mean) as (measure, value)"))
 
 
-@query("""SELECT role, count(*) AS n, count(DISTINCT turn) AS n_turns, list_sort(list(DISTINCT turn))[1:1000] AS turns FROM conversations GROUP BY role""")
+@query("""SELECT role, count(*) AS n, count(DISTINCT turn) AS n_turns, list_sort(list(DISTINCT turn)) AS turns FROM conversations GROUP BY role""")
 def set_agg_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns at which a role speaks: how many there are, and the first thousand."""
-    return reconcile.bounded_sets(load(spark, sf_dir, "conversations"), "role", "turn", 1000).withColumnsRenamed({"n_distinct": "n_turns", "values": "turns"})
+    """The turns at which a role speaks: how many there are, and all of them."""
+    return reconcile.whole_sets(load(spark, sf_dir, "conversations"), "role", "turn").withColumnsRenamed({"n_distinct": "n_turns", "values": "turns"})
 
 
 @query("""SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS member FROM orders""")

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from kalibra.operators import reconcile
+from kalibra.plans import relational
 
 
 def test_a_thousand_lengths_in_one_plan(spark):
@@ -51,6 +52,14 @@ def test_sets_of_a_million_values(spark):
     assert reconcile.bounded_sets(rows.limit(0), "k", "v", 5).count() == 0
 
 
+def test_a_role_with_thousands_of_turns_keeps_them_all(spark, tmp_path):
+    turns = spark.range(3000).select(F.lit("user").alias("role"), F.col("id").alias("turn"))
+    few = spark.createDataFrame([("user", 7), ("user", None), ("system", None), (None, 2), (None, 1)], "role string, turn long")
+    turns.unionByName(few).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.role: (r.n, r.n_turns, list(r.turns)) for r in relational.set_agg_roles(spark, str(tmp_path)).collect()}
+    assert got == {"user": (3002, 3000, [*range(3000), None]), "system": (1, 0, [None]), None: (2, 2, [1, 2])}
+
+
 def test_search_within_labels_meets_no_other_label(spark):
     """A hot label in several tiles, a null label, and a tile that holds vectors of one label only."""
     from kalibra.operators import match
