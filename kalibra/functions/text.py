@@ -67,6 +67,21 @@ def read_by(reader: Callable[[str | None], Any], kind: T.DataType) -> Callable[[
     return read
 
 
+def read_together(**readers: tuple[Callable[[str | None], Any], T.StructType | T.ArrayType]) -> Callable[[Column], Column]:
+    """A struct of what several readers find in a text, which goes to Python and becomes tokens once for all of them."""
+    kind = T.StructType([T.StructField(name, t) for name, (_, t) in readers.items()])
+
+    @F.arrow_udf(kind)
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        fields = list(to_arrow_type(kind))
+        own = [reader for reader, _ in readers.values()]
+        for texts in batches:
+            found = [[reader(t) for reader in own] for t in texts.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([row[k] for row in found], field.type) for k, field in enumerate(fields)], fields=fields)
+
+    return read
+
+
 #: struct<values, unit, for_all>: what follows the marker; else the last numbers that carry a unit, outside axes. A
 #: reference to a table gives none. Lists with a unit come before single values, the last one counts; after a marker
 #: numbers without unit do as well.
@@ -77,6 +92,8 @@ limits = read_by(notation.limits, LIMITS)
 physical_range = read_by(notation.physical_range, RANGE)
 #: array<struct<axis, signal, unit, size, breakpoints>>; an axis' breakpoints stand before the next axis, no more than its size.
 axes = read_by(notation.axes, AXES)
+#: struct<limits, start_value, axes, physical_range>, as the four above.
+phrases = read_together(limits=(notation.limits, LIMITS), start_value=(notation.start_value, VALUE), axes=(notation.axes, AXES), physical_range=(notation.physical_range, RANGE))
 #: The number of the table that a text refers to, after its start marker if there is one.
 table_reference = read_by(notation.table_reference, T.StringType())
 before_marker = read_by(notation.before_marker, T.StringType())

@@ -157,11 +157,11 @@ def value_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = [("valid between ", "q", " and ", "p", "."), ("Start value: ", "q", ", ", "p", " [EUR]"), ("on X: n_eng [rpm] [2] ", "q", "; ", "p", ""), ("range 0...", "q", " [%]", "", "")]
     written = [F.concat(*[F.col(x) if x in ("q", "p") else F.lit(x) for x in parts]) for parts in said]
     t = F.element_at(F.array(*written), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    parsed = rows.select("l_orderkey", "l_linenumber", t.alias("t")).select("*", *[f(F.col("t")).alias(name) for name, f in (("l", text.limits), ("s", text.start_value), ("a", text.axes), ("r", text.physical_range))])
+    parsed = rows.select("l_orderkey", "l_linenumber", text.phrases(t).alias("f")).select("l_orderkey", "l_linenumber", *[F.col(f"f.{name}").alias(name[0]) for name in ("limits", "start_value", "axes", "physical_range")])
     axis = lambda e: F.concat_ws(" ", e["axis"], e["signal"], e["unit"], e["size"].cast("string"))
     return parsed.select(
         "l_orderkey", "l_linenumber", "l.lower", "l.upper", "l.kind", F.col("s.values").alias("vals"), "s.unit", F.array_join(F.transform("a", axis), ";").alias("axes"),
-        F.try_element_at(F.get("a", F.lit(0))["breakpoints"], F.lit(-1)).alias("last_point"), F.col("r.lower").alias("range_low"), F.col("r.upper").alias("range_high"),
+        F.try_element_at(F.get("a", F.lit(0))["breakpoints"], F.lit(-1)).alias("last_point"), F.col("p.lower").alias("range_low"), F.col("p.upper").alias("range_high"),
     )
 
 

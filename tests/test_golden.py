@@ -46,6 +46,18 @@ def test_phrases(spark):
     assert all(not r.a for k, r in enumerate(parsed) if k != 5) and parsed[8].r.lower == -327.68
 
 
+def test_phrases_read_at_once(spark):
+    """The same as by each reader alone, and a text goes to Python once."""
+    t = F.col("t")
+    texts = [*PHRASES, None, "", "[all] X: 1 2", "all x 3 [", "see Table 5 start value 3 [V]", "MIN 1 MAX 2", "standardvalue: 7, 8"]
+    df = spark.createDataFrame([(p,) for p in texts], "t string")
+    readers = {"limits": text.limits, "start_value": text.start_value, "axes": text.axes, "physical_range": text.physical_range}
+    for r in df.select(text.phrases(t).alias("p"), *[f(t).alias(name) for name, f in readers.items()]).collect():
+        assert r.p.asDict() == {name: r[name] for name in readers}
+    plan = formats.value_phrases(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_labels_taken_apart(spark):
     df = spark.createDataFrame([("Mod_Inst.tiDelay_C",), ("Mod_facGain_T",), ("bad label",)], "label string")
     got = [tuple(r) for r in df.select(F.inline(F.array(text.label_parts(F.col("label"))))).collect()]
