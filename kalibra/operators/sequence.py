@@ -22,18 +22,24 @@ def runs(starts: Column, key: Sequence[str], order: Sequence[str]) -> Column:
     return F.sum(F.coalesce(starts, F.lit(True)).cast("int")).over(ordered(key, order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def islands(rows: DataFrame, key: Sequence[str], number: str) -> DataFrame:
-    """Runs of consecutive integers: (key, first, last)."""
-    own = rows.select(*key, number).distinct()
+def islands(rows: DataFrame, key: Sequence[str], number: str, most: int = 1_000_000) -> DataFrame:
+    """Runs of consecutive integers: (key, first, last).
+
+    Rows are dealt to as many parts as hold about ``most`` of them each, so that a task's rows don't grow with the table:
+    by key and number, where equal rows become one, then by key, as a later grouping by ``key`` needs them.
+    """
+    known = rows.select(*key, number)
+    parts = max(known.count() // most + 1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = known.repartition(parts, *key, number).distinct().repartition(parts, *key)
     run = F.col(number) - F.row_number().over(ordered(key, [number]))
-    return own.withColumn("_run", run).groupBy(*key, "_run").agg(F.min(number).alias("first"), F.max(number).alias("last")).drop("_run")
+    return dealt.withColumn("_run", run).groupBy(*key, "_run").agg(F.min(number).alias("first"), F.max(number).alias("last")).drop("_run")
 
 
-def ranges_text(rows: DataFrame, key: Sequence[str], number: str) -> DataFrame:
-    """Per key its integers as text such as ``1-3, 5``."""
-    one = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", "first", "last"))
+def ranges_text(rows: DataFrame, key: Sequence[str], number: str, most: int = 1_000_000) -> DataFrame:
+    """Per key its integers as text such as ``1-3, 5``, null of none; ``most`` as in ``islands``."""
+    one = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat(F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string")))
     parts = F.sort_array(F.collect_list(F.struct("first", one.alias("text"))))
-    return islands(rows, key, number).groupBy(*key).agg(F.array_join(F.transform(parts, lambda p: p["text"]), ", ").alias("ranges"))
+    return islands(rows, key, number, most).groupBy(*key).agg(F.nullif(F.array_join(F.transform(parts, lambda p: p["text"]), ", "), F.lit("")).alias("ranges"))
 
 
 def numbered(rows: DataFrame, key: Sequence[str], order: str, buckets: int = 1024) -> DataFrame:

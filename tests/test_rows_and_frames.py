@@ -215,3 +215,14 @@ def test_greedy_match_equals_plain_greedy(spark):
             want.add((c, a, b, -s))
     got = [tuple(r[c] for c in ("conv_id", "left_id", "right_id", "score")) for r in series.greedy_match(spark, folder).collect()]
     assert want and len(got) == len(want) and set(got) == want
+
+
+def test_ranges_are_dealt_in_parts_of_bounded_size(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 100)).alias("k"), (F.col("id") % 1000).alias("n"))
+    more = spark.createDataFrame([("odd", None), ("odd", 3), ("odd", 4), ("odd", 9), ("none", None), (None, 1)], "k string, n long")
+    df = rows.unionByName(more)
+    dealt = sequence.islands(df, ["k"], "n", most=50)
+    assert dealt.rdd.getNumPartitions() == 4006 // 50 + 1
+    got = {r.k: r.ranges for r in sequence.ranges_text(df, ["k"], "n", most=50).collect()}
+    assert got["hot"] == ", ".join(str(n) for n in range(0, 1000, 2)) and got["k7"] == ", ".join(str(n) for n in range(7, 1000, 100))
+    assert (got["odd"], got["none"], got[None], len(got)) == ("3-4, 9", None, "1", 54)
